@@ -8,7 +8,6 @@ from cadentia.catalog.registry import query
 from cadentia.catalog.views import (
     FEATURES, K_IMPOSTOR, N_ENROL, OBS, SCORES, WIDTH, curve_sql, obs, table,
 )
-from cadentia.functions.scalars import is_finite, q
 from cadentia.operators import checks as C
 from cadentia.operators import evaluation as E
 from cadentia.operators import profiles as P
@@ -29,12 +28,12 @@ def enrolled(spark, folder):
 
 
 def fitted(spark, folder, scaling="mad"):
-    return P.fit_profiles(enrolled(spark, folder), "subject", FEATURES, scaling)
+    return P.fit_profiles(enrolled(spark, folder), "subject", scaling=scaling)
 
 
 def scores(spark, folder, scaling="mad"):
     return E.protocol_scores(
-        obs(spark, folder), "subject", ORDER, FEATURES, scaling, N_ENROL, K_IMPOSTOR
+        obs(spark, folder), "subject", ORDER, scaling=scaling, n_enrol=N_ENROL, k=K_IMPOSTOR
     )
 
 
@@ -42,11 +41,15 @@ def genuine_rows(spark, folder):
     return split(spark, folder).where(F.col("role") == "genuine")
 
 
-def long_form(df, prefix, name, keys=("subject",)):
-    """Wide per-feature columns to rows (keys, feature, value)."""
-    return df.select(*keys, *[q(f"{prefix}{f}").alias(f) for f in FEATURES]).unpivot(
-        list(keys), [q(f) for f in FEATURES], "feature", name
-    )
+def wide(spark, folder):
+    return O.unpack_vector(obs(spark, folder), "features", WIDTH)
+
+
+def long_form(df, array, name, keys=("subject",)):
+    """One array per row to rows (keys, feature, value)."""
+    feature = F.concat(F.lit("f"), F.col("pos").cast("string")).alias("feature")
+    cells = df.select(*keys, F.posexplode(array))
+    return cells.select(*keys, feature, F.round("col", 6).alias(name))
 
 
 def rounded(name, digits=6):
@@ -56,13 +59,13 @@ def rounded(name, digits=6):
 @query("read_observations", """
 SELECT label AS subject, vec_id, round(list_sum(embedding::DOUBLE[]), 6) AS total FROM embeddings""")
 def _(spark, folder):
-    total = sum((F.col(f) for f in FEATURES[1:]), F.col(FEATURES[0]))
+    total = F.aggregate("features", F.lit(0.0), lambda a, x: a + x)
     return obs(spark, folder).select("subject", "vec_id", F.round(total, 6).alias("total"))
 
 
 @query("feature_columns", "SELECT 'f' || i AS feature, CAST(i AS INTEGER) AS position FROM range(64) t(i)")
 def _(spark, folder):
-    names = O.feature_columns(obs(spark, folder), ("f",))
+    names = O.feature_columns(wide(spark, folder).drop("features"), ("f",))
     cells = [F.struct(F.lit(n).alias("feature"), F.lit(i).alias("position")) for i, n in enumerate(names)]
     return table(spark, folder, "embeddings").agg(F.count("*").alias("n")).select(F.inline(F.array(*cells)))
 
@@ -70,7 +73,7 @@ def _(spark, folder):
 @query("select_features", """
 SELECT label AS subject, vec_id, round(embedding[1]::DOUBLE, 6) AS f0, round(embedding[6]::DOUBLE, 6) AS f5 FROM embeddings""")
 def _(spark, folder):
-    some = O.select_features(obs(spark, folder), ["subject", "vec_id"], ["f0", "f5"])
+    some = O.select_features(wide(spark, folder), ["subject", "vec_id"], ["f0", "f5"])
     return some.select("subject", "vec_id", rounded("f0"), rounded("f5"))
 
 
@@ -142,7 +145,8 @@ def _(spark, folder):
 @query("numeric_coercion", """
 SELECT vec_id, round(embedding[1]::DOUBLE, 9) AS first_value, round(embedding[64]::DOUBLE, 9) AS last_value FROM embeddings""")
 def _(spark, folder):
-    return obs(spark, folder).select(
+    ends = O.unpack_vector(obs(spark, folder), "features", WIDTH, keep=(0, 63))
+    return ends.select(
         "vec_id", F.round("f0", 9).alias("first_value"), F.round("f63", 9).alias("last_value")
     )
 
@@ -156,7 +160,7 @@ UNION ALL SELECT 'nulls', 0, count(*), count(*) = 0 FROM embeddings WHERE vec_id
 UNION ALL SELECT 'subjects with another row count', 0, count(*), count(*) = 0 FROM s WHERE n <> 50""")
 def _(spark, folder):
     expected = C.Expectations(subjects=10, rows=500, features=WIDTH, rows_per_subject=50)
-    return C.verify_dataset(obs(spark, folder), "subject", FEATURES, expected)
+    return C.verify_dataset(wide(spark, folder), "subject", FEATURES, expected)
 
 
 @query("group_sizes", """
@@ -180,9 +184,9 @@ def _(spark, folder):
     return C.rejected_rows(sessions(spark, folder), ["event_id"], ["gap", "value"])
 
 
-@query("finite_rows", "SELECT count(*) AS finite_vectors FROM embeddings WHERE list_bool_and([isfinite(x) FOR x IN embedding])")
+@query("finite_vectors", "SELECT count(*) AS finite_vectors FROM embeddings WHERE list_bool_and([isfinite(x) FOR x IN embedding])")
 def _(spark, folder):
-    return C.finite_rows(obs(spark, folder), FEATURES).agg(F.count("*").alias("finite_vectors"))
+    return C.finite_vectors(obs(spark, folder), "features").agg(F.count("*").alias("finite_vectors"))
 
 
 @query("verify_files")
@@ -199,34 +203,30 @@ PROFILE_KEYS = "SELECT subject, 'f' || pos AS feature, "
 
 @query("fit_centre", "WITH " + OBS + PROFILE_KEYS + "round(c, 6) AS centre FROM prof")
 def _(spark, folder):
-    centres = P.fit_centres(enrolled(spark, folder), "subject", FEATURES)
-    return long_form(centres, "centre_", "centre").select("subject", "feature", rounded("centre"))
+    return long_form(P.fit_centres(enrolled(spark, folder), "subject"), "centre", "centre")
 
 
 @query("fit_mad", "WITH " + OBS + PROFILE_KEYS + "round(raw_mad, 6) AS mad FROM prof")
 def _(spark, folder):
-    spreads = P.fit_spreads(enrolled(spark, folder), "subject", FEATURES, ("mad",))
-    return long_form(spreads, "mad_", "mad").select("subject", "feature", rounded("mad"))
+    return long_form(P.fit_spreads(enrolled(spark, folder), "subject"), "mad", "mad")
 
 
 @query("fit_std", "WITH " + OBS + PROFILE_KEYS + "round(sd, 6) AS std FROM prof")
 def _(spark, folder):
-    spreads = P.fit_spreads(enrolled(spark, folder), "subject", FEATURES, ("std",))
-    return long_form(spreads, "std_", "std").select("subject", "feature", rounded("std"))
+    spreads = P.fit_spreads(enrolled(spark, folder), "subject", scalings=("std",))
+    return long_form(spreads, "std", "std")
 
 
 @query("dispersion_floor", "WITH " + OBS + PROFILE_KEYS + "round(greatest(raw_mad, 0.15), 6) AS dispersion FROM prof")
 def _(spark, folder):
-    floored = P.fit_profiles(enrolled(spark, folder), "subject", FEATURES, "mad", floor=0.15)
-    return long_form(floored, "dispersion_", "dispersion").select(
-        "subject", "feature", rounded("dispersion")
-    )
+    floored = P.fit_profiles(enrolled(spark, folder), "subject", floor=0.15)
+    return long_form(floored, "dispersion", "dispersion")
 
 
 @query("floored_count", "WITH " + OBS + """
 SELECT subject, CAST(sum(CASE WHEN raw_mad < 0.09 THEN 1 ELSE 0 END) AS INTEGER) AS floored_features FROM prof GROUP BY 1""")
 def _(spark, folder):
-    floored = P.fit_profiles(enrolled(spark, folder), "subject", FEATURES, "mad", floor=0.09)
+    floored = P.fit_profiles(enrolled(spark, folder), "subject", floor=0.09)
     return floored.select("subject", "floored_features")
 
 
@@ -234,15 +234,13 @@ def _(spark, folder):
 SELECT subject, 'mad' AS scaling, 64::INTEGER AS width, round(sum(c), 6) AS centre_sum, round(sum(mad), 6) AS dispersion_sum
 FROM prof GROUP BY 1""")
 def _(spark, folder):
-    records = P.as_records(fitted(spark, folder), "subject", FEATURES)
-
     def total(name):
         return F.round(F.aggregate(name, F.lit(0.0), lambda a, x: a + x), 6)
 
-    return records.select(
+    return fitted(spark, folder).select(
         "subject",
         "scaling",
-        F.size("feature_names").alias("width"),
+        F.size("centre").alias("width"),
         total("centre").alias("centre_sum"),
         total("dispersion").alias("dispersion_sum"),
     )
@@ -252,15 +250,13 @@ def _(spark, folder):
 SELECT l.subject, vec_id, 'f' || l.pos AS feature, round((x - c) / mad, 6) AS deviation
 FROM cells l JOIN prof p ON l.subject = p.subject AND l.pos = p.pos WHERE rr > 20""")
 def _(spark, folder):
-    devs = P.deviations(genuine_rows(spark, folder), fitted(spark, folder), "subject", FEATURES)
-    return long_form(devs, "dev_", "deviation", ("subject", "vec_id")).select(
-        "subject", "vec_id", "feature", rounded("deviation")
-    )
+    devs = P.deviations(genuine_rows(spark, folder), fitted(spark, folder), "subject")
+    return long_form(devs, "deviations", "deviation", ("subject", "vec_id"))
 
 
 @query("anomaly_score", "WITH " + SCORES + " SELECT subject, vec_id, round(score, 6) AS score FROM scores WHERE label = 0")
 def _(spark, folder):
-    scored = P.anomaly_score(genuine_rows(spark, folder), fitted(spark, folder), "subject", FEATURES)
+    scored = P.anomaly_score(genuine_rows(spark, folder), fitted(spark, folder), "subject")
     return scored.select("subject", "vec_id", rounded("score"))
 
 
@@ -268,7 +264,7 @@ def _(spark, folder):
 SELECT subject, count(*) AS n, round(avg(score), 6) AS mean_score, round(max(score), 6) AS max_score
 FROM scores WHERE label = 0 GROUP BY 1""")
 def _(spark, folder):
-    scored = P.anomaly_score(genuine_rows(spark, folder), fitted(spark, folder), "subject", FEATURES)
+    scored = P.anomaly_score(genuine_rows(spark, folder), fitted(spark, folder), "subject")
     return scored.groupBy("subject").agg(
         F.count("*").alias("n"),
         F.round(F.avg("score"), 6).alias("mean_score"),
@@ -282,7 +278,9 @@ dev AS (SELECT l.subject, vec_id, l.pos, (x - c) / mad AS dv
 rk AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY abs(dv) DESC, pos) AS rnk FROM dev)
 SELECT subject, vec_id, CAST(rnk AS INTEGER) AS rank, 'f' || pos AS feature, round(dv, 6) AS deviation FROM rk WHERE rnk <= 3""")
 def _(spark, folder):
-    top = P.top_deviations(genuine_rows(spark, folder), fitted(spark, folder), "subject", FEATURES)
+    top = P.top_deviations(
+        genuine_rows(spark, folder), fitted(spark, folder), "subject", FEATURES
+    )
     return top.select("subject", "vec_id", "rank", "feature", rounded("deviation"))
 
 
@@ -291,7 +289,7 @@ SELECT subject, count(*) AS pairs, round(sum(score), 5) AS total_score, round(mi
 FROM scores WHERE label = 1 GROUP BY 1""")
 def _(spark, folder):
     heads = S.head_per_subject(obs(spark, folder), "subject", ORDER, K_IMPOSTOR)
-    pairs = E.impostor_pairs(heads, fitted(spark, folder), "subject", FEATURES)
+    pairs = E.impostor_pairs(heads, fitted(spark, folder), "subject")
     return pairs.groupBy("subject").agg(
         F.count("*").alias("pairs"),
         F.round(F.sum("score"), 5).alias("total_score"),
@@ -306,7 +304,7 @@ def _(spark, folder):
 
 @query("split_disjoint", "SELECT 0::BIGINT AS shared_vectors FROM (SELECT count(*) AS n FROM embeddings)")
 def _(spark, folder):
-    shared = S.split_overlap(split(spark, folder), FEATURES)
+    shared = S.split_overlap(split(spark, folder), "features")
     return shared.agg(F.count("*").alias("shared_vectors"))
 
 
@@ -333,7 +331,7 @@ def _(spark, folder):
 
 def eers(spark, folder, scaling="mad"):
     return E.evaluate(
-        obs(spark, folder), "subject", ORDER, FEATURES, scaling, N_ENROL, K_IMPOSTOR
+        obs(spark, folder), "subject", ORDER, scaling=scaling, n_enrol=N_ENROL, k=K_IMPOSTOR
     )
 
 

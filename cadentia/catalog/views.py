@@ -5,10 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadentia.functions.scalars import day_slot, epoch_seconds
-from cadentia.operators import splits as S
-from cadentia.plans.ordered import running
-from cadentia.sources.observations import read_observations, unpack_vector
+from cadentia.sources.observations import read_observations
 
 WIDTH = 64
 FEATURES = [f"f{i}" for i in range(WIDTH)]
@@ -21,9 +18,9 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def obs(spark: SparkSession, folder: str) -> DataFrame:
     """Repeated vectors per subject: subject = label, order = vec_id."""
-    vectors = table(spark, folder, "embeddings")
-    wide = unpack_vector(vectors, "embedding", WIDTH)
-    return wide.withColumnRenamed("label", "subject")
+    return table(spark, folder, "embeddings").select(
+        "vec_id", F.col("label").alias("subject"), F.col("embedding").cast("array<double>").alias("features")
+    )
 
 
 OBS = """

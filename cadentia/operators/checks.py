@@ -45,7 +45,10 @@ def uneven_subjects(df: DataFrame, subject: str, rows_per_subject: int) -> DataF
 def verify_dataset(
     df: DataFrame, subject: str, features: Sequence[str], expected: Expectations
 ) -> DataFrame:
-    """Rows ``check_name, expected, actual, ok``. One pass: counts per subject, then over them."""
+    """Rows ``check_name, expected, actual, ok``. One pass: counts per subject, then over them.
+
+    ``features`` are the feature columns of a wide table.
+    """
     nulls = reduce(lambda a, b: a + b, [q(c).isNull().cast("long") for c in df.columns])
     per_subject = df.groupBy(q(subject)).agg(
         F.count("*").alias("n"), F.sum(nulls).alias("nulls")
@@ -99,6 +102,6 @@ def rejected_rows(df: DataFrame, keys: Sequence[str], features: Sequence[str]) -
     )
 
 
-def finite_rows(df: DataFrame, features: Sequence[str]) -> DataFrame:
+def finite_vectors(df: DataFrame, vector: str) -> DataFrame:
     """Rows that may be fitted; Spark's averages would silently skip nulls otherwise."""
-    return df.where(reduce(lambda a, b: a & b, [is_finite(q(f)) for f in features]))
+    return df.where(q(vector).isNotNull() & F.forall(q(vector), is_finite))

@@ -20,20 +20,20 @@ PUBLISHED_EER = 0.0962
 
 
 def impostor_pairs(
-    impostors: DataFrame, profiles: DataFrame, subject: str, features: Sequence[str]
+    impostors: DataFrame, profiles: DataFrame, subject: str, vector: str = P.VECTOR
 ) -> DataFrame:
     """Score every impostor row against every profile but its own subject's.
 
     The protocol asks for all of these pairs, so none is dropped; they are
     spread over a grid of cells and leave the join as one number each.
     """
-    wanted = [q(f"{part}_{f}") for part in ("centre", "dispersion") for f in features]
-    targets = profiles.select(q(subject).alias("subject"), *wanted)
-    rows = impostors.select(q(subject).alias("impostor"), *[q(f) for f in features])
+    targets = profiles.select(q(subject).alias("subject"), "centre", "dispersion")
+    rows = impostors.select(q(subject).alias("impostor"), q(vector).alias("_v"))
     pairs = grid_pairs(
         targets, rows, "subject", "impostor", F.col("subject") != F.col("impostor")
     )
-    return pairs.select("subject", "impostor", P.score_of(features).alias("score"))
+    score = P.score_of(F.col("_v"), F.col("centre"), F.col("dispersion"))
+    return pairs.select("subject", "impostor", score.alias("score"))
 
 
 def label_scores(genuine: DataFrame, impostor: DataFrame) -> DataFrame:
@@ -48,21 +48,15 @@ def _counts(scores: DataFrame, by: Sequence[str | Column]) -> DataFrame:
     return scores.groupBy(*by).agg(F.sum(1 - label).alias("ng"), F.sum(label).alias("ni"))
 
 
-def _require_both_classes(scores: DataFrame) -> DataFrame:
-    """One row per subject; a subject without genuine or impostor scores fails the job."""
-    totals = _counts(scores, ["subject"])
+def _both_classes(value: Column, genuine: Column, impostor: Column) -> Column:
+    """``value``, unless a class is empty: then the job fails and names the subject."""
     complain = F.raise_error(
         F.concat(
-            F.lit("both genuine and impostor scores are required for subject "),
+            F.lit("both genuine and impostor scores are required, subject "),
             F.col("subject").cast("string"),
         )
     )
-    whole = (F.col("ng") > 0) & (F.col("ni") > 0)
-    return totals.select(
-        "subject",
-        F.when(whole, F.col("ng")).otherwise(complain).alias("genuine_total"),
-        F.when(whole, F.col("ni")).otherwise(complain).alias("impostor_total"),
-    )
+    return F.when((genuine > 0) & (impostor > 0), value).otherwise(complain)
 
 
 def error_curve(scores: DataFrame) -> DataFrame:
@@ -71,28 +65,26 @@ def error_curve(scores: DataFrame) -> DataFrame:
     FAR(t) is the share of impostors below t, FRR(t) the share of genuine
     scores at or above t. All thresholds are kept, collinear ones too.
     """
-    return _both_sides(scores).select("subject", "threshold", "far", "frr").unionByName(
-        _require_both_classes(scores).select(
-            "subject",
-            F.lit(float("inf")).alias("threshold"),
-            F.lit(1.0).alias("far"),
-            F.lit(0.0).alias("frr"),
-        )
-    )
-
-
-def _both_sides(scores: DataFrame) -> DataFrame:
-    """Rates at each distinct score and at the next higher one."""
-    steps = _counts(scores, ["subject", "score"])
     cumulated = running(
-        steps, ["subject"], ["score"], magnitude_slot(F.col("score")),
+        _counts(scores, ["subject", "score"]),
+        ["subject"],
+        ["score"],
+        magnitude_slot(F.col("score")),
         totals={"ng_upto": "ng", "ni_upto": "ni"},
+        whole={"g": "ng_upto", "i": "ni_upto"},
+    )
+    g, i = F.col("g"), F.col("i")
+    here = F.struct(
+        F.col("score").alias("threshold"),
+        ((F.col("ni_upto") - F.col("ni")) / i).alias("far"),
+        (1 - (F.col("ng_upto") - F.col("ng")) / g).alias("frr"),
     )
-    far = (F.col("ni_upto") - F.col("ni")) / F.col("impostor_total")
-    frr = 1 - (F.col("ng_upto") - F.col("ng")) / F.col("genuine_total")
-    return cumulated.join(_require_both_classes(scores), "subject").select(
-        "subject", F.col("score").alias("threshold"), far.alias("far"), frr.alias("frr")
+    end = F.struct(
+        F.lit(float("inf")).alias("threshold"), F.lit(1.0).alias("far"), F.lit(0.0).alias("frr")
     )
+    last = (F.col("ng_upto") == g) & (F.col("ni_upto") == i)
+    samples = F.when(last, F.array(here, end)).otherwise(F.array(here))
+    return cumulated.select("subject", F.inline(_both_classes(samples, g, i)))
 
 
 def equal_error_rate(scores: DataFrame) -> DataFrame:
@@ -119,11 +111,8 @@ def equal_error_rate(scores: DataFrame) -> DataFrame:
         F.sum("ng").over(whole).alias("g"),
         F.sum("ni").over(whole).alias("i"),
     )
-    complain = F.raise_error(
-        F.concat(F.lit("a class is empty for subject "), F.col("subject").cast("string"))
-    )
     crossing = (
-        ramp.withColumn("g", F.when((F.col("g") > 0) & (F.col("i") > 0), F.col("g")).otherwise(complain))
+        ramp.withColumn("g", _both_classes(F.col("g"), F.col("g"), F.col("i")))
         .where(_gap("g0", "i0") < 0)
         .where(_gap("g1", "i1") >= 0)
         .select("subject", "slot", "g0", "i0", "g", "i")
@@ -228,7 +217,7 @@ def protocol_scores(
     df: DataFrame,
     subject: str,
     order: Sequence[str],
-    features: Sequence[str],
+    vector: str = P.VECTOR,
     scaling: str = "mad",
     n_enrol: int = S.ENROLMENT_REPETITIONS,
     k: int = S.IMPOSTOR_REPETITIONS,
@@ -240,26 +229,15 @@ def protocol_scores(
     ``insufficient_subjects`` or refuse them with ``require_repetitions``.
     """
     split = S.enrolment_split(df, subject, order, n_enrol, slot)
-    fitted = P.fit_profiles(split.where(F.col("role") == "enrolment"), subject, features, scaling)
-    genuine = P.anomaly_score(split.where(F.col("role") == "genuine"), fitted, subject, features)
+    fitted = P.fit_profiles(split.where(F.col("role") == "enrolment"), subject, vector, scaling)
+    genuine = P.anomaly_score(split.where(F.col("role") == "genuine"), fitted, subject, vector)
     heads = S.head_per_subject(df, subject, order, k, slot)
     tested = df.groupBy(q(subject)).agg(F.count("*").alias("_n")).where(F.col("_n") > n_enrol)
     targets = fitted.join(tested.select(q(subject)), subject, "left_semi")
-    impostor = impostor_pairs(heads, targets, subject, features)
+    impostor = impostor_pairs(heads, targets, subject, vector)
     return label_scores(genuine.select(q(subject).alias("subject"), "score"), impostor)
 
 
-def evaluate(
-    df: DataFrame,
-    subject: str,
-    order: Sequence[str],
-    features: Sequence[str],
-    scaling: str = "mad",
-    n_enrol: int = S.ENROLMENT_REPETITIONS,
-    k: int = S.IMPOSTOR_REPETITIONS,
-    slot: Column | None = None,
-) -> DataFrame:
-    """Per-subject equal error rates of the whole protocol."""
-    return equal_error_rate(
-        protocol_scores(df, subject, order, features, scaling, n_enrol, k, slot)
-    )
+def evaluate(df: DataFrame, subject: str, order: Sequence[str], **options) -> DataFrame:
+    """Per-subject equal error rates; ``options`` as in :func:`protocol_scores`."""
+    return equal_error_rate(protocol_scores(df, subject, order, **options))

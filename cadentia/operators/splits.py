@@ -89,8 +89,8 @@ def head_per_subject(
     return head_per_key(df, [subject], [q(c) for c in order], k, slot)
 
 
-def split_overlap(split: DataFrame, features: Sequence[str], subject: str = "subject") -> DataFrame:
+def split_overlap(split: DataFrame, vector: str, subject: str = "subject") -> DataFrame:
     """Vectors that occur in both enrolment and genuine test of one subject; should be empty."""
-    cells = [q(subject), *[q(f) for f in features]]
+    cells = [q(subject), q(vector)]
     enrolled = split.where(F.col("role") == "enrolment").select(*cells)
     return enrolled.intersect(split.where(F.col("role") == "genuine").select(*cells))

@@ -23,15 +23,18 @@ def running(
     slot: Column,
     totals: Mapping[str, Column | str] | None = None,
     previous: Mapping[str, str] | None = None,
+    whole: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """Add running totals and previous values per key.
 
     ``totals`` maps a new column to what is summed from the key's first row up
     to and including the row. ``previous`` maps a new column to a column whose
-    last non-null value strictly before the row is wanted. ``order`` must be a
-    total order inside a key and ``slot`` must never fall along it.
+    last non-null value strictly before the row is wanted. ``whole`` maps a new
+    column to a name in ``totals`` whose sum over the entire key is wanted.
+    ``order`` must be a total order inside a key and ``slot`` must never fall
+    along it.
     """
-    totals, previous = dict(totals or {}), dict(previous or {})
+    totals, previous, whole = dict(totals or {}), dict(previous or {}), dict(whole or {})
     part = [*keys, SLOT]
     based = df.withColumn(SLOT, slot)
     for name, what in totals.items():
@@ -51,6 +54,7 @@ def running(
         *part,
         *[F.sum(f"_in_{name}").over(earlier).alias(f"_carry_{name}") for name in totals],
         *[F.last(f"_in_{name}", True).over(earlier).alias(f"_carry_{name}") for name in previous],
+        *[F.sum(f"_in_{of}").over(Window.partitionBy(*keys)).alias(n) for n, of in whole.items()],
     )
     inside = Window.partitionBy(*part).orderBy(*order)
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
@@ -69,6 +73,7 @@ def running(
             for n in totals
         ],
         *[F.coalesce(f"_local_{n}", f"_carry_{n}").alias(n) for n in previous],
+        *whole,
     )
 
 

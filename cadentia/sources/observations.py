@@ -55,10 +55,21 @@ def select_features(
     return df.select(*[q(k) for k in keys], *[q(f).cast("double").alias(f) for f in chosen])
 
 
-def unpack_vector(df: DataFrame, vector: str, width: int, prefix: str = "f") -> DataFrame:
-    """Turn an array column into ``width`` double columns ``f0, f1, ...``."""
+def pack_vector(
+    df: DataFrame, keys: Sequence[str], features: Sequence[str], name: str = "features"
+) -> DataFrame:
+    """Keys plus one array of doubles in the order of ``features``."""
+    cells = [q(f).cast("double") for f in features]
+    return df.select(*[q(k) for k in keys], F.array(*cells).alias(name))
+
+
+def unpack_vector(
+    df: DataFrame, vector: str, width: int, prefix: str = "f", keep: Sequence[int] | None = None
+) -> DataFrame:
+    """Turn an array column into double columns ``f0, f1, ...``, or only those in ``keep``."""
     others = [q(c) for c in df.columns if c != vector]
-    cells = [F.get(q(vector), F.lit(i)).cast("double").alias(f"{prefix}{i}") for i in range(width)]
+    places = range(width) if keep is None else keep
+    cells = [F.get(q(vector), F.lit(i)).cast("double").alias(f"{prefix}{i}") for i in places]
     return df.select(*others, *cells)
 
 
