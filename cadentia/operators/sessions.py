@@ -3,14 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadentia.functions.scalars import day_slot, epoch_seconds, safe_ratio, sha256_text
+from cadentia.functions.scalars import DAY_SECONDS, day_slot, days_between, q, safe_ratio, sha256_text
 from cadentia.plans.ordered import running
 from cadentia.plans.quantiles import exact_quantiles
 
+# Values of the device class column; anything unknown counts as desktop.
+DEVICE_CLASSES = ("desktop", "mobile", "tablet")
+
+
+def seconds_between(later: Column, earlier: Column) -> Column:
+    return (F.unix_micros(later) - F.unix_micros(earlier)) / F.lit(1e6)
+
 
 def event_gaps(
     events: DataFrame, user: str, ts: str, order: Sequence[str], slot_days: float = 1.0
@@ -19,14 +27,10 @@ def event_gaps(
     previous = running(
         events, [user], order, day_slot(F.col(ts), slot_days), previous={"_previous": ts}
     )
-    gap = epoch_seconds_between(F.col(ts), F.col("_previous"))
+    gap = seconds_between(F.col(ts), F.col("_previous"))
     return previous.withColumn("gap", gap).drop("_previous")
 
 
-def epoch_seconds_between(later: Column, earlier: Column) -> Column:
-    return (F.unix_micros(later) - F.unix_micros(earlier)) / F.lit(1e6)
-
-
 def sessionise(
     events: DataFrame,
     user: str,
@@ -49,3 +53,250 @@ def sessionise(
         day_slot(F.col(ts), slot_days),
         totals={"session_no": opens.cast("long")},
     )
+
+
+def valid_timing(
+    df: DataFrame, hold: Sequence[str], down_down: Sequence[str] = (), max_hold: float = 5.0
+) -> DataFrame:
+    """Keep rows with plausible timing; up-down times may be negative and are not tested."""
+    tests = [(q(c) >= 0) & (q(c) <= max_hold) for c in hold] + [q(c) >= 0 for c in down_down]
+    return df.where(reduce(lambda a, b: a & b, tests))
+
+
+def device_class(agent: Column) -> Column:
+    """desktop, mobile or tablet from a client description."""
+    text = F.lower(agent)
+    tablet = text.contains("tablet") | text.contains("ipad")
+    mobile = text.contains("mobile") | text.contains("iphone") | text.contains("android")
+    return F.when(tablet, "tablet").when(mobile, "mobile").otherwise("desktop")
+
+
+def timing_features(
+    keystrokes: DataFrame, session: Sequence[str], hold: str, flight: str, correction: str, ts: str
+) -> DataFrame:
+    """The twelve features of a session, in the order of :data:`TIMING_FEATURES`.
+
+    Mean, spread, minimum, median and maximum of hold and of flight times, total
+    duration, and the share of corrections. Medians are exact and do not gather
+    the session, so one endless session of a script does no harm.
+    """
+    keys = list(session)
+    plain = keystrokes.groupBy(*keys).agg(
+        *[
+            part.alias(f"{name}_{stat}")
+            for name, column in (("hold", hold), ("flight", flight))
+            for stat, part in (
+                ("mean", F.avg(column)),
+                ("sd", F.coalesce(F.stddev_samp(column), F.lit(0.0))),
+                ("min", F.min(column)),
+                ("max", F.max(column)),
+            )
+        ],
+        seconds_between(F.max(ts), F.min(ts)).alias("duration"),
+        F.avg(q(correction).cast("double")).alias("correction_rate"),
+    )
+    holds = exact_quantiles(keystrokes, keys, hold, {"hold_median": 0.5})
+    flights = exact_quantiles(keystrokes, keys, flight, {"flight_median": 0.5})
+    joined = plain.join(holds, keys, "left").join(flights, keys, "left")
+    return joined.select(*keys, *TIMING_FEATURES)
+
+
+TIMING_FEATURES = (
+    *[f"hold_{s}" for s in ("mean", "sd", "min", "median", "max")],
+    *[f"flight_{s}" for s in ("mean", "sd", "min", "median", "max")],
+    "duration",
+    "correction_rate",
+)
+
+
+def session_aggregates(
+    steps: DataFrame, session: Sequence[str], ts: str, step: str, correction: Column,
+    payee: str | None = None,
+) -> DataFrame:
+    """Per session: duration, events, corrections, first-visit order of steps, repeated payees.
+
+    The order of steps lists each distinct step once, by its first visit, so it
+    is as long as the set of step names and not as the session.
+    """
+    keys = list(session)
+    visits = steps.groupBy(*keys, step).agg(
+        F.min(ts).alias("_from"),
+        F.max(ts).alias("_to"),
+        F.count("*").alias("_n"),
+        F.count_if(correction).alias("_corrections"),
+    )
+    path = F.array_sort(F.collect_list(F.struct("_from", step)))
+    out = visits.groupBy(*keys).agg(
+        seconds_between(F.max("_to"), F.min("_from")).alias("duration"),
+        F.sum("_n").alias("events"),
+        F.sum("_corrections").alias("corrections"),
+        F.array_join(F.transform(path, lambda s: s[step]), ">").alias("step_order"),
+    )
+    if payee is None:
+        return out
+    entered = steps.where(q(payee).isNotNull()).groupBy(*keys, payee).agg(F.count("*").alias("_n"))
+    repeated = entered.groupBy(*keys).agg(F.sum(F.col("_n") - 1).alias("repeated_payees"))
+    return out.join(repeated, keys, "left").na.fill(0, ["repeated_payees"])
+
+
+def device_history(sessions: DataFrame, user: str, device: str, ts: str = "ts") -> DataFrame:
+    """Per (user, device): first seen and number of sessions."""
+    return sessions.groupBy(user, device).agg(
+        F.min(ts).alias("first_seen"), F.count("*").alias("session_count")
+    )
+
+
+def prior_sessions(
+    sessions: DataFrame, user: str, device: str, order: Sequence[str], slot_days: float = 7.0
+) -> DataFrame:
+    """Add ``prior_sessions``: how many this device had before."""
+    upto = running(
+        sessions, [user, device], order, day_slot(q(order[0]), slot_days),
+        totals={"_upto": F.lit(1).cast("long")},
+    )
+    return upto.withColumn("prior_sessions", F.col("_upto") - 1).drop("_upto")
+
+
+def recent_change(
+    sessions: DataFrame, user: str, ts: str, changed: Column, order: Sequence[str],
+    days: float = 7, slot_days: float = 7.0,
+) -> DataFrame:
+    """Add ``last_change`` and ``recent_change`` (1 if at most ``days`` old, this row included)."""
+    marked = sessions.withColumn("_change", F.when(changed, q(ts)))
+    found = running(
+        marked, [user], order, day_slot(q(ts), slot_days), previous={"_before": "_change"}
+    ).withColumn("last_change", F.coalesce("_change", "_before"))
+    age = seconds_between(q(ts), F.col("last_change"))
+    flag = F.when(age <= days * DAY_SECONDS, 1).otherwise(0)
+    return found.withColumn("recent_change", flag).drop("_change", "_before")
+
+
+def context_features(
+    sessions: DataFrame, user: str, device: str, payee: str, ts: str, changed: Column,
+    order: Sequence[str],
+) -> DataFrame:
+    """Add days since the payee and the device were first seen and since the last change."""
+    payees = sessions.groupBy(user, payee).agg(F.min(ts).alias("_payee_from"))
+    devices = sessions.groupBy(user, device).agg(F.min(ts).alias("_device_from"))
+    ranked = prior_sessions(sessions, user, device, order)
+    dated = recent_change(ranked, user, ts, changed, order)
+    joined = dated.join(payees, [user, payee]).join(devices, [user, device])
+    return joined.select(
+        *[q(c) for c in sessions.columns],
+        days_between(q(ts), F.col("_payee_from")).alias("payee_age_days"),
+        days_between(q(ts), F.col("_device_from")).alias("device_age_days"),
+        days_between(q(ts), F.col("last_change")).alias("days_since_change"),
+        "prior_sessions",
+    )
+
+
+def interval_variation(events: DataFrame, session: Sequence[str], gap: str = "gap") -> DataFrame:
+    """Per session: count and coefficient of variation of the gaps inside it."""
+    spread = safe_ratio(F.stddev_samp(gap), F.avg(gap))
+    return events.groupBy(*session).agg(F.count(gap).alias("gaps"), spread.alias("interval_cv"))
+
+
+def sequence_fingerprints(
+    events: DataFrame, session: Sequence[str], position: str, interval: str
+) -> DataFrame:
+    """Per session, its length and an order-aware 128-bit fingerprint of its intervals.
+
+    Each (position, interval) is hashed and the hashes are combined by XOR. That
+    depends on the order through the position, yet combines on the map side, so
+    no sequence is ever gathered.
+    """
+    cell = (q(position), q(interval))
+    return events.where(q(interval).isNotNull()).groupBy(*session).agg(
+        F.count("*").alias("intervals"),
+        F.bit_xor(F.xxhash64(F.lit("a"), *cell)).alias("hash_a"),
+        F.bit_xor(F.xxhash64(F.lit("b"), *cell)).alias("hash_b"),
+    )
+
+
+def duplicate_sequences(prints: DataFrame, session: Sequence[str], at_least: int = 2) -> DataFrame:
+    """Sessions plus ``copies``: how many sessions have the very same intervals.
+
+    Sequences shorter than ``at_least`` intervals are not compared.
+    """
+    by = ["intervals", "hash_a", "hash_b"]
+    long_enough = prints.where(F.col("intervals") >= at_least)
+    copies = long_enough.groupBy(*by).agg(F.count("*").alias("copies"))
+    return long_enough.join(copies, by).select(*session, "intervals", "copies")
+
+
+def automation_flags(
+    events: DataFrame, session: Sequence[str], position: str, gap: str, interval: str,
+    cv_below: float = 0.1, at_least: int = 2,
+) -> DataFrame:
+    """Per session: interval variation, copies of its sequence, and a flag for either sign."""
+    keys = list(session)
+    regular = interval_variation(events, keys, gap)
+    copies = duplicate_sequences(
+        sequence_fingerprints(events, keys, position, interval), keys, at_least
+    ).drop("intervals")
+    joined = regular.join(copies, keys, "left").na.fill(1, ["copies"])
+    steady = F.col("interval_cv") < cv_below
+    return joined.withColumn("regular", F.coalesce(steady, F.lit(False)).cast("int")).withColumn(
+        "replayed", (F.col("copies") > 1).cast("int")
+    )
+
+
+def rolling_interval_hash(
+    events: DataFrame, keys: Sequence[str], position: str, interval: str, width: int = 4,
+    stretch: int = 4096,
+) -> DataFrame:
+    """Add ``rolling_hash``: SHA-256 of the last ``width`` intervals, null before that many.
+
+    The key is cut into stretches of positions; the ``width - 1`` rows before a
+    stretch are copied into it, so no window spans a whole key. ``position`` must
+    count 1, 2, 3, ... over the rows of a key.
+    """
+    part = F.floor((q(position) - 1) / stretch)
+    own = events.withColumn("_part", part).withColumn("_own", F.lit(True))
+    lead_in = F.pmod(q(position) - 1, F.lit(stretch)) >= stretch - (width - 1)
+    copies = (
+        events.where(lead_in)
+        .select(*keys, position, interval, (part + 1).alias("_part"))
+        .withColumn("_own", F.lit(False))
+    )
+    frame = Window.partitionBy(*keys, "_part").orderBy(position)
+    recent = [F.lag(interval, i).over(frame) for i in range(width - 1, 0, -1)] + [q(interval)]
+    both = own.unionByName(copies, allowMissingColumns=True)
+    text = [value.cast("string") for value in recent]
+    whole = reduce(lambda a, b: a & b, [value.isNotNull() for value in recent])
+    hashed = both.withColumn("rolling_hash", F.when(whole, sha256_text(text)))
+    return hashed.where("_own").drop("_own", "_part")
+
+
+def repeated_hashes(hashed: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Per key, how many of its windows also occur elsewhere."""
+    seen = hashed.where(F.col("rolling_hash").isNotNull())
+    counts = seen.groupBy("rolling_hash").agg(F.count("*").alias("_copies"))
+    return seen.join(counts, "rolling_hash").groupBy(*keys).agg(
+        F.count("*").alias("windows"), F.count_if(F.col("_copies") > 1).alias("repeated_windows")
+    )
+
+
+def session_clusters(vectors: DataFrame, user: str, names: Sequence[str], seed: int = 7) -> DataFrame:
+    """Whether each user's sessions form one group or two.
+
+    Session vectors are centred on their user and standardised over all users,
+    and one KMeans with two centres splits them; the share of the smaller side
+    and the separation of the two means tell how two-fold a user is. One
+    distributed fit serves all users, instead of one fit for each.
+    """
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.feature import StandardScaler, VectorAssembler
+
+    means = vectors.groupBy(user).agg(*[F.avg(n).alias(f"_m_{n}") for n in names])
+    centred = vectors.join(means, user).select(
+        *[q(c) for c in vectors.columns], *[(q(n) - q(f"_m_{n}")).alias(f"_c_{n}") for n in names]
+    )
+    packed = VectorAssembler(inputCols=[f"_c_{n}" for n in names], outputCol="_raw").transform(centred)
+    scaled = StandardScaler(inputCol="_raw", outputCol="_scaled").fit(packed).transform(packed)
+    model = KMeans(k=2, seed=seed, featuresCol="_scaled", predictionCol="cluster").fit(scaled)
+    found = model.transform(scaled)
+    share = F.avg(F.col("cluster").cast("double"))
+    return found.groupBy(user).agg(
+        F.count("*").alias("sessions"), F.least(share, 1 - share).alias("minor_share")
+    )
