@@ -11,6 +11,7 @@ from cadentia.operators import sessions as S
 from cadentia.operators import trust as T
 from cadentia.plans.ordered import running
 from cadentia.plans.quantiles import exact_quantiles
+from cadentia.session import materialise
 from cadentia.sources import lake
 
 ORDER = ["ts", "event_id"]
@@ -28,9 +29,11 @@ def numbered(spark, folder):
         totals={"pos": F.lit(1).cast("long")},
     )
     inside = F.when(F.col("pos") > 1, F.col("gap"))
-    return rows.withColumn("inner_gap", inside).withColumn(
+    named = rows.withColumn("inner_gap", inside).withColumn(
         "interval", F.floor(inside / 3600).cast("long")
     )
+    # Several passes read this view, as they would a stored session table.
+    return materialise(named.drop("props"), "session-events")
 
 
 NUMBERED = SESSIONS + """,
@@ -56,31 +59,32 @@ def _(spark, folder):
     return kept.select("event_id", r("gap"))
 
 
-AGENT = F.element_at(
-    F.array(F.lit("Mozilla (X11; Linux)"), F.lit("Mozilla (iPhone; Mobile)"), F.lit("Mozilla (iPad)")),
-    (F.col("k") % 3 + 1).cast("int"),
-)
+AGENTS = ("Mozilla (X11; Linux)", "Mozilla (iPhone; Mobile)", "Mozilla (iPad)")
+
+
+def client_description():
+    return F.get(F.array(*[F.lit(a) for a in AGENTS]), F.col("k") % 3)
 
 
 @query("device_class", "WITH " + EVENTS + """
 SELECT CASE k % 3 WHEN 0 THEN 'desktop' WHEN 1 THEN 'mobile' ELSE 'tablet' END AS device_class, count(*) AS n FROM ev GROUP BY 1""")
 def _(spark, folder):
-    classed = events(spark, folder).withColumn("device_class", S.device_class(AGENT))
+    classed = events(spark, folder).withColumn("device_class", S.device_class(client_description()))
     return classed.groupBy("device_class").agg(F.count("*").alias("n"))
 
 
 @query("timing_features", "WITH " + NUMBERED + """
-SELECT user_id, session_no, round(avg(value), 6) AS hold_mean, round(coalesce(stddev_samp(value), 0), 6) AS hold_sd, min(value) AS hold_min,
-  round(quantile_cont(value, 0.5), 6) AS hold_median, max(value) AS hold_max, round(avg(inner_gap), 6) AS flight_mean,
-  round(coalesce(stddev_samp(inner_gap), 0), 6) AS flight_sd, round(min(inner_gap), 6) AS flight_min,
-  round(quantile_cont(inner_gap, 0.5), 6) AS flight_median, round(max(inner_gap), 6) AS flight_max,
-  round((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6, 6) AS duration,
-  round(avg(CASE WHEN event_type = 'error' THEN 1.0::DOUBLE ELSE 0 END), 6) AS correction_rate FROM num GROUP BY 1, 2""")
+SELECT user_id, session_no, round(avg(value), 9) AS hold_mean, round(coalesce(stddev_samp(value), 0), 9) AS hold_sd, min(value) AS hold_min,
+  round(quantile_cont(value, 0.5), 9) AS hold_median, max(value) AS hold_max, round(avg(inner_gap), 9) AS flight_mean,
+  round(coalesce(stddev_samp(inner_gap), 0), 9) AS flight_sd, round(min(inner_gap), 9) AS flight_min,
+  round(quantile_cont(inner_gap, 0.5), 9) AS flight_median, round(max(inner_gap), 9) AS flight_max,
+  round((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6, 9) AS duration,
+  round(avg(CASE WHEN event_type = 'error' THEN 1.0::DOUBLE ELSE 0 END), 9) AS correction_rate FROM num GROUP BY 1, 2""")
 def _(spark, folder):
     keyed = numbered(spark, folder).withColumn("fix", F.col("event_type") == "error")
     keyed = keyed.withColumn("fix", F.col("fix").cast("int"))
     found = S.timing_features(keyed, KEYS, "value", "inner_gap", "fix", "ts")
-    return found.select(*KEYS, *[r(n) for n in S.TIMING_FEATURES])
+    return found.select(*KEYS, *[r(n, 9) for n in S.TIMING_FEATURES])
 
 
 @query("session_aggregates", "WITH " + SESSIONS + """,

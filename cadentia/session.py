@@ -65,3 +65,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder; survives lost executors."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it back.
+
+    For inputs that several passes read: the passes scan a columnar table of
+    known size, prune its columns, and do not repeat what lies upstream, also
+    not after an executor is lost.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
