@@ -307,7 +307,7 @@ def epoch_candidates(
     return geometric_median(marked, [*keys, "epoch"], vector, largest=["epoch_end", "full_trust"])
 
 
-def _bounded(candidate, anchor, spread, budget):
+def bounded(candidate, anchor, spread, budget):
     distance = float(np.mean(np.abs(candidate - anchor) / spread))
     if distance > budget:
         return anchor + budget / distance * (candidate - anchor), distance, True
@@ -341,8 +341,8 @@ def re_anchor(
         anchor, spread, calm_since = state
         cand = np.asarray(cand, float)
         wide = np.maximum(np.asarray(cand_spread, float), floor)
-        centre, distance, over = _bounded(cand, anchor, spread, limit)
-        width, sigma_distance, sigma_over = _bounded(wide, spread, spread, limit)
+        centre, distance, over = bounded(cand, anchor, spread, limit)
+        width, sigma_distance, sigma_over = bounded(wide, spread, spread, limit)
         saturated = over or sigma_over
         if saturated:
             calm_since = at

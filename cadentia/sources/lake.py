@@ -24,16 +24,30 @@ def alert_rule() -> Column:
     return F.col("action").isin(*ALERT_ACTIONS)
 
 
-def route_events(events: DataFrame, root: str, mode: str = "append") -> None:
+def route_events(events: DataFrame, root: str, batch: int = 0) -> None:
     """Write ``events(event_type, action, ts, ...)`` to lake, adaptation and alerts.
 
-    All events reach the lake, partitioned by date. Rows are spread over the
-    writing tasks before the date split, so one busy day is not one task.
+    All events reach the lake, partitioned by date. The rebalance hint lets Spark
+    give a busy date several files and several quiet dates one task. The other
+    two targets read the lake back, so upstream runs once. Every target is also
+    partitioned by ``batch``: writing a batch again replaces it, which makes a
+    replay after a failure harmless.
     """
-    dated = events.withColumn("date", F.to_date("ts"))
-    dated.write.mode(mode).partitionBy("date").parquet(f"{root}/lake")
-    dated.where(adaptation_rule()).write.mode(mode).parquet(f"{root}/adaptation")
-    dated.where(alert_rule()).write.mode(mode).parquet(f"{root}/alerts")
+    dated = events.withColumn("date", F.to_date("ts")).withColumn("batch", F.lit(batch).cast("long"))
+
+    def write(rows: DataFrame, target: str, parts: Sequence[str]) -> None:
+        (
+            rows.write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy(*parts)
+            .parquet(f"{root}/{target}")
+        )
+
+    write(dated.hint("rebalance", "date"), "lake", ["batch", "date"])
+    spark = events.sparkSession
+    landed = spark.read.schema(dated.schema).parquet(f"{root}/lake").where(F.col("batch") == batch)
+    write(landed.where(adaptation_rule()), "adaptation", ["batch"])
+    write(landed.where(alert_rule()), "alerts", ["batch"])
 
 
 def scan_lake(
