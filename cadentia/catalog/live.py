@@ -69,7 +69,7 @@ SELECT event_id, CASE event_type WHEN 'signup' THEN 'login' WHEN 'view' THEN 'pa
   round(score, 5) AS score, CASE WHEN event_type = 'purchase' AND score >= 5 THEN 'restrict' WHEN score >= 3 THEN 'step_up' ELSE 'allow' END AS action FROM s""")
 def _(spark, folder):
     steps = stream(spark, folder).select(
-        "event_id", "user_id", F.to_date("ts").alias("day"), F.unix_micros("ts").cast("double").alias("us"),
+        "event_id", "user_id", "ts", F.to_date("ts").alias("day"), F.unix_micros("ts").cast("double").alias("us"),
         "value", F.when(F.col("event_type") == "error", "correction").otherwise(F.col("event_type")).alias("step"),
     ).withColumn("at", F.col("us") / 1e6).drop("us")
     found = L.stream_checkpoints(

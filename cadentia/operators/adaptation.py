@@ -308,12 +308,21 @@ def epoch_candidates(
 
 
 def bounded(candidate, anchor, spread, budget):
+    """Candidate or its projection, its distance from the anchor, whether it was too far."""
     distance = float(np.mean(np.abs(candidate - anchor) / spread))
     if distance > budget:
         return anchor + budget / distance * (candidate - anchor), distance, True
     return candidate, distance, False
 
 
+def within_budget(candidate, candidate_spread, anchor, spread, budget, floor):
+    """Bound centre and spread alike: centre, spread, both distances, saturated."""
+    centre, distance, over = bounded(candidate, anchor, spread, budget)
+    wide = np.maximum(candidate_spread, floor)
+    width, sigma_distance, sigma_over = bounded(wide, spread, spread, budget)
+    return centre, np.maximum(width, floor), distance, sigma_distance, over or sigma_over
+
+
 def re_anchor(
     candidates: DataFrame, keys: Sequence[str], start: DataFrame, settings: Settings,
     budget: str | None = None,
@@ -339,19 +348,17 @@ def re_anchor(
         if state is None:
             state = (np.asarray(c0, float), np.asarray(d0, float), at)
         anchor, spread, calm_since = state
-        cand = np.asarray(cand, float)
-        wide = np.maximum(np.asarray(cand_spread, float), floor)
-        centre, distance, over = bounded(cand, anchor, spread, limit)
-        width, sigma_distance, sigma_over = bounded(wide, spread, spread, limit)
-        saturated = over or sigma_over
+        centre, width, distance, sigma_distance, saturated = within_budget(
+            np.asarray(cand, float), np.asarray(cand_spread, float), anchor, spread, limit, floor
+        )
         if saturated:
             calm_since = at
         due = full == 1 or at - calm_since >= RE_ANCHOR_DAYS * DAY_SECONDS
         used = min(distance, limit)
         if due:
-            anchor, spread, calm_since, used = centre, np.maximum(width, floor), at, 0.0
+            anchor, spread, calm_since, used = centre, width, at, 0.0
         return (anchor, spread, calm_since), (
-            centre.tolist(), np.maximum(width, floor).tolist(), distance, sigma_distance,
+            centre.tolist(), width.tolist(), distance, sigma_distance,
             int(saturated), int(due), float(used),
         )
 

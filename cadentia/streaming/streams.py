@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 from cadentia.operators import profiles as P
 from cadentia.operators.adaptation import (
-    ARRAY, FULL_TRUST, MAX_ITERATIONS, RE_ANCHOR_DAYS, TOLERANCE, Settings, bounded,
-    weighted_lower_median, weiszfeld,
+    ARRAY, FULL_TRUST, MAX_ITERATIONS, RE_ANCHOR_DAYS, TOLERANCE, Settings, weighted_lower_median,
+    weiszfeld, within_budget,
 )
 from cadentia.sources import lake
 
@@ -27,7 +27,7 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 
 def use_rocksdb(spark: SparkSession) -> None:
-    """State beyond the heap, checkpointed incrementally; needed by transformWithState."""
+    """Keep state on disk beside the executor, so that many keys do not fill the heap."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
@@ -77,133 +77,62 @@ def stream_dedup(stream: DataFrame, keys: Sequence[str], ts: str, within: str) -
     return stream.withWatermark(ts, within).dropDuplicatesWithinWatermark(list(keys))
 
 
-class _Checkpoints(StatefulProcessor):
-    """Accumulates a session and scores all of it at every checkpoint."""
-
-    COUNTS = T.StructType(
-        [T.StructField("n", T.LongType()), T.StructField("total", T.DoubleType()),
-         T.StructField("corrections", T.LongType()), T.StructField("since", T.DoubleType())]
-    )
-
-    def __init__(self, key_names, steps, centre, dispersion, step_up, restrict):
-        self.key_names, self.steps = list(key_names), dict(steps)
-        self.centre, self.dispersion = np.asarray(centre), np.asarray(dispersion)
-        self.step_up, self.restrict = step_up, restrict
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("session", self.COUNTS, ttlDurationMs=SESSION_TTL_MS)
+def stream_checkpoints(
+    stream: DataFrame, session: Sequence[str], steps: Mapping[str, str], centre: Sequence[float],
+    dispersion: Sequence[float], step_up: float, restrict: float, ts: str = "ts", late: str = "1 hour",
+) -> DataFrame:
+    """Score each session at its checkpoints with all evidence so far.
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        n, total, corrections, since = self.state.get() if self.state.exists() else (0, 0.0, 0, None)
-        arrived = pd.concat(list(rows)).sort_values(["at", "event_id"])
+    Reads ``event_id``, ``ts``, ``at`` (the same in epoch seconds), ``step`` and ``value``; ``steps``
+    maps a step to a checkpoint. Features are the mean value, the share of
+    corrections and the hours since the start. Before the last checkpoint the
+    action is at most step_up. A session's state is four numbers and expires a
+    day of event time after its last event.
+    """
+    use_rocksdb(stream.sparkSession)
+    middle, scale = np.asarray(centre), np.asarray(dispersion)
+    names = [*session, "event_id", "checkpoint", "events", "score", "action"]
+
+    def accumulate(key: tuple, parts: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        n, total, corrections, since = state.get if state.exists else (0, 0.0, 0, None)
         out = []
-        for row in arrived.itertuples(index=False):
+        for row in in_order(parts):
             since = row.at if since is None else since
             n, total, corrections = n + 1, total + row.value, corrections + int(row.step == "correction")
-            name = self.steps.get(row.step)
+            name = steps.get(row.step)
             if name is None:
                 continue
             seen = np.array([total / n, corrections / n, (row.at - since) / 3600])
-            score = float(np.abs((seen - self.centre) / self.dispersion).sum())
-            final = name == FINAL_CHECKPOINT
-            action = "restrict" if final and score >= self.restrict else (
-                "step_up" if score >= self.step_up else "allow"
-            )
+            score = float(np.abs((seen - middle) / scale).sum())
+            if name == FINAL_CHECKPOINT and score >= restrict:
+                action = "restrict"
+            else:
+                action = "step_up" if score >= step_up else "allow"
             out.append((*key, int(row.event_id), name, n, score, action))
-        self.state.update((n, total, corrections, since))
-        names = [*self.key_names, "event_id", "checkpoint", "events", "score", "action"]
+        state.update((n, total, corrections, since))
+        ends = int(row.at * 1000) + SESSION_TTL_MS
+        state.setTimeoutTimestamp(max(ends, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=names)
 
-    def close(self) -> None:
-        pass
-
-
-def stream_checkpoints(
-    stream: DataFrame, session: Sequence[str], steps: Mapping[str, str], centre: Sequence[float],
-    dispersion: Sequence[float], step_up: float, restrict: float,
-) -> DataFrame:
-    """Score each session at its checkpoints with all evidence so far.
-
-    Reads ``event_id``, ``at`` (epoch seconds), ``step`` and ``value``; ``steps``
-    maps a step to a checkpoint. Features are the mean value, the share of
-    corrections and the hours since the start. Before the last checkpoint the
-    action is at most step_up. A session's state is four numbers and expires
-    after a day.
-    """
-    use_rocksdb(stream.sparkSession)
+    kept = "n long, total double, corrections long, since double"
     fields = [stream.schema[k] for k in session]
     schema = T.StructType(
         [*fields, T.StructField("event_id", T.LongType()), T.StructField("checkpoint", T.StringType()),
          T.StructField("events", T.LongType()), T.StructField("score", T.DoubleType()),
          T.StructField("action", T.StringType())]
     )
-    processor = _Checkpoints(session, steps, centre, dispersion, step_up, restrict)
-    return stream.groupBy(*session).transformWithStateInPandas(
-        statefulProcessor=processor, outputStructType=schema, outputMode="Append",
-        timeMode="ProcessingTime",
+    return stream.withWatermark(ts, late).groupBy(*session).applyInPandasWithState(
+        accumulate, schema, kept, "Append", GroupStateTimeout.EventTimeTimeout
     )
 
 
-class _Adaptation(StatefulProcessor):
-    """Trusted buffer, robust recomputation, budget and anchor of one (user, device)."""
-
-    PROFILE = T.StructType(
-        [T.StructField("admitted", T.LongType()), T.StructField("anchor", ARRAY),
-         T.StructField("anchor_spread", ARRAY), T.StructField("calm_since", T.DoubleType()),
-         T.StructField("trusted", T.IntegerType())]
-    )
-    SESSION = T.StructType([T.StructField("x", ARRAY), T.StructField("weight", T.DoubleType())])
-
-    def __init__(self, key_names, settings):
-        self.key_names, self.settings = list(key_names), settings
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.profile = handle.getValueState("profile", self.PROFILE)
-        self.buffer = handle.getListState("buffer", self.SESSION)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        s = self.settings
-        arrived = pd.concat(list(rows)).sort_values(["at", "event_id"])
-        if self.profile.exists():
-            admitted, anchor, spread, calm_since, trusted = self.profile.get()
-            anchor, spread = np.asarray(anchor), np.asarray(spread)
-            kept = [(list(x), w) for x, w in self.buffer.get()]
-        else:
-            first = arrived.iloc[0]
-            admitted, calm_since, trusted, kept = 0, None, 0, []
-            anchor, spread = np.asarray(first["centre"], float), np.asarray(first["dispersion"], float)
-        out = []
-        for row in arrived.itertuples(index=False):
-            admitted, trusted = admitted + 1, max(trusted, int(row.tau >= FULL_TRUST))
-            kept.append(([float(v) for v in row.x], float(row.tau)))
-            del kept[: -s.buffer]
-            if admitted % s.every:
-                continue
-            points, weights = np.array([x for x, _ in kept]), np.array([w for _, w in kept])
-            middle = weiszfeld(points, weights, TOLERANCE, MAX_ITERATIONS)
-            off = np.abs(points - middle)
-            wide = [weighted_lower_median(off[:, j], weights) for j in range(off.shape[1])]
-            wide = np.maximum(wide, s.floor)
-            centre, distance, over = bounded(middle, anchor, spread, s.budget)
-            width, _, wide_over = bounded(wide, spread, spread, s.budget)
-            width = np.maximum(width, s.floor)
-            if over or wide_over or calm_since is None:
-                calm_since = row.at
-            due = trusted or row.at - calm_since >= RE_ANCHOR_DAYS * 86_400
-            out.append(
-                (*key, admitted // s.every, centre.tolist(), width.tolist(), distance,
-                 int(over or wide_over), int(bool(due)))
-            )
-            if due:
-                anchor, spread, calm_since = centre, width, row.at
-            trusted = 0
-        self.profile.update((admitted, anchor.tolist(), spread.tolist(), calm_since, trusted))
-        self.buffer.put(kept)
-        names = [*self.key_names, "epoch", "centre", "dispersion", "displacement", "saturated", "re_anchored"]
-        yield pd.DataFrame(out, columns=names)
-
-    def close(self) -> None:
-        pass
+def in_order(parts: Iterable[pd.DataFrame]):
+    """A key's rows of one micro-batch by time; the trigger bounds how many there are."""
+    arrived = pd.concat(list(parts)).sort_values(["at", "event_id"])
+    return arrived.itertuples(index=False)
 
 
 def stream_adapt(
@@ -219,15 +148,60 @@ def stream_adapt(
     trusted = verified.where(F.col("tau") >= settings.tau_min).join(
         start.select(*keys, "centre", "dispersion"), list(keys)
     )
+    names = [*keys, "epoch", "centre", "dispersion", "displacement", "saturated", "re_anchored"]
+
+    def adapt(key: tuple, parts: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        points, weights, anchor, spread = [], [], None, None
+        admitted, calm_since, vouched = 0, None, 0
+        if state.exists:
+            admitted, flat, weights, anchor, spread, calm_since, vouched = state.get
+            anchor, spread, weights = np.asarray(anchor), np.asarray(spread), list(weights)
+            points = list(np.asarray(flat, dtype=float).reshape(len(weights), len(anchor)))
+        out = []
+        for row in in_order(parts):
+            if anchor is None:
+                anchor, spread = np.asarray(row.centre, float), np.asarray(row.dispersion, float)
+            admitted, vouched = admitted + 1, max(vouched, int(row.tau >= FULL_TRUST))
+            points.append(np.asarray(row.x, dtype=float))
+            weights.append(float(row.tau))
+            del points[: -settings.buffer], weights[: -settings.buffer]
+            if admitted % settings.every:
+                continue
+            cloud, mass = np.stack(points), np.asarray(weights)
+            middle = weiszfeld(cloud, mass, TOLERANCE, MAX_ITERATIONS)
+            off = np.abs(cloud - middle)
+            wide = [weighted_lower_median(off[:, j], mass) for j in range(off.shape[1])]
+            centre, width, distance, _, over = within_budget(
+                middle, np.asarray(wide), anchor, spread, settings.budget, settings.floor
+            )
+            if over or calm_since is None:
+                calm_since = row.at
+            due = bool(vouched) or row.at - calm_since >= RE_ANCHOR_DAYS * 86_400
+            out.append(
+                (*key, admitted // settings.every, centre.tolist(), width.tolist(), distance,
+                 int(over), int(due))
+            )
+            if due:
+                anchor, spread, calm_since = centre, width, row.at
+            vouched = 0
+        flat = np.concatenate(points).tolist()
+        state.update(
+            (admitted, flat, weights, anchor.tolist(), spread.tolist(), calm_since, vouched)
+        )
+        yield pd.DataFrame(out, columns=names)
+
+    kept = (
+        "admitted long, points array<double>, weights array<double>, anchor array<double>, "
+        "spread array<double>, calm_since double, vouched int"
+    )
     fields = [trusted.schema[k] for k in keys]
     schema = T.StructType(
         [*fields, T.StructField("epoch", T.LongType()), T.StructField("centre", ARRAY),
          T.StructField("dispersion", ARRAY), T.StructField("displacement", T.DoubleType()),
          T.StructField("saturated", T.IntegerType()), T.StructField("re_anchored", T.IntegerType())]
     )
-    return trusted.groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=_Adaptation(keys, settings), outputStructType=schema,
-        outputMode="Append", timeMode="None",
+    return trusted.groupBy(*keys).applyInPandasWithState(
+        adapt, schema, kept, "Append", GroupStateTimeout.NoTimeout
     )
 
 
