@@ -112,7 +112,9 @@ def equal_error_rate(scores: DataFrame) -> DataFrame:
         F.sum("ni").over(whole).alias("i"),
     )
     crossing = (
-        ramp.withColumn("g", _both_classes(F.col("g"), F.col("g"), F.col("i")))
+        ramp.withColumns(
+            {total: _both_classes(F.col(total), F.col("g"), F.col("i")) for total in ("g", "i")}
+        )
         .where(_gap("g0", "i0") < 0)
         .where(_gap("g1", "i1") >= 0)
         .select("subject", "slot", "g0", "i0", "g", "i")
