@@ -14,7 +14,7 @@ from cadentia.catalog.views import EVENTS, events, table
 from cadentia.operators import fusion as U
 from cadentia.operators import outcomes as D
 from cadentia.operators import transfers as T
-from cadentia.session import scratch_path
+from cadentia.session import materialise, scratch_path
 from cadentia.sources import lake
 
 WEIGHTS = {"behaviour": 0.8, "automation": 0.6, "transaction": 0.7, "context": 0.4, "payee": 0.9}
@@ -82,7 +82,8 @@ de AS (SELECT *, CASE WHEN risk >= 90 AND o2 >= 1 AND o1 + o2 >= 2 THEN 'block'
 
 
 def standardised(spark, folder):
-    rows = U.channel_confidence(channels(spark, folder))
+    # Scales and scores are two passes over a joined view; store it once.
+    rows = materialise(U.channel_confidence(channels(spark, folder)), "channels")
     return U.standardise(rows, U.channel_scales(rows))
 
 

@@ -10,12 +10,17 @@ from cadentia.catalog.views import (
 )
 from cadentia.operators import graph as G
 from cadentia.operators import transfers as T
-from cadentia.session import scratch_path
+from cadentia.session import materialise, scratch_path
 from cadentia.sources import lake
 
 AS_OF = "2000-01-01"
 
 
+def stored(spark, folder):
+    """The transfer log as a table, for operators that read it more than twice."""
+    return materialise(transfers(spark, folder), "transfers")
+
+
 def sec(name, alias=None):
     return F.unix_seconds(name).alias(alias or name)
 
@@ -129,7 +134,7 @@ d AS (SELECT t.sender, quantile_cont(abs(amount - med), 0.5) AS mad FROM transfe
 SELECT t.order_id, t.line_no, t.part_id, t.amount, CASE WHEN mad <> 0 THEN round((amount - med) / mad, 5) END AS robust_z
 FROM transfers t JOIN m ON t.sender = m.sender JOIN d ON t.sender = d.sender""")
 def _(spark, folder):
-    z = T.robust_z(transfers(spark, folder), "sender", "amount")
+    z = T.robust_z(stored(spark, folder), "sender", "amount")
     return z.select("order_id", "line_no", "part_id", "amount", r("robust_z", 5))
 
 
@@ -137,7 +142,7 @@ def _(spark, folder):
 SELECT order_id, line_no, part_id, amount, round(cume_dist() OVER w, 6) AS cume_dist, round(percent_rank() OVER w, 6) AS percent_rank
 FROM transfers WINDOW w AS (PARTITION BY sender ORDER BY amount)""")
 def _(spark, folder):
-    ranks = T.empirical_rank(transfers(spark, folder), "sender", "amount")
+    ranks = T.empirical_rank(stored(spark, folder), "sender", "amount")
     return ranks.select("order_id", "line_no", "part_id", "amount", r("cume_dist"), r("percent_rank"))
 
 
@@ -147,17 +152,17 @@ SELECT order_id, line_no, part_id, amount, count(*) OVER a AS count_7d, round(su
 WINDOW a AS (PARTITION BY sender ORDER BY ts RANGE BETWEEN INTERVAL 7 DAY PRECEDING AND CURRENT ROW),
        b AS (PARTITION BY sender ORDER BY ts RANGE BETWEEN INTERVAL 30 DAY PRECEDING AND CURRENT ROW)""")
 def _(spark, folder):
-    volume = T.rolling_volume(transfers(spark, folder))
+    volume = T.rolling_volume(stored(spark, folder))
     return volume.select(
         "order_id", "line_no", "part_id", "amount", "count_7d", r("volume_7d", 4),
         "count_30d", r("volume_30d", 4),
     )
 
 
-def snapshots(spark, folder):
+def snapshots(log):
     """Monthly payee totals, stamped with the month end."""
     month = F.date_trunc("month", "ts")
-    return transfers(spark, folder).groupBy("payee", month.alias("month")).agg(
+    return log.groupBy("payee", month.alias("month")).agg(
         F.count("*").alias("month_count"), F.sum("amount").alias("month_amount")
     ).select(
         "payee", "month_count", "month_amount",
@@ -172,9 +177,8 @@ SELECT order_id, line_no, part_id, amount, CAST(month_count AS DOUBLE) AS month_
        round(epoch(ts) - epoch(computed_at), 3) AS age_seconds
 FROM transfers t ASOF LEFT JOIN snap s ON t.payee = s.payee AND t.ts >= s.computed_at""")
 def _(spark, folder):
-    found = T.snapshot_lookup(
-        transfers(spark, folder), snapshots(spark, folder), "payee", ["month_count", "month_amount"]
-    )
+    log = stored(spark, folder)
+    found = T.snapshot_lookup(log, snapshots(log), "payee", ["month_count", "month_amount"])
     return found.select(
         "order_id", "line_no", "part_id", "amount", F.col("month_count").cast("double").alias("month_count"),
         r("month_amount", 4), r("age_seconds", 3),
@@ -252,7 +256,7 @@ SELECT sender, round(quantile_cont(amount, 0.5), 4) AS amount_p50, round(quantil
        round(sum(CASE WHEN ts <= fs + INTERVAL 30 DAY THEN amount ELSE 0 END), 4) AS new_payee_volume, count(DISTINCT hour(ts)) AS hours
 FROM f GROUP BY 1""")
 def _(spark, folder):
-    found = T.user_aggregates(transfers(spark, folder))
+    found = T.user_aggregates(stored(spark, folder))
     return found.select(
         "sender", r("amount_p50", 4), r("amount_p95", 4), r("new_payee_volume", 4),
         F.size("hour_histogram").cast("long").alias("hours"),

@@ -12,6 +12,7 @@ from cadentia.operators import profiles as P
 from cadentia.operators import splits as S
 from cadentia.plans.ordered import running
 from cadentia.plans.pairs import grid_pairs
+from cadentia.session import materialise
 
 # Class labels, false-rejection targets, the published comparison figure.
 GENUINE, IMPOSTOR = 0, 1
@@ -231,7 +232,8 @@ def protocol_scores(
     ``insufficient_subjects`` or refuse them with ``require_repetitions``.
     """
     split = S.enrolment_split(df, subject, order, n_enrol, slot)
-    fitted = P.fit_profiles(split.where(F.col("role") == "enrolment"), subject, vector, scaling)
+    enrolled = split.where(F.col("role") == "enrolment")
+    fitted = materialise(P.fit_profiles(enrolled, subject, vector, scaling), "profiles")
     genuine = P.anomaly_score(split.where(F.col("role") == "genuine"), fitted, subject, vector)
     heads = S.head_per_subject(df, subject, order, k, slot)
     tested = df.groupBy(q(subject)).agg(F.count("*").alias("_n")).where(F.col("_n") > n_enrol)
@@ -242,4 +244,6 @@ def protocol_scores(
 
 def evaluate(df: DataFrame, subject: str, order: Sequence[str], **options) -> DataFrame:
     """Per-subject equal error rates; ``options`` as in :func:`protocol_scores`."""
-    return equal_error_rate(protocol_scores(df, subject, order, **options))
+    # Two passes read the scores, and a pair score costs more than its 20 bytes on disk.
+    scores = materialise(protocol_scores(df, subject, order, **options), "scores")
+    return equal_error_rate(scores)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadentia.session import cut_lineage
+from cadentia.session import cut_lineage, materialise
 
 
 def two_hop_fan_in(edges: DataFrame, src: str = "src", dst: str = "dst", light: int = 256) -> DataFrame:
@@ -16,10 +16,11 @@ def two_hop_fan_in(edges: DataFrame, src: str = "src", dst: str = "dst", light:
     to 32768 to a bitmap, so a hub costs its bitmaps times its recipients rather
     than senders times recipients. Both are merged by OR; the count is exact.
     """
-    edge = (
+    edge = materialise(
         edges.select(F.col(src).cast("long").alias("src"), F.col(dst).cast("long").alias("dst"))
         .where(F.col("src") != F.col("dst"))
-        .distinct()
+        .distinct(),
+        "edges",
     )
     degree = edge.groupBy("dst").agg(F.count("*").alias("senders"))
     into = edge.join(degree, "dst").select(F.col("dst").alias("mid"), "src", "senders")

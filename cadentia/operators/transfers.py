@@ -16,6 +16,7 @@ from cadentia.functions.scalars import (
 )
 from cadentia.plans.ordered import running, trailing
 from cadentia.plans.quantiles import exact_quantiles
+from cadentia.session import materialise
 
 # Default weights and full-scale values of the destination score; the reference
 # design names its parts but fixes no numbers, so they are parameters.
@@ -174,14 +175,11 @@ def rolling_volume(
     transfers: DataFrame, user: str = "sender", days: Sequence[int] = (7, 30)
 ) -> DataFrame:
     """Add count and amount over trailing windows ending at each transfer."""
-    out = transfers.withColumn("_sec", F.unix_seconds("ts"))
-    for n in days:
-        out = trailing(
-            out, [user], "_sec",
-            {f"count_{n}d": F.lit(1).cast("long"), f"volume_{n}d": "amount"},
-            n * DAY_SECONDS, slices=n,
-        )
-    return out.drop("_sec")
+    timed = transfers.withColumn("_sec", F.unix_seconds("ts"))
+    return trailing(
+        timed, [user], "_sec", {"count": F.lit(1).cast("long"), "volume": "amount"},
+        {f"{n}d": n * DAY_SECONDS for n in days}, DAY_SECONDS,
+    ).drop("_sec")
 
 
 def snapshot_lookup(
@@ -259,15 +257,16 @@ def payee_risk(
     """One destination score in [0, 1] with its parts, per payee."""
     weights = dict(weights or RISK_WEIGHTS)
     scales = {**RISK_SCALES, **(scales or {})}
-    edges = payee_edge_features(transfers, as_of)
+    # Everything about incoming money follows from the edges: one pass over the log.
+    edges = materialise(payee_edge_features(transfers, as_of), "edges")
     past_out = outflows.where(F.col("ts") <= _as_of(as_of))
-    past_in = transfers.where(F.col("ts") <= _as_of(as_of))
+    begun = edges.select("payee", F.col("first_seen").alias("ts"))
     table = (
         distinct_senders(edges, as_of)
         .join(new_sender_fraction(edges), "payee")
         .join(flagged_overlap(edges, flagged), "payee")
-        .join(fan_ratio(past_in, past_out).drop("fan_in", "fan_out"), "payee")
-        .join(pass_through_delay(past_in, past_out).drop("first_in", "first_out"), "payee")
+        .join(fan_ratio(edges, past_out).drop("fan_in", "fan_out"), "payee")
+        .join(pass_through_delay(begun, past_out).drop("first_in", "first_out"), "payee")
     )
     parts = {
         "distinct_senders_30d": F.col("distinct_senders_30d") / scales["distinct_senders_30d"],

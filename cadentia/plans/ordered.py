@@ -82,37 +82,56 @@ def trailing(
     keys: Sequence[str],
     seconds: str,
     values: Mapping[str, Column | str],
-    length: int,
-    slices: int = 30,
+    lengths: Mapping[str, int],
+    step: int,
 ) -> DataFrame:
-    """Add sums over the ``length`` seconds up to and including each row.
-
-    A row's frame is its own slice so far, the whole slices in the middle, and
-    the tail of the slice one length back. The middle comes from per-slice
-    totals; each row is copied once into the slice where it forms the tail. So
-    every row moves twice however long the frame is, and no task holds a key.
+    """Add ``<value>_<length name>``: sums over trailing windows ending at each row.
+
+    A key is cut into slices of ``step`` seconds, and every length must be a
+    multiple of it. A row's window is its own slice so far, the whole slices in
+    the middle, and the tail of the slice one length back. The middle comes from
+    per-slice totals; each row is copied once per length into the slice where it
+    forms the tail. So the copies do not grow with the length, and no task holds
+    a key.
     """
-    step = length / slices
+    for name, length in lengths.items():
+        if length % step:
+            raise ValueError(f"window {name} is not a multiple of the slice width")
     part = [*keys, SLOT]
-    own = df.withColumn(SLOT, F.floor(F.col(seconds) / F.lit(step)))
+    own = df.withColumn(SLOT, F.floor(F.col(seconds) / F.lit(step))).withColumn("_of", F.lit(0))
     for name, what in values.items():
         own = own.withColumn(f"_v_{name}", what if isinstance(what, Column) else F.col(what))
-    slots = own.groupBy(*part).agg(*[F.sum(f"_v_{n}").alias(f"_in_{n}") for n in values])
-    middle = Window.partitionBy(*keys).orderBy(SLOT).rangeBetween(-(slices - 1), -1)
+    made = [f"_v_{name}" for name in values]
+    slots = own.groupBy(*part).agg(*[F.sum(v).alias(v) for v in made])
+    along = Window.partitionBy(*keys).orderBy(SLOT)
     carried = slots.select(
-        *part, *[F.sum(f"_in_{n}").over(middle).alias(f"_mid_{n}") for n in values]
+        *part,
+        *[
+            F.sum(f"_v_{name}").over(along.rangeBetween(1 - length // step, -1)).alias(f"_mid_{name}_{of}")
+            for of, length in lengths.items()
+            for name in values
+        ],
     )
-    tails = own.select(
-        *keys, seconds, *[f"_v_{n}" for n in values], (F.col(SLOT) + slices).alias(SLOT)
-    ).withColumn("_own", F.lit(False))
-    both = own.withColumn("_own", F.lit(True)).unionByName(tails, allowMissingColumns=True)
-    frame = Window.partitionBy(*part).orderBy(seconds).rangeBetween(-length, 0)
-    local = both.select(
-        "*", *[F.sum(f"_v_{n}").over(frame).alias(f"_local_{n}") for n in values]
-    ).where("_own")
-    return local.join(carried, part).select(
+    both = own
+    for length in lengths.values():
+        tails = own.select(
+            *keys, seconds, *made, (F.col(SLOT) + length // step).alias(SLOT), F.lit(length).alias("_of")
+        )
+        both = both.unionByName(tails, allowMissingColumns=True)
+    inside = Window.partitionBy(*part).orderBy(seconds)
+    sums = [
+        F.sum(F.when(F.col("_of").isin(0, length), F.col(f"_v_{name}")))
+        .over(inside.rangeBetween(-length, 0))
+        .alias(f"_local_{name}_{of}")
+        for of, length in lengths.items()
+        for name in values
+    ]
+    return both.select("*", *sums).where(F.col("_of") == 0).join(carried, part).select(
         *[F.col(f"`{c}`") for c in df.columns],
-        *[(F.col(f"_local_{n}") + F.coalesce(f"_mid_{n}", F.lit(0))).alias(n) for n in values],
+        *[
+            (F.col(f"_local_{n}") + F.coalesce(f"_mid_{n}", F.lit(0))).alias(n)
+            for n in (f"{name}_{of}" for of in lengths for name in values)
+        ],
     )
 
 

@@ -55,14 +55,19 @@ def test_previous_skips_nulls(rows, frame):
     assert (got["last"].fillna(-1) == expected.fillna(-1)).all()
 
 
-@pytest.mark.parametrize("slices", [1, 6, 30])
-def test_trailing_matches_brute_force(rows, frame, slices):
-    got = trailing(rows, ["key"], "at", {"n": F.lit(1).cast("long"), "s": "v"}, 300, slices).toPandas()
-    for row in got.sample(200, random_state=1).itertuples():
-        near = frame[(frame.key == row.key) & (frame["at"] <= row.at) & (frame["at"] >= row.at - 300)]
-        assert row.n == len(near)
-        assert row.s == pytest.approx(near.v.sum(), abs=1e-6)
+@pytest.mark.parametrize("step", [10, 50, 300])
+def test_trailing_matches_brute_force(rows, frame, step):
+    values = {"n": F.lit(1).cast("long"), "s": "v"}
+    got = trailing(rows, ["key"], "at", values, {"a": 300, "b": 900}, step).toPandas()
+    for row in got.sample(150, random_state=1).itertuples():
+        past = frame[(frame.key == row.key) & (frame["at"] <= row.at)]
+        for length, n, s in ((300, row.n_a, row.s_a), (900, row.n_b, row.s_b)):
+            near = past[past["at"] >= row.at - length]
+            assert n == len(near)
+            assert s == pytest.approx(near.v.sum(), abs=1e-6)
     assert len(got) == len(frame)
+    with pytest.raises(ValueError):
+        trailing(rows, ["key"], "at", values, {"a": 301}, step)
 
 
 def test_head_per_key(rows, frame):
