@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cadentia.llm import decontaminate, licenses, syncmers
+from cadentia.llm import decontaminate, licenses, sharding, simhash, syncmers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -40,3 +40,13 @@ ORACLES["op8_decontamination"] = decontaminate.ORACLE
 @_query
 def op9_syncmer_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return syncmers.fingerprints(table(spark, folder, "documents"))
+
+
+@_query
+def op7_simhash_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, folder, "documents"))
+
+
+@_query
+def op10_byte_shards(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, folder, "documents"))
