@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cadentia.llm import decontaminate, licenses, sharding, simhash, syncmers
+from cadentia.llm import decontaminate, licenses, packing, secrets, sharding, simhash, syncmers, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -50,3 +51,13 @@ def op7_simhash_duplicates(spark: SparkSession, folder: str) -> DataFrame:
 @_query
 def op10_byte_shards(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard_documents(table(spark, folder, "documents"))
+
+
+@_query
+def op4_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack_documents(table(spark, folder, "documents"), public_tokenizers.path(tokens.BYTE_BPE))
+
+
+@_query
+def op6_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.secret_report(table(spark, folder, "documents"))

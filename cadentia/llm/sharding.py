@@ -5,11 +5,14 @@ partition that holds it in one of ``shards`` parts. The two partial partitions w
 spread are combined, the heavier parts of one with the lighter parts of the other,
 until one is left. Its parts are the shards; law: ``bytes``.
 
-Scale: differencing is sequential, so it runs as a tree. Groups are dealt by hash into cells of a
-bounded expected size; each cell is differenced on its own into one partial partition of
-``shards`` byte sums; cells are then combined by the same rule in levels, at most ``fan_in`` at
-a time, until one partition is left. Per level only cell sums move. Copies are counted before
-they are dealt, so a hot group is one row. A group's shard is found by joining back down the levels.
+Scale: differencing is sequential, so it runs in layers of group size and in cells. Layer 0 holds
+the groups of at least 1/4800 of all bytes, of which there are at most 4800. Every further layer
+holds groups down to a sixteenth of the size before, dealt by hash into cells of about
+``cell_groups`` groups that are differenced in parallel. A cell starts from its share of what the parts
+already hold, so lighter groups level what heavier ones leave; what remains uneven comes
+from the lightest groups alone. Only one sum per shard goes through the driver
+per layer, and the number of layers grows with the logarithm of the bytes. Copies are counted
+before groups are dealt, so a hot group is one row.
 Slots come from counts per (shard, bucket), so no shard is numbered in one task.
 
 Edge cases: null and empty texts weigh 8 bytes; nulls are one group with the empty
@@ -31,8 +34,9 @@ from pyspark.sql import functions as F
 
 from cadentia.session import materialise
 
-CELL_GROUPS = 1_000
-FAN_IN = 256
+HEAVY = 200
+FACTOR = 16
+CELL_GROUPS = 250
 
 
 def differenced(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -67,57 +71,51 @@ def differenced(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array(labels[:n]).reshape(n, k), total
 
 
-def _cell_of_groups(shards: int):
-    schema = "cell long, group string, part int, sums array<long>"
+def _cell(shards: int, before: np.ndarray, layer_bytes: int):
+    """Difference one cell's groups together with its share of what the parts already hold."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["bytes", "group"], ascending=[False, True], ignore_index=True)
-        sums = np.zeros((len(pdf), shards), np.int64)
-        sums[:, 0] = pdf["bytes"].to_numpy()
-        labels, total = differenced(sums)
-        out = pd.DataFrame({"cell": pdf["cell"], "group": pdf["group"], "part": labels[:, 0].astype("int32")})
-        # One row per group; the cell's sums ride on its first row.
-        out["sums"] = [total.tolist()] + [None] * (len(out) - 1)
-        return out
+        sums = np.zeros((len(pdf) + 1, shards), np.int64)
+        sums[0] = before * (int(pdf["bytes"].sum()) / layer_bytes)
+        sums[1:, 0] = pdf["bytes"].to_numpy()
+        labels, _ = differenced(sums)
+        # Name the combined parts after the earlier parts they contain.
+        named = np.empty(shards, np.int32)
+        named[labels[0]] = np.arange(shards)
+        return pd.DataFrame({"group": pdf["group"], "bytes": pdf["bytes"], "shard": named[labels[1:, 0]]})
 
-    return run, schema
-
-
-def _cell_of_cells(shards: int):
-    schema = "parent long, cell long, moves array<int>, sums array<long>"
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("cell", ignore_index=True)
-        labels, total = differenced(np.array(pdf["sums"].tolist(), np.int64).reshape(len(pdf), shards))
-        out = pd.DataFrame({"parent": pdf["parent"], "cell": pdf["cell"], "moves": labels.tolist()})
-        out["sums"] = [total.tolist()] + [None] * (len(out) - 1)
-        return out
-
-    return run, schema
+    return run
 
 
 def assign_groups(
-    groups: DataFrame, shards: int = 24, cell_groups: int = CELL_GROUPS, fan_in: int = FAN_IN
+    groups: DataFrame, shards: int = 24, heavy: int = HEAVY, factor: int = FACTOR, cell_groups: int = CELL_GROUPS
 ) -> DataFrame:
     """``group, shard`` for rows ``group string, bytes long``; groups are distinct."""
     groups = materialise(groups, "groups")
-    n_cells = max(1, math.ceil(groups.count() / cell_groups))
-    dealt = groups.withColumn("cell", F.pmod(F.xxhash64("group"), F.lit(n_cells)))
-    run, schema = _cell_of_groups(shards)
-    leaves = materialise(dealt.groupBy("cell").applyInPandas(run, schema), "cells")
-    placed = leaves.select("group", "cell", "part")
-    tops = leaves.where(F.col("sums").isNotNull()).select("cell", "sums")
-    while n_cells > 1:
-        n_cells = math.ceil(n_cells / fan_in)
-        run, schema = _cell_of_cells(shards)
-        parents = tops.withColumn("parent", F.pmod("cell", F.lit(n_cells)))
-        level = materialise(parents.groupBy("parent").applyInPandas(run, schema), "level")
-        moves = level.select("cell", "parent", "moves")
-        placed = placed.join(moves, "cell").select(
-            "group", F.col("parent").alias("cell"), F.get("moves", F.col("part")).alias("part")
-        )
-        tops = level.where(F.col("sums").isNotNull()).select(F.col("parent").alias("cell"), "sums")
-    return placed.select("group", F.col("part").cast("int").alias("shard"))
+    total = groups.agg(F.sum("bytes")).first()[0] or 0
+    # Layer 0 holds at most shards * heavy groups, each next one sizes down to a factor-th of it.
+    bounds = [total / (shards * heavy)]
+    while bounds[-1] > 8:
+        bounds.append(bounds[-1] / factor)
+    layer = sum((F.col("bytes") < b).cast("int") for b in bounds)
+    layered = groups.withColumn("layer", layer)
+    sizes = {r.layer: (r.n, r.b) for r in layered.groupBy("layer").agg(F.count("*").alias("n"), F.sum("bytes").alias("b")).collect()}
+    held, placed = np.zeros(shards, np.int64), None
+    for number in sorted(sizes):
+        n, n_bytes = sizes[number]
+        n_cells = 1 if number == 0 else math.ceil(n / cell_groups)
+        dealt = layered.where(F.col("layer") == number).withColumn("cell", F.pmod(F.xxhash64("group"), F.lit(n_cells)))
+        run = _cell(shards, held, n_bytes)
+        done = dealt.groupBy("cell").applyInPandas(run, "group string, bytes long, shard int")
+        done = materialise(done, "layer")
+        for r in done.groupBy("shard").agg(F.sum("bytes").alias("b")).collect():  # one row per shard
+            held[r.shard] += r.b
+        done = done.select("group", "shard")
+        placed = done if placed is None else placed.unionByName(done)
+    if placed is None:
+        return groups.select("group", F.lit(0).alias("shard"))
+    return placed
 
 
 def shard_documents(docs: DataFrame, shards: int = 24, buckets: int = 64, **tree) -> DataFrame:

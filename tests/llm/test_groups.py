@@ -89,7 +89,7 @@ def test_shards_hold_groups_and_number_them(spark):
     rnd = random.Random(10)
     texts = [None, "", "é" * 50, "x" * 30_000] + ["t" * rnd.randint(1, 900) + str(i) for i in range(600)]
     rows = [*enumerate(texts)] + [(1000 + i, "a copy") for i in range(90)] + [(5, texts[5]), (None, texts[6])]
-    found = shard_documents(documents(spark, rows), shards=5, cell_groups=40, fan_in=4).collect()
+    found = shard_documents(documents(spark, rows), shards=5, heavy=3, factor=4, cell_groups=40).collect()
     assert Counter(str(r.doc_id) for r in found) == Counter(str(i) for i, _ in rows)
     text_of = {i: t or "" for i, t in rows}
     by_text, load, slots = defaultdict(set), Counter(), defaultdict(list)
