@@ -82,7 +82,19 @@ def rarity(docs: DataFrame, vocabulary: DataFrame, lengths: list[int], blocks: i
     return vocabulary.join(found, "h", "left").select("h", F.coalesce("seen", F.lit(0)).alias("seen"))
 
 
-def decontaminate(
+def decontaminate(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
+    """Per row of ``docs``: words, hit words, items found, their digest, and the verdict."""
+    return judged(docs, benchmark, **settings).drop("row")
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
+    """The rows of ``docs`` that are not contaminated."""
+    rows = docs.withColumn("judged_row", F.monotonically_increasing_id())
+    bad = judged(docs, benchmark, **settings).where("contaminated").select(F.col("row").alias("judged_row"))
+    return rows.join(bad, "judged_row", "left_anti").drop("judged_row")
+
+
+def judged(
     docs: DataFrame,
     benchmark: DataFrame,
     width: int = 13,
@@ -90,7 +102,7 @@ def decontaminate(
     share: int = 20,
     block_rows: int = 200_000,
 ) -> DataFrame:
-    """Per row of ``docs``: words, hit words, items found, their digest, and the verdict.
+    """The verdict per row of ``docs``, with ``row``, the place of the row in a scan of them.
 
     A text is contaminated if at least one ``share``-th of its words is hit.
     """
@@ -152,6 +164,7 @@ def decontaminate(
         )
         .withColumn("n_hit", covered)
         .select(
+            "row",
             "doc_id",
             "n_words",
             "n_hit",

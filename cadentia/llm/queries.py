@@ -7,7 +7,19 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cadentia.llm import decontaminate, licenses, packing, secrets, sharding, simhash, syncmers, tokens
+from cadentia.llm import (
+    decontaminate,
+    language,
+    ledger,
+    licenses,
+    packing,
+    pii,
+    secrets,
+    sharding,
+    simhash,
+    syncmers,
+    tokens,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -22,6 +34,28 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+# A key for the registered query; production passes its own.
+SURROGATE_KEY = b"registered query"
+
+
+@_query
+def op1_pii_surrogates(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.pseudonymise(table(spark, folder, "documents"), SURROGATE_KEY)
+
+
+@_query
+def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    return language.language_report(table(spark, folder, "documents"), path)
+
+
+@_query
+def op3_token_rollups(spark: SparkSession, folder: str) -> DataFrame:
+    names = ("byte_bpe_50k", "byte_bpe_multi_50k")
+    paths = {n: public_tokenizers.path(f"{n}.tiktoken") for n in names}
+    return ledger.maintained_counts(table(spark, folder, "documents"), paths)
+
+
 @_query
 def op5_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.license_report(table(spark, folder, "documents"))

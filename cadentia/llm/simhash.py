@@ -63,15 +63,15 @@ def text_fingerprint(text: str | None, shingle: int = 4) -> int:
     return int(set_bits.view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """``doc_id, fp``."""
+def fingerprints(docs: DataFrame, shingle: int = 4, *more: str) -> DataFrame:
+    """``doc_id, fp`` and further columns of ``docs``."""
 
     @F.pandas_udf("long")
     def hashed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series([text_fingerprint(t, shingle) for t in texts], dtype="int64")
 
-    return docs.select("doc_id", hashed("text").alias("fp"))
+    return docs.select("doc_id", hashed("text").alias("fp"), *more)
 
 
 def _rotated(x: str) -> str:
@@ -108,9 +108,8 @@ def links(fps: DataFrame) -> DataFrame:
     return kept.select("a", "b").distinct()
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """``doc_id, fingerprint, component_id`` per row of ``docs``."""
-    found = materialise(fingerprints(docs, shingle), "simhash")
+def _classes(found: DataFrame) -> DataFrame:
+    """``fp, component, component_id`` of the fingerprints of ``found``."""
     nodes = materialise(found.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
     edges = materialise(links(nodes.select("fp")), "simhash-links")
     grouped = components(edges, "a", "b").select(F.col("node").alias("fp"), "component")
@@ -118,7 +117,26 @@ def near_duplicates(docs: DataFrame, shingle: int = 4) -> DataFrame:
         "fp", "least", F.coalesce("component", "fp").alias("component")
     )
     roots = whole.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = whole.join(roots, "component").select("fp", "component_id")
-    return found.join(named, "fp").select(
+    return whole.join(roots, "component").select("fp", "component", "component_id")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 4) -> DataFrame:
+    """``doc_id, fingerprint, component_id`` per row of ``docs``."""
+    found = materialise(fingerprints(docs, shingle), "simhash")
+    return found.join(_classes(found), "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
+
+
+def keep_one(docs: DataFrame, shingle: int = 4) -> DataFrame:
+    """One row of ``docs`` per component: that of the smallest doc_id, null last, and of repeated rows one."""
+    rows = docs.withColumn("simhash_row", F.monotonically_increasing_id())
+    found = materialise(fingerprints(rows, shingle, "simhash_row"), "simhash")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("void"), "doc_id", "simhash_row"))
+    kept = (
+        found.join(_classes(found), "fp")
+        .groupBy("component")
+        .agg(first.alias("first"))
+        .select(F.col("first.simhash_row").alias("simhash_row"))
+    )
+    return rows.join(kept, "simhash_row", "left_semi").drop("simhash_row")
