@@ -10,6 +10,7 @@ from cadentia.functions.scalars import is_finite, risk_scale
 from cadentia.operators import sessions as S
 from cadentia.operators import trust as T
 from cadentia.plans.ordered import running
+from cadentia.functions.scalars import day_slot
 from cadentia.plans.quantiles import exact_quantiles
 from cadentia.session import materialise
 from cadentia.sources import lake
@@ -165,29 +166,33 @@ def _(spark, folder):
 
 def trust_events(spark, folder):
     """One session per event with the facts the gates ask for."""
-    ev = events(spark, folder).withColumn("device", F.col("k") % 3).withColumn("all", F.lit(1))
-    limit = exact_quantiles(ev, ["all"], "value", {"medium_from": 0.9})
-    facts = ev.join(limit, "all").withColumns(
+    ev = events(spark, folder).withColumn("device", F.col("k") % 3)
+    limit = exact_quantiles(ev.withColumn("all", F.lit(1)), ["all"], "value", {"medium_from": 0.9})
+    facts = ev.join(F.broadcast(limit.drop("all"))).withColumns(  # one row
         {
             "step_up": ((F.col("event_type") == "purchase") & (F.col("k") < 50)).cast("int"),
             "passkey": (F.col("k") < 80).cast("int"),
-            "enrolled": F.lit(1),
+            "enrolled": (F.col("device") != 2).cast("int"),
             "txn_medium": ((F.col("event_type") == "purchase") & (F.col("value") > F.col("medium_from"))).cast("int"),
-            "txn_stopped": F.lit(0),
+            "txn_stopped": ((F.col("event_type") == "purchase") & (F.col("k") >= 95)).cast("int"),
         }
     )
-    aged = S.prior_sessions(facts, "user_id", "device", ORDER)
+    clean = (F.col("event_type") != "error").cast("long")
+    seen = running(facts, ["user_id", "device"], ORDER, day_slot(F.col("ts")), totals={"clean_upto": clean})
+    counted = seen.withColumn("prior_clean", F.col("clean_upto") - clean).drop("clean_upto")
+    aged = S.prior_sessions(counted, "user_id", "device", ORDER)
     change = (F.col("event_type") == "signup") & (F.col("k") < 5)
-    return S.recent_change(aged, "user_id", "ts", change, ORDER).drop("all", "medium_from", "props")
+    return S.recent_change(aged, "user_id", "ts", change, ORDER).drop("medium_from", "props")
 
 
 TRUST = EVENTS + """,
 facts AS (SELECT *, k % 3 AS device, row_number() OVER (PARTITION BY user_id, k % 3 ORDER BY ts, event_id) - 1 AS prior_sessions,
+    count(*) FILTER (event_type <> 'error') OVER (PARTITION BY user_id, k % 3 ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior_clean,
     max(CASE WHEN event_type = 'signup' AND k < 5 THEN ts END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS last_change FROM ev),
-tr AS (SELECT *, CASE WHEN event_type = 'purchase' AND k < 50 THEN 1.0::DOUBLE WHEN k < 80 THEN 0.6 ELSE 0.3 END AS c_verify,
-    CASE WHEN prior_sessions >= 10 THEN 1.0::DOUBLE WHEN prior_sessions > 0 THEN 0.5 ELSE 0.0 END AS c_device,
+tr AS (SELECT *, CASE WHEN event_type = 'purchase' AND k < 50 THEN 1.0::DOUBLE WHEN k < 80 AND k % 3 <> 2 THEN 0.6 ELSE 0.3 END AS c_verify,
+    CASE WHEN k % 3 <> 2 AND prior_clean >= 10 THEN 1.0::DOUBLE WHEN prior_sessions > 0 THEN 0.5 ELSE 0.0 END AS c_device,
     CASE WHEN last_change IS NOT NULL AND epoch_us(ts) - epoch_us(last_change) <= 7 * 86400 * 1000000::BIGINT THEN 0.0::DOUBLE ELSE 1.0 END AS c_stability,
-    CASE WHEN event_type = 'purchase' AND value > (SELECT quantile_cont(value, 0.9) FROM events) THEN 0.5::DOUBLE ELSE 1.0 END AS c_txn FROM facts),
+    CASE WHEN event_type = 'purchase' AND k >= 95 THEN 0.0::DOUBLE WHEN event_type = 'purchase' AND value > (SELECT quantile_cont(value, 0.9) FROM events) THEN 0.5::DOUBLE ELSE 1.0 END AS c_txn FROM facts),
 tau AS (SELECT *, c_verify * c_device * c_stability * c_txn AS tau FROM tr)"""
 
 

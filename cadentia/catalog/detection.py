@@ -64,11 +64,18 @@ def _(spark, folder):
     return obs(spark, folder).select("subject", "vec_id", F.round(total, 6).alias("total"))
 
 
-@query("feature_columns", "SELECT 'f' || i AS feature, CAST(i AS INTEGER) AS position FROM range(64) t(i)")
+@query("feature_columns", """
+SELECT 'f' || (i - 1) AS feature, CAST(i - 1 AS INTEGER) AS position, count(x) AS filled, round(min(x), 6) AS least, round(max(x), 6) AS most
+FROM (SELECT unnest(range(1, len(embedding) + 1)) AS i, unnest(embedding::DOUBLE[]) AS x FROM embeddings) GROUP BY i""")
 def _(spark, folder):
     names = O.feature_columns(wide(spark, folder).drop("features"), ("f",))
-    cells = [F.struct(F.lit(n).alias("feature"), F.lit(i).alias("position")) for i, n in enumerate(names)]
-    return table(spark, folder, "embeddings").agg(F.count("*").alias("n")).select(F.inline(F.array(*cells)))
+    cells = [
+        F.struct(F.lit(n).alias("feature"), F.lit(i).alias("position"), F.col(n).alias("x")) for i, n in enumerate(names)
+    ]
+    rows = wide(spark, folder).select(F.inline(F.array(*cells)))
+    return rows.groupBy("feature", "position").agg(
+        F.count("x").alias("filled"), F.round(F.min("x"), 6).alias("least"), F.round(F.max("x"), 6).alias("most")
+    )
 
 
 @query("select_features", """
@@ -122,10 +129,10 @@ def _(spark, folder):
     )
 
 
-@query("too_few_rows", "SELECT user_id, count(*) AS n FROM events WHERE event_type = 'signup' GROUP BY 1 HAVING count(*) < 2")
+@query("too_few_rows", "SELECT user_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS n FROM events GROUP BY 1, 2 HAVING count(*) < 2")
 def _(spark, folder):
-    rows = table(spark, folder, "events").where("event_type = 'signup'")
-    return P.too_few_rows(rows, "user_id")
+    rows = table(spark, folder, "events").withColumn("day", F.col("ts").cast("date").cast("string"))
+    return P.too_few_rows(rows, ["user_id", "day"])
 
 
 @query("width_check", "SELECT vec_id, len(embedding) AS width FROM embeddings WHERE len(embedding) <> 63")
@@ -136,27 +143,24 @@ def _(spark, folder):
 
 @query("null_audit", """
 WITH n AS (SELECT count(*) - count(o_orderkey) AS a, count(*) - count(o_custkey) AS b, count(*) - count(o_orderstatus) AS c,
-                  count(*) - count(o_totalprice) AS d FROM orders)
-SELECT unnest(['o_orderkey', 'o_custkey', 'o_orderstatus', 'o_totalprice']) AS column_name, unnest([a, b, c, d]) AS nulls FROM n""")
+                  count(*) - count(o_totalprice) AS d, count(*) - count(o_orderdate) AS e, count(*) - count(o_orderpriority) AS f FROM orders)
+SELECT unnest(['o_orderkey', 'o_custkey', 'o_orderstatus', 'o_totalprice', 'o_orderdate', 'o_orderpriority']) AS column_name,
+  unnest([a, b, c, d, e, f]) AS nulls FROM n""")
 def _(spark, folder):
-    names = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"]
-    return C.null_audit(table(spark, folder, "orders"), names)
+    return C.null_audit(table(spark, folder, "orders"))
 
 
-@query("numeric_coercion", """
-SELECT vec_id, round(embedding[1]::DOUBLE, 9) AS first_value, round(embedding[64]::DOUBLE, 9) AS last_value FROM embeddings""")
+@query("numeric_coercion", "SELECT vec_id, " + ", ".join(
+    f"round(embedding[{i + 1}]::DOUBLE, 9) AS f{i}" for i in range(WIDTH)) + " FROM embeddings")
 def _(spark, folder):
-    ends = O.unpack_vector(obs(spark, folder), "features", WIDTH, keep=(0, 63))
-    return ends.select(
-        "vec_id", F.round("f0", 9).alias("first_value"), F.round("f63", 9).alias("last_value")
-    )
+    return wide(spark, folder).select("vec_id", *[rounded(f"f{i}", 9) for i in range(WIDTH)])
 
 
 @query("verify_dataset", """
 WITH s AS (SELECT label, count(*) AS n FROM embeddings GROUP BY 1)
 SELECT 'subjects' AS check_name, 10::BIGINT AS expected, count(*) AS actual, count(*) = 10 AS ok FROM s
 UNION ALL SELECT 'rows', 500, CAST(sum(n) AS BIGINT), sum(n) = 500 FROM s
-UNION ALL SELECT 'features', 64, 64, true
+UNION ALL SELECT 'features', 64, max(len(embedding)), max(len(embedding)) = 64 FROM embeddings
 UNION ALL SELECT 'nulls', 0, count(*), count(*) = 0 FROM embeddings WHERE vec_id IS NULL OR label IS NULL OR embedding IS NULL
 UNION ALL SELECT 'subjects with another row count', 0, count(*), count(*) = 0 FROM s WHERE n <> 50""")
 def _(spark, folder):
@@ -303,7 +307,8 @@ def _(spark, folder):
     return scores(spark, folder).select("subject", "label", rounded("score"))
 
 
-@query("split_disjoint", "SELECT 0::BIGINT AS shared_vectors FROM (SELECT count(*) AS n FROM embeddings)")
+@query("split_disjoint", "WITH " + OBS + """
+SELECT count(*) AS shared_vectors FROM (SELECT embedding FROM obs GROUP BY embedding HAVING min(rr) <= 20 AND max(rr) > 20)""")
 def _(spark, folder):
     shared = S.split_overlap(split(spark, folder), "features")
     return shared.agg(F.count("*").alias("shared_vectors"))

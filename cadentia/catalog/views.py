@@ -141,8 +141,7 @@ def flagged(spark: SparkSession, folder: str) -> DataFrame:
     suppliers = table(spark, folder, "supplier")
     limit = exact_quantiles(suppliers.withColumn("all", F.lit(1)), ["all"], "s_acctbal", {"limit": 0.1})
     return (
-        suppliers.withColumn("all", F.lit(1))
-        .join(limit, "all")
+        suppliers.join(F.broadcast(limit.drop("all")))  # one row
         .where(F.col("s_acctbal") <= F.col("limit"))
         .select(F.col("s_suppkey").alias("payee"))
     )

@@ -81,11 +81,12 @@ def magnitude_slot(x: Column) -> Column:
     """Order-preserving integer slot of a double, about 0.07 % wide.
 
     Depends on the value only, so it splits a hot group into many ordered
-    pieces without sampling, and is the same in every run and retry.
+    pieces without sampling, and is the same in every run and retry. NaN comes last.
     """
     size = F.floor(F.log2(F.abs(x)) * MAGNITUDE_STEPS) + MAGNITUDE_OFFSET
     return (
-        F.when(x == 0, F.lit(0))
+        F.when(F.isnan(x), F.lit(4 * MAGNITUDE_OFFSET))
+        .when(x == 0, F.lit(0))
         .when(x == F.lit(float("inf")), F.lit(2 * MAGNITUDE_OFFSET))
         .when(x == F.lit(float("-inf")), F.lit(-2 * MAGNITUDE_OFFSET))
         .when(x > 0, size)

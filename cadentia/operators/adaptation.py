@@ -346,20 +346,23 @@ def re_anchor(
     def step(state, row):
         at, full, cand, cand_spread, c0, d0, limit = row[-7:]
         if state is None:
-            state = (np.asarray(c0, float), np.asarray(d0, float), at)
-        anchor, spread, calm_since = state
+            state = (np.asarray(c0, float), np.asarray(d0, float), at, np.asarray(c0, float), np.asarray(d0, float))
+        anchor, spread, calm_since, origin, origin_spread = state
         centre, width, distance, sigma_distance, saturated = within_budget(
             np.asarray(cand, float), np.asarray(cand_spread, float), anchor, spread, limit, floor
         )
         if saturated:
             calm_since = at
         due = full == 1 or at - calm_since >= RE_ANCHOR_DAYS * DAY_SECONDS
-        used = min(distance, limit)
+        # What the profile moved, which is less than the candidate asked for if it was projected.
+        distance, sigma_distance = min(distance, limit), min(sigma_distance, limit)
+        used = distance
+        moved = float(np.mean(np.abs(centre - origin) / origin_spread))
         if due:
             anchor, spread, calm_since, used = centre, width, at, 0.0
-        return (anchor, spread, calm_since), (
+        return (anchor, spread, calm_since, origin, origin_spread), (
             centre.tolist(), width.tolist(), distance, sigma_distance,
-            int(saturated), int(due), float(used),
+            int(saturated), int(due), float(used), moved,
         )
 
     fields = [slim.schema[c] for c in (*keys, "epoch")]
@@ -367,17 +370,17 @@ def re_anchor(
         [*fields, T.StructField("centre", ARRAY), T.StructField("dispersion", ARRAY),
          T.StructField("displacement", T.DoubleType()), T.StructField("sigma_displacement", T.DoubleType()),
          T.StructField("saturated", T.IntegerType()), T.StructField("re_anchored", T.IntegerType()),
-         T.StructField("budget_used", T.DoubleType())]
+         T.StructField("budget_used", T.DoubleType()), T.StructField("moved", T.DoubleType())]
     )
     return ordered_fold(slim, keys, ["epoch"], step, schema)
 
 
 def profile_in_force(epochs: DataFrame, start: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Profiles per (key, epoch), epoch 0 being the enrolment profile."""
+    """Profiles per (key, epoch) and their distance from enrolment; epoch 0 is the enrolment profile."""
     origin = start.select(
         *keys, F.lit(0).cast("long").alias("epoch"), "centre", "dispersion", F.lit(0.0).alias("displacement")
     )
-    return origin.unionByName(epochs.select(*keys, F.col("epoch").cast("long").alias("epoch"), "centre", "dispersion", "displacement"))
+    return origin.unionByName(epochs.select(*keys, F.col("epoch").cast("long").alias("epoch"), "centre", "dispersion", F.col("moved").alias("displacement")))
 
 
 def robust_replay(
@@ -565,7 +568,14 @@ def eer_by_intensity(
     )
     wide = [*keys, "intensity"]
     starts = start.select("*", every)
-    played = ewma_replay(mixed, wide, order, starts, vector, policy, settings)
+    if policy == "P0":
+        played = static_replay(mixed, wide, order, starts, vector, settings)
+    elif policy in ("P1", "P2"):
+        played = ewma_replay(mixed, wide, order, starts, vector, policy, settings)
+    elif policy == "P3":
+        played = robust_replay(mixed, wide, order, starts, vector, settings)
+    else:
+        raise ValueError(f"policy {policy!r} is not one of {POLICIES}")
     labels = mixed.select(*wide, *order, F.col("_attack").alias("label"))
     scores = played.join(labels, [*wide, *order]).select(
         F.col("intensity").alias("subject"), "label", "score"

@@ -53,7 +53,7 @@ def _both_classes(value: Column, genuine: Column, impostor: Column) -> Column:
     """``value``, unless a class is empty: then the job fails and names the subject."""
     complain = F.raise_error(
         F.concat(
-            F.lit("both genuine and impostor scores are required, subject "),
+            F.lit("one of the two labels has no score for subject "),
             F.col("subject").cast("string"),
         )
     )

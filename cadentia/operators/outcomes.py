@@ -83,7 +83,9 @@ def friction_rate(
     rows = decisions if by else decisions.withColumn("_all", F.lit(1))
     attacks = rows.where(q(label).cast("int") == 1)
     limits = exact_quantiles(attacks, keys, score, {"limit": 1 - catch_rate})
-    genuine = rows.where(q(label).cast("int") == 0).join(limits, keys)
+    genuine = rows.where(q(label).cast("int") == 0)
+    # Without groups there is one limit: a row that every task can hold.
+    genuine = genuine.join(limits, keys) if by else genuine.join(F.broadcast(limits.drop("_all")))
     bothered = F.when(q(score) >= F.col("limit"), 1.0).otherwise(0.0)
     return genuine.groupBy(*keys).agg(
         F.max("limit").alias("limit"), F.count("*").alias("genuine"), F.avg(bothered).alias("friction_rate")

@@ -63,7 +63,7 @@ def fit_spreads(
     """
     unknown = [s for s in scalings if s not in SCALINGS]
     if unknown:
-        raise ValueError(f"unknown scaling {unknown[0]!r}, expected one of {SCALINGS}")
+        raise ValueError(f"scaling {unknown[0]!r} is none of {', '.join(SCALINGS)}")
     keys = as_keys(subject)
     fitted = fit_centres(df, keys, vector, spread="std" in scalings)
     if "mad" not in scalings:
@@ -122,7 +122,8 @@ def too_few_rows(df: DataFrame, subject: str | Sequence[str]) -> DataFrame:
 
 def require_fit_rows(df: DataFrame, subject: str | Sequence[str]) -> DataFrame:
     if (short := too_few_rows(df, subject).first()) is not None:
-        raise ValueError(f"at least two enrolment repetitions are required: {short.asDict()}")
+        named = short.asDict()
+        raise ValueError(f"{named.pop('n')} row(s) for key {named}: a spread cannot be measured from fewer than 2")
     return df
 
 

@@ -23,7 +23,8 @@ def trust_gates(sessions: DataFrame) -> DataFrame:
     """Add the four gates.
 
     Expects booleans or 0/1 ``step_up``, ``passkey``, ``enrolled``,
-    ``recent_change``, ``txn_medium``, ``txn_stopped`` and ``prior_sessions``.
+    ``recent_change``, ``txn_medium``, ``txn_stopped``, and the counts
+    ``prior_sessions`` and ``prior_clean`` of earlier sessions on the device.
     The transaction flags must come from the non-behavioural channels only, or
     the gate would listen to the channel it guards.
     """
@@ -32,14 +33,14 @@ def trust_gates(sessions: DataFrame) -> DataFrame:
         return q(name).cast("int") == 1
 
     device = (
-        F.when(on("enrolled") & (F.col("prior_sessions") >= SETTLED_AFTER_SESSIONS), DEVICE_SETTLED)
+        F.when(on("enrolled") & (F.col("prior_clean") >= SETTLED_AFTER_SESSIONS), DEVICE_SETTLED)
         .when(F.col("prior_sessions") > 0, DEVICE_YOUNG)
         .otherwise(DEVICE_NEW)
     )
     return sessions.withColumns(
         {
             "c_verify": F.when(on("step_up"), VERIFY_STEP_UP)
-            .when(on("passkey"), VERIFY_PASSKEY)
+            .when(on("passkey") & on("enrolled"), VERIFY_PASSKEY)
             .otherwise(VERIFY_PASSWORD),
             "c_device": device,
             "c_stability": F.when(on("recent_change"), 0.0).otherwise(1.0),

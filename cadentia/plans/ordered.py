@@ -13,9 +13,17 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cadentia.plans.joins import null_safe_join
+
 SLOT = "_slot"
 
 
+def _sum_of(a: str, b: str) -> Column:
+    """Sum of two partial sums; null only where both are, as in one sum over all rows."""
+    total = F.coalesce(F.col(a), F.lit(0)) + F.coalesce(F.col(b), F.lit(0))
+    return F.when(F.col(a).isNotNull() | F.col(b).isNotNull(), total)
+
+
 def running(
     df: DataFrame,
     keys: Sequence[str],
@@ -32,7 +40,7 @@ def running(
     last non-null value strictly before the row is wanted. ``whole`` maps a new
     column to a name in ``totals`` whose sum over the entire key is wanted.
     ``order`` must be a total order inside a key and ``slot`` must never fall
-    along it.
+    along it. Rows with a null key, order or slot are kept; nulls come first.
     """
     totals, previous, whole = dict(totals or {}), dict(previous or {}), dict(whole or {})
     part = [*keys, SLOT]
@@ -64,12 +72,12 @@ def running(
         *[F.sum(f"_own_{name}").over(upto).alias(f"_local_{name}") for name in totals],
         *[F.last(c, True).over(before).alias(f"_local_{name}") for name, c in previous.items()],
     )
-    joined = local.join(carried, part)
+    joined = null_safe_join(local, carried, part)
     kept = [F.col(f"`{c}`") for c in df.columns]
     return joined.select(
         *kept,
         *[
-            (F.col(f"_local_{n}") + F.coalesce(F.col(f"_carry_{n}"), F.lit(0))).alias(n)
+            _sum_of(f"_local_{n}", f"_carry_{n}").alias(n)
             for n in totals
         ],
         *[F.coalesce(f"_local_{n}", f"_carry_{n}").alias(n) for n in previous],
@@ -92,7 +100,7 @@ def trailing(
     the middle, and the tail of the slice one length back. The middle comes from
     per-slice totals; each row is copied once per length into the slice where it
     forms the tail. So the copies do not grow with the length, and no task holds
-    a key.
+    a key. Rows with a null time are each other's window.
     """
     for name, length in lengths.items():
         if length % step:
@@ -107,14 +115,17 @@ def trailing(
     carried = slots.select(
         *part,
         *[
-            F.sum(f"_v_{name}").over(along.rangeBetween(1 - length // step, -1)).alias(f"_mid_{name}_{of}")
+            # Null slots are peers in a range, so one would count itself as its past.
+            F.when(
+                F.col(SLOT).isNotNull(), F.sum(f"_v_{name}").over(along.rangeBetween(1 - length // step, -1))
+            ).alias(f"_mid_{name}_{of}")
             for of, length in lengths.items()
             for name in values
         ],
     )
     both = own
     for length in lengths.values():
-        tails = own.select(
+        tails = own.where(F.col(seconds).isNotNull()).select(
             *keys, seconds, *made, (F.col(SLOT) + length // step).alias(SLOT), F.lit(length).alias("_of")
         )
         both = both.unionByName(tails, allowMissingColumns=True)
@@ -126,10 +137,11 @@ def trailing(
         for of, length in lengths.items()
         for name in values
     ]
-    return both.select("*", *sums).where(F.col("_of") == 0).join(carried, part).select(
+    own_rows = both.select("*", *sums).where(F.col("_of") == 0)
+    return null_safe_join(own_rows, carried, part).select(
         *[F.col(f"`{c}`") for c in df.columns],
         *[
-            (F.col(f"_local_{n}") + F.coalesce(f"_mid_{n}", F.lit(0))).alias(n)
+            _sum_of(f"_local_{n}", f"_mid_{n}").alias(n)
             for n in (f"{name}_{of}" for of in lengths for name in values)
         ],
     )

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadentia.functions.scalars import magnitude_slot
+from cadentia.plans.joins import null_safe_join
 
 
 def exact_quantiles(
@@ -17,7 +18,8 @@ def exact_quantiles(
 
     First a histogram over value slots finds the slots that hold the wanted
     ranks; only rows of those slots are then counted by value. Both steps
-    combine on the map side, so a hot key costs no more than a cold one.
+    combine on the map side, so a hot key costs no more than a cold one. Null
+    values do not count, NaN is larger than every number, and null is a key.
     """
     for p in probabilities.values():
         if not 0.0 <= p <= 1.0:
@@ -46,7 +48,7 @@ def exact_quantiles(
             wanted = wanted | holds(rank, start, F.col("_end"))
     targets = counted.where(wanted).select(*keys, "_slot", start.alias("_start"), "_total")
     counts = (
-        rows.join(targets, [*keys, "_slot"])
+        null_safe_join(rows, targets, [*keys, "_slot"])
         .groupBy(*keys, "_slot", "_x", "_start", "_total")
         .agg(F.count("*").alias("_n"))
     )

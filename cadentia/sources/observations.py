@@ -29,12 +29,14 @@ def read_observations(
 ) -> DataFrame:
     """Read measurements; a missing path raises Spark's own PATH_NOT_FOUND.
 
-    CSV needs a schema: inferring one would read the files twice.
+    CSV needs a schema: inferring one would read the files twice. A header that
+    names other columns and a cell that does not parse fail the job.
     """
     if fmt == "csv":
         if schema is None:
             raise ValueError("CSV needs an explicit schema")
-        return spark.read.schema(schema).option("header", True).csv(path)
+        strict = {"header": True, "enforceSchema": False, "mode": "FAILFAST"}
+        return spark.read.schema(schema).options(**strict).csv(path)
     reader = spark.read if schema is None else spark.read.schema(schema)
     return reader.format(fmt).load(path)
 

@@ -13,8 +13,10 @@ from cadentia.operators import splits as S
 from cadentia.sources import files as files_source
 from cadentia.sources import observations as O
 
-ENROLMENT = [("a", [1.0, 10.0]), ("a", [3.0, 10.0]), ("a", [5.0, 10.0])]
+# Four rows over three features; the middle one never varies.
+ENROLMENT = [("p", [2.0, 7.0, -1.0]), ("p", [4.0, 7.0, -3.0]), ("p", [6.0, 7.0, 1.0]), ("p", [8.0, 7.0, 3.0])]
 VECTORS = "subject string, features array<double>"
+FEATURES = ["left", "still", "right"]
 
 
 @pytest.fixture
@@ -28,48 +30,39 @@ def profile(enrolment):
 
 
 def sessions(spark, *rows):
-    return spark.createDataFrame([("a", list(r)) for r in rows], VECTORS)
+    return spark.createDataFrame([("p", list(r)) for r in rows], VECTORS)
 
 
-def test_fit_matches_hand_values(profile, enrolment):
+def test_fit_by_hand(profile, enrolment):
     row = profile.first()
-    assert row.centre == [3.0, 10.0]
-    assert row.dispersion == [pytest.approx(4 / 3), 1e-4]
-    assert row.floored_features == 1
-    assert P.fit_profiles(enrolment, "subject", scaling="std").first().dispersion[0] == pytest.approx(2.0)
+    assert (row.centre, row.floored_features) == ([5.0, 7.0, 0.0], 1)
+    assert row.dispersion == [2.0, 1e-4, 2.0]
+    spread = P.fit_profiles(enrolment, "subject", scaling="std").first().dispersion
+    assert spread[0] == pytest.approx(math.sqrt(20 / 3)) and spread[0] == pytest.approx(spread[2])
 
 
 def test_fit_refusals(spark, enrolment):
-    assert P.fit_profiles(enrolment.limit(2), "subject").count() == 1
     assert P.fit_profiles(enrolment.limit(1), "subject").count() == 0
-    with pytest.raises(ValueError, match="at least two"):
+    with pytest.raises(ValueError, match="fewer than 2"):
         P.require_fit_rows(enrolment.limit(1), "subject")
-    with pytest.raises(ValueError, match="unknown scaling"):
-        P.fit_profiles(enrolment, "subject", scaling="median")
-    with pytest.raises(Exception, match="row has 3 values, expects 2"):
-        P.require_width(sessions(spark, [1.0, 2.0, 3.0]), "features", 2).collect()
-    assert P.wrong_width(sessions(spark, [1.0], [1.0, 2.0]), "features", 2).count() == 1
-
-
-def test_scores_and_explanations(spark, profile):
-    scored = P.anomaly_score(sessions(spark, [6.0, 10.0005], [3.0, 10.0]), profile, "subject")
-    assert sorted(r.score for r in scored.collect()) == [0.0, pytest.approx(7.25)]
-    one = sessions(spark, [6.0, 10.0005])
-    top = P.top_deviations(one, profile, "subject", ["spread", "flat"]).orderBy("rank").collect()
-    assert [(r.feature, round(r.deviation, 6)) for r in top] == [("flat", 5.0), ("spread", 2.25)]
-    assert P.top_deviations(one, profile, "subject", ["spread", "flat"], count=1).count() == 1
-    assert P.top_deviations(one, profile, "subject", ["spread", "flat"], count=99).count() == 2
+    with pytest.raises(ValueError, match="'iqr' is none of mad, std"):
+        P.fit_profiles(enrolment, "subject", scaling="iqr")
+    with pytest.raises(Exception, match="row has 2 values, expects 3"):
+        P.require_width(sessions(spark, [1.0, 2.0]), "features", 3).collect()
+    assert P.wrong_width(sessions(spark, [1.0], [1.0, 2.0, 3.0]), "features", 3).count() == 1
+
+
+def test_scores_add_up_and_ties_keep_feature_order(spark, profile):
+    # Deviations 2, 1.5 and -2.
+    far = sessions(spark, [9.0, 7.00015, -4.0])
+    assert P.anomaly_score(far, profile, "subject").first().score == pytest.approx(5.5)
+    top = P.top_deviations(far, profile, "subject", FEATURES).orderBy("rank").collect()
+    assert [(r.feature, round(r.deviation, 6)) for r in top] == [("left", 2.0), ("right", -2.0), ("still", 1.5)]
+    assert [P.top_deviations(far, profile, "subject", FEATURES, count=n).count() for n in (0, 2, 10)] == [0, 2, 3]
     with pytest.raises(ValueError):
-        P.top_deviations(one, profile, "subject", ["spread", "flat"], count=-1)
-    signed = P.deviations(sessions(spark, [1.0, 10.0], [5.0, 10.0]), profile, "subject")
-    values = sorted(r.deviations[0] for r in signed.collect())
-    assert values[0] < 0 < values[1]
-
-
-def test_ties_keep_feature_order(spark, profile):
-    even = sessions(spark, [3.0 + 4 / 3, 10.0001])
-    top = P.top_deviations(even, profile, "subject", ["spread", "flat"]).orderBy("rank").collect()
-    assert [r.rank for r in top] == [1, 2]
+        P.top_deviations(far, profile, "subject", FEATURES, count=-2)
+    halves = P.anomaly_score(sessions(spark, [9.0, 7.0, 0.0], [5.0, 7.0, -4.0]), profile, "subject").collect()
+    assert sum(r.score for r in halves) == pytest.approx(4.0)
 
 
 def score_frame(spark, genuine, impostor, subject="s"):
@@ -90,52 +83,53 @@ def brute_eer(genuine, impostor):
     return far[i - 1] - before / (after - before) * (far[i] - far[i - 1])
 
 
-def test_eer_exact_cases(spark):
-    low, high = [1, 2, 3, 4], [10, 11, 12, 13]
-    assert eer(spark, low, high) == pytest.approx(0.0, abs=1e-9)
-    assert eer(spark, high, low) == pytest.approx(1.0, abs=1e-9)
-    values = np.linspace(0, 1, 500)
-    assert eer(spark, values, values) == pytest.approx(0.5, abs=0.01)
+def test_eer_ignores_the_scale_and_the_partitions(spark):
+    rng = np.random.default_rng(404)
+    genuine, impostor = rng.gamma(2, 1, 83), rng.gamma(4, 1, 71)
+    found = eer(spark, genuine, impostor)
+    assert eer(spark, np.exp(genuine), np.exp(impostor)) == pytest.approx(found, abs=1e-9)
+    split = score_frame(spark, genuine, impostor).repartition(5)
+    assert E.equal_error_rate(split).first().eer == pytest.approx(found, abs=1e-9)
+    # With the labels exchanged, every threshold that was right is wrong.
+    assert eer(spark, impostor, genuine) == pytest.approx(1 - found, abs=2 / 71)
 
 
-def test_eer_matches_two_gaussians(spark):
-    rng = np.random.default_rng(20250801)
-    found = eer(spark, rng.normal(0, 1, 40_000), rng.normal(2, 1, 40_000))
-    assert found == pytest.approx(0.5 * math.erfc(1 / math.sqrt(2)), abs=0.005)
+def test_eer_of_two_exponentials(spark):
+    # With y = exp(-t / 3) the rates cross where y ** 3 + y = 1.
+    y = float(np.roots([1, 0, 1, -1]).real[np.isreal(np.roots([1, 0, 1, -1]))][0])
+    rng = np.random.default_rng(61)
+    found = eer(spark, rng.exponential(1, 30_000), rng.exponential(3, 30_000))
+    assert found == pytest.approx(1 - y, abs=0.01)
 
 
-def test_eer_matches_brute_force_with_ties(spark):
-    rng = np.random.default_rng(7)
+def test_eer_with_many_ties_equals_brute_force(spark):
+    rng = np.random.default_rng(1812)
     frames, want = None, {}
-    for i in range(20):
-        genuine = rng.normal(0, 1, 200).round(i % 3)
-        impostor = rng.normal(rng.uniform(-3, 3), 1, 250).round(i % 3)
-        want[f"s{i}"] = brute_eer(genuine, impostor)
-        one = score_frame(spark, genuine, impostor, f"s{i}")
+    for i in range(12):
+        genuine, impostor = rng.integers(0, 9 + i, 60 + i), rng.integers(i % 5, 14, 90)
+        want[f"t{i}"] = brute_eer(genuine.astype(float), impostor.astype(float))
+        one = score_frame(spark, genuine, impostor, f"t{i}")
         frames = one if frames is None else frames.unionByName(one)
     got = {r.subject: r.eer for r in E.equal_error_rate(frames).collect()}
-    assert got.keys() == want.keys()
-    for subject, value in want.items():
-        assert got[subject] == pytest.approx(value, abs=1e-9)
-        assert 0 <= got[subject] <= 1
+    assert got == {k: pytest.approx(v, abs=1e-9) for k, v in want.items()}
 
 
-def test_curve_is_monotone_and_ends_at_infinity(spark):
-    rng = np.random.default_rng(11)
-    curve = E.error_curve(score_frame(spark, rng.normal(0, 1, 300), rng.normal(2, 1, 300)))
+def test_curve_runs_from_all_rejected_to_all_accepted(spark):
+    rng = np.random.default_rng(5150)
+    curve = E.error_curve(score_frame(spark, rng.gamma(2, 1, 150), rng.gamma(5, 1, 170)))
     rows = curve.orderBy("threshold").collect()
-    far, frr = [r.far for r in rows], [r.frr for r in rows]
-    assert far == sorted(far) and frr == sorted(frr, reverse=True)
-    assert (far[0], frr[0], far[-1], frr[-1]) == (0.0, 1.0, 1.0, 0.0)
+    steps = [(b.far - a.far, a.frr - b.frr) for a, b in zip(rows, rows[1:])]
+    assert all(x >= 0 and y >= 0 for x, y in steps) and len(rows) == 321
+    assert (rows[0].far, rows[0].frr, rows[-1].far, rows[-1].frr) == (0.0, 1.0, 1.0, 0.0)
     assert math.isinf(rows[-1].threshold)
-    at = E.rates_at_threshold(curve, 1.0).first()
-    assert min(abs(r.threshold - 1.0) for r in rows) == pytest.approx(abs(at.threshold - 1.0))
+    at = E.rates_at_threshold(curve, 2.5).first()
+    assert min(abs(r.threshold - 2.5) for r in rows) == pytest.approx(abs(at.threshold - 2.5))
 
 
 @pytest.mark.parametrize("genuine,impostor", [([], [1.0]), ([1.0], [])])
 def test_empty_class_is_refused(spark, genuine, impostor):
     for operator in (E.equal_error_rate, E.error_curve):
-        with pytest.raises(Exception, match="both genuine and impostor scores are required"):
+        with pytest.raises(Exception, match="one of the two labels has no score"):
             operator(score_frame(spark, genuine, impostor)).collect()
 
 
@@ -145,14 +139,14 @@ NAMES = ["H.t", "DD.t.i", "UD.t.i"]
 @pytest.fixture(scope="module")
 def corpus(spark, tmp_path_factory):
     """Small timing file with dotted names, shuffled on disk, negative up-down times."""
-    rng = np.random.default_rng(3)
     rows = [
-        (f"s{u:03d}", s, r, *(float(round(x, 4)) for x in rng.normal([0.1 + u / 50, 0.3, -0.05], 0.02)))
+        (f"k{u}", s, r, round(0.1 + u / 50 + (7 * r + s) % 11 / 400, 4), round(0.3 + (5 * r + u) % 7 / 300, 4),
+         round(-0.05 + (3 * r + 2 * s + u) % 13 / 500, 4))
         for u in range(6) for s in (1, 2) for r in range(1, 11)
     ]
-    rng.shuffle(rows)
+    rows.sort(key=lambda row: row[2] * 7919 % 101 + row[3])
     schema = O.timing_schema(NAMES)
-    frame = spark.createDataFrame([(a, int(b), int(c), float(d), float(e), float(f)) for a, b, c, d, e, f in rows], schema)
+    frame = spark.createDataFrame(rows, schema)
     path = str(tmp_path_factory.mktemp("corpus") / "csv")
     O.write_table(frame, path)
     return O.read_observations(spark, path, schema)
@@ -200,6 +194,15 @@ def test_missing_source_is_named(spark):
         O.read_observations(spark, "/tmp/no/such/file", O.timing_schema(NAMES)).collect()
 
 
+def test_swapped_header_and_bad_cell_are_refused(spark, tmp_path):
+    schema = O.timing_schema(["H.t", "DD.t"])
+    (tmp_path / "swapped.csv").write_text("subject,sessionIndex,rep,DD.t,H.t\na,1,1,0.2,0.1\n")
+    (tmp_path / "bad.csv").write_text("subject,sessionIndex,rep,H.t,DD.t\na,1,1,oops,0.1\n")
+    for name in ("swapped.csv", "bad.csv"):
+        with pytest.raises(Exception):
+            O.read_observations(spark, str(tmp_path / name), schema).collect()
+
+
 def test_rejected_rows_name_the_feature(spark):
     rows = spark.createDataFrame([(1, 1.0, 2.0), (2, None, 2.0), (3, 1.0, float("nan"))], "id int, a double, b double")
     got = {r.id: r.reason for r in C.rejected_rows(rows, ["id"], ["a", "b"]).collect()}
