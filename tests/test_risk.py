@@ -16,17 +16,19 @@ KEYS, ORDER = ["u", "d"], ["ts", "event_id"]
 
 
 def gates(spark, rows):
-    names = "step_up int, passkey int, enrolled int, prior_sessions int, recent_change int, txn_medium int, txn_stopped int"
-    return T.trust_score(spark.createDataFrame(rows, names)).collect()
+    """Rows may end with the number of clean sessions; without it all prior ones were clean."""
+    names = "step_up int, passkey int, enrolled int, prior_sessions int, recent_change int, txn_medium int, txn_stopped int, prior_clean int"
+    full = [row if len(row) == 8 else (*row, row[3]) for row in rows]
+    return T.trust_score(spark.createDataFrame(full, names)).collect()
 
 
 def test_admission_truth_table(spark):
     rows = gates(spark, [
         (1, 1, 1, 10, 0, 0, 0), (1, 1, 1, 3, 0, 0, 0), (0, 1, 1, 10, 0, 0, 0), (0, 1, 1, 3, 0, 0, 0),
         (0, 0, 1, 10, 0, 0, 0), (1, 1, 1, 10, 0, 1, 0), (0, 1, 1, 10, 0, 1, 0), (1, 1, 1, 10, 1, 0, 0),
-        (1, 1, 1, 10, 0, 0, 1), (1, 1, 1, 0, 0, 0, 0),
+        (1, 1, 1, 10, 0, 0, 1), (1, 1, 1, 0, 0, 0, 0), (1, 1, 1, 12, 0, 0, 0, 9), (0, 1, 0, 12, 0, 0, 0),
     ])
-    assert [round(r.tau, 6) for r in rows] == [1.0, 0.5, 0.6, 0.3, 0.3, 0.5, 0.3, 0.0, 0.0, 0.0]
+    assert [round(r.tau, 6) for r in rows] == [1.0, 0.5, 0.6, 0.3, 0.3, 0.5, 0.3, 0.0, 0.0, 0.0, 0.5, 0.15]
 
 
 def test_weiszfeld_finds_the_minimum():
