@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cadentia.catalog.behaviour import TRUST, trusted
+from cadentia.catalog.adapting_sql import KEY, WIDE, anchor_sql, each, median_sql, played_sql, replay_sql
+from cadentia.catalog.adapting_views import VECTORS
+from cadentia.catalog.behaviour import trusted
 from cadentia.catalog.registry import query
+from cadentia.catalog.views import curve_sql
 from cadentia.operators import adaptation as A
 from cadentia.operators import evaluation as E
 from cadentia.operators import profiles as P
@@ -30,20 +33,6 @@ def vectors(spark, folder):
     return materialise(vectors.select(*KEYS, *ORDER, "x", "c_verify", "tau", "event_type"), "vectors")
 
 
-VECTORS = TRUST + """,
-vx AS (SELECT user_id, device, ts, event_id, c_verify, tau, event_type, value AS x0,
-         (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id)) / 3.6e9 AS x1, hour(ts)::DOUBLE AS x2 FROM tau),
-v AS (SELECT * FROM vx WHERE x1 IS NOT NULL),
-cells AS (SELECT user_id, device, ts, event_id, c_verify, tau, pos, CASE pos WHEN 0 THEN x0 WHEN 1 THEN x1 ELSE x2 END AS x
-          FROM v, (SELECT unnest([0, 1, 2]) AS pos)),
-cs AS (SELECT *, row_number() OVER (PARTITION BY user_id, device, pos ORDER BY ts, event_id) AS n FROM cells WHERE c_verify >= 0.6),
-st0 AS (SELECT user_id, device, pos, avg(x) AS c FROM cs WHERE n <= 5 GROUP BY 1, 2, 3 HAVING count(*) >= 5),
-st AS (SELECT s.user_id, s.device, s.pos, any_value(c) AS c, greatest(avg(abs(x - c)), 1e-4) AS d
-       FROM cs JOIN st0 s ON cs.user_id = s.user_id AND cs.device = s.device AND cs.pos = s.pos WHERE n <= 5 GROUP BY 1, 2, 3),
-bufr AS (SELECT *, row_number() OVER (PARTITION BY user_id, device, pos ORDER BY ts DESC, event_id DESC) AS br FROM cells WHERE tau >= 0.5),
-buf AS (SELECT * FROM bufr WHERE br <= 200)"""
-
-
 def start(rows):
     return materialise(A.cold_start(rows, KEYS, ORDER, "x"), "start")
 
@@ -65,22 +54,21 @@ def _(spark, folder):
     return cells(start(vectors(spark, folder)), "centre", "dispersion")
 
 
-@query("geometric_median")
+HELD = "WITH RECURSIVE " + WIDE + median_sql("held")
+
+
+@query("geometric_median", HELD + f"""
+SELECT {KEY}, pos, round(CASE pos WHEN 0 THEN c0 WHEN 1 THEN c1 ELSE c2 END, 5) AS centre, round(s, 5) AS spread
+FROM mid_held JOIN mad_held USING ({KEY}, epoch)""")
 def _(spark, folder):
-    return cells(A.geometric_median(buffer(vectors(spark, folder)), KEYS, "x"), "centre", "spread")
+    return cells(A.geometric_median(buffer(vectors(spark, folder)), KEYS, "x"), "centre", "spread", digits=5)
 
 
-@query("weighted_mad", "WITH " + VECTORS + """,
-m AS (SELECT user_id, device, pos, avg(x) AS c FROM buf GROUP BY 1, 2, 3),
-dv AS (SELECT b.user_id, b.device, b.pos, abs(x - c) AS dist, sum(tau) AS w FROM buf b
-       JOIN m ON b.user_id = m.user_id AND b.device = m.device AND b.pos = m.pos GROUP BY 1, 2, 3, 4),
-cu AS (SELECT *, sum(w) OVER (PARTITION BY user_id, device, pos ORDER BY dist ROWS UNBOUNDED PRECEDING) AS cw,
-              sum(w) OVER (PARTITION BY user_id, device, pos) AS tw FROM dv)
-SELECT user_id, device, pos, round(min(dist), 5) AS spread FROM cu WHERE cw >= tw / 2 - 1e-9 GROUP BY 1, 2, 3""")
+@query("weighted_mad", HELD + f" SELECT {KEY}, pos, round(s, 5) AS spread FROM mad_held")
 def _(spark, folder):
     kept = buffer(vectors(spark, folder))
-    found = A.weighted_mad(kept, KEYS, P.fit_centres(kept, KEYS, "x"), "x")
-    return found.select(*KEYS, "pos", F.round("spread", 5).alias("spread"))
+    centres = materialise(A.geometric_median(kept, KEYS, "x"), "centres")
+    return A.weighted_mad(kept, KEYS, centres, "x").select(*KEYS, "pos", F.round("spread", 5).alias("spread"))
 
 
 def against_anchor(spark, folder):
@@ -146,7 +134,12 @@ def epochs(rows):
     return A.re_anchor(A.epoch_candidates(admitted, KEYS, ORDER, "x", settings), KEYS, begun, settings)
 
 
-@query("re_anchor")
+ANCHORED = "WITH RECURSIVE " + WIDE + anchor_sql(5, 20, "0.5")
+PLAYED = "WITH RECURSIVE " + played_sql(A.RECOMPUTE_EVERY, T.BUFFER_SIZE)
+
+
+@query("re_anchor", ANCHORED + f"""
+SELECT {KEY}, epoch, round(displacement, 5) AS displacement, saturated, re_anchored, round(budget_used, 5) AS budget_used FROM ra WHERE epoch > 0""")
 def _(spark, folder):
     found = epochs(vectors(spark, folder))
     return found.select(
@@ -155,14 +148,17 @@ def _(spark, folder):
     )
 
 
-@query("replay_policies")
+@query("replay_policies", PLAYED + """
+SELECT policy, count(*) AS sessions, round(avg(accepted), 6) AS accept_rate, round(avg(updated), 6) AS update_rate,
+  round(avg(displacement), 5) AS mean_displacement, round(max(displacement), 5) AS max_displacement FROM played GROUP BY 1""")
 def _(spark, folder):
     rows = vectors(spark, folder)
-    played = A.replay_policies(rows, KEYS, ORDER, start(rows), "x", SETTINGS)
-    return A.policy_summary(played)
+    played = A.policy_summary(A.replay_policies(rows, KEYS, ORDER, start(rows), "x", SETTINGS))
+    shown = {"accept_rate": 6, "update_rate": 6, "mean_displacement": 5, "max_displacement": 5}
+    return played.select("policy", "sessions", *[F.round(c, n).alias(c) for c, n in shown.items()])
 
 
-@query("ewma_replay")
+@query("ewma_replay", PLAYED + " SELECT event_id, round(score, 5) AS score, accepted, updated FROM played WHERE policy = 'P1'")
 def _(spark, folder):
     rows = vectors(spark, folder)
     played = A.ewma_replay(rows, KEYS, ORDER, start(rows), "x", "P1", SETTINGS)
@@ -178,16 +174,13 @@ def _(spark, folder):
     return played.select("event_id", F.round("score", 5).alias("score"), "accepted")
 
 
-@query("sessions_to_impersonation", "WITH " + VECTORS + """,
-sc AS (SELECT l.user_id, l.device, l.event_id, l.ts, sum(abs(x - c) / d) AS score FROM cells l
-       JOIN st ON l.user_id = st.user_id AND l.device = st.device AND l.pos = st.pos GROUP BY 1, 2, 3, 4),
-atk AS (SELECT v.user_id, v.device, v.event_id, row_number() OVER (PARTITION BY v.user_id, v.device ORDER BY v.ts, v.event_id) AS i
-       FROM v WHERE event_type = 'error')
-SELECT sc.user_id, sc.device, 'P0' AS policy, count(*) AS attacks, CAST(min(CASE WHEN score < 12 THEN i END) AS DOUBLE) AS first_accepted
-FROM sc JOIN atk ON sc.event_id = atk.event_id GROUP BY 1, 2""")
+@query("sessions_to_impersonation", PLAYED + f""",
+atk AS (SELECT event_id, row_number() OVER (PARTITION BY {KEY} ORDER BY ts, event_id) AS i FROM v WHERE event_type = 'error')
+SELECT {KEY}, policy, count(*) AS attacks, CAST(min(CASE WHEN accepted = 1 THEN i END) AS DOUBLE) AS first_accepted
+FROM played JOIN atk USING (event_id) GROUP BY 1, 2, 3""")
 def _(spark, folder):
     rows = vectors(spark, folder)
-    played = A.replay_policies(rows, KEYS, ORDER, start(rows), "x", SETTINGS, ("P0",))
+    played = A.replay_policies(rows, KEYS, ORDER, start(rows), "x", SETTINGS)
     attacks = rows.where("event_type = 'error'")
     found = A.sessions_to_impersonation(played, attacks, KEYS, ORDER)
     return found.withColumn("first_accepted", F.col("first_accepted").cast("double"))
@@ -207,22 +200,34 @@ def _(spark, folder):
     return found.select(F.round("budget", 6).alias("budget"))
 
 
-@query("budget_sweep")
+@query("budget_sweep", "WITH RECURSIVE " + WIDE + anchor_sql(5, 20, "0.25, 0.5, 1.0, 2.0") + """,
+sat AS (SELECT budget, avg(saturated) AS saturation_rate FROM ra WHERE epoch > 0 GROUP BY 1)
+SELECT budget, round(avg((score < 12)::INTEGER) FILTER (event_type = 'error'), 6) AS attack_accept_rate,
+  round(avg(1 - (score < 12)::INTEGER) FILTER (event_type <> 'error'), 6) AS genuine_reject_rate,
+  round(avg(moved), 5) AS mean_displacement, round(any_value(saturation_rate), 6) AS saturation_rate
+FROM p3 LEFT JOIN sat USING (budget) GROUP BY 1""")
 def _(spark, folder):
     settings = A.Settings(theta=12.0, every=5, buffer=20)
     rows = vectors(spark, folder)
-    return A.budget_sweep(
+    found = A.budget_sweep(
         rows, KEYS, ORDER, start(rows), "x",
         F.col("event_type") == "error", [0.25, 0.5, 1.0, 2.0], settings,
     )
+    shown = {"attack_accept_rate": 6, "genuine_reject_rate": 6, "mean_displacement": 5, "saturation_rate": 6}
+    return found.select("budget", *[F.round(c, n).alias(c) for c, n in shown.items()])
 
 
-@query("saturation_detector")
+@query("saturation_detector", ANCHORED + f""",
+hit AS (SELECT DISTINCT {KEY}, 1 AS label FROM v WHERE event_type = 'signup' AND tau >= 0.5),
+scores AS (SELECT 'saturation' AS subject, coalesce(any_value(label), 0) AS label, avg(saturated) AS score
+  FROM ra LEFT JOIN hit USING ({KEY}) WHERE epoch > 0 GROUP BY {KEY})""" + curve_sql("score", "sat") + """
+SELECT subject, round(threshold, 6) AS threshold, round(far, 6) AS far, round(frr, 6) AS frr FROM curve_sat""")
 def _(spark, folder):
     rows = vectors(spark, folder)
     rates = A.saturation_rates(epochs(rows), KEYS)
     attacked = rows.where("event_type = 'signup' AND tau >= 0.5")
-    return A.saturation_detector(rates, attacked, KEYS)
+    curve = A.saturation_detector(rates, attacked, KEYS)
+    return curve.select("subject", *[F.round(c, 6).alias(c) for c in ("threshold", "far", "frr")])
 
 
 @query("drift_frr", "WITH " + VECTORS + """,
@@ -240,10 +245,17 @@ def _(spark, folder):
     )
 
 
-@query("eer_by_intensity")
+@query("eer_by_intensity", "WITH RECURSIVE " + WIDE + """,
+mixed AS (SELECT * FROM (SELECT kv.*, unnest(['0.1', '0.5', '1.0']) AS grp FROM kv)
+  WHERE event_type <> 'error' OR (('0x' || substr(sha256(CAST(event_id AS VARCHAR)), 1, 8))::BIGINT % 10000) / 10000 < CAST(grp AS DOUBLE))"""
++ replay_sql("mixed") + """,
+scores AS (SELECT CAST(grp AS DOUBLE) AS subject, (event_type = 'error')::INTEGER AS label, score
+  FROM ew_mixed e JOIN (SELECT event_id, event_type FROM v) USING (event_id))""" + curve_sql("score", "mix") + """
+SELECT subject AS intensity, round(eer, 6) AS eer FROM eer_mix""")
 def _(spark, folder):
     rows = vectors(spark, folder)
-    return A.eer_by_intensity(
+    found = A.eer_by_intensity(
         rows, KEYS, ORDER, start(rows), "x",
-        F.col("event_type") == "error", [0.1, 0.5, 1.0], SETTINGS,
+        F.col("event_type") == "error", [0.1, 0.5, 1.0], SETTINGS, draw=["event_id"],
     )
+    return found.select("intensity", F.round("eer", 6).alias("eer"))

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cadentia.functions.scalars import DAY_SECONDS, DISPERSION_FLOOR, day_slot, q
+from cadentia.functions.scalars import DAY_SECONDS, DISPERSION_FLOOR, day_slot, q, sha256_text
 from cadentia.operators import evaluation as E
 from cadentia.operators import profiles as P
 from cadentia.operators.trust import BUFFER_SIZE, TAU_MIN, VERIFY_PASSKEY
@@ -550,19 +550,20 @@ def drift_frr(
 def eer_by_intensity(
     sessions: DataFrame, keys: Sequence[str], order: Sequence[str], start: DataFrame, vector: str,
     attack: Column, intensities: Sequence[float], settings: Settings | None = None,
-    policy: str = "P1",
+    policy: str = "P1", draw: Sequence[str] | None = None,
 ) -> DataFrame:
     """Per share of attacker sessions let in: the EER of sessions scored while adapting.
 
-    Which attacker sessions take part is drawn by a hash of the session, so a
-    higher intensity contains the lower ones.
+    Which attacker sessions take part is drawn by a digest of the ``draw`` columns
+    (keys and order unless named), so a higher intensity contains the lower ones.
     """
     settings = settings or Settings()
-    draw = F.pmod(F.xxhash64(*[q(c) for c in (*keys, *order)]), F.lit(10_000)) / 10_000
+    drawn = sha256_text([q(c).cast("string") for c in draw or (*keys, *order)])
+    share = F.conv(F.substring(drawn, 1, 8), 16, 10).cast("long") % 10_000 / 10_000
     every = F.explode(F.array(*[F.lit(float(i)) for i in intensities])).alias("intensity")
     mixed = (
         sessions.withColumn("_attack", attack.cast("int"))
-        .withColumn("_draw", draw)
+        .withColumn("_draw", share)
         .select("*", every)
         .where((F.col("_attack") == 0) | (F.col("_draw") < F.col("intensity")))
     )
