@@ -156,12 +156,34 @@ def _(spark, folder):
     return S.repeated_hashes(S.rolling_interval_hash(rows, ["user_id"], "pos", "hours", 4), ["user_id"])
 
 
-@query("session_clusters")
+def each(template, separator=", "):
+    return separator.join(template.replace("#", str(i)) for i in range(3))
+
+
+def apart(a, b):
+    return each(f"pow({a} - {b}, 2)", " + ")
+
+
+@query("session_clusters", "WITH RECURSIVE " + SESSIONS + f""",
+y AS (SELECT user_id, session_no, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 AS y0, count(*)::DOUBLE AS y1, count_if(event_type = 'error')::DOUBLE AS y2 FROM sess GROUP BY 1, 2),
+z AS (SELECT user_id, session_no, {each("CASE WHEN stddev_pop(y#) OVER u > 1e-9 THEN (y# - avg(y#) OVER u) / stddev_pop(y#) OVER u ELSE 0.0 END AS z#")} FROM y WINDOW u AS (PARTITION BY user_id)),
+fa AS (SELECT user_id, {each("z# AS a#")} FROM z QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY round({apart("z#", "0")}, 9) DESC, session_no) = 1),
+fb AS (SELECT user_id, {each("a#")}, {each("z# AS b#")} FROM z JOIN fa USING (user_id) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY round({apart("z#", "a#")}, 9) DESC, session_no) = 1),
+km AS (SELECT user_id, 0 AS it, {each("a#")}, {each("b#")} FROM fb
+  UNION ALL
+  SELECT user_id, it + 1, {each("coalesce(avg(z#) FILTER (NOT side), a#) AS a#")}, {each("coalesce(avg(z#) FILTER (side), b#) AS b#")}
+  FROM (SELECT user_id, it, {each("a#")}, {each("b#")}, {each("z#")}, round(({apart("z#", "a#")}) - ({apart("z#", "b#")}), 9) > 0 AS side FROM km JOIN z USING (user_id) WHERE it < 6)
+  GROUP BY user_id, it, {each("a#")}, {each("b#")}),
+fin AS (SELECT user_id, {apart("a#", "b#")} AS ab, {apart("z#", "a#")} AS da, {apart("z#", "b#")} AS db FROM z JOIN km USING (user_id) WHERE it = 6)
+SELECT user_id, count(*) AS sessions, round(least(avg((round(da - db, 9) > 0)::INTEGER), 1 - avg((round(da - db, 9) > 0)::INTEGER)), 6) AS minor_share,
+  CASE WHEN round(avg(least(da, db)), 9) > 0 THEN round(sqrt(any_value(ab)) / sqrt(round(avg(least(da, db)), 9)), 5) END AS separation
+FROM fin GROUP BY 1""")
 def _(spark, folder):
     found = S.session_aggregates(
         sessions(spark, folder), KEYS, "ts", "event_type", F.col("event_type") == "error"
     )
-    return S.session_clusters(found, "user_id", ["duration", "events", "corrections"])
+    split = S.session_clusters(found, "user_id", "session_no", ["duration", "events", "corrections"])
+    return split.select("user_id", "sessions", r("minor_share"), r("separation", 5))
 
 
 def trust_events(spark, folder):

@@ -207,27 +207,28 @@ def _(spark, folder):
     )
 
 
+def split_halves(rows):
+    """Held-out and scored halves by a hash of the order."""
+    side = F.pmod(F.xxhash64("order_id"), F.lit(2))
+    return rows.where(side == 0), rows.where(side == 1)
+
+
 @query("fit_fusion")
 def _(spark, folder):
-    rows = standardised(spark, folder)
-    weights, intercept = U.fit_fusion(rows, "label")
-    fitted = U.fuse_risk(rows, weights, intercept)
+    training, rest = split_halves(standardised(spark, folder))
+    weights, intercept = U.fit_fusion(training, "label")
+    fitted = U.fuse_risk(rest, weights, intercept)
     return fitted.groupBy("label").agg(F.count("*").alias("n"), F.avg("risk").alias("mean_risk"))
 
 
 @query("boosted_scores")
 def _(spark, folder):
     rows = standardised(spark, folder).select(*LINE, "label", *[f"z_{c}" for c in U.CHANNELS])
-    found = U.boosted_scores(rows, rows, "label", rounds=5)
+    training, rest = split_halves(rows)
+    found = U.boosted_scores(training, rest, "label")
     return found.groupBy("label").agg(F.count("*").alias("n"), F.avg("boosted").alias("mean_boosted"))
 
 
-def split_halves(rows):
-    """Held-out and scored halves by a hash of the order."""
-    side = F.pmod(F.xxhash64("order_id"), F.lit(2))
-    return rows.where(side == 0), rows.where(side == 1)
-
-
 @query("calibrate")
 def _(spark, folder):
     held, scored = split_halves(fused(spark, folder).select(*LINE, "label", "risk"))

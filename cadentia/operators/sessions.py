@@ -9,11 +9,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadentia.functions.scalars import DAY_SECONDS, day_slot, days_between, q, safe_ratio, sha256_text
+from cadentia.plans.joins import null_safe_join
 from cadentia.plans.ordered import running
 from cadentia.plans.quantiles import exact_quantiles
-
-# Values of the device class column; anything unknown counts as desktop.
-DEVICE_CLASSES = ("desktop", "mobile", "tablet")
+from cadentia.session import materialise
 
 
 def seconds_between(later: Column, earlier: Column) -> Column:
@@ -277,26 +276,58 @@ def repeated_hashes(hashed: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def session_clusters(vectors: DataFrame, user: str, names: Sequence[str], seed: int = 7) -> DataFrame:
+def session_clusters(
+    vectors: DataFrame, user: str, session: str, names: Sequence[str], rounds: int = 6
+) -> DataFrame:
     """Whether each user's sessions form one group or two.
 
-    Session vectors are centred on their user and standardised over all users,
-    and one KMeans with two centres splits them; the share of the smaller side
-    and the separation of the two means tell how two-fold a user is. One
-    distributed fit serves all users, instead of one fit for each.
+    Two-means for all users at once. Features are standardised within the user; the first
+    centre is the session furthest from the user's mean, the second the one furthest
+    from the first. A round joins the two centres of each user, one row a user, to the
+    sessions and averages both sides on the map side. Returns, per user, the number of sessions,
+    the share of the smaller side and ``separation``: how far the two means lie apart,
+    over the root mean square distance of sessions from their own mean (null if that is zero).
+    Missing features count as the user's mean.
     """
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import StandardScaler, VectorAssembler
-
-    means = vectors.groupBy(user).agg(*[F.avg(n).alias(f"_m_{n}") for n in names])
-    centred = vectors.join(means, user).select(
-        *[q(c) for c in vectors.columns], *[(q(n) - q(f"_m_{n}")).alias(f"_c_{n}") for n in names]
+    stats = vectors.groupBy(user).agg(
+        *[F.avg(n).alias(f"_m_{n}") for n in names], *[F.stddev_pop(n).alias(f"_s_{n}") for n in names]
+    )
+    scaled = [
+        F.coalesce(F.when(q(f"_s_{n}") > 1e-9, (q(n) - q(f"_m_{n}")) / q(f"_s_{n}")), F.lit(0.0)) for n in names
+    ]
+    rows = materialise(
+        null_safe_join(vectors.select(user, session, *names), stats, [user]).select(user, session, F.array(*scaled).alias("_z")),
+        "session-vectors",
     )
-    packed = VectorAssembler(inputCols=[f"_c_{n}" for n in names], outputCol="_raw").transform(centred)
-    scaled = StandardScaler(inputCol="_raw", outputCol="_scaled").fit(packed).transform(packed)
-    model = KMeans(k=2, seed=seed, featuresCol="_scaled", predictionCol="cluster").fit(scaled)
-    found = model.transform(scaled)
-    share = F.avg(F.col("cluster").cast("double"))
-    return found.groupBy(user).agg(
-        F.count("*").alias("sessions"), F.least(share, 1 - share).alias("minor_share")
+    width = len(names)
+
+    def distance(a: str, b: str) -> Column:
+        return reduce(lambda x, y: x + y, [F.pow(F.get(a, F.lit(i)) - F.get(b, F.lit(i)), F.lit(2)) for i in range(width)])
+
+    def furthest(df: DataFrame, others: Sequence[str], origin: str) -> DataFrame:
+        # Rounded, so that the smaller session wins ties whatever the order of a sum.
+        by = F.struct(-F.round(distance("_z", origin), 9), q(session))
+        return df.groupBy(user).agg(*[F.first(c).alias(c) for c in others], F.min_by("_z", by).alias("_far"))
+
+    from_mean = rows.withColumn("_o", F.array(*[F.lit(0.0)] * width))
+    first = furthest(from_mean, (), "_o").withColumnRenamed("_far", "_a")
+    centres = furthest(null_safe_join(rows, first, [user]), ("_a",), "_a").withColumnRenamed("_far", "_b")
+    second = F.round(distance("_z", "_a") - distance("_z", "_b"), 9) > 0
+
+    def mean_of(side: Column, old: str) -> Column:
+        parts = [F.coalesce(F.avg(F.when(side, F.get("_z", F.lit(i)))), F.first(F.get(old, F.lit(i)))) for i in range(width)]
+        return F.array(*parts)
+
+    for _ in range(rounds):
+        centres = materialise(centres, "two-means")
+        centres = null_safe_join(rows, centres, [user]).groupBy(user).agg(
+            mean_of(~second, "_a").alias("_a"), mean_of(second, "_b").alias("_b")
+        )
+    placed = null_safe_join(rows, materialise(centres, "two-means"), [user])
+    share = F.avg(second.cast("double"))
+    own = F.avg(F.least(distance("_z", "_a"), distance("_z", "_b")))
+    return placed.groupBy(user).agg(
+        F.count("*").alias("sessions"),
+        F.least(share, 1 - share).alias("minor_share"),
+        safe_ratio(F.sqrt(F.first(distance("_a", "_b"))), F.sqrt(F.round(own, 9))).alias("separation"),
     )
