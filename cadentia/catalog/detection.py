@@ -341,6 +341,10 @@ def eers(spark, folder, scaling="mad"):
     )
 
 
+def both_eers(spark, folder):
+    return E.evaluate_scalings(obs(spark, folder), "subject", ORDER, n_enrol=N_ENROL, k=K_IMPOSTOR)
+
+
 @query("evaluate_std", BOTH_CURVES + " SELECT subject, round(eer, 6) AS eer FROM eer_std")
 def _(spark, folder):
     return eers(spark, folder, "std").select("subject", rounded("eer"))
@@ -349,14 +353,14 @@ def _(spark, folder):
 @query("compare_scalings", BOTH_CURVES + """
 SELECT m.subject, round(m.eer, 6) AS eer_mad, round(s.eer, 6) AS eer_std FROM eer_mad m JOIN eer_std s ON m.subject = s.subject""")
 def _(spark, folder):
-    both = E.compare_scalings(eers(spark, folder), eers(spark, folder, "std"))
+    both = both_eers(spark, folder)
     return both.select("subject", rounded("eer_mad"), rounded("eer_std"))
 
 
 @query("write_eer_table", BOTH_CURVES + """
 SELECT m.subject, round(m.eer, 6) AS eer_mad, round(s.eer, 6) AS eer_std FROM eer_mad m JOIN eer_std s ON m.subject = s.subject""")
 def _(spark, folder):
-    both = E.compare_scalings(eers(spark, folder), eers(spark, folder, "std"))
+    both = both_eers(spark, folder)
     path = O.write_eer_table(both, scratch_path(spark, "eer"))
     back = O.read_observations(spark, path, both.select("subject", "eer_mad", "eer_std").schema)
     return back.select("subject", rounded("eer_mad"), rounded("eer_std"))
@@ -411,7 +415,7 @@ m AS (SELECT (SELECT avg(eer) FROM eer_mad) AS a, (SELECT avg(eer) FROM eer_std)
 SELECT round(a, 6) AS mean_mad, round(b, 6) AS mean_std, round(a - 0.0962, 6) AS delta_mad, round(b - 0.0962, 6) AS delta_std,
        CASE WHEN a < b THEN 'mad' ELSE 'std' END AS better, round(abs(a - b), 6) AS margin FROM m""")
 def _(spark, folder):
-    both = E.compare_scalings(eers(spark, folder), eers(spark, folder, "std"))
+    both = both_eers(spark, folder)
     d = E.baseline_delta(both)
     numbers = [c for c in d.columns if c != "better"]
     return d.select(*[rounded(c) for c in numbers], "better")

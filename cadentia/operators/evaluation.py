@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadentia.functions.scalars import clip01, crossing_weight, magnitude_slot, q
+from cadentia.functions.scalars import DISPERSION_FLOOR, clip01, crossing_weight, magnitude_slot, q
 from cadentia.operators import profiles as P
 from cadentia.operators import splits as S
 from cadentia.plans.ordered import running
@@ -216,34 +216,72 @@ def baseline_delta(comparison: DataFrame, published: float = PUBLISHED_EER) -> D
     )
 
 
-def protocol_scores(
+def scaled_scores(
     df: DataFrame,
     subject: str,
     order: Sequence[str],
     vector: str = P.VECTOR,
-    scaling: str = "mad",
+    scalings: Sequence[str] = ("mad",),
     n_enrol: int = S.ENROLMENT_REPETITIONS,
     k: int = S.IMPOSTOR_REPETITIONS,
     slot: Column | None = None,
 ) -> DataFrame:
-    """``subject, label, score`` of the whole one-versus-rest protocol.
+    """``subject, label`` and one ``score_<scaling>`` per scaling, for the whole one-versus-rest protocol.
 
-    Subjects without a genuine test row are left out as targets; list them with
+    All scalings share the split, the fit and the pairs: a pair is formed once and scored by
+    each. Subjects without a genuine test row are left out as targets; list them with
     ``insufficient_subjects`` or refuse them with ``require_repetitions``.
     """
-    split = S.enrolment_split(df, subject, order, n_enrol, slot)
+    split = materialise(
+        S.enrolment_split(df, subject, order, n_enrol, slot).select(
+            q(subject).alias("subject"), *[q(c) for c in order if c != subject], q(vector).alias("_v"), "role"
+        ),
+        "split",
+    )
+    by = ["subject" if c == subject else c for c in order]
     enrolled = split.where(F.col("role") == "enrolment")
-    fitted = materialise(P.fit_profiles(enrolled, subject, vector, scaling), "profiles")
-    genuine = P.anomaly_score(split.where(F.col("role") == "genuine"), fitted, subject, vector)
-    heads = S.head_per_subject(df, subject, order, k, slot)
-    tested = df.groupBy(q(subject)).agg(F.count("*").alias("_n")).where(F.col("_n") > n_enrol)
-    targets = fitted.join(tested.select(q(subject)), subject, "left_semi")
-    impostor = impostor_pairs(heads, targets, subject, vector)
-    return label_scores(genuine.select(q(subject).alias("subject"), "score"), impostor)
+    spreads = P.fit_spreads(enrolled, "subject", "_v", scalings).where(F.col("n") >= 2)
+    floored = [F.transform(c, lambda s: F.greatest(s, F.lit(DISPERSION_FLOOR))).alias(c) for c in scalings]
+    fitted = materialise(spreads.select("subject", "centre", *floored), "profiles")
+
+    def scored(rows: DataFrame, label: int) -> DataFrame:
+        distances = [P.score_of(F.col("_v"), F.col("centre"), F.col(c)).alias(f"score_{c}") for c in scalings]
+        return rows.select("subject", F.lit(label).alias("label"), *distances)
+
+    genuine = split.where(F.col("role") == "genuine").join(fitted, "subject")
+    heads = S.head_per_subject(split, "subject", by, k, slot).select(F.col("subject").alias("impostor"), "_v")
+    tested = split.groupBy("subject").agg(F.count("*").alias("_n")).where(F.col("_n") > n_enrol)
+    targets = fitted.join(tested.select("subject"), "subject", "left_semi")
+    pairs = grid_pairs(targets, heads, "subject", "impostor", F.col("subject") != F.col("impostor"))
+    return scored(genuine, GENUINE).unionByName(scored(pairs, IMPOSTOR))
+
+
+def protocol_scores(
+    df: DataFrame, subject: str, order: Sequence[str], vector: str = P.VECTOR, scaling: str = "mad", **options
+) -> DataFrame:
+    """``subject, label, score`` of the protocol under one scaling."""
+    made = scaled_scores(df, subject, order, vector, (scaling,), **options)
+    return made.withColumnRenamed(f"score_{scaling}", "score")
 
 
 def evaluate(df: DataFrame, subject: str, order: Sequence[str], **options) -> DataFrame:
-    """Per-subject equal error rates; ``options`` as in :func:`protocol_scores`."""
-    # Two passes read the scores, and a pair score costs more than its 20 bytes on disk.
-    scores = materialise(protocol_scores(df, subject, order, **options), "scores")
-    return equal_error_rate(scores)
+    """Per-subject equal error rates; ``options`` as in :func:`protocol_scores`.
+
+    The scores of all pairs are counted in the task that forms them and never stored;
+    forming them a second time resolves the slot in which the rates cross.
+    """
+    return equal_error_rate(protocol_scores(df, subject, order, **options))
+
+
+def evaluate_scalings(
+    df: DataFrame, subject: str, order: Sequence[str], scalings: Sequence[str] = P.SCALINGS, **options
+) -> DataFrame:
+    """``subject`` and one ``eer_<scaling>`` per scaling, from one run of the protocol."""
+    made = scaled_scores(df, subject, order, scalings=scalings, **options)
+    each = F.inline(F.array(*[F.struct(F.lit(c).alias("_by"), F.col(f"score_{c}").alias("score")) for c in scalings]))
+    long = made.select("subject", "label", each)
+    keyed = long.select(F.struct("subject", "_by").alias("subject"), "label", "score")
+    rates = equal_error_rate(keyed)
+    return rates.groupBy(F.col("subject.subject").alias("subject")).agg(
+        *[F.max(F.when(F.col("subject._by") == c, F.col("eer"))).alias(f"eer_{c}") for c in scalings]
+    )

@@ -30,10 +30,12 @@ def fit_centres(
 ) -> DataFrame:
     """Mean per feature as array ``centre`` with the row count ``n``.
 
-    With ``spread`` also the sample standard deviations, from the same pass.
+    With ``spread`` also the sample standard deviations, from the same pass. A vector that
+    is null or holds null or NaN, and keys whose vectors differ in length, fail the job
+    with the key in the message.
     """
     keys = as_keys(subject)
-    cells = df.select(*[q(k) for k in keys], F.posexplode(q(vector)).alias("_pos", "_x"))
+    cells = df.select(*[q(k) for k in keys], F.posexplode(_filled(vector, keys)).alias("_pos", "_x"))
     stats = [F.count("*").alias("n"), F.avg("_x").alias("centre")]
     if spread:
         stats.append(F.stddev_samp("_x").alias("std"))
@@ -41,13 +43,26 @@ def fit_centres(
     return _gather(per_cell, keys, ["centre", "std"] if spread else ["centre"])
 
 
+def _named(keys: Sequence[str], what: str) -> Column:
+    """Fails the job where it is evaluated; says which key it was."""
+    shown = F.concat_ws(", ", *[F.coalesce(q(k).cast("string"), F.lit("null")) for k in keys])
+    return F.raise_error(F.concat(F.lit(f"{what}, key ({', '.join(keys)}) = "), shown))
+
+
+def _filled(vector: str, keys: Sequence[str]) -> Column:
+    gap = q(vector).isNull() | F.exists(q(vector), lambda x: x.isNull() | F.isnan(x.cast("double")))
+    return F.when(gap, _named(keys, f"{vector} with a missing feature")).otherwise(q(vector))
+
+
 def _gather(per_cell: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
     """Rows (keys, _pos, n, values) to arrays in position order, one row per key.
 
     The arrays are as long as the feature list, whatever the number of rows.
     """
     packed = F.array_sort(F.collect_list(F.struct("_pos", *names)))
-    grouped = per_cell.groupBy(*keys).agg(F.max("n").alias("n"), packed.alias("_cells"))
+    least, most = F.min("n"), F.max("n")
+    even = F.when(least == most, most).otherwise(_named(keys, "vectors of different lengths"))
+    grouped = per_cell.groupBy(*keys).agg(even.alias("n"), packed.alias("_cells"))
     return grouped.select(*keys, "n", *[F.col(f"_cells.{name}").alias(name) for name in names])
 
 
@@ -165,7 +180,11 @@ def anomaly_score(df, profiles, subject, vector: str = VECTOR) -> DataFrame:
     """Rows plus ``score`` against their own subject's profile; higher is less alike."""
     score = score_of(q(vector), F.col("centre"), F.col("dispersion"))
     joined = with_profile(df, profiles, subject)
-    return joined.withColumn("score", score).drop("centre", "dispersion")
+    fits = F.size(q(vector)) == F.size("centre")
+    wrong = _named(as_keys(subject), f"{vector} is not as long as the profile")
+    # A null vector has size null and scores null.
+    checked = F.when(fits | q(vector).isNull(), score).otherwise(wrong)
+    return joined.withColumn("score", checked).drop("centre", "dispersion")
 
 
 def ranked(values: Column, count: int) -> Column:
