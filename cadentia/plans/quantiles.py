@@ -19,16 +19,16 @@ def exact_quantiles(
     First a histogram over value slots finds the slots that hold the wanted
     ranks; only rows of those slots are then counted by value. Both steps
     combine on the map side, so a hot key costs no more than a cold one. Null
-    values do not count, NaN is larger than every number, and null is a key.
+    values do not count, a key with nothing else has null quantiles, NaN is larger
+    than every number, and null is a key.
     """
     for p in probabilities.values():
         if not 0.0 <= p <= 1.0:
             raise ValueError(f"probability {p} is outside [0, 1]")
     keys = list(keys)
-    rows = df.select(*keys, F.col(value).cast("double").alias("_x")).where(
-        F.col("_x").isNotNull()
-    ).withColumn("_slot", magnitude_slot(F.col("_x")))
-    histogram = rows.groupBy(*keys, "_slot").agg(F.count("*").alias("_n"))
+    rows = df.select(*keys, F.col(value).cast("double").alias("_x")).withColumn("_slot", magnitude_slot(F.col("_x")))
+    # Null values share a slot of their own that counts none.
+    histogram = rows.groupBy(*keys, "_slot").agg(F.count("_x").alias("_n"))
     by_slot = Window.partitionBy(*keys).orderBy("_slot")
     everything = Window.partitionBy(*keys)
     counted = histogram.withColumn(
@@ -64,6 +64,7 @@ def exact_quantiles(
             hit = F.when(holds(rank, first, F.col("_end")), F.col("_x"))
             picks.append(F.max(hit).alias(f"_{side}_{name}"))
     found = ranked.groupBy(*keys).agg(F.max("_total").alias("_total"), *picks)
+    empty = counted.where(F.col("_total") == 0).select(*keys, *[F.lit(None).cast("double").alias(n) for n in probabilities])
     return found.select(
         *keys,
         *[
@@ -73,4 +74,4 @@ def exact_quantiles(
             ).alias(name)
             for name, p in probabilities.items()
         ],
-    )
+    ).unionByName(empty)

@@ -29,7 +29,8 @@ def route_events(events: DataFrame, root: str, batch: int = 0) -> None:
 
     All events reach the lake, partitioned by date. The rebalance hint lets Spark
     give a busy date several files and several quiet dates one task. The other
-    two targets read the lake back, so upstream runs once. Every target is also
+    two targets read the batch back, so upstream runs once; only the folders of
+    this batch are listed for that. Below the date every target is
     partitioned by ``batch``: writing a batch again replaces it, which makes a
     replay after a failure harmless.
     """
@@ -43,9 +44,13 @@ def route_events(events: DataFrame, root: str, batch: int = 0) -> None:
             .parquet(f"{root}/{target}")
         )
 
-    write(dated.hint("rebalance", "date"), "lake", ["batch", "date"])
+    write(dated.hint("rebalance", "date"), "lake", ["date", "batch"])
     spark = events.sparkSession
-    landed = spark.read.schema(dated.schema).parquet(f"{root}/lake").where(F.col("batch") == batch)
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/lake/date=*/batch={batch}")
+    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(hadoop):
+        return  # an empty batch
+    lake = spark.read.schema(dated.schema).option("basePath", f"{root}/lake")
+    landed = lake.parquet(f"{root}/lake/date=*/batch={batch}")
     write(landed.where(adaptation_rule()), "adaptation", ["batch"])
     write(landed.where(alert_rule()), "alerts", ["batch"])
 
@@ -73,6 +78,26 @@ def retention(df: DataFrame, kind: str, as_of: dt.datetime | str, ts: str = "ts"
     return df.where(F.col(ts) > limit)
 
 
+def expire(spark: SparkSession, root: str, kind: str, as_of: dt.date | str) -> list[str]:
+    """Delete the date partitions of ``{root}/lake`` whose every row has expired; returns their dates.
+
+    A partition goes once its last moment is out of the kind's time; rows that expire
+    within a partition that stays are hidden by :func:`retention`.
+    """
+    limit = dt.date.fromisoformat(str(as_of)[:10]) - dt.timedelta(days=RETENTION_DAYS[kind])
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    folder = hadoop(f"{root}/lake/date=*")
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    gone = []
+    for status in files.globStatus(folder) or ():
+        date = status.getPath().getName().removeprefix("date=")
+        # Rows without a time have a partition of their own and do not expire.
+        if date[:1].isdigit() and dt.date.fromisoformat(date) < limit:
+            files.delete(status.getPath(), True)
+            gone.append(date)
+    return sorted(gone)
+
+
 def publish_features(df: DataFrame, path: str, computed_at: str, keys: Sequence[str]) -> str:
     """Add one snapshot, stamped ``computed_at``; re-publishing replaces that snapshot only.
 
