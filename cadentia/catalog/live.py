@@ -10,7 +10,7 @@ from cadentia.catalog.registry import query
 from cadentia.catalog.views import EVENTS, events, table
 from cadentia.operators import profiles as P
 from cadentia.operators.adaptation import Settings
-from cadentia.session import scratch_path
+from cadentia.session import materialise, scratch_path
 from cadentia.sources import lake
 from cadentia.streaming import streams as L
 
@@ -35,7 +35,8 @@ d AS (SELECT ev.user_id, any_value(c0) AS c0, any_value(c1) AS c1, greatest(avg(
       FROM ev JOIN m ON ev.user_id = m.user_id GROUP BY 1)
 SELECT event_id, round(abs(value - c0) / d0 + abs(hour(ts) - c1) / d1, 6) AS score FROM ev JOIN d ON ev.user_id = d.user_id""")
 def _(spark, folder):
-    profiles = P.fit_profiles(measured(events(spark, folder)), "user_id", "x")
+    # Stored once; a micro-batch joins the table and does not fit again.
+    profiles = materialise(P.fit_profiles(measured(events(spark, folder)), "user_id", "x"), "profiles")
     scored = L.stream_score(measured(stream(spark, folder)), profiles, "user_id", "x")
     done = L.run_to_table(scored.select("event_id", "score"), scratch_path(spark, "scored"), "scores")
     return done.select("event_id", F.round("score", 6).alias("score"))
@@ -60,20 +61,37 @@ def _(spark, folder):
     return done.select("user_id", "event_type")
 
 
+def step_profiles(spark, folder):
+    """Per user: centre and spread of value, correction, and hours since the day's first event."""
+    ev = events(spark, folder).withColumn("day", F.to_date("ts"))
+    begins = ev.groupBy("user_id", "day").agg(F.min("ts").alias("begin"))
+    hours = (F.unix_micros("ts") - F.unix_micros("begin")) / 3.6e9
+    fix = (F.col("event_type") == "error").cast("double")
+    rows = ev.join(begins, ["user_id", "day"]).select("user_id", F.array("value", fix, hours).alias("x"))
+    return materialise(P.fit_profiles(rows, "user_id", "x"), "step-profiles")
+
+
 @query("stream_checkpoints", "WITH " + EVENTS + """,
-a AS (SELECT *, CAST(ts AS DATE) AS day, count(*) OVER w AS n, avg(value) OVER w AS mv, avg(CASE WHEN event_type = 'error' THEN 1.0::DOUBLE ELSE 0 END) OVER w AS cr,
+dy AS (SELECT *, CAST(ts AS DATE) AS day, (event_type = 'error')::INTEGER::DOUBLE AS fix FROM ev),
+px AS (SELECT user_id, value, fix, (epoch_us(ts) - epoch_us(min(ts) OVER (PARTITION BY user_id, day))) / 3.6e9 AS hrs FROM dy),
+pm AS (SELECT user_id, avg(value) AS m0, avg(fix) AS m1, avg(hrs) AS m2 FROM px GROUP BY 1 HAVING count(*) >= 2),
+pf AS (SELECT user_id, any_value(m0) AS m0, any_value(m1) AS m1, any_value(m2) AS m2, greatest(avg(abs(value - m0)), 1e-4) AS s0,
+         greatest(avg(abs(fix - m1)), 1e-4) AS s1, greatest(avg(abs(hrs - m2)), 1e-4) AS s2 FROM px JOIN pm USING (user_id) GROUP BY 1),
+a AS (SELECT *, count(*) OVER w AS n, avg(value) OVER w AS mv, avg(fix) OVER w AS cr,
         (epoch_us(ts) - epoch_us(first_value(ts) OVER w)) / 3.6e9 AS hrs
-      FROM ev WINDOW w AS (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)),
-s AS (SELECT *, abs(mv - 50) / 25 + abs(cr - 0.2) / 0.2 + abs(hrs - 4) / 4 AS score FROM a WHERE event_type <> 'error')
+      FROM dy WINDOW w AS (PARTITION BY user_id, day ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)),
+s AS (SELECT *, abs(mv - m0) / s0 + abs(cr - m1) / s1 + abs(hrs - m2) / s2 AS score FROM a LEFT JOIN pf USING (user_id)
+      WHERE event_type <> 'error' AND epoch_ms(ts) < (SELECT max(epoch_ms(ts)) - 3600000 FROM ev))
 SELECT event_id, CASE event_type WHEN 'signup' THEN 'login' WHEN 'view' THEN 'payee' WHEN 'click' THEN 'amount' ELSE 'confirm' END AS checkpoint, n AS events,
-  round(score, 5) AS score, CASE WHEN event_type = 'purchase' AND score >= 5 THEN 'restrict' WHEN score >= 3 THEN 'step_up' ELSE 'allow' END AS action FROM s""")
+  round(score, 5) AS score, CASE WHEN score IS NULL THEN 'step_up' WHEN event_type = 'purchase' AND score >= 8 THEN 'block'
+    WHEN event_type = 'purchase' AND score >= 5 THEN 'restrict' WHEN score >= 3 THEN 'step_up' ELSE 'allow' END AS action FROM s""")
 def _(spark, folder):
     steps = stream(spark, folder).select(
-        "event_id", "user_id", "ts", F.to_date("ts").alias("day"), F.unix_micros("ts").cast("double").alias("us"),
+        "event_id", "user_id", "ts", F.to_date("ts").alias("day"), (F.unix_micros("ts") / 1e6).alias("at"),
         "value", F.when(F.col("event_type") == "error", "correction").otherwise(F.col("event_type")).alias("step"),
-    ).withColumn("at", F.col("us") / 1e6).drop("us")
+    )
     found = L.stream_checkpoints(
-        steps, ["user_id", "day"], STEPS, [50.0, 0.2, 4.0], [25.0, 0.2, 4.0], step_up=3.0, restrict=5.0
+        steps, step_profiles(spark, folder), "user_id", ["user_id", "day"], STEPS, step_up=3.0, restrict=5.0, block=8.0
     )
     done = L.run_to_table(found, scratch_path(spark, "checkpoints"), "scores")
     return done.select("event_id", "checkpoint", "events", F.round("score", 5).alias("score"), "action")

@@ -19,7 +19,7 @@ from cadentia.operators.adaptation import (
 )
 from cadentia.sources import lake
 
-# The four scoring points of a session; only the last may restrict.
+# The four scoring points of a session; only the last may restrict or block.
 CHECKPOINTS = ("login", "payee", "amount", "confirm")
 FINAL_CHECKPOINT = "confirm"
 SESSION_TTL_MS = 24 * 3600 * 1000
@@ -78,57 +78,91 @@ def stream_dedup(stream: DataFrame, keys: Sequence[str], ts: str, within: str) -
 
 
 def stream_checkpoints(
-    stream: DataFrame, session: Sequence[str], steps: Mapping[str, str], centre: Sequence[float],
-    dispersion: Sequence[float], step_up: float, restrict: float, ts: str = "ts", late: str = "1 hour",
+    stream: DataFrame, profiles: DataFrame, user: str, session: Sequence[str], steps: Mapping[str, str],
+    step_up: float, restrict: float, block: float, ts: str = "ts", late: str = "1 hour",
 ) -> DataFrame:
-    """Score each session at its checkpoints with all evidence so far.
+    """Score each session at its checkpoints with all evidence so far, against the user's own profile.
 
     Reads ``event_id``, ``ts``, ``at`` (the same in epoch seconds), ``step`` and ``value``; ``steps``
-    maps a step to a checkpoint. Features are the mean value, the share of
-    corrections and the hours since the start. Before the last checkpoint the
-    action is at most step_up. A session's state is four numbers and expires a
-    day of event time after its last event.
+    maps a step to a checkpoint; ``profiles`` holds user, ``centre`` and ``dispersion``. Features are
+    the mean value, the share of corrections and the hours since the start. Only at
+    the last checkpoint may the action be restrict or block. A user without a profile
+    has no score and is stepped up.
+
+    Rows wait in the state until the watermark has passed them and are then taken by time, so the
+    result does not depend on how events are dealt to triggers or files; rows later than ``late``
+    are dropped by the watermark. A session's state is its profile, four numbers and
+    the rows of the last ``late`` span, and expires a day of event time after its last event.
     """
     use_rocksdb(stream.sparkSession)
-    middle, scale = np.asarray(centre), np.asarray(dispersion)
     names = [*session, "event_id", "checkpoint", "events", "score", "action"]
+    known = stream.join(profiles.select(user, "centre", "dispersion"), user, "left")
 
     def accumulate(key: tuple, parts: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        n, total, corrections, since, middle, scale, *held = state.get if state.exists else (0, 0.0, 0, None, None, None, [], [], [], [])
+        waiting = list(zip(*held, strict=True))
+        if state.hasTimedOut and not waiting:
             state.remove()
             return
-        n, total, corrections, since = state.get if state.exists else (0, 0.0, 0, None)
+        if not state.hasTimedOut:
+            for part in parts:
+                for row in part.itertuples(index=False):
+                    middle, scale = row.centre, row.dispersion
+                    waiting.append((float(row.at), int(row.event_id), row.step, float(row.value)))
+        waiting.sort(key=lambda w: w[:2])
+        mark = state.getCurrentWatermarkMs()
+        ready = [w for w in waiting if milliseconds(w[0]) < mark]
+        last = waiting[-1][0]
         out = []
-        for row in in_order(parts):
-            since = row.at if since is None else since
-            n, total, corrections = n + 1, total + row.value, corrections + int(row.step == "correction")
-            name = steps.get(row.step)
+        for at, event, step, value in ready:
+            since = at if since is None else since
+            n, total, corrections = n + 1, total + value, corrections + int(step == "correction")
+            name = steps.get(step)
             if name is None:
                 continue
-            seen = np.array([total / n, corrections / n, (row.at - since) / 3600])
-            score = float(np.abs((seen - middle) / scale).sum())
-            if name == FINAL_CHECKPOINT and score >= restrict:
-                action = "restrict"
-            else:
-                action = "step_up" if score >= step_up else "allow"
-            out.append((*key, int(row.event_id), name, n, score, action))
-        state.update((n, total, corrections, since))
-        ends = int(row.at * 1000) + SESSION_TTL_MS
-        state.setTimeoutTimestamp(max(ends, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=names)
+            if middle is None:
+                out.append((*key, event, name, n, None, "step_up"))
+                continue
+            seen = np.array([total / n, corrections / n, (at - since) / 3600])
+            score = float(np.abs((seen - np.asarray(middle)) / np.asarray(scale)).sum())
+            out.append((*key, event, name, n, score, action_at(name, score, step_up, restrict, block)))
+        waiting = waiting[len(ready):]
+        lists = [list(c) for c in zip(*waiting, strict=True)] or [[], [], [], []]
+        arrays = (None, None) if middle is None else (list(map(float, middle)), list(map(float, scale)))
+        state.update((n, total, corrections, since, *arrays, *lists))
+        wake = milliseconds(waiting[0][0]) if waiting else milliseconds(last) + SESSION_TTL_MS
+        state.setTimeoutTimestamp(max(wake, mark + 1))
+        if out:
+            yield pd.DataFrame(out, columns=names).astype({"score": "float64"})
 
-    kept = "n long, total double, corrections long, since double"
+    kept = (
+        "n long, total double, corrections long, since double, centre array<double>, dispersion array<double>, "
+        "ats array<double>, ids array<long>, steps array<string>, amounts array<double>"
+    )
     fields = [stream.schema[k] for k in session]
     schema = T.StructType(
         [*fields, T.StructField("event_id", T.LongType()), T.StructField("checkpoint", T.StringType()),
          T.StructField("events", T.LongType()), T.StructField("score", T.DoubleType()),
          T.StructField("action", T.StringType())]
     )
-    return stream.withWatermark(ts, late).groupBy(*session).applyInPandasWithState(
+    return known.withWatermark(ts, late).groupBy(*session).applyInPandasWithState(
         accumulate, schema, kept, "Append", GroupStateTimeout.EventTimeTimeout
     )
 
 
+def milliseconds(at: float) -> int:
+    """Whole milliseconds of epoch seconds, as the watermark counts them."""
+    return round(at * 1e6) // 1000
+
+
+def action_at(checkpoint: str, score: float, step_up: float, restrict: float, block: float) -> str:
+    if checkpoint == FINAL_CHECKPOINT and score >= block:
+        return "block"
+    if checkpoint == FINAL_CHECKPOINT and score >= restrict:
+        return "restrict"
+    return "step_up" if score >= step_up else "allow"
+
+
 def in_order(parts: Iterable[pd.DataFrame]):
     """A key's rows of one micro-batch by time; the trigger bounds how many there are."""
     arrived = pd.concat(list(parts)).sort_values(["at", "event_id"])
