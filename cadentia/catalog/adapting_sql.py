@@ -46,10 +46,10 @@ cum_{members} AS (SELECT *, sum(w) OVER (PARTITION BY {key}, pos ORDER BY d ROWS
 mad_{members} AS (SELECT {key}, pos, min(d) AS s FROM cum_{members} WHERE cw >= tw / 2 * (1 - 1e-12) GROUP BY {key}, pos)"""
 
 
-def anchor_sql(every: int, size: int, budgets: str) -> str:
-    """CTE ``ra``: one row per key, budget and epoch, epoch 0 being the enrolment profile."""
+def anchor_sql(every: int, size: int, budgets: str, only: str = "true") -> str:
+    """CTE ``ra``: one row per key, budget and epoch, epoch 0 being the enrolment profile; ``only`` limits the admitted."""
     return f""",
-adm AS (SELECT {KEY}, ts, tau AS w, {each('x#')}, row_number() OVER (PARTITION BY {KEY} ORDER BY ts, event_id) AS no FROM kv WHERE tau >= 0.5),
+adm AS (SELECT {KEY}, ts, tau AS w, {each('x#')}, row_number() OVER (PARTITION BY {KEY} ORDER BY ts, event_id) AS no FROM kv WHERE tau >= 0.5 AND {only}),
 due AS (SELECT {KEY}, unnest(range(1, n // {every} + 1)) AS epoch FROM (SELECT {KEY}, max(no) AS n FROM adm GROUP BY 1, 2)),
 em AS (SELECT adm.*, epoch FROM adm JOIN due USING ({KEY}) WHERE no <= epoch * {every} AND no > epoch * {every} - {size})
 {median_sql('em')},

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cadentia.catalog import adapting
+from cadentia.catalog.adapting_sql import KEY, WIDE, anchor_sql
 from cadentia.catalog.deciding import ROUTED_TOTALS, routed_totals
 from cadentia.catalog.registry import query
 from cadentia.catalog.views import EVENTS, events, table
@@ -97,13 +98,17 @@ def _(spark, folder):
     return done.select("event_id", "checkpoint", "events", F.round("score", 5).alias("score"), "action")
 
 
-@query("stream_adapt")
+PASSED = "epoch_ms(ts) < (SELECT max(epoch_ms(ts)) - 3600000 FROM v WHERE tau >= 0.5)"
+
+
+@query("stream_adapt", "WITH RECURSIVE " + WIDE + anchor_sql(5, 20, "0.5", PASSED) + f"""
+SELECT {KEY}, epoch, round(displacement, 5) AS displacement, saturated, re_anchored FROM ra WHERE epoch > 0""")
 def _(spark, folder):
     rows = adapting.vectors(spark, folder)
     begun = adapting.start(rows)
     path = scratch_path(spark, "verified")
     rows.select(
-        *adapting.KEYS, "event_id", (F.unix_micros("ts") / 1e6).alias("at"), "x", "tau"
+        *adapting.KEYS, "event_id", "ts", (F.unix_micros("ts") / 1e6).alias("at"), "x", "tau"
     ).write.parquet(path)
     schema = spark.read.parquet(path).schema
     verified = spark.readStream.schema(schema).parquet(path)

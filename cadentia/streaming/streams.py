@@ -163,41 +163,50 @@ def action_at(checkpoint: str, score: float, step_up: float, restrict: float, bl
     return "step_up" if score >= step_up else "allow"
 
 
-def in_order(parts: Iterable[pd.DataFrame]):
-    """A key's rows of one micro-batch by time; the trigger bounds how many there are."""
-    arrived = pd.concat(list(parts)).sort_values(["at", "event_id"])
-    return arrived.itertuples(index=False)
-
-
 def stream_adapt(
-    verified: DataFrame, start: DataFrame, keys: Sequence[str], settings: Settings
+    verified: DataFrame, start: DataFrame, keys: Sequence[str], settings: Settings, ts: str = "ts", late: str = "1 hour",
 ) -> DataFrame:
     """Robust adaptation as a stream: one row per recomputed profile.
 
-    ``verified`` holds ``event_id``, ``at`` (epoch seconds), ``x`` and ``tau``;
-    ``start`` the enrolment profiles. Sessions without enough trust never reach
-    the state, and the state of a key is one buffer and one anchor.
+    ``verified`` holds ``event_id``, ``ts``, ``at`` (the same in epoch seconds), ``x`` and ``tau``;
+    ``start`` the enrolment profiles. Sessions without enough trust never reach the
+    state. Rows wait until the watermark has passed them and are then taken by time, so the
+    result does not depend on triggers. The state of a key is one buffer, one anchor and the rows of
+    the last ``late`` span; a key that is silent for the life of a buffer keeps its anchor only.
     """
     use_rocksdb(verified.sparkSession)
-    trusted = verified.where(F.col("tau") >= settings.tau_min).join(
-        start.select(*keys, "centre", "dispersion"), list(keys)
-    )
+    # Filtered first, so that the watermark follows the sessions that count.
+    admitted_rows = verified.where(F.col("tau") >= settings.tau_min).withWatermark(ts, late)
+    trusted = admitted_rows.join(start.select(*keys, "centre", "dispersion"), list(keys))
     names = [*keys, "epoch", "centre", "dispersion", "displacement", "saturated", "re_anchored"]
+    life = lake.RETENTION_DAYS["buffer"] * 86_400_000
 
     def adapt(key: tuple, parts: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        points, weights, anchor, spread = [], [], None, None
+        points, weights, anchor, spread, waiting = [], [], None, None, []
         admitted, calm_since, vouched = 0, None, 0
         if state.exists:
-            admitted, flat, weights, anchor, spread, calm_since, vouched = state.get
+            admitted, flat, weights, anchor, spread, calm_since, vouched, *held, flat_held = state.get
             anchor, spread, weights = np.asarray(anchor), np.asarray(spread), list(weights)
             points = list(np.asarray(flat, dtype=float).reshape(len(weights), len(anchor)))
+            vectors = np.asarray(flat_held, dtype=float).reshape(len(held[0]), len(anchor))
+            waiting = list(zip(*held, vectors, strict=True))
+        if state.hasTimedOut and not waiting:
+            points, weights = [], []
+        if not state.hasTimedOut:
+            for part in parts:
+                for row in part.itertuples(index=False):
+                    if anchor is None:
+                        anchor, spread = np.asarray(row.centre, float), np.asarray(row.dispersion, float)
+                    waiting.append((float(row.at), int(row.event_id), float(row.tau), np.asarray(row.x, dtype=float)))
+        waiting.sort(key=lambda w: w[:2])
+        mark = state.getCurrentWatermarkMs()
+        ready = [w for w in waiting if milliseconds(w[0]) < mark]
+        last = waiting[-1][0] if waiting else None
         out = []
-        for row in in_order(parts):
-            if anchor is None:
-                anchor, spread = np.asarray(row.centre, float), np.asarray(row.dispersion, float)
-            admitted, vouched = admitted + 1, max(vouched, int(row.tau >= FULL_TRUST))
-            points.append(np.asarray(row.x, dtype=float))
-            weights.append(float(row.tau))
+        for at, _, tau, x in ready:
+            admitted, vouched = admitted + 1, max(vouched, int(tau >= FULL_TRUST))
+            points.append(x)
+            weights.append(tau)
             del points[: -settings.buffer], weights[: -settings.buffer]
             if admitted % settings.every:
                 continue
@@ -208,25 +217,34 @@ def stream_adapt(
             centre, width, distance, _, over = within_budget(
                 middle, np.asarray(wide), anchor, spread, settings.budget, settings.floor
             )
+            seen = int(at)  # whole seconds, as in the batch form
             if over or calm_since is None:
-                calm_since = row.at
-            due = bool(vouched) or row.at - calm_since >= RE_ANCHOR_DAYS * 86_400
+                calm_since = seen
+            due = bool(vouched) or seen - calm_since >= RE_ANCHOR_DAYS * 86_400
             out.append(
-                (*key, admitted // settings.every, centre.tolist(), width.tolist(), distance,
+                (*key, admitted // settings.every, centre.tolist(), width.tolist(), min(distance, settings.budget),
                  int(over), int(due))
             )
             if due:
-                anchor, spread, calm_since = centre, width, row.at
+                anchor, spread, calm_since = centre, width, seen
             vouched = 0
-        flat = np.concatenate(points).tolist()
+        waiting = waiting[len(ready):]
+        flattened = lambda vectors: np.concatenate([np.empty(0), *vectors]).tolist()
+        held = [list(c) for c in zip(*[w[:3] for w in waiting], strict=True)] or [[], [], []]
         state.update(
-            (admitted, flat, weights, anchor.tolist(), spread.tolist(), calm_since, vouched)
+            (admitted, flattened(points), weights, anchor.tolist(), spread.tolist(), calm_since, vouched,
+             *held, flattened([w[3] for w in waiting]))
         )
-        yield pd.DataFrame(out, columns=names)
+        if last is not None:
+            wake = milliseconds(waiting[0][0]) if waiting else milliseconds(last) + life
+            state.setTimeoutTimestamp(max(wake, mark + 1))
+        if out:
+            yield pd.DataFrame(out, columns=names)
 
     kept = (
         "admitted long, points array<double>, weights array<double>, anchor array<double>, "
-        "spread array<double>, calm_since double, vouched int"
+        "spread array<double>, calm_since double, vouched int, "
+        "ats array<double>, ids array<long>, taus array<double>, held array<double>"
     )
     fields = [trusted.schema[k] for k in keys]
     schema = T.StructType(
@@ -235,7 +253,7 @@ def stream_adapt(
          T.StructField("saturated", T.IntegerType()), T.StructField("re_anchored", T.IntegerType())]
     )
     return trusted.groupBy(*keys).applyInPandasWithState(
-        adapt, schema, kept, "Append", GroupStateTimeout.NoTimeout
+        adapt, schema, kept, "Append", GroupStateTimeout.EventTimeTimeout
     )
 
 

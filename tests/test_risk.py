@@ -101,16 +101,22 @@ def test_budget_bounds_the_poisoned_profile(history, start):
     assert summary["P2"].max_displacement > 3 * SETTINGS.budget
 
 
-def test_epochs_stay_within_budget_and_stream_equals_batch(spark, history, start, tmp_path):
+@pytest.mark.parametrize("triggers", [100, 1])
+def test_epochs_stay_within_budget_and_stream_equals_batch(spark, history, start, tmp_path, triggers):
     admitted = history.where(F.col("tau") >= SETTINGS.tau_min)
     epochs = A.re_anchor(A.epoch_candidates(admitted, KEYS, ORDER, "x", SETTINGS), KEYS, start, SETTINGS)
     batch = epochs.toPandas().sort_values(["u", "epoch"]).reset_index(drop=True)
     assert (batch.budget_used <= SETTINGS.budget + 1e-9).all() and len(batch) == 32
     assert batch[batch.u == 2].saturated.sum() > batch[batch.u == 1].saturated.sum()
     path = str(tmp_path / "in")
-    history.select(*KEYS, "event_id", (F.unix_micros("ts") / 1e6).alias("at"), "x", "tau").write.parquet(path)
-    live = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 100).parquet(path)
-    done = L.run_to_table(L.stream_adapt(live, start, KEYS, SETTINGS), str(tmp_path), "out")
+    rows = history.select(*KEYS, "event_id", "ts", "x", "tau")
+    # A later session of an unknown user lets the watermark pass all others.
+    closing = rows.orderBy(F.desc("ts")).limit(1).withColumn("u", F.lit(99).cast(rows.schema["u"].dataType)).withColumns(
+        {"ts": F.col("ts") + F.expr("INTERVAL 401 DAYS"), "tau": F.lit(1.0)})
+    for part in (rows.repartition(7), closing):
+        part.withColumn("at", F.unix_micros("ts") / 1e6).write.mode("append").parquet(path)
+    live = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", triggers).parquet(path)
+    done = L.run_to_table(L.stream_adapt(live, start, KEYS, SETTINGS, late="400 days" if triggers == 1 else "1 hour"), str(tmp_path), "out")
     stream = done.toPandas().sort_values(["u", "epoch"]).reset_index(drop=True)
     assert len(stream) == len(batch)
     assert np.allclose(np.stack(stream.centre), np.stack(batch.centre))
