@@ -39,7 +39,8 @@ KINDS = ("assign", "access", "hex", "novel")
 SENSITIVE = re.compile(
     r"passw|passphrase|secret|token|api_?key|credential|private|auth|bearer|access|signature", re.I | re.A
 )
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+LEAST = 20  # characters of a candidate
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
 REACH = 40  # characters before a candidate in which a sensitive word counts
 AROUND = 256  # characters of context on each side
 MEASURED = 512  # bytes of a candidate that are compressed
@@ -109,10 +110,11 @@ def scan_text(text: str | None, threshold: float = NOVELTY) -> tuple[list, list,
     taken, at, more = [(s, e) for s, _, e, _ in base], 0, []
     reached = 0
     for m in SENSITIVE.finditer(text):
-        # Candidates that begin within reach of the sensitive word; each is looked at once.
-        for c in CANDIDATE.finditer(text, max(m.end(), reached)):
-            if c.start() > m.end() + REACH:
-                break
+        # Candidates that begin within reach of the sensitive word; each is looked at once. The search
+        # ends where the last of them would have its least length, so that no text is read again and again.
+        within = m.end() + REACH + LEAST
+        while near := CANDIDATE.search(text, max(m.end(), reached), within):
+            c = CANDIDATE.match(text, near.start())
             reached = c.end()
             while at < len(taken) and taken[at][1] <= c.start():
                 at += 1
