@@ -13,8 +13,8 @@ batches without any shuffle, and scores each distinct word of a worker once whil
 Edge cases: null texts and texts without letters are ``und`` with score 0. Equal scores go to
 the language that sorts first. Rows with null doc_id are predicted but never learned from and
 not held out. Repeated rows are predicted row by row. Without any learnable row every text is ``und``.
-Only the named columns are read. An empty table gives an empty result. Words of more than
-64 letters do not train; they are scored whole.
+Only the named columns are read. An empty table gives an empty result. Longer words
+than 32 letters do not train; they are scored whole.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 START = "▁"  # the vocabulary's sign for the beginning of a word
 FIT_ROWS = 1500
 ROUNDS = 3
-LONG = 64
+LONG = 32  # unknown letters in a longer word would take its unscaled sums below the least float
 # Probabilities are multiplied by this per letter, so that sums over long words stay near one.
 LIFT = 12.0
 UNKNOWN = 1e-8  # probability of a letter that no piece covers, in every language

@@ -161,9 +161,11 @@ def surrogate(kind: str, entity: str, secret: bytes, attempt: int = 0) -> str:
     if kind == "phone":
         code, _, digits = entity.partition("|")
         dialled = lambda d: (len(d) != 10 or (d[0] > "1") + 2 * (d[3] > "1"), d[0] == "0")
-        now = digits
-        while now == digits or dialled(now) != dialled(digits):
-            now = "".join(map(str, _permuted(list(map(int, now)), 10, secret, tweak)))
+        turned = lambda d: "".join(map(str, _permuted(list(map(int, d)), 10, secret, tweak)))
+        # The walk ends at the number itself at the latest; the collision check then draws it again.
+        now = turned(digits)
+        while dialled(now) != dialled(digits):
+            now = turned(now)
         return f"{code}|{now}"
     return _name_like(entity, kind[-1] if kind.startswith("given") else "x", secret, tweak)
 

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import base64
 import functools
+from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
+import regex
 import tiktoken
 
 # The ids of byte_bpe_50k.json; the rank file holds the same vocabulary and is read faster.
@@ -23,6 +25,31 @@ def encoding(path: str) -> tiktoken.Encoding:
     )
 
 
+# The encoder's own splitting gives up on white space of about a million characters.
+BLANKS = 65_536
+LONG_BLANK = regex.compile(rf"\p{{White_Space}}{{{BLANKS},}}")
+
+
+def _split(text: str) -> Iterator[tuple[str, bool]]:
+    """The text in parts that are encoded independently, and whether a part is one unbroken piece.
+
+    White space in front of a word leaves its last character to the word, so a long run
+    without that character is a piece of its own.
+    """
+    at = 0
+    for run in LONG_BLANK.finditer(text) if len(text) >= BLANKS else ():
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        yield text[at : run.start()], False
+        yield text[run.start() : end], True
+        at = end
+    yield text[at:], False
+
+
 def token_ids(text: str | None, path: str) -> np.ndarray:
     """Little-endian unsigned 32-bit ids of a text; null has none."""
-    return encoding(path).encode_to_numpy(text or "", disallowed_special=()).astype("<u4", copy=False)
+    coder = encoding(path)
+    parts = []
+    for part, whole in _split(text or ""):
+        ids = coder._encode_single_piece(part) if whole else coder.encode_to_numpy(part, disallowed_special=())
+        parts.append(np.asarray(ids).astype("<u4", copy=False))
+    return parts[0] if len(parts) == 1 else np.concatenate(parts)

@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+import tokenizers
 from pyspark.sql import functions as F
 
 from cadentia.llm import language, ledger, pii
@@ -46,6 +47,28 @@ def test_forward_sums_all_segmentations():
     assert short == pytest.approx(got[2]) and np.isfinite(language.word_scores([long], model)).all()
 
 
+def test_long_words_of_unknown_letters_stay_finite():
+    index = language.pieces(PIECES)
+    model = language.Model(PIECES, ["a", "b"], np.full((len(index), 2), 1 / len(index)))
+    for n in (30, 31, 32, 33, 60, 64, 65, 500):
+        word = "▁" + "ꙮ" * n
+        assert language.word_scores([word], model) == pytest.approx(
+            np.full((1, 2), n * math.log(language.UNKNOWN) + math.log(1 / len(index))), rel=1e-9
+        )
+        langs, scores = language.Scorer(model).predict([word[1:]])
+        assert langs == ["a"] and scores == [pytest.approx(0.5)]
+        assert np.isfinite(language.expected_counts([word], np.array([1]), model.weights[:, 0], index)).all()
+
+
+def test_token_ids_of_long_unbroken_texts():
+    path = public_tokenizers.path(BYTE_BPE)
+    plain = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    plain.encode_special_tokens = True
+    blanks = "\u3000\t \n " * 14_000
+    for text in (" " * 1_200_000, "a" + "\n" * 1_200_000 + " b", f"{blanks}word{blanks}\x1c{blanks} ", "<|endoftext|>" + " " * 65_536 + "é"):
+        assert token_ids(text, path).tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
 def test_expected_counts_equal_enumeration():
     index = language.pieces(PIECES)
     weights = np.random.default_rng(3).dirichlet(np.ones(len(index)))
@@ -104,6 +127,13 @@ def test_maintained_counts_equal_a_recount(spark):
     assert ledger.maintained_counts(documents(spark, []), {"v1": path}).count() == 0
 
 
+def test_phone_surrogates_permute_their_class_and_end():
+    for key in range(30):
+        for numbers in ([f"0{i}" for i in range(10)], [str(i) for i in range(10, 100)]):
+            new = [pii.surrogate("phone", f"|{n}", b"%d" % key) for n in numbers]
+            assert sorted(new) == [f"|{n}" for n in numbers]
+
+
 def test_surrogates_keep_type_and_distinctness():
     rnd = random.Random(1)
     cards = ["4" + "".join(rnd.choice("0123456789") for _ in range(14)) for _ in range(300)]
