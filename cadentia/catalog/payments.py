@@ -216,7 +216,7 @@ def _(spark, folder):
     )
 
 
-@query("payee_risk", "WITH " + OUTFLOWS + EDGES + "," + FLAGGED + """,
+PAYEE_RISK = OUTFLOWS + EDGES + "," + FLAGGED + """,
 ds AS (SELECT payee, count_if(last_seen > TIMESTAMP '2000-01-01' - INTERVAL 7 DAY) AS distinct_senders_7d,
               CAST(count_if(last_seen > TIMESTAMP '2000-01-01' - INTERVAL 30 DAY) AS BIGINT) AS distinct_senders_30d FROM edges GROUP BY 1),
 b AS (SELECT sender, min(first_seen) AS begun FROM edges GROUP BY 1),
@@ -230,10 +230,12 @@ ex AS (SELECT po.payee, min(po.ts) AS first_out FROM po JOIN fi ON po.payee = fi
 parts AS (SELECT fi.payee, distinct_senders_30d AS d30, ns.v AS nsf, fi.n / nullif(fo.n, 0)::DOUBLE AS fr,
     (epoch(first_out) - epoch(first_in)) / 86400 AS days, ov.v AS fov
   FROM fi JOIN ds ON fi.payee = ds.payee JOIN ns ON fi.payee = ns.payee JOIN ov ON fi.payee = ov.payee
-  LEFT JOIN fo ON fi.payee = fo.payee LEFT JOIN ex ON fi.payee = ex.payee)
-SELECT payee, d30 AS distinct_senders_30d, round(fr, 6) AS fan_ratio,
-  round(0.25 * least(d30 / 50.0::DOUBLE, 1) + 0.25 * nsf + 0.2 * least(coalesce(fr, 10) / 10, 1) + 0.1 * coalesce(exp(-days / 3.0::DOUBLE), 0) + 0.2 * fov, 6) AS risk_score
-FROM parts""")
+  LEFT JOIN fo ON fi.payee = fo.payee LEFT JOIN ex ON fi.payee = ex.payee),
+pr AS (SELECT payee, d30, fr,
+  0.25 * least(d30 / 50.0::DOUBLE, 1) + 0.25 * nsf + 0.2 * least(coalesce(fr, 10) / 10, 1) + 0.1 * coalesce(exp(-days / 3.0::DOUBLE), 0) + 0.2 * fov AS risk_score FROM parts)"""
+
+
+@query("payee_risk", "WITH " + PAYEE_RISK + " SELECT payee, d30 AS distinct_senders_30d, round(fr, 6) AS fan_ratio, round(risk_score, 6) AS risk_score FROM pr")
 def _(spark, folder):
     risk = T.payee_risk(transfers(spark, folder), outflows(spark, folder), flagged(spark, folder), AS_OF)
     return risk.select("payee", "distinct_senders_30d", r("fan_ratio"), r("risk_score"))

@@ -144,14 +144,18 @@ def hour_histogram(events: DataFrame, user: str, ts: str = "ts") -> DataFrame:
     return counted.groupBy(user).agg(F.map_from_entries(entries).alias("hour_histogram"))
 
 
+def robust_scale(df: DataFrame, user: str, value: str) -> DataFrame:
+    """Per user: ``median`` and ``mad``, the median distance from it."""
+    medians = exact_quantiles(df, [user], value, {"median": 0.5})
+    off = df.select(user, value).join(medians, user).withColumn("_off", F.abs(q(value) - F.col("median")))
+    return medians.join(exact_quantiles(off, [user], "_off", {"mad": 0.5}), user)
+
+
 def robust_z(df: DataFrame, user: str, value: str, factor: float = 1.0) -> DataFrame:
     """Add ``robust_z``: distance to the user's median over their median deviation."""
-    medians = exact_quantiles(df, [user], value, {"_median": 0.5})
-    centred = df.join(medians, user).withColumn("_off", F.abs(q(value) - F.col("_median")))
-    mads = exact_quantiles(centred, [user], "_off", {"_mad": 0.5})
-    scored = centred.join(mads, user)
+    scales = robust_scale(df, user, value).withColumnsRenamed({"median": "_median", "mad": "_mad"})
     z = safe_ratio(q(value) - F.col("_median"), F.col("_mad") * factor)
-    return scored.withColumn("robust_z", z).drop("_median", "_off", "_mad")
+    return df.join(scales, user).withColumn("robust_z", z).drop("_median", "_mad")
 
 
 def empirical_rank(df: DataFrame, user: str, value: str) -> DataFrame:

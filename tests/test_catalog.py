@@ -18,7 +18,7 @@ def test_flagship(spark):
     assert len(rows) == 10 and all(0 <= r.eer <= 1 for r in rows)
 
 
-@pytest.mark.parametrize("name", ["payee_edge_features", "sessionise", "trust_score"])
+@pytest.mark.parametrize("name", ["payee_edge_features", "sessionise", "trust_score", "decision_path", "decision_path_outcomes"])
 def test_equals_sql(spark, name):
     db = duckdb.connect()
     for table in ("orders", "lineitem", "events", "embeddings", "supplier"):
