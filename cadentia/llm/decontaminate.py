@@ -14,7 +14,8 @@ The words of a text travel only inside the task that scans it.
 
 Edge cases: null and empty texts and items have no words and no windows. Repeated rows and
 null or equal doc_ids are judged row by row; rows of items with one item_id count as one
-item. Only the named columns are read. Empty tables give an empty result, an empty
+item. The windows of an item with a null item_id hit words, but the item is not listed or
+counted. Only the named columns are read. Empty tables give an empty result, an empty
 benchmark gives clean documents. The documents must be a deterministic frame.
 """
 

@@ -109,3 +109,12 @@ def test_anchors_are_context_free(spark):
     assert {(p + 16, h) for p, h in found[0]} <= found[1] and found[0]
     inside = {(p, h) for p, h in found[1] if 16 <= p <= 16 + len(core) - K}
     assert len(inside) == len(found[0]) and S < K
+
+
+def test_an_item_without_id_hits_words_but_is_not_listed(spark):
+    passage = " ".join(f"w{i}" for i in range(15))
+    items = spark.createDataFrame([(None, passage), (3, "w0 w1")], "item_id long, text string")
+    rows = decontaminate(documents(spark, [(1, f"x {passage} y"), (2, "z w0 w1"), (3, "z")]), items).orderBy("doc_id").collect()
+    assert [(r.n_words, r.n_hit, r.n_items, r.contaminated) for r in rows] == [(17, 15, 1, True), (3, 2, 1, True), (1, 0, 0, False)]
+    none = hashlib.sha256(b"").hexdigest()
+    assert [r.items_sha256 == hashlib.sha256(b"3").hexdigest() for r in rows] == [True, True, False] and rows[2].items_sha256 == none
