@@ -1,11 +1,13 @@
 """Secret scans by dictionary-primed zstandard novelty.
 
-Candidates are the matches of the base kinds and every long unbroken string that
-stands behind a sensitive word. A candidate's novelty is the number of compressed bytes it
+Candidates are the matches of the base kinds, every long unbroken string that
+stands behind a sensitive word, and the strings that run on behind one of these with only a separator
+between (lines of a key, parts of a token). Private keys between their BEGIN and END marks are one candidate. A candidate's novelty is the number of compressed bytes it
 adds to the text around it, per character, with the compressor primed by
 a dictionary of identifiers usual in code. Words, paths and repeated strings
 cost few bytes; random keys cost what their entropy demands. Base matches are
-always reported; the other candidates only where their novelty is high.
+always reported; the other candidates only where their novelty is high, and as a whole if a base match of
+digits lies inside them. A rest shorter than ``LEAST`` is reported with the part before it, if it is no word or number.
 
 Scale: a map over Arrow batches without any shuffle. Work per candidate is bounded by
 ``AROUND`` characters of context and ``MEASURED`` bytes of the candidate that are compressed;
@@ -20,6 +22,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -41,6 +44,12 @@ SENSITIVE = re.compile(
 )
 LEAST = 20  # characters of a candidate
 CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
+PART = re.compile("[A-Za-z0-9+/_=-]+")
+# What may stand between the parts of one secret; blanks only around the end of a line.
+JOINT = re.compile(r"""(?:[.:"'`\\]|[\x20\t]*+[\r\n]++[\x20\t]*+)++""")
+# Shorter parts that are no word, number or rule: letters with digits or signs, or capitals behind small letters.
+REST = re.compile("(?=[^A-Za-z]*+[A-Za-z])(?:[A-Za-z_-]*+[0-9+/=]|[A-Z_-]*+[a-z_-]++[A-Z])")
+KEY_MARK = re.compile("-{4,5} ?(BEGIN|END) [A-Z0-9 ]*PRIVATE KEY[A-Z0-9 ]*-{4,5}")
 REACH = 40  # characters before a candidate in which a sensitive word counts
 AROUND = 256  # characters of context on each side
 MEASURED = 512  # bytes of a candidate that are compressed
@@ -100,14 +109,36 @@ def base_spans(text: str) -> list[tuple[int, int, int, int]]:
     return sorted(found)
 
 
-def scan_text(text: str | None, threshold: float = NOVELTY) -> tuple[list, list, float]:
-    """All spans, the base spans among them, and the highest novelty seen."""
-    text = text or ""
-    base = base_spans(text)
-    top = 0.0
-    for _, _, end, value in base:
-        top = max(top, novelty(text[max(0, value - AROUND) : value], text[value:end], text[end : end + AROUND]))
-    taken, at, more = [(s, e) for s, _, e, _ in base], 0, []
+def key_blocks(text: str) -> list[tuple[int, int, int, int]]:
+    """(start, end, start and end of the body) of every private key that has both marks."""
+    marks = list(KEY_MARK.finditer(text)) if "PRIVATE KEY" in text else []
+    return [
+        (a.start(), b.end(), a.end(), b.start())
+        for a, b in zip(marks, marks[1:], strict=False)
+        if a[1] == "BEGIN" and b[1] == "END"
+    ]
+
+
+def candidates(text: str, base: list) -> list[tuple[int, int, int | None]]:
+    """(start, end, start of the part before) of the strings to measure, in order; -1 is a base match."""
+    found: dict[int, tuple[int, int | None]] = {}
+    seen: set[int] = set()
+
+    def follow(at: int, before: int) -> int:
+        """Add the parts that run on behind ``at``; returns where they end."""
+        while (joint := JOINT.match(text, at)) and (part := PART.match(text, joint.end())):
+            if part.start() in seen:
+                break
+            seen.add(part.start())
+            at = part.end()
+            if at - part.start() >= LEAST:
+                found[part.start()] = at, None
+                before = part.start()
+            elif REST.match(part.group()):
+                found[part.start()] = at, before
+                before = part.start()
+        return at
+
     reached = 0
     for m in SENSITIVE.finditer(text):
         # Candidates that begin within reach of the sensitive word; each is looked at once. The search
@@ -115,15 +146,45 @@ def scan_text(text: str | None, threshold: float = NOVELTY) -> tuple[list, list,
         within = m.end() + REACH + LEAST
         while near := CANDIDATE.search(text, max(m.end(), reached), within):
             c = CANDIDATE.match(text, near.start())
-            reached = c.end()
-            while at < len(taken) and taken[at][1] <= c.start():
-                at += 1
-            if any(s < c.end() and e > c.start() for s, e in taken[at:][:1]):
-                continue
-            found = novelty(text[max(0, c.start() - AROUND) : c.start()], c.group(), text[c.end() : c.end() + AROUND])
-            top = max(top, found)
-            if found >= threshold:
-                more.append((c.start(), 3, c.end(), c.start()))
+            found[c.start()] = c.end(), None
+            reached = follow(c.end(), c.start())
+    for _, kind, end, _ in base:
+        if kind != 2:
+            follow(end, -1)
+    return sorted((s, e, before) for s, (e, before) in found.items())
+
+
+def scan_text(text: str | None, threshold: float = NOVELTY) -> tuple[list, list, float]:
+    """All spans, the base spans among them, and the highest novelty seen."""
+    text = text or ""
+    base = base_spans(text)
+    top = 0.0
+
+    def measured(start: int, end: int) -> float:
+        nonlocal top
+        found = novelty(text[max(0, start - AROUND) : start], text[start:end], text[end : end + AROUND])
+        top = max(top, found)
+        return found
+
+    for _, _, end, value in base:
+        measured(value, end)
+    more = [(s, 3, e, s) for s, e, body, rest in key_blocks(text) if measured(body, rest) >= threshold]
+    # Spans that a candidate may lie in, without those inside others, so that they end in order. A candidate
+    # that only touches an assignment is the name in front of its value.
+    taken: list[tuple[int, int, bool]] = []
+    for span in sorted([(s, e, k == 0) for s, k, e, _ in base] + [(s, e, False) for s, _, e, _ in more]):
+        if not taken or span[1] > taken[-1][1]:
+            taken.append(span)
+    at, accepted = 0, {-1}
+    for start, end, before in candidates(text, base):
+        while at < len(taken) and taken[at][1] <= start:
+            at += 1
+        over = itertools.takewhile(lambda t: t[0] < end, map(taken.__getitem__, range(at, len(taken))))  # noqa: B023
+        if any(assigned or (s <= start and end <= e) for s, e, assigned in over):
+            accepted.add(start)
+        elif before in accepted if before is not None else measured(start, end) >= threshold:
+            accepted.add(start)
+            more.append((start, 3, end, start))
     return sorted(base + more), base, top
 
 
