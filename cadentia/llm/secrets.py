@@ -9,9 +9,9 @@ cost few bytes; random keys cost what their entropy demands. Base matches are
 always reported; the other candidates only where their novelty is high, and as a whole if a base match of
 digits lies inside them. A rest shorter than ``LEAST`` is reported with the part before it, if it is no word or number.
 
-Scale: a map over Arrow batches without any shuffle. Work per candidate is bounded by
-``AROUND`` characters of context and ``MEASURED`` bytes of the candidate that are compressed;
-spans always cover the whole match.
+Scale: a map over Arrow batches without any shuffle. Work is in proportion to the length of a candidate:
+every window of ``MEASURED`` bytes, each half over the one before, is compressed behind ``AROUND`` characters of
+context on each side, and the highest value counts. Spans always cover the whole match.
 
 Edge cases: null and empty texts have no spans, and their digest is that of the empty string.
 Repeated rows and null doc_ids are scanned row by row. Only doc_id and text are read.
@@ -52,7 +52,7 @@ REST = re.compile("(?=[^A-Za-z]*+[A-Za-z])(?:[A-Za-z_-]*+[0-9+/=]|[A-Z_-]*+[a-z_
 KEY_MARK = re.compile("-{4,5} ?(BEGIN|END) [A-Z0-9 ]*PRIVATE KEY[A-Z0-9 ]*-{4,5}")
 REACH = 40  # characters before a candidate in which a sensitive word counts
 AROUND = 256  # characters of context on each side
-MEASURED = 512  # bytes of a candidate that are compressed
+MEASURED = 512  # bytes of a candidate that are compressed at a time
 NOVELTY = 0.5  # compressed bytes added per byte
 
 IDENTIFIERS = b"""
@@ -88,13 +88,17 @@ def _compressor() -> zstandard.ZstdCompressor:
 
 
 def novelty(before: str, candidate: str, after: str) -> float:
-    """Compressed bytes that the candidate adds to its surroundings, per byte (0 to about 1)."""
-    own = candidate.encode()[:MEASURED]
+    """Compressed bytes that the candidate adds to its surroundings, per byte (0 to about 1), in its newest window."""
+    own = candidate.encode()
     head, tail = before[-AROUND:].encode(), after[:AROUND].encode()
     compress = _compressor().compress
-    # The surroundings come first in both, so that the candidate may point back into all of them.
+    # The surroundings come first in all, so that the candidate may point back into all of them.
     around = head + b"\n" + tail + b"\n"
-    return max(0.0, (len(compress(around + own)) - len(compress(around))) / max(1, len(own)))
+    alone = len(compress(around))
+    # The last window is as long as the others: a short one would look newer than it is.
+    starts = [*range(0, len(own) - MEASURED, MEASURED // 2), max(0, len(own) - MEASURED)]
+    windows = (own[i : i + MEASURED] for i in starts)
+    return max(0.0, *((len(compress(around + w)) - alone) / max(1, len(w)) for w in windows))
 
 
 def base_spans(text: str) -> list[tuple[int, int, int, int]]:
