@@ -5,7 +5,7 @@ letters of the same script, separators, lengths, country codes, card issuers and
 digits keep their form, given names keep the gender of their title. The same entity gets the same surrogate
 everywhere, in whatever format it is written. Digit and letter strings go through a keyed Feistel
 permutation, walked until the result is of the same class as the original, which keeps different entities
-different. Names are built from syllables.
+different. Names are built from syllables, one more with each attempt, so that names do not run out.
 
 Collision check: all distinct entities of the corpus get their surrogate in one table. A surrogate that
 another entity also has, or that is itself an entity of the corpus, is drawn again with the
@@ -167,18 +167,20 @@ def surrogate(kind: str, entity: str, secret: bytes, attempt: int = 0) -> str:
         while dialled(now) != dialled(digits):
             now = turned(now)
         return f"{code}|{now}"
-    return _name_like(entity, kind[-1] if kind.startswith("given") else "x", secret, tweak)
+    return _name_like(entity, kind[-1] if kind.startswith("given") else "x", secret, tweak, attempt)
 
 
-def _name_like(word: str, gender: str, secret: bytes, tweak: str) -> str:
+def _name_like(word: str, gender: str, secret: bytes, tweak: str, attempt: int) -> str:
     first = next((c for c in word if c.isalpha()), "a")
     script = "cyrillic" if "Ѐ" <= first <= "ӿ" else "greek" if "Ͱ" <= first <= "Ͽ" else "latin"
     if script == "latin" and first > "ɏ":
         # Letters of another script: draw from the letters of the same block.
         block = [chr(c) for c in range(ord(first) & ~0x7F, (ord(first) & ~0x7F) + 128) if chr(c).isalpha()]
-        return "".join(block[_number(secret, tweak, word, i) % len(block)] for i in range(max(2, len(word))))
+        return "".join(block[_number(secret, tweak, word, i) % len(block)] for i in range(max(2, len(word)) + attempt))
     draw, out = _number(secret, tweak, word), ""
-    for _ in range(3):
+    for i in range(3 + attempt):
+        if i and i % 10 == 0:  # a number is good for ten syllables
+            draw = _number(secret, tweak, word, i)
         draw, at = divmod(draw, len(SYLLABLES[script]))
         out += SYLLABLES[script][at]
     return out + ENDINGS[script][gender]

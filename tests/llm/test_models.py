@@ -172,3 +172,13 @@ def test_pseudonymise_checks_collisions(spark, monkeypatch):
     chosen = [taken(k, e, KEY, a) for (k, e), a in attempts.items()]
     assert len(set(chosen)) == 41 and not set(chosen) & {e for _, e in attempts}
     assert pii.pseudonymise(documents(spark, []), KEY).count() == 0
+
+
+def test_surrogate_names_do_not_run_out(spark):
+    # More surnames than three syllables can name.
+    n = len(pii.SYLLABLES["latin"]) ** 3 + 3000
+    names = spark.range(n).select(F.lit("surname").alias("kind"), F.concat(F.lit("q"), F.conv("id", 10, 26)).alias("entity"))
+    found = pii.checked_attempts(names, KEY, most=8).collect()
+    chosen = {pii.surrogate(r.kind, r.entity, KEY, r.attempt) for r in found}
+    assert len(found) == len({r.entity for r in found}) == len(chosen) == n
+    assert len({pii.surrogate("given_f", "anna", KEY, a) for a in range(40)}) == 40
