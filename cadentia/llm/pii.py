@@ -7,13 +7,18 @@ everywhere, in whatever format it is written. Digit and letter strings go throug
 permutation, walked until the result is of the same class as the original, which keeps different entities
 different. Names are built from syllables, one more with each attempt, so that names do not run out.
 
+A name behind a title is the whole run of capitalised words, initials and particles; particles stay, and initials
+become other initials. A name behind a title is also replaced where the text mentions it without one. A single word
+counts as surname unless the text has it as a given name only. A given name behind a title that tells no gender
+is the one with a gender, if the text or else the corpus has it with one gender only.
+
 Collision check: all distinct entities of the corpus get their surrogate in one table. A surrogate that
 another entity also has, or that is itself an entity of the corpus, is drawn again with the
 next attempt number, until none is left.
 
 Scale: detection is a map over Arrow batches. Only distinct (kind, entity) rows are shuffled, combined
 on the map side, so an entity in a third of all documents is a row per task. Texts are not shuffled
-unless entities were drawn again; then only the rows that mention those are joined with their attempts.
+unless entities were drawn again or got their gender from elsewhere; then the rows that mention those are joined with them.
 
 Edge cases: null text stays null, empty text empty. Repeated rows are rewritten row by row. Null
 doc_ids are kept. Only the named columns are read. An empty table gives an empty result. The input must be deterministic.
@@ -34,7 +39,11 @@ from cadentia.session import materialise
 FEMALE = "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Signora|г-жа|госпожа"
 MALE = "Mr|Herr|Monsieur|Señor|Sr|Signor|г-н|господин"
 EITHER = "Dr|Prof"
-_NAME = r"[^\W\d_a-zà-öø-ÿа-я][^\W\d_]+(?:-[^\W\d_]+)*"
+_CAPITAL = r"[^\W\d_a-zà-öø-ÿа-я]"
+_NAME = rf"{_CAPITAL}(?:[^\W\d_]+(?:['’]{_CAPITAL}[^\W\d_]+)*|['’]{_CAPITAL}[^\W\d_]+)(?:-[^\W\d_]+)*"
+_INITIAL = rf"{_CAPITAL}(?:\.(?:-?{_CAPITAL}\.)*|(?= {_CAPITAL}))"
+PARTICLE = "von|vom|van|zu|zur|zum|der|den|dem|ter|ten|de|del|della|di|da|do|dos|du|des|la|le|los|las|e|y|af|av|bin|ibn|al|el|ben|фон|ван|де"
+_WORD = rf"(?!(?:{FEMALE}|{MALE}|{EITHER})(?!\w))(?:{_NAME}|{_INITIAL})"
 FIND = re.compile(
     r"(?P<email>(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})"
     r"|(?P<ip>(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d))"
@@ -43,8 +52,11 @@ FIND = re.compile(
     r"|(?P<phone>\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)"
     r"|(?<!\d)\(\d{3}\) ?\d{3}[-. ]\d{4}(?!\d)|(?<![\d.-])\d{3}[-.]\d{3}[-.]\d{4}(?![\d-]))"
     r"|(?P<card>(?<!\d)\d(?:[ -]?\d){12,18}(?!\d))"
-    rf"|(?<!\w)(?:(?P<f>{FEMALE})|(?P<m>{MALE})|(?P<x>{EITHER}))\.? (?P<name>{_NAME}(?: {_NAME})?)"
+    rf"|(?<!\w)(?:(?P<f>{FEMALE})|(?P<m>{MALE})|(?P<x>{EITHER}))\.?"
+    rf" (?P<name>(?:(?:{PARTICLE}) )*{_WORD}(?: (?:(?:{PARTICLE}) )*{_WORD})*)"
 )
+SPACED = re.compile(r"[^ ]+")
+BARE = re.compile(rf"(?<!\w){_NAME}(?!\w)")
 # Most texts hold nothing of the kind; this is cheaper than the search above.
 HINT = re.compile(rf"@|\d[\d ().-]{{5}}|[A-Z]{{2}}\d\d|(?<!\w)(?:{FEMALE}|{MALE}|{EITHER})\.? ")
 
@@ -62,16 +74,60 @@ def mentions(text: str) -> list[Mention]:
     """(start, end, kind, entity) of every entity, in order, without overlaps."""
     if not HINT.search(text):
         return []
-    found = []
-    for m in FIND.finditer(text):
+    found, people, at = [], [], 0
+    while m := FIND.search(text, at):
+        at = m.end()
         if (title := m["f"] and "f" or m["m"] and "m" or m["x"] and "x") and m["name"]:
-            at, words = m.start("name"), m["name"].split(" ")
-            for i, word in enumerate(words):
-                kind = "surname" if i == len(words) - 1 else f"given_{title}"
-                found.append((at, at + len(word), kind, word.lower()))
-                at += len(word) + 1
+            words = []
+            for word in SPACED.finditer(text, *m.span("name")):
+                # The pattern takes small letters of some alphabets for capitals; a name ends there.
+                if word[0][0].islower() and not re.fullmatch(PARTICLE, word[0]):
+                    at = word.start()
+                    break
+                words.append((word.start(), word.end(), word[0]))
+            people.append((title, [w for w in words if not w[2][0].islower()]))
             continue
         found.append((m.start(), m.end(), m.lastgroup, _entity(m.lastgroup, m.group())))
+    return sorted(found + _names(text, people, found)) if people else found
+
+
+def _is_initial(word: str) -> bool:
+    return len(word) == 1 or "." in word
+
+
+def _names(text: str, people: list, others: list[Mention]) -> list[Mention]:
+    """Mentions of the people whose ``(title, words)`` are given, behind their titles and bare."""
+    given, surnames, found = {}, set(), []
+    for title, words in people:
+        full = [w.lower() for *_, w in words if not _is_initial(w)]
+        if len(words) > 1 and full:
+            surnames.add(full[-1])
+        for word in full[:-1]:
+            given.setdefault(word, set()).add(title)
+    kinds = {word: "given_" + (min(t - {"x"}) if len(t - {"x"}) == 1 else "x") for word, t in given.items()}
+    known = dict(kinds)
+    for title, words in people:
+        full = [w for w in words if not _is_initial(w[2])]
+        for start, end, word in words:
+            entity = word.lower()
+            if _is_initial(word):
+                found += [(start + i, start + i + 1, "initial", c.lower()) for i, c in enumerate(word) if c.isalpha()]
+            elif (start, end, word) != full[-1]:
+                found.append((start, end, kinds[entity] if title == "x" else f"given_{title}", entity))
+            else:
+                kind = kinds[entity] if len(words) == 1 and entity in kinds and entity not in surnames else "surname"
+                found.append((start, end, kind, entity))
+                # As a bare word it is the surname, unless it is nobody's.
+                known[entity] = kind
+    taken, at = sorted((s, e) for s, e, *_ in found + others), 0
+    for m in BARE.finditer(text):
+        whole = m[0].lower()
+        spots = [m.span()] if whole in known else [p.span() for p in re.compile(r"[^-]+").finditer(text, *m.span())]
+        for start, end in spots:
+            while at < len(taken) and taken[at][1] <= start:
+                at += 1
+            if (entity := text[start:end].lower()) in known and not (at < len(taken) and taken[at][0] < end):
+                found.append((start, end, known[entity], entity))
     return found
 
 
@@ -136,6 +192,10 @@ def luhn(digits: str) -> int:
 def surrogate(kind: str, entity: str, secret: bytes, attempt: int = 0) -> str:
     """The entity that stands in for ``entity``."""
     tweak = f"{kind}:{attempt}"
+    if kind == "initial":
+        low, n = next((b for b in ((0x61, 26), (0x430, 32), (0x3B1, 25)) if b[0] <= ord(entity) < sum(b)), (0x61, 26))
+        # Never the letter itself; other letters than these become one of the first alphabet.
+        return chr(low + (ord(entity) - low + 1 + _number(secret, kind, low) % (n - 1)) % n)
     if kind == "email":
         local, _, domain = entity.partition("@")
         # The reserved top-level name keeps surrogates from being anyone's address.
@@ -196,10 +256,14 @@ def shown_as(kind: str, mention: str, entity: str) -> str:
     return entity.title() if mention[0].isupper() and kind not in ("email", "ip") else entity
 
 
-def rewrite(text: str, secret: bytes, attempts: dict[tuple[str, str], int]) -> tuple[str, list[str]]:
-    """The text with surrogates, and the kinds replaced."""
+def rewrite(
+    text: str, secret: bytes, attempts: dict[tuple[str, str], int], gendered: dict[str, str] | None = None
+) -> tuple[str, list[str]]:
+    """The text with surrogates, and the kinds replaced; ``gendered`` holds kinds of given names without one."""
     out, at, kinds = [], 0, []
     for start, end, kind, entity in mentions(text):
+        if kind == "given_x" and gendered:
+            kind = gendered.get(entity, kind)
         chosen = surrogate(kind, entity, secret, attempts.get((kind, entity), 0))
         out += [text[at:start], shown_as(kind, text[start:end], chosen)]
         at = end
@@ -212,7 +276,7 @@ def _mentioned(rows: DataFrame) -> DataFrame:
 
     def find(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            found = [(r, k, e) for r, t in zip(frame["row"], frame["text"], strict=True) for *_, k, e in mentions(t or "")]
+            found = [(r, k, e) for r, t in zip(frame["row"], frame["text"], strict=True) for *_, k, e in mentions(t or "") if k != "initial"]
             yield pd.DataFrame(found, columns=["row", "kind", "entity"])
 
     return rows.mapInPandas(find, "row long, kind string, entity string")
@@ -249,13 +313,23 @@ def pseudonymise(docs: DataFrame, secret: bytes) -> DataFrame:
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     found = _mentioned(rows.select("row", "text"))
     entities = materialise(found.select("kind", "entity").distinct(), "entities")
-    again = materialise(checked_attempts(entities, secret).where("attempt > 0"), "drawn-again")
-    none = F.lit(None).cast("array<struct<kind:string,entity:string,attempt:int>>")
+    # Given names without a gender that have one elsewhere in the corpus.
+    sure = entities.where(F.col("kind").isin("given_f", "given_m")).groupBy("entity")
+    sure = sure.agg(F.min("kind").alias("as_kind"), F.count("*").alias("n")).where("n = 1").drop("n")
+    told = entities.where("kind = 'given_x'").join(sure, "entity").select("kind", "entity", "as_kind")
+    own = entities.join(told, ["kind", "entity"], "left_anti")
+    drawn = checked_attempts(own, secret).where("attempt > 0").select("kind", "entity", "attempt")
+    also = told.join(drawn.withColumnRenamed("kind", "as_kind"), ["as_kind", "entity"], "left")
+    again = drawn.withColumn("as_kind", F.col("kind")).unionByName(
+        also.select("kind", "entity", F.coalesce("attempt", F.lit(0)).alias("attempt"), "as_kind")
+    )
+    again = materialise(again, "drawn-again")
+    none = F.lit(None).cast("array<struct<kind:string,entity:string,attempt:int,as_kind:string>>")
     if again.isEmpty():
         rows = rows.withColumn("again", none)
     else:
         touched = _mentioned(rows.select("row", "text")).distinct().join(again, ["kind", "entity"])
-        lists = touched.groupBy("row").agg(F.collect_list(F.struct("kind", "entity", "attempt")).alias("again"))
+        lists = touched.groupBy("row").agg(F.collect_list(F.struct("kind", "entity", "attempt", "as_kind")).alias("again"))
         rows = rows.join(lists, "row", "left")
 
     @F.pandas_udf("text string, n_entities long, kinds string")
@@ -266,8 +340,10 @@ def pseudonymise(docs: DataFrame, secret: bytes) -> DataFrame:
                 if text is None:
                     out.append((None, 0, ""))
                     continue
-                attempts = {(a["kind"], a["entity"]): a["attempt"] for a in (again if again is not None else ())}
-                new, kinds = rewrite(text, secret, attempts)
+                again = again if again is not None else ()
+                attempts = {(a["as_kind"], a["entity"]): a["attempt"] for a in again}
+                gendered = {a["entity"]: a["as_kind"] for a in again if a["kind"] != a["as_kind"]}
+                new, kinds = rewrite(text, secret, attempts, gendered)
                 out.append((new, len(kinds), ",".join(f"{k}:{kinds.count(k)}" for k in sorted(set(kinds)))))
             yield pd.DataFrame(out, columns=["text", "n_entities", "kinds"])
 

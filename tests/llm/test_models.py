@@ -182,3 +182,23 @@ def test_surrogate_names_do_not_run_out(spark):
     chosen = {pii.surrogate(r.kind, r.entity, KEY, r.attempt) for r in found}
     assert len(found) == len({r.entity for r in found}) == len(chosen) == n
     assert len({pii.surrogate("given_f", "anna", KEY, a) for a in range(40)}) == 40
+
+
+def test_whole_names_and_bare_mentions_are_replaced(spark):
+    shown = lambda text: [(text[a:b], k) for a, b, k, _ in pii.mentions(text)]
+    assert shown("Mrs. Anna Maria Schmidt met us") == [("Anna", "given_f"), ("Maria", "given_f"), ("Schmidt", "surname")]
+    text = "Dr. John F. Kennedy came. Then Kennedy said to John: Mr. J.-P. van der Berg and Dr O'Brien's dog"
+    assert shown(text) == [
+        ("John", "given_x"), ("F", "initial"), ("Kennedy", "surname"), ("Kennedy", "surname"), ("John", "given_x"),
+        ("J", "initial"), ("P", "initial"), ("Berg", "surname"), ("O'Brien", "surname"),
+    ]
+    assert shown("Mrs Schmidt Dr Kennedy, Schmidt@mail.com") == [("Schmidt", "surname"), ("Kennedy", "surname"), ("Schmidt@mail.com", "email")]
+    assert shown("Dr. Παπάς είναι καλός") == [("Παπάς", "surname")]
+    assert shown("Kennedy alone, and Dr. in front of none 123-45-6789") == [("123-45-6789", "ssn")]
+    new = pii.rewrite(text, KEY, {})[0]
+    assert not any(x in new for x in ("John", "F.", "Kennedy", "J.", "P.", "Berg", "Brien"))
+    assert len({pii.surrogate("initial", c, KEY) for c in "abcdefghijklmnopqrstuvwxyz"}) == 26
+    # One person, with and without a title that tells the gender, in one text and in two.
+    rows = [(1, "Mrs. Anna Schmidt"), (2, "Dr. Anna Schmidt"), (3, "Prof. Anna Schmidt, later Mrs. Anna and Ms. Anna Schmidt")]
+    found = {r.doc_id: r.text.replace(",", "").split() for r in pii.pseudonymise(documents(spark, rows), KEY).collect()}
+    assert found[1][1:] == found[2][1:] == found[3][1:3] == found[3][-2:] and found[3][5] == found[1][1]
