@@ -45,7 +45,7 @@ SALTS = 8
 STATE = "kind int, id long, size long, used long, piece long, piece_size long, at long"
 
 
-def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFrame:
+def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, added: tuple = ()) -> DataFrame:
     """``row, doc_id, piece, start, length, ids_crc32`` of every piece of every document."""
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     id_type = rows.schema["doc_id"].dataType.simpleString()
@@ -55,7 +55,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) ->
         for batch in batches:
             took, parts = [], []
             for i, text in enumerate(batch.column("text")):
-                ids = np.concatenate([token_ids(text.as_py(), vocabulary), end])
+                ids = np.concatenate([token_ids(text.as_py(), vocabulary, added), end])
                 first = len(ids) % capacity or min(len(ids), capacity)
                 edges = [0, *range(first, len(ids) + 1, capacity)]
                 for piece, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
@@ -189,9 +189,9 @@ def best_fit(items: DataFrame, capacity: int = CAPACITY, most_rounds: int = 200)
     raise RuntimeError(f"pieces are left after {most_rounds} rounds")
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFrame:
+def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, added: tuple = ()) -> DataFrame:
     """Per piece: its document, place there, length, digest of ids, sequence and offset in it."""
-    pieces = materialise(token_pieces(docs, vocabulary, capacity), "pieces")
+    pieces = materialise(token_pieces(docs, vocabulary, capacity, added), "pieces")
     numbered = materialise(pieces.withColumn("id", F.monotonically_increasing_id()), "numbered")
     placed = best_fit(numbered.select("id", "length"), capacity)
     return numbered.join(placed, "id").select(

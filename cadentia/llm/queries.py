@@ -89,7 +89,7 @@ def op10_byte_shards(spark: SparkSession, folder: str) -> DataFrame:
 
 @_query
 def op4_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
-    return packing.pack_documents(table(spark, folder, "documents"), public_tokenizers.path(tokens.BYTE_BPE))
+    return packing.pack_documents(table(spark, folder, "documents"), public_tokenizers.path(tokens.BYTE_BPE), added=tokens.ADDED)
 
 
 @_query

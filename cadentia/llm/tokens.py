@@ -13,11 +13,13 @@ import tiktoken
 
 # The ids of byte_bpe_50k.json; the rank file holds the same vocabulary and is read faster.
 BYTE_BPE = "byte_bpe_50k.tiktoken"
+# The tokens that byte_bpe_50k.json adds to it; the tokenizer as loaded from that file takes them out of a text first.
+ADDED = (("<|endoftext|>", 50256),)
 
 
 @functools.lru_cache(maxsize=4)
 def encoding(path: str) -> tiktoken.Encoding:
-    """The encoder of a rank file; no string is special."""
+    """The encoder of a rank file; no string is special to it."""
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     return tiktoken.Encoding(
@@ -45,11 +47,18 @@ def _split(text: str) -> Iterator[tuple[str, bool]]:
     yield text[at:], False
 
 
-def token_ids(text: str | None, path: str) -> np.ndarray:
-    """Little-endian unsigned 32-bit ids of a text; null has none."""
+def token_ids(text: str | None, path: str, added: tuple[tuple[str, int], ...] = ()) -> np.ndarray:
+    """Little-endian unsigned 32-bit ids of a text, where each string of ``added`` is one id; null has none."""
     coder = encoding(path)
+    ids_of = dict(added)
+    found = any(word in (text or "") for word in ids_of)
+    pieces = regex.split("(" + "|".join(map(regex.escape, ids_of)) + ")", text) if found else [text or ""]
     parts = []
-    for part, whole in _split(text or ""):
-        ids = coder._encode_single_piece(part) if whole else coder.encode_to_numpy(part, disallowed_special=())
-        parts.append(np.asarray(ids).astype("<u4", copy=False))
+    for piece in pieces:
+        if found and piece in ids_of:
+            parts.append(np.array([ids_of[piece]], "<u4"))
+            continue
+        for part, whole in _split(piece):
+            ids = coder._encode_single_piece(part) if whole else coder.encode_to_numpy(part, disallowed_special=())
+            parts.append(np.asarray(ids).astype("<u4", copy=False))
     return parts[0] if len(parts) == 1 else np.concatenate(parts)

@@ -45,7 +45,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token sequences of 2048, as the packing query returns them."""
-    return packing.pack_documents(docs, public_tokenizers.path(tokens.BYTE_BPE))
+    return packing.pack_documents(docs, public_tokenizers.path(tokens.BYTE_BPE), added=tokens.ADDED)
 
 
 STAGES = [

@@ -10,6 +10,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+from cadentia.llm import queries, tokens
 from cadentia.llm.packing import best_fit, pack_documents
 from cadentia.llm.tokens import BYTE_BPE, token_ids
 
@@ -78,3 +79,18 @@ def test_ids_are_those_of_the_tokenizer_file():
     t.encode_special_tokens = True
     for text in ["", " a  b\n\n c", "it's 12 €\t<|endoftext|> ß　x", "  \n"]:
         assert token_ids(text, VOCABULARY).tolist() == t.encode(text, add_special_tokens=False).ids
+
+
+def test_the_query_takes_ids_as_the_file_is_loaded(spark, tmp_path):
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a<|endoftext|>b", "<|endoftext|>", " x <|endoftext|><|endoftext|>\n\n y", "<|endoftext|", "a" + " " * 70_000 + "<|endoftext|> é"]
+    for text in texts:
+        assert token_ids(text, VOCABULARY, tokens.ADDED).tolist() == t.encode(text, add_special_tokens=False).ids
+    documents(spark, list(enumerate(texts)), extra=False).write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(tuple(r)[:5] for r in queries.QUERIES["op4_best_fit_packing"](spark, str(tmp_path)).collect())
+    want = []
+    for i, text in enumerate(texts):
+        ids = np.array([*t.encode(text, add_special_tokens=False).ids, 0], "<u4")
+        cuts = [0, *range(len(ids) % 2048 or min(2048, len(ids)), len(ids) + 1, 2048)]
+        want += [(i, p, a, b - a, zlib.crc32(ids[a:b].tobytes())) for p, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+    assert got == sorted(want)
