@@ -8,12 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from cadentia.llm import (
+    chat,
     decontaminate,
+    filter_audit,
     language,
     ledger,
     licenses,
     packing,
     pii,
+    prefix_trie,
     secrets,
     sharding,
     simhash,
@@ -95,3 +98,27 @@ def op4_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
 @_query
 def op6_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.secret_report(table(spark, folder, "documents"))
+
+
+@_query
+def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, folder, "conversations"))
+
+
+ORACLES["op11_prefix_trie"] = prefix_trie.ORACLE
+
+
+@_query
+def op12_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
+    return chat.formatting_report(chat.with_trap(table(spark, folder, "conversations")))
+
+
+ORACLES["op12_chat_formatting"] = chat.ORACLE
+
+
+@_query
+def op13_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_audit.audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+ORACLES["op13_filter_audit"] = filter_audit.ORACLE
