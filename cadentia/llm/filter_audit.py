@@ -73,10 +73,11 @@ def masks(docs: DataFrame, labels: DataFrame) -> DataFrame:
         .groupBy("digest", "doc_id", *kinds)
         .agg(F.count("*").alias("n"))
     )
-    first = counted.groupBy("digest").agg(F.min("doc_id").alias("first"))
-    copy = F.when(F.col("doc_id") > F.col("first"), COPY).otherwise(0)
+    # Joined on text and doc_id, so that the rows of one text stay spread over all tasks.
+    first = counted.groupBy("digest").agg(F.min("doc_id").alias("doc_id")).withColumn("is_first", F.lit(True))
+    copy = F.when(F.col("is_first").isNull() & F.col("doc_id").isNotNull(), COPY).otherwise(0)
     return (
-        counted.join(first, "digest")
+        counted.join(first, ["digest", "doc_id"], "left")
         .select("part", (F.col("mask") + copy).alias("mask"), "good", "toxic", "n")
         .groupBy(*kinds)
         .agg(F.sum("n").alias("n"))
