@@ -148,6 +148,40 @@ def _(spark, folder):
     )
 
 
+# As specified: every 20 admitted sessions or at night, over a buffer of 200.
+NIGHTLY = A.Settings(theta=12.0, budget=0.5, nightly=True)
+NIGHTS = "WITH RECURSIVE " + WIDE + anchor_sql(NIGHTLY.every, NIGHTLY.buffer, "0.5", nightly=True)
+
+
+def nightly(rows):
+    begun = start(rows)
+    admitted = rows.where(F.col("tau") >= T.TAU_MIN).join(begun.select(*KEYS), KEYS, "left_semi")
+    return A.re_anchor(A.epoch_candidates(admitted, KEYS, ORDER, "x", NIGHTLY), KEYS, begun, NIGHTLY)
+
+
+@query("nightly_profiles", NIGHTS + f"""
+SELECT {KEY}, epoch, round(p0, 4) AS c0, round(p1, 4) AS c1, round(p2, 4) AS c2, round(displacement, 5) AS displacement, saturated, re_anchored,
+  round(budget_used, 5) AS budget_used FROM ra WHERE epoch > 0""")
+def _(spark, folder):
+    """Profiles as recomputed after every 20 admitted sessions and every night that follows an admitted one."""
+    found = nightly(vectors(spark, folder))
+    return found.select(
+        *KEYS, "epoch", *[F.round(F.get("centre", F.lit(i)), 4).alias(f"c{i}") for i in range(3)],
+        F.round("displacement", 5).alias("displacement"), "saturated", "re_anchored", F.round("budget_used", 5).alias("budget_used"),
+    )
+
+
+@query("nightly_replay", NIGHTS + """
+SELECT event_id, epoch, round(score, 4) AS score, CAST(score < 12 AS INTEGER) AS accepted, round(moved, 5) AS displacement FROM p3""")
+def _(spark, folder):
+    """Every session against the profile that the last night or the last full epoch left."""
+    rows = vectors(spark, folder)
+    played = A.robust_replay(rows, KEYS, ORDER, start(rows), "x", NIGHTLY)
+    return played.select(
+        "event_id", "epoch", F.round("score", 4).alias("score"), "accepted", F.round("displacement", 5).alias("displacement")
+    )
+
+
 @query("replay_policies", PLAYED + """
 SELECT policy, count(*) AS sessions, round(avg(accepted), 6) AS accept_rate, round(avg(updated), 6) AS update_rate,
   round(avg(displacement), 5) AS mean_displacement, round(max(displacement), 5) AS max_displacement FROM played GROUP BY 1""")
@@ -165,6 +199,16 @@ def _(spark, folder):
     return played.select("event_id", F.round("score", 5).alias("score"), "accepted", "updated")
 
 
+@query("trusted_replay", PLAYED + """
+SELECT event_id, round(score, 5) AS score, accepted, updated, round(displacement, 5) AS displacement FROM played WHERE policy = 'P2'""")
+def _(spark, folder):
+    rows = vectors(spark, folder)
+    played = A.trusted_replay(rows, KEYS, ORDER, start(rows), "x", SETTINGS)
+    return played.select(
+        "event_id", F.round("score", 5).alias("score"), "accepted", "updated", F.round("displacement", 5).alias("displacement")
+    )
+
+
 @query("static_replay", "WITH " + VECTORS + """
 SELECT l.event_id, round(sum(abs(x - c) / d), 5) AS score, CAST(sum(abs(x - c) / d) < 12 AS INTEGER) AS accepted
 FROM cells l JOIN st ON l.user_id = st.user_id AND l.device = st.device AND l.pos = st.pos GROUP BY 1""")

@@ -46,15 +46,40 @@ cum_{members} AS (SELECT *, sum(w) OVER (PARTITION BY {key}, pos ORDER BY d ROWS
 mad_{members} AS (SELECT {key}, pos, min(d) AS s FROM cum_{members} WHERE cw >= tw / 2 * (1 - 1e-12) GROUP BY {key}, pos)"""
 
 
-def anchor_sql(every: int, size: int, budgets: str, only: str = "true") -> str:
-    """CTE ``ra``: one row per key, budget and epoch, epoch 0 being the enrolment profile; ``only`` limits the admitted."""
+def counted_epochs(every: int, size: int, only: str) -> str:
+    """CTEs ``em`` (members), ``ends`` and ``inforce(event_id, epoch)``: an epoch closes at every ``every``-th admission."""
     return f""",
 adm AS (SELECT {KEY}, ts, tau AS w, {each('x#')}, row_number() OVER (PARTITION BY {KEY} ORDER BY ts, event_id) AS no FROM kv WHERE tau >= 0.5 AND {only}),
 due AS (SELECT {KEY}, unnest(range(1, n // {every} + 1)) AS epoch FROM (SELECT {KEY}, max(no) AS n FROM adm GROUP BY 1, 2)),
-em AS (SELECT adm.*, epoch FROM adm JOIN due USING ({KEY}) WHERE no <= epoch * {every} AND no > epoch * {every} - {size})
-{median_sql('em')},
+em AS (SELECT adm.*, epoch FROM adm JOIN due USING ({KEY}) WHERE no <= epoch * {every} AND no > epoch * {every} - {size}),
 ends AS (SELECT {KEY}, epoch, CAST(floor(epoch(max(ts))) AS BIGINT) AS ended,
   max(CASE WHEN no > (epoch - 1) * {every} AND w >= 1 THEN 1 ELSE 0 END) AS full_trust FROM em GROUP BY {KEY}, epoch),
+inforce AS (SELECT event_id, (count(*) FILTER (tau >= 0.5) OVER (PARTITION BY {KEY} ORDER BY ts, event_id
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) // {every} AS epoch FROM kv)"""
+
+
+def nightly_epochs(every: int, size: int, only: str) -> str:
+    """The same where an epoch also closes at midnight, if sessions were admitted since the last one closed."""
+    return f""",
+adm AS (SELECT {KEY}, event_id, ts, CAST(ts AS DATE) AS day, tau AS w, {each('x#')}, row_number() OVER (PARTITION BY {KEY} ORDER BY ts, event_id) AS no,
+  row_number() OVER (PARTITION BY {KEY}, CAST(ts AS DATE) ORDER BY ts, event_id) AS dn, count(*) OVER (PARTITION BY {KEY}, CAST(ts AS DATE)) AS dt
+  FROM kv WHERE tau >= 0.5 AND {only}),
+due AS (SELECT {KEY}, day, ts, event_id, dn % {every} = 0 AS filled, row_number() OVER (PARTITION BY {KEY} ORDER BY no) AS epoch, no AS close_no,
+  (dn - 1) % {every} + 1 AS fresh, CAST(CASE WHEN dn % {every} = 0 THEN floor(epoch(ts)) ELSE epoch(day + INTERVAL 1 DAY) END AS BIGINT) AS ended
+  FROM adm WHERE dn % {every} = 0 OR dn = dt),
+em AS (SELECT adm.user_id, adm.device, no, w, {each('x#')}, epoch, close_no, fresh, ended FROM adm JOIN due USING ({KEY})
+  WHERE no <= close_no AND no > close_no - {size}),
+ends AS (SELECT {KEY}, epoch, any_value(ended) AS ended, max(CASE WHEN no > close_no - fresh AND w >= 1 THEN 1 ELSE 0 END) AS full_trust
+  FROM em GROUP BY {KEY}, epoch),
+inforce AS (SELECT kv.event_id, count(due.epoch) AS epoch FROM kv LEFT JOIN due ON kv.user_id = due.user_id AND kv.device = due.device
+  AND (due.day < CAST(kv.ts AS DATE) OR (due.filled AND due.day = CAST(kv.ts AS DATE) AND (due.ts, due.event_id) < (kv.ts, kv.event_id)))
+  GROUP BY kv.event_id)"""
+
+
+def anchor_sql(every: int, size: int, budgets: str, only: str = "true", nightly: bool = False) -> str:
+    """CTE ``ra``: one row per key, budget and epoch, epoch 0 being the enrolment profile; ``only`` limits the admitted."""
+    return (nightly_epochs if nightly else counted_epochs)(every, size, only) + f"""
+{median_sql('em')},
 wid AS (SELECT {KEY}, epoch, {each('greatest(max(s) FILTER (pos = #), 1e-4) AS v#')} FROM mad_em GROUP BY {KEY}, epoch),
 cand AS (SELECT {KEY}, epoch, {each('c# AS k#')}, {each('v#')}, ended, full_trust
   FROM mid_em JOIN wid USING ({KEY}, epoch) JOIN ends USING ({KEY}, epoch)),
@@ -77,9 +102,8 @@ ra AS (
             SELECT ra.user_id, ra.device, budget, cand.epoch, {each('o#')}, {each('e#')}, {each('a#')}, {each('s#')},
               calm AS calm_before, {each('k#')}, {each('v#')}, ended, full_trust
             FROM ra JOIN cand ON ra.user_id = cand.user_id AND ra.device = cand.device AND cand.epoch = ra.epoch + 1)))))),
-p3 AS (SELECT f.*, budget, {each('abs(x# - p#) / q#', ' + ')} AS score, moved FROM (
-    SELECT *, (count(*) FILTER (tau >= 0.5) OVER (PARTITION BY {KEY} ORDER BY ts, event_id
-      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) // {every} AS epoch FROM kv) f JOIN ra USING ({KEY}, epoch))"""
+p3 AS (SELECT f.*, budget, {each('abs(x# - p#) / q#', ' + ')} AS score, moved
+  FROM (SELECT kv.*, epoch FROM kv JOIN inforce USING (event_id)) f JOIN ra USING ({KEY}, epoch))"""
 
 
 def replay_sql(sessions: str) -> str:

@@ -10,7 +10,7 @@ from cadentia.catalog.deciding import ROUTED_TOTALS, routed_totals
 from cadentia.catalog.registry import query
 from cadentia.catalog.views import EVENTS, events, table
 from cadentia.operators import profiles as P
-from cadentia.operators.adaptation import Settings
+from cadentia.operators.trust import VERIFY_STEP_UP
 from cadentia.session import materialise, scratch_path
 from cadentia.sources import lake
 from cadentia.streaming import streams as L
@@ -82,15 +82,17 @@ a AS (SELECT *, count(*) OVER w AS n, avg(value) OVER w AS mv, avg(fix) OVER w A
         (epoch_us(ts) - epoch_us(first_value(ts) OVER w)) / 3.6e9 AS hrs
       FROM dy WINDOW w AS (PARTITION BY user_id, day ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)),
 s AS (SELECT *, abs(mv - m0) / s0 + abs(cr - m1) / s1 + abs(hrs - m2) / s2 AS score FROM a LEFT JOIN pf USING (user_id)
-      WHERE event_type <> 'error' AND epoch_ms(ts) < (SELECT max(epoch_ms(ts)) - 3600000 FROM ev))
+      WHERE event_type <> 'error')
 SELECT event_id, CASE event_type WHEN 'signup' THEN 'login' WHEN 'view' THEN 'payee' WHEN 'click' THEN 'amount' ELSE 'confirm' END AS checkpoint, n AS events,
   round(score, 5) AS score, CASE WHEN score IS NULL THEN 'step_up' WHEN event_type = 'purchase' AND score >= 8 THEN 'block'
     WHEN event_type = 'purchase' AND score >= 5 THEN 'restrict' WHEN score >= 3 THEN 'step_up' ELSE 'allow' END AS action FROM s""")
 def _(spark, folder):
-    steps = stream(spark, folder).select(
+    rows = events(spark, folder).select(
         "event_id", "user_id", "ts", F.to_date("ts").alias("day"), (F.unix_micros("ts") / 1e6).alias("at"),
         "value", F.when(F.col("event_type") == "error", "correction").otherwise(F.col("event_type")).alias("step"),
     )
+    path = L.closed_table(rows, scratch_path(spark, "steps"), at=F.unix_micros("ts") / 1e6, event_id=0, value=0.0, step="")
+    steps = L.read_events(spark, path, rows.schema)
     found = L.stream_checkpoints(
         steps, step_profiles(spark, folder), "user_id", ["user_id", "day"], STEPS, step_up=3.0, restrict=5.0, block=8.0
     )
@@ -98,21 +100,21 @@ def _(spark, folder):
     return done.select("event_id", "checkpoint", "events", F.round("score", 5).alias("score"), "action")
 
 
-PASSED = "epoch_ms(ts) < (SELECT max(epoch_ms(ts)) - 3600000 FROM v WHERE tau >= 0.5)"
+# Only sessions with a completed step-up feed the learning.
+VERIFIED = anchor_sql(adapting.NIGHTLY.every, adapting.NIGHTLY.buffer, "0.5", "c_verify >= 1", nightly=True)
 
 
-@query("stream_adapt", "WITH RECURSIVE " + WIDE + anchor_sql(5, 20, "0.5", PASSED) + f"""
+@query("stream_adapt", "WITH RECURSIVE " + WIDE + VERIFIED + f"""
 SELECT {KEY}, epoch, round(displacement, 5) AS displacement, saturated, re_anchored FROM ra WHERE epoch > 0""")
 def _(spark, folder):
     rows = adapting.vectors(spark, folder)
     begun = adapting.start(rows)
-    path = scratch_path(spark, "verified")
-    rows.select(
+    stepped_up = F.when(F.col("c_verify") >= VERIFY_STEP_UP, lake.ADAPTATION_EVENT).otherwise("session.ended")
+    verified = rows.withColumn("event_type", stepped_up).where(lake.adaptation_rule()).select(
         *adapting.KEYS, "event_id", "ts", (F.unix_micros("ts") / 1e6).alias("at"), "x", "tau"
-    ).write.parquet(path)
-    schema = spark.read.parquet(path).schema
-    verified = spark.readStream.schema(schema).parquet(path)
-    found = L.stream_adapt(verified, begun, adapting.KEYS, Settings(budget=0.5, every=5, buffer=20))
+    )
+    path = L.closed_table(verified, scratch_path(spark, "verified"), at=F.unix_micros("ts") / 1e6, event_id=0, tau=1.0)
+    found = L.stream_adapt(L.read_events(spark, path, verified.schema), begun, adapting.KEYS, adapting.NIGHTLY)
     done = L.run_to_table(found, scratch_path(spark, "adapted"), "profiles")
     return done.select(
         *adapting.KEYS, "epoch", F.round("displacement", 5).alias("displacement"), "saturated", "re_anchored"

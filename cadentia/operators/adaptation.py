@@ -20,7 +20,9 @@ from cadentia.functions.scalars import DAY_SECONDS, DISPERSION_FLOOR, day_slot,
 from cadentia.operators import evaluation as E
 from cadentia.operators import profiles as P
 from cadentia.operators.trust import BUFFER_SIZE, TAU_MIN, VERIFY_PASSKEY
+from cadentia.plans.affine import affine_scan, applied
 from cadentia.plans.fold import ordered_fold
+from cadentia.plans.joins import null_safe_join
 from cadentia.plans.ordered import head_per_key, running
 from cadentia.plans.quantiles import exact_quantiles
 from cadentia.session import materialise
@@ -49,6 +51,8 @@ class Settings:
     every: int = RECOMPUTE_EVERY
     buffer: int = BUFFER_SIZE
     floor: float = DISPERSION_FLOOR
+    # Recompute at midnight too, where sessions were admitted since the last time.
+    nightly: bool = False
 
 
 def weiszfeld(points: np.ndarray, weights: np.ndarray, tol: float, max_iter: int) -> np.ndarray:
@@ -226,6 +230,34 @@ def ewma_profile(
     )
 
 
+def trusted_replay(
+    sessions: DataFrame, keys: Sequence[str], order: Sequence[str], start: DataFrame,
+    vector: str, settings: Settings,
+) -> DataFrame:
+    """Policy P2 session by session: score, accepted, updated, displacement.
+
+    Trust decides which sessions update, not the score, so the updates are known beforehand. Each is the step
+    ``centre <- (1 - alpha) * centre + alpha * x`` and steps compose: no key is walked in order.
+    """
+    numbered = running(
+        sessions.select(*keys, *order, "tau", q(vector).alias("x")), keys, order, day_slot(q(order[0]), 7),
+        totals={"session_no": F.lit(1).cast("long")},
+    )
+    alpha, updates = settings.alpha, F.col("tau") >= settings.tau_min
+    gain = F.when(updates, F.transform("x", lambda v: alpha * v))
+    placed = affine_scan(numbered, keys, "session_no", F.when(updates, 1 - alpha).otherwise(1.0), gain)
+    joined = placed.join(start.select(*keys, F.col("centre").alias("c0"), "dispersion"), list(keys))
+    scored = joined.withColumn("centre", applied(F.col("before"), F.col("c0"))).withColumn(
+        "score", P.checked_score(keys, "x", F.col("centre"), F.col("dispersion"))
+    )
+    after = F.when(updates, F.zip_with("centre", "x", lambda c, v: (1 - alpha) * c + alpha * v)).otherwise(F.col("centre"))
+    return scored.select(
+        *keys, *order, "score", (F.col("score") < settings.theta).cast("int").alias("accepted"),
+        F.coalesce(updates, F.lit(False)).cast("int").alias("updated"),
+        displacement(after, F.col("c0"), F.col("dispersion")).alias("displacement"),
+    )
+
+
 def ewma_replay(
     sessions: DataFrame, keys: Sequence[str], order: Sequence[str], start: DataFrame,
     vector: str, policy: str, settings: Settings,
@@ -233,22 +265,24 @@ def ewma_replay(
     """Policies P1 and P2 session by session: score, accepted, updated, displacement.
 
     P1 updates when the score is below theta, P2 when tau reaches tau_min. A
-    session is scored before it may move the profile.
+    session is scored before it may move the profile. Only P1 decides its own next step and is walked in order.
     """
-    alpha, theta, tau_min = settings.alpha, settings.theta, settings.tau_min
-    rows = sessions.select(*keys, *order, "tau", q(vector).alias("x")).join(
+    if policy == "P2":
+        return trusted_replay(sessions, keys, order, start, vector, settings)
+    alpha, theta = settings.alpha, settings.theta
+    rows = sessions.select(*keys, *order, q(vector).alias("x")).join(
         start.select(*keys, "centre", "dispersion"), list(keys)
     )
 
     def step(state, row):
-        tau, x, *profile = row[-4:]
+        x, *profile = row[-3:]
         x = np.asarray(x, dtype=float)
         if state is None:
             centre, spread = (np.asarray(part, dtype=float) for part in profile)
             state = (centre, centre, spread)
         origin, centre, spread = state
         score = float(np.abs((x - centre) / spread).sum())
-        update = score < theta if policy == "P1" else tau >= tau_min
+        update = score < theta
         if update:
             centre = (1 - alpha) * centre + alpha * x
         moved = float(np.abs((centre - origin) / spread).mean())
@@ -274,14 +308,80 @@ def static_replay(
     )
 
 
+def nightly_numbers(
+    sessions: DataFrame, keys: Sequence[str], order: Sequence[str], settings: Settings
+) -> DataFrame:
+    """Sessions with their place among the admitted ones when nights end epochs too.
+
+    Adds ``admitted``, ``day``, ``day_no`` (admitted ones of the day up to the row) and ``day_total``, and what
+    earlier days hold: ``admitted_before`` sessions and ``epochs_before`` finished epochs. A day with n admitted
+    sessions finishes ceil(n / every) epochs, the last one at midnight. A key has one row a day in the table
+    of days; inside a day it is cut into quarters of an hour.
+    """
+    flag = F.when(F.col("tau") >= settings.tau_min, 1).otherwise(0).cast("long")
+    dayed = sessions.withColumn("admitted", flag).withColumn("day", day_slot(q(order[0])))
+    numbered = running(
+        dayed, [*keys, "day"], order, day_slot(q(order[0]), 1 / 96),
+        totals={"day_no": "admitted"}, whole={"day_total": "day_no"},
+    )
+    days = dayed.groupBy(*keys, "day").agg(F.sum("admitted").alias("_n"))
+    earlier = Window.partitionBy(*keys).orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    so_far = lambda what: F.coalesce(F.sum(what).over(earlier), F.lit(0))
+    before = days.select(
+        *keys, "day", so_far(F.col("_n")).alias("admitted_before"),
+        so_far(F.ceil(F.col("_n") / settings.every)).alias("epochs_before"),
+    )
+    return null_safe_join(numbered, before, [*keys, "day"])
+
+
+def nightly_epochs(numbered: DataFrame, settings: Settings) -> DataFrame:
+    """Admitted sessions with ``admitted_no``, the ``epoch`` they are new in, whether they close it and when it ends."""
+    every, no = settings.every, F.col("day_no")
+    closes_full = no % every == 0
+    return numbered.where(F.col("admitted") == 1).withColumns(
+        {
+            "admitted_no": F.col("admitted_before") + no,
+            "epoch": F.col("epochs_before") + F.ceil(no / every),
+            "closes": closes_full | (no == F.col("day_total")),
+            "fresh": (no - 1) % every + 1,
+            "midnight": ~closes_full,
+        }
+    )
+
+
+def _nightly_members(
+    admitted: DataFrame, keys: Sequence[str], order: Sequence[str], vector: str, settings: Settings
+) -> DataFrame:
+    """Each epoch meets the sessions of its buffer in blocks of one buffer length, so of at most two blocks."""
+    size, no = settings.buffer, F.col("admitted_no")
+    known = nightly_epochs(nightly_numbers(admitted, keys, order, settings), settings)
+    rows = known.select(
+        *keys, q(order[0]).alias("_ts"), "admitted_no", F.col("tau").alias("weight"), q(vector).alias(vector),
+        F.floor((no - 1) / size).alias("_block"),
+    )
+    ended = F.when(F.col("midnight"), (F.col("day") + 1) * DAY_SECONDS).otherwise(F.unix_seconds(q(order[0])))
+    block = F.floor((no - 1) / size)
+    closings = known.where("closes").select(
+        *keys, "epoch", no.alias("_close"), "fresh", ended.alias("epoch_end"), F.explode(F.array(block, block - 1)).alias("_block")
+    )
+    inside = (F.col("admitted_no") <= F.col("_close")) & (F.col("admitted_no") > F.col("_close") - size)
+    return null_safe_join(rows, closings, [*keys, "_block"]).where(inside).select(
+        *keys, "_ts", "admitted_no", "weight", vector, "epoch", "epoch_end",
+        (F.col("admitted_no") > F.col("_close") - F.col("fresh")).alias("newest"),
+    )
+
+
 def epoch_members(
     admitted: DataFrame, keys: Sequence[str], order: Sequence[str], vector: str, settings: Settings
 ) -> DataFrame:
     """Rows (keys, epoch, vector, weight): the buffer as it stands at each recomputation.
 
-    Epoch e looks at the newest ``buffer`` of the first ``e * every`` admitted
-    sessions, so a session belongs to at most buffer / every epochs.
+    Epoch e looks at the newest ``buffer`` of the sessions admitted when it closes. Without nights these are
+    the first ``e * every``, so a session belongs to at most buffer / every epochs. ``newest`` marks those that no
+    earlier epoch has, ``epoch_end`` is the second in which the epoch closes.
     """
+    if settings.nightly:
+        return _nightly_members(admitted, keys, order, vector, settings)
     every, size = settings.every, settings.buffer
     number = F.col("admitted_no")
     first = F.ceil(number / every)
@@ -293,7 +393,9 @@ def epoch_members(
     return kept.select(
         *keys, q(order[0]).alias("_ts"), "admitted_no", F.col("tau").alias("weight"),
         q(vector).alias(vector), F.explode(F.sequence(first, last)).alias("epoch"),
-    )
+    ).withColumns({
+        "epoch_end": F.unix_seconds("_ts"), "newest": F.col("admitted_no") > (F.col("epoch") - 1) * every,
+    })
 
 
 def epoch_candidates(
@@ -301,9 +403,8 @@ def epoch_candidates(
 ) -> DataFrame:
     """Per (key, epoch): candidate centre and spread, epoch end, whether full trust was seen."""
     members = epoch_members(admitted, keys, order, vector, settings)
-    newest = F.col("admitted_no") > (F.col("epoch") - 1) * settings.every
-    trusted = F.when(newest & (F.col("weight") >= FULL_TRUST), 1).otherwise(0)
-    marked = members.withColumn("epoch_end", F.unix_seconds("_ts")).withColumn("full_trust", trusted)
+    trusted = F.when(F.col("newest") & (F.col("weight") >= FULL_TRUST), 1).otherwise(0)
+    marked = members.withColumn("full_trust", trusted)
     return geometric_median(marked, [*keys, "epoch"], vector, largest=["epoch_end", "full_trust"])
 
 
@@ -395,16 +496,20 @@ def robust_replay(
             epoch_candidates(admitted, keys, order, vector, settings), keys, start, settings
         )
     admitted_flag = F.when(F.col("tau") >= settings.tau_min, 1).otherwise(0)
-    counted = running(
-        sessions, keys, order, day_slot(q(order[0]), 7), totals={"_upto": admitted_flag.cast("long")}
-    )
-    before = F.col("_upto") - admitted_flag
-    placed = counted.withColumn("epoch", F.floor(before / settings.every))
+    if settings.nightly:
+        in_day = F.floor((F.col("day_no") - F.col("admitted")) / settings.every)
+        placed = nightly_numbers(sessions, keys, order, settings).withColumn("epoch", F.col("epochs_before") + in_day)
+    else:
+        counted = running(
+            sessions, keys, order, day_slot(q(order[0]), 7), totals={"_upto": admitted_flag.cast("long")}
+        )
+        before = F.col("_upto") - admitted_flag
+        placed = counted.withColumn("epoch", F.floor(before / settings.every))
     joined = placed.join(profile_in_force(epochs, start, keys), [*keys, "epoch"])
-    score = P.score_of(q(vector), F.col("centre"), F.col("dispersion"))
+    score = P.checked_score(keys, vector, F.col("centre"), F.col("dispersion"))
     return joined.withColumn("score", score).select(
         *keys, *order, "score", (F.col("score") < settings.theta).cast("int").alias("accepted"),
-        admitted_flag.alias("updated"), "displacement",
+        admitted_flag.alias("updated"), "displacement", F.col("epoch").cast("long").alias("epoch"),
     )
 
 
@@ -422,7 +527,7 @@ def replay_policies(
         elif policy in ("P1", "P2"):
             played = ewma_replay(sessions, keys, order, start, vector, policy, settings)
         elif policy == "P3":
-            played = robust_replay(sessions, keys, order, start, vector, settings)
+            played = robust_replay(sessions, keys, order, start, vector, settings).drop("epoch")
         else:
             raise ValueError(f"unknown policy {policy!r}, expected one of {POLICIES}")
         named = played.withColumn("policy", F.lit(policy))

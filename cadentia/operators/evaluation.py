@@ -29,11 +29,11 @@ def impostor_pairs(
     spread over a grid of cells and leave the join as one number each.
     """
     targets = profiles.select(q(subject).alias("subject"), "centre", "dispersion")
-    rows = impostors.select(q(subject).alias("impostor"), q(vector).alias("_v"))
+    rows = impostors.select(q(subject).alias("impostor"), P.filled(subject, vector).alias("_v"))
     pairs = grid_pairs(
         targets, rows, "subject", "impostor", F.col("subject") != F.col("impostor")
     )
-    score = P.score_of(F.col("_v"), F.col("centre"), F.col("dispersion"))
+    score = P.fitting_score(["subject", "impostor"], "_v", F.col("centre"), F.col("dispersion"))
     return pairs.select("subject", "impostor", score.alias("score"))
 
 
@@ -45,7 +45,8 @@ def label_scores(genuine: DataFrame, impostor: DataFrame) -> DataFrame:
 
 
 def _counts(scores: DataFrame, by: Sequence[str | Column]) -> DataFrame:
-    label = F.col("label").cast("long")
+    named = F.concat(F.lit("a score is null for subject "), F.coalesce(F.col("subject").cast("string"), F.lit("null")))
+    label = F.when(F.col("score").isNull(), F.raise_error(named)).otherwise(F.col("label").cast("long"))
     return scores.groupBy(*by).agg(F.sum(1 - label).alias("ng"), F.sum(label).alias("ni"))
 
 
@@ -230,11 +231,12 @@ def scaled_scores(
 
     All scalings share the split, the fit and the pairs: a pair is formed once and scored by
     each. Subjects without a genuine test row are left out as targets; list them with
-    ``insufficient_subjects`` or refuse them with ``require_repetitions``.
+    ``insufficient_subjects`` or refuse them with ``require_repetitions``. A vector with a missing feature, or not
+    as long as a profile, fails the job with the subject in the message.
     """
     split = materialise(
         S.enrolment_split(df, subject, order, n_enrol, slot).select(
-            q(subject).alias("subject"), *[q(c) for c in order if c != subject], q(vector).alias("_v"), "role"
+            q(subject).alias("subject"), *[q(c) for c in order if c != subject], P.filled(subject, vector).alias("_v"), "role"
         ),
         "split",
     )
@@ -245,7 +247,7 @@ def scaled_scores(
     fitted = materialise(spreads.select("subject", "centre", *floored), "profiles")
 
     def scored(rows: DataFrame, label: int) -> DataFrame:
-        distances = [P.score_of(F.col("_v"), F.col("centre"), F.col(c)).alias(f"score_{c}") for c in scalings]
+        distances = [P.fitting_score("subject", "_v", F.col("centre"), F.col(c)).alias(f"score_{c}") for c in scalings]
         return rows.select("subject", F.lit(label).alias("label"), *distances)
 
     genuine = split.where(F.col("role") == "genuine").join(fitted, "subject")

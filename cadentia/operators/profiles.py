@@ -157,6 +157,24 @@ def score_of(vector: Column, centre: Column, dispersion: Column) -> Column:
     return absolute_sum(deviation_array(vector, centre, dispersion))
 
 
+def filled(subject: str | Sequence[str], vector: str) -> Column:
+    """The vector; one that is null or holds null or NaN fails the job, naming the key."""
+    return _filled(vector, as_keys(subject))
+
+
+def fitting_score(subject: str | Sequence[str], vector: str, centre: Column, dispersion: Column) -> Column:
+    """The score of a filled vector; one that is not as long as the profile fails the job, naming the key."""
+    wrong = _named(as_keys(subject), f"{vector} is not as long as the profile")
+    return F.when(F.size(q(vector)) == F.size(centre), score_of(q(vector), centre, dispersion)).otherwise(wrong)
+
+
+def checked_score(subject: str | Sequence[str], vector: str, centre: Column, dispersion: Column) -> Column:
+    """The score of any vector; one with a missing feature or of another length fails the job, naming the key."""
+    fits = fitting_score(subject, vector, centre, dispersion)
+    whole = filled(subject, vector)
+    return F.when(whole.isNotNull(), fits)
+
+
 def with_profile(
     df: DataFrame, profiles: DataFrame, subject: str | Sequence[str], how: str = "inner"
 ) -> DataFrame:
@@ -177,14 +195,12 @@ def deviations(df, profiles, subject, vector: str = VECTOR) -> DataFrame:
 
 
 def anomaly_score(df, profiles, subject, vector: str = VECTOR) -> DataFrame:
-    """Rows plus ``score`` against their own subject's profile; higher is less alike."""
-    score = score_of(q(vector), F.col("centre"), F.col("dispersion"))
-    joined = with_profile(df, profiles, subject)
-    fits = F.size(q(vector)) == F.size("centre")
-    wrong = _named(as_keys(subject), f"{vector} is not as long as the profile")
-    # A null vector has size null and scores null.
-    checked = F.when(fits | q(vector).isNull(), score).otherwise(wrong)
-    return joined.withColumn("score", checked).drop("centre", "dispersion")
+    """Rows plus ``score`` against their own subject's profile; higher is less alike.
+
+    A vector with a missing feature, or not as long as its profile, fails the job with the key in the message.
+    """
+    score = checked_score(subject, vector, F.col("centre"), F.col("dispersion"))
+    return with_profile(df, profiles, subject).withColumn("score", score).drop("centre", "dispersion")
 
 
 def ranked(values: Column, count: int) -> Column:

@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from cadentia.functions.scalars import DAY_SECONDS
 from cadentia.operators import profiles as P
 from cadentia.operators.adaptation import (
-    ARRAY, FULL_TRUST, MAX_ITERATIONS, RE_ANCHOR_DAYS, TOLERANCE, Settings, weighted_lower_median,
+    FULL_TRUST, MAX_ITERATIONS, RE_ANCHOR_DAYS, TOLERANCE, Settings, weighted_lower_median,
     weiszfeld, within_budget,
 )
 from cadentia.sources import lake
@@ -77,6 +77,140 @@ def stream_dedup(stream: DataFrame, keys: Sequence[str], ts: str, within: str) -
     return stream.withWatermark(ts, within).dropDuplicatesWithinWatermark(list(keys))
 
 
+NO_ID = -(2**63)
+
+
+def _keyed(stream: DataFrame, keys: Sequence[str], ts: str) -> DataFrame:
+    """Rows with a time, one text ``_key`` for their key, and no null where pandas would turn whole numbers into floats."""
+    key = F.to_json(F.struct(*[F.col(k) for k in keys]), {"ignoreNullFields": "false"})
+    timed = stream.where(F.col(ts).isNotNull()).withColumn("event_id", F.coalesce("event_id", F.lit(NO_ID)))
+    return timed.withColumn("_key", key).drop(*keys)
+
+
+def _unkeyed(out: DataFrame, fields: list[T.StructField]) -> DataFrame:
+    """The key columns back from ``_key``, in front."""
+    key = F.from_json("_key", T.StructType([T.StructField(f.name, f.dataType) for f in fields]))
+    rest = [F.when(F.col(c) != NO_ID, F.col(c)).alias(c) if c == "event_id" else F.col(c) for c in out.columns if c != "_key"]
+    return out.withColumn("_fields", key).select(*[F.col("_fields")[f.name].alias(f.name) for f in fields], *rest)
+
+
+class TakenInOrder(StatefulProcessor):
+    """Rows of a key wait in list state until the watermark has passed them and are then taken by time.
+
+    So the result does not depend on how rows are dealt to files and triggers. One timer per key is
+    set, at the earliest moment at which something is due. Rows are tuples that begin with epoch seconds and an id.
+    """
+
+    row_schema = "at double, id long"
+    columns: tuple[str, ...] = ("at", "event_id")
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", self.row_schema)
+        self.wake = handle.getValueState("wake", "at long")
+
+    def known(self, part: pd.DataFrame) -> bool:
+        """Take what a batch of rows says about its key; false if the key is none of ours."""
+        return True
+
+    def taken(self, key: tuple, rows: list[tuple], mark: int) -> pd.DataFrame | None:
+        """Use rows that are older than the watermark, in order."""
+        raise NotImplementedError
+
+    def due(self) -> int | None:
+        """When the state wants to be woken if no row comes."""
+        return None
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new = []
+        for part in rows:
+            if self.known(part):
+                new += [tuple(plain(v) for v in row) for row in part[list(self.columns)].itertuples(index=False, name=None)]
+        if new:
+            self.waiting.appendList(new)
+            self.set_timer(min(milliseconds(row[0]) for row in new) + 1)
+        return iter(())
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        mark = timerValues.getCurrentWatermarkInMs()
+        self.wake.clear()
+        rows = sorted(self.waiting.get(), key=lambda row: row[:2])
+        ready = [row for row in rows if milliseconds(row[0]) < mark]
+        rest = rows[len(ready):]
+        if ready:
+            self.waiting.clear()
+            if rest:
+                self.waiting.appendList(rest)
+        out = self.taken(key, ready, mark)
+        moments = [m for m in (milliseconds(rest[0][0]) + 1 if rest else None, self.due()) if m is not None]
+        if moments:
+            self.set_timer(max(min(moments), mark + 1))
+        if out is not None:
+            yield out
+
+    def set_timer(self, at: int) -> None:
+        old = self.wake.get()[0] if self.wake.exists() else None
+        if old is not None and old <= at:
+            return
+        if old is not None:
+            self.handle.deleteTimer(old)
+        self.handle.registerTimer(at)
+        self.wake.update((at,))
+
+
+def plain(value):
+    """State takes Python values, not those of numpy."""
+    return value.tolist() if isinstance(value, (np.ndarray, np.generic)) else value
+
+
+class Checkpoints(TakenInOrder):
+    """Running sums of one session, and its user's profile."""
+
+    row_schema = "at double, id long, step string, value double"
+    columns = ("at", "event_id", "step", "value")
+
+    def __init__(self, steps: Mapping[str, str], limits: tuple[float, float, float]) -> None:
+        self.steps, self.limits = dict(steps), limits
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.sums = handle.getValueState("sums", "n long, total double, corrections long, since double, last double")
+        self.profile = handle.getValueState("profile", "centre array<double>, dispersion array<double>")
+
+    def known(self, part: pd.DataFrame) -> bool:
+        middle, scale = part["centre"].iloc[0], part["dispersion"].iloc[0]
+        if middle is not None and not self.profile.exists():
+            self.profile.update((plain(middle), plain(scale)))
+        return True
+
+    def taken(self, key: tuple, rows: list[tuple], mark: int) -> pd.DataFrame | None:
+        if not rows:
+            if self.sums.exists() and not self.waiting.exists() and mark > milliseconds(self.sums.get()[4]) + SESSION_TTL_MS:
+                self.sums.clear()
+                self.profile.clear()
+            return None
+        n, total, corrections, since, last = self.sums.get() if self.sums.exists() else (0, 0.0, 0, rows[0][0], None)
+        middle, scale = self.profile.get() if self.profile.exists() else (None, None)
+        out = []
+        for at, event, step, value in rows:
+            n, total, corrections, last = n + 1, total + value, corrections + int(step == "correction"), at
+            name = self.steps.get(step)
+            if name is None:
+                continue
+            score, action = None, "step_up"
+            if middle is not None:
+                seen = np.array([total / n, corrections / n, (at - since) / 3600])
+                score = float(np.abs((seen - np.asarray(middle)) / np.asarray(scale)).sum())
+                action = action_at(name, score, *self.limits)
+            out.append((*key, event, name, n, score, action))
+        self.sums.update((n, total, corrections, since, last))
+        names = ["_key", "event_id", "checkpoint", "events", "score", "action"]
+        return pd.DataFrame(out, columns=names).astype({"score": "float64"}) if out else None
+
+    def due(self) -> int | None:
+        return milliseconds(self.sums.get()[4]) + SESSION_TTL_MS + 1 if self.sums.exists() else None
+
+
 def stream_checkpoints(
     stream: DataFrame, profiles: DataFrame, user: str, session: Sequence[str], steps: Mapping[str, str],
     step_up: float, restrict: float, block: float, ts: str = "ts", late: str = "1 hour",
@@ -89,65 +223,17 @@ def stream_checkpoints(
     the last checkpoint may the action be restrict or block. A user without a profile
     has no score and is stepped up.
 
-    Rows wait in the state until the watermark has passed them and are then taken by time, so the
-    result does not depend on how events are dealt to triggers or files; rows later than ``late``
-    are dropped by the watermark. A session's state is its profile, four numbers and
-    the rows of the last ``late`` span, and expires a day of event time after its last event.
+    Rows without a time, or later than ``late``, are dropped. A session's state is its profile, five numbers and
+    the rows of the last ``late`` span; an event-time timer clears it a day after its last event. (State
+    with a time to live of its own expires by the wall clock, which a replay would not follow.)
     """
     use_rocksdb(stream.sparkSession)
-    names = [*session, "event_id", "checkpoint", "events", "score", "action"]
     known = stream.join(profiles.select(user, "centre", "dispersion"), user, "left")
-
-    def accumulate(key: tuple, parts: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, total, corrections, since, middle, scale, *held = state.get if state.exists else (0, 0.0, 0, None, None, None, [], [], [], [])
-        waiting = list(zip(*held, strict=True))
-        if state.hasTimedOut and not waiting:
-            state.remove()
-            return
-        if not state.hasTimedOut:
-            for part in parts:
-                for row in part.itertuples(index=False):
-                    middle, scale = row.centre, row.dispersion
-                    waiting.append((float(row.at), int(row.event_id), row.step, float(row.value)))
-        waiting.sort(key=lambda w: w[:2])
-        mark = state.getCurrentWatermarkMs()
-        ready = [w for w in waiting if milliseconds(w[0]) < mark]
-        last = waiting[-1][0]
-        out = []
-        for at, event, step, value in ready:
-            since = at if since is None else since
-            n, total, corrections = n + 1, total + value, corrections + int(step == "correction")
-            name = steps.get(step)
-            if name is None:
-                continue
-            if middle is None:
-                out.append((*key, event, name, n, None, "step_up"))
-                continue
-            seen = np.array([total / n, corrections / n, (at - since) / 3600])
-            score = float(np.abs((seen - np.asarray(middle)) / np.asarray(scale)).sum())
-            out.append((*key, event, name, n, score, action_at(name, score, step_up, restrict, block)))
-        waiting = waiting[len(ready):]
-        lists = [list(c) for c in zip(*waiting, strict=True)] or [[], [], [], []]
-        arrays = (None, None) if middle is None else (list(map(float, middle)), list(map(float, scale)))
-        state.update((n, total, corrections, since, *arrays, *lists))
-        wake = milliseconds(waiting[0][0]) if waiting else milliseconds(last) + SESSION_TTL_MS
-        state.setTimeoutTimestamp(max(wake, mark + 1))
-        if out:
-            yield pd.DataFrame(out, columns=names).astype({"score": "float64"})
-
-    kept = (
-        "n long, total double, corrections long, since double, centre array<double>, dispersion array<double>, "
-        "ats array<double>, ids array<long>, steps array<string>, amounts array<double>"
-    )
-    fields = [stream.schema[k] for k in session]
-    schema = T.StructType(
-        [*fields, T.StructField("event_id", T.LongType()), T.StructField("checkpoint", T.StringType()),
-         T.StructField("events", T.LongType()), T.StructField("score", T.DoubleType()),
-         T.StructField("action", T.StringType())]
-    )
-    return known.withWatermark(ts, late).groupBy(*session).applyInPandasWithState(
-        accumulate, schema, kept, "Append", GroupStateTimeout.EventTimeTimeout
+    schema = "_key string, event_id long, checkpoint string, events long, score double, action string"
+    found = _keyed(known, session, ts).withWatermark(ts, late).groupBy("_key").transformWithStateInPandas(
+        Checkpoints(steps, (step_up, restrict, block)), schema, "Append", "EventTime"
     )
+    return _unkeyed(found, [stream.schema[k] for k in session])
 
 
 def milliseconds(at: float) -> int:
@@ -163,98 +249,137 @@ def action_at(checkpoint: str, score: float, step_up: float, restrict: float, bl
     return "step_up" if score >= step_up else "allow"
 
 
+class Adapting(TakenInOrder):
+    """One key's buffer, anchor and open epoch; the enrolment profile is its initial state."""
+
+    row_schema = "at double, id long, tau double, x array<double>"
+    columns = ("at", "event_id", "tau", "x")
+
+    def __init__(self, settings: Settings, life: int) -> None:
+        self.settings, self.life = settings, life
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.anchor = handle.getValueState("anchor", "centre array<double>, dispersion array<double>, calm_since long")
+        self.open = handle.getValueState("open", "epoch long, fresh int, vouched int, day long, last double")
+        self.buffer = handle.getListState("buffer", "tau double, x array<double>")
+
+    def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues) -> None:
+        row = initialState.iloc[0]
+        self.anchor.update((plain(row["centre"]), plain(row["dispersion"]), None))
+
+    def known(self, part: pd.DataFrame) -> bool:
+        return self.anchor.exists()
+
+    def taken(self, key: tuple, rows: list[tuple], mark: int) -> pd.DataFrame | None:
+        nothing = (0, 0, 0, None, None)
+        epoch, fresh, vouched, day, last = self.open.get() if self.open.exists() else nothing
+        buffer, out = list(self.buffer.get()), []
+        settings = self.settings
+
+        def close(at: int) -> None:
+            nonlocal epoch, fresh, vouched
+            epoch += 1
+            out.append((*key, epoch, *self.recomputed(buffer, at, bool(vouched))))
+            fresh, vouched = 0, 0
+
+        for at, _, tau, x in rows:
+            today = int(at // DAY_SECONDS)
+            if settings.nightly and fresh and today > day:
+                close((day + 1) * DAY_SECONDS)
+            buffer.append((tau, x))
+            del buffer[: -settings.buffer]
+            fresh, vouched, day, last = fresh + 1, max(vouched, int(tau >= FULL_TRUST)), today, at
+            if fresh == settings.every:
+                close(int(at))  # whole seconds, as in the batch form
+        if settings.nightly and fresh and mark > (day + 1) * DAY_SECONDS * 1000:
+            close((day + 1) * DAY_SECONDS)
+        if not rows and not self.waiting.exists() and last is not None and mark > milliseconds(last) + self.life:
+            buffer = []
+        if buffer:
+            self.buffer.put(buffer)
+        else:
+            self.buffer.clear()
+        if last is not None:
+            self.open.update((epoch, fresh, vouched, day, last))
+        names = ["_key", "epoch", "centre", "dispersion", "displacement", "saturated", "re_anchored"]
+        return pd.DataFrame(out, columns=names) if out else None
+
+    def recomputed(self, buffer: list[tuple], at: int, vouched: bool) -> tuple:
+        """The profile an epoch leaves: candidate from the buffer, bounded by the budget around the anchor."""
+        centre, spread, calm_since = self.anchor.get()
+        cloud, mass = np.asarray([x for _, x in buffer], dtype=float), np.asarray([tau for tau, _ in buffer])
+        middle = weiszfeld(cloud, mass, TOLERANCE, MAX_ITERATIONS)
+        off = np.abs(cloud - middle)
+        wide = np.asarray([weighted_lower_median(off[:, j], mass) for j in range(off.shape[1])])
+        new, width, distance, _, over = within_budget(
+            middle, wide, np.asarray(centre), np.asarray(spread), self.settings.budget, self.settings.floor
+        )
+        if over or calm_since is None:
+            calm_since = at
+        due = vouched or at - calm_since >= RE_ANCHOR_DAYS * DAY_SECONDS
+        if due:
+            self.anchor.update((new.tolist(), width.tolist(), at))
+        else:
+            self.anchor.update((centre, spread, calm_since))
+        return new.tolist(), width.tolist(), min(distance, self.settings.budget), int(over), int(due)
+
+    def due(self) -> int | None:
+        if not self.open.exists():
+            return None
+        _, fresh, _, day, last = self.open.get()
+        if self.settings.nightly and fresh:
+            return (day + 1) * DAY_SECONDS * 1000 + 1
+        return milliseconds(last) + self.life + 1 if self.buffer.exists() else None
+
+
 def stream_adapt(
     verified: DataFrame, start: DataFrame, keys: Sequence[str], settings: Settings, ts: str = "ts", late: str = "1 hour",
 ) -> DataFrame:
     """Robust adaptation as a stream: one row per recomputed profile.
 
     ``verified`` holds ``event_id``, ``ts``, ``at`` (the same in epoch seconds), ``x`` and ``tau``;
-    ``start`` the enrolment profiles. Sessions without enough trust never reach the
-    state. Rows wait until the watermark has passed them and are then taken by time, so the
-    result does not depend on triggers. The state of a key is one buffer, one anchor and the rows of
-    the last ``late`` span; a key that is silent for the life of a buffer keeps its anchor only.
+    ``start`` the published enrolment profiles, which become the initial state of their keys; other keys
+    leave no state. Sessions without enough trust never reach the state. An epoch closes at every
+    ``every``-th session and, where the settings say so, by a timer at midnight. The state of a key is one
+    buffer, one anchor and the rows of the last ``late`` span; a key that is silent for the life
+    of a buffer keeps its anchor only.
     """
     use_rocksdb(verified.sparkSession)
     # Filtered first, so that the watermark follows the sessions that count.
-    admitted_rows = verified.where(F.col("tau") >= settings.tau_min).withWatermark(ts, late)
-    trusted = admitted_rows.join(start.select(*keys, "centre", "dispersion"), list(keys))
-    names = [*keys, "epoch", "centre", "dispersion", "displacement", "saturated", "re_anchored"]
-    life = lake.RETENTION_DAYS["buffer"] * 86_400_000
-
-    def adapt(key: tuple, parts: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        points, weights, anchor, spread, waiting = [], [], None, None, []
-        admitted, calm_since, vouched = 0, None, 0
-        if state.exists:
-            admitted, flat, weights, anchor, spread, calm_since, vouched, *held, flat_held = state.get
-            anchor, spread, weights = np.asarray(anchor), np.asarray(spread), list(weights)
-            points = list(np.asarray(flat, dtype=float).reshape(len(weights), len(anchor)))
-            vectors = np.asarray(flat_held, dtype=float).reshape(len(held[0]), len(anchor))
-            waiting = list(zip(*held, vectors, strict=True))
-        if state.hasTimedOut and not waiting:
-            points, weights = [], []
-        if not state.hasTimedOut:
-            for part in parts:
-                for row in part.itertuples(index=False):
-                    if anchor is None:
-                        anchor, spread = np.asarray(row.centre, float), np.asarray(row.dispersion, float)
-                    waiting.append((float(row.at), int(row.event_id), float(row.tau), np.asarray(row.x, dtype=float)))
-        waiting.sort(key=lambda w: w[:2])
-        mark = state.getCurrentWatermarkMs()
-        ready = [w for w in waiting if milliseconds(w[0]) < mark]
-        last = waiting[-1][0] if waiting else None
-        out = []
-        for at, _, tau, x in ready:
-            admitted, vouched = admitted + 1, max(vouched, int(tau >= FULL_TRUST))
-            points.append(x)
-            weights.append(tau)
-            del points[: -settings.buffer], weights[: -settings.buffer]
-            if admitted % settings.every:
-                continue
-            cloud, mass = np.stack(points), np.asarray(weights)
-            middle = weiszfeld(cloud, mass, TOLERANCE, MAX_ITERATIONS)
-            off = np.abs(cloud - middle)
-            wide = [weighted_lower_median(off[:, j], mass) for j in range(off.shape[1])]
-            centre, width, distance, _, over = within_budget(
-                middle, np.asarray(wide), anchor, spread, settings.budget, settings.floor
-            )
-            seen = int(at)  # whole seconds, as in the batch form
-            if over or calm_since is None:
-                calm_since = seen
-            due = bool(vouched) or seen - calm_since >= RE_ANCHOR_DAYS * 86_400
-            out.append(
-                (*key, admitted // settings.every, centre.tolist(), width.tolist(), min(distance, settings.budget),
-                 int(over), int(due))
-            )
-            if due:
-                anchor, spread, calm_since = centre, width, seen
-            vouched = 0
-        waiting = waiting[len(ready):]
-        flattened = lambda vectors: np.concatenate([np.empty(0), *vectors]).tolist()
-        held = [list(c) for c in zip(*[w[:3] for w in waiting], strict=True)] or [[], [], []]
-        state.update(
-            (admitted, flattened(points), weights, anchor.tolist(), spread.tolist(), calm_since, vouched,
-             *held, flattened([w[3] for w in waiting]))
-        )
-        if last is not None:
-            wake = milliseconds(waiting[0][0]) if waiting else milliseconds(last) + life
-            state.setTimeoutTimestamp(max(wake, mark + 1))
-        if out:
-            yield pd.DataFrame(out, columns=names)
-
-    kept = (
-        "admitted long, points array<double>, weights array<double>, anchor array<double>, "
-        "spread array<double>, calm_since double, vouched int, "
-        "ats array<double>, ids array<long>, taus array<double>, held array<double>"
-    )
-    fields = [trusted.schema[k] for k in keys]
-    schema = T.StructType(
-        [*fields, T.StructField("epoch", T.LongType()), T.StructField("centre", ARRAY),
-         T.StructField("dispersion", ARRAY), T.StructField("displacement", T.DoubleType()),
-         T.StructField("saturated", T.IntegerType()), T.StructField("re_anchored", T.IntegerType())]
+    trusted = _keyed(verified.where(F.col("tau") >= settings.tau_min), keys, ts).withWatermark(ts, late)
+    schema = (
+        "_key string, epoch long, centre array<double>, dispersion array<double>, displacement double, saturated int, re_anchored int"
     )
-    return trusted.groupBy(*keys).applyInPandasWithState(
-        adapt, schema, kept, "Append", GroupStateTimeout.EventTimeTimeout
+    life = lake.RETENTION_DAYS["buffer"] * DAY_SECONDS * 1000
+    begun = start.select(
+        F.to_json(F.struct(*[F.col(k) for k in keys]), {"ignoreNullFields": "false"}).alias("_key"), "centre", "dispersion"
+    ).groupBy("_key")
+    found = trusted.groupBy("_key").transformWithStateInPandas(Adapting(settings, life), schema, "Append", "EventTime", begun)
+    return _unkeyed(found, [verified.schema[k] for k in keys])
+
+
+def append_closing(
+    spark: SparkSession, path: str, schema: T.StructType, ts: str = "ts", days: int = 2, **values
+) -> None:
+    """Add a last file with one row whose time moves the watermark past all rows of the folder.
+
+    The closing row has the given values (columns may use ``ts``) and else only nulls; it waits in the state of the
+    null key and is never taken. File sources take files by their age, so it is read last.
+    """
+    newest = F.max(F.col(ts).cast("timestamp"))
+    end = spark.read.schema(schema).parquet(path).agg((newest + F.expr(f"INTERVAL {days} DAYS")).alias(ts))
+    closing = end.where(F.col(ts).isNotNull()).select(
+        *[F.col(ts) if f.name == ts else F.lit(values.get(f.name)).cast(f.dataType).alias(f.name) for f in schema]
     )
+    closing.write.mode("append").parquet(path)
+
+
+def closed_table(rows: DataFrame, path: str, ts: str = "ts", days: int = 2, **values) -> str:
+    """Write rows for a replay that is to return all of them: a table and its closing row."""
+    rows.write.parquet(path)
+    append_closing(rows.sparkSession, path, rows.schema, ts, days, **values)
+    return path
 
 
 def stream_route(decisions: DataFrame, root: str, progress: str):
