@@ -6,8 +6,8 @@ so an edit disturbs only the k-mers it touches, and a text can be cut into piece
 overlap by k - 1 bytes without changing the result. The fingerprint keeps, for each
 of 32 bins, the smallest 32-bit hash among the text's syncmers in that bin.
 
-Scale: one shuffle carries the texts (to meet their successors), everything else
-carries 32 numbers per piece. Bytes are exploded inside the scan and combined on the map
+Scale: one shuffle carries the texts (to meet their successors), one the code points that edits
+take, everything else carries 32 numbers per piece. No plan grows with the number of partitions. Bytes are exploded inside the scan and combined on the map
 side. Long texts are cut into blocks, so no array grows with a text.
 
 Edge cases: null text counts as empty. The empty text has 32 empty bins, and two empty
@@ -23,8 +23,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cadentia.session import materialise
+
 K, S, BINS, BLOCK = 12, 8, 32, 65_536
-BUCKET_BYTES, MOST_BUCKETS = 16 << 20, 2048
 
 
 def anchors(pieces: DataFrame, key: list[str], data: str = "data", k: int = K, s: int = S) -> DataFrame:
@@ -56,58 +57,41 @@ def sketches(pieces: DataFrame, key: list[str], data: str = "data") -> DataFrame
     return found.groupBy(*key).agg(*[F.min(F.when(F.col("bin") == i, F.col("v"))).alias(f"b{i}") for i in range(BINS)])
 
 
-def _bucket(column: Column, bounds: list) -> Column:
-    """How many bounds are at or below the value, by bisection; null is 0."""
+def successors(docs: DataFrame) -> DataFrame:
+    """``row, next_row, n_next``: each row's successor by doc_id, and how many of its code points an edit takes.
 
-    def tree(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(column < F.lit(bounds[mid]), tree(lo, mid)).otherwise(tree(mid + 1, hi))
+    Only ids, lengths and hashes are sorted, in ranges; a range's last row is followed by the first
+    row of the next range that has one. That table has one row per range.
+    """
+    wanted = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = ["doc_id", "h", "row"]
+    ids = _texts(docs).select("row", "doc_id", F.xxhash64("text").alias("h"), F.length("text").alias("n"))
+    ranged = ids.repartitionByRange(wanted, *order).withColumn("slot", F.spark_partition_id())
+    ranged = materialise(ranged, "order")
+    heads = ranged.groupBy("slot").agg(F.min(F.struct(*order)).alias("head"))
+    by_slot = W.orderBy("slot")
+    after = F.coalesce(F.lead("head.row").over(by_slot), F.first("head.row").over(by_slot))
+    along = W.partitionBy("slot").orderBy(*order)
+    follows = ranged.select("row", "n", "slot", F.lead("row").over(along).alias("next_row"))
+    return follows.join(heads.select("slot", after.alias("after")), "slot").select(
+        "row", F.coalesce("next_row", "after").alias("next_row"), F.floor(F.col("n") / 4).cast("int").alias("n_next")
+    )
 
-    return F.when(column.isNull(), F.lit(0)).otherwise(tree(0, len(bounds)))
 
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
-def with_next(docs: DataFrame) -> DataFrame:
-    """``row, doc_id, text, h, next_text, next_row``: each document beside the next by doc_id.
 
-    doc_ids are dealt into ranges of about equal size. Each range also receives the
-    first document of the range behind it, so that the last one of a range meets its successor.
+def with_edit(docs: DataFrame) -> DataFrame:
+    """``row, doc_id, text, h, next_row, front``: each document beside the code points that its edit takes from the next.
+
+    Texts are shuffled once, by row; from there only fronts travel on.
     """
-    spark = docs.sparkSession
-    rows = docs.select(
-        F.monotonically_increasing_id().alias("row"),
-        "doc_id",
-        F.coalesce("text", F.lit("")).alias("text"),
-    ).withColumn("h", F.xxhash64("text"))
-    n_bytes = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    wanted = max(8 * int(spark.conf.get("spark.sql.shuffle.partitions")), n_bytes // BUCKET_BYTES)
-    wanted = min(MOST_BUCKETS, wanted)
-    cuts = [i / wanted for i in range(1, wanted)]
-    found = docs.agg(F.percentile_approx("doc_id", cuts, 100_000)).first()[0] or []
-    rows = rows.withColumn("bucket", _bucket(F.col("doc_id"), sorted(set(found))))
-    least = rows.groupBy("bucket").agg(F.min(F.struct("doc_id", "h")).alias("least"))
-    # One row per range, at most MOST_BUCKETS of them: small enough for one task and for a broadcast.
-    order = W.orderBy("bucket")
-    before = F.coalesce(F.lag("bucket").over(order), F.max("bucket").over(W.partitionBy()))
-    heads = least.select(F.col("bucket").alias("own"), "least", before.alias("before"))
-    is_head = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("h") == F.col("least.h"))
-    dealt = rows.join(F.broadcast(heads), rows["bucket"] == heads["own"]).select(
-        "row",
-        "doc_id",
-        "text",
-        "h",
-        F.posexplode(
-            F.when(is_head, F.array("bucket", "before")).otherwise(F.array("bucket"))
-        ).alias("copy", "slot"),
-    )
-    along = W.partitionBy("slot").orderBy("copy", F.col("doc_id").asc_nulls_first(), "h", "row")
-    return (
-        dealt.withColumn("next_text", F.lead("text").over(along))
-        .withColumn("next_row", F.lead("row").over(along))
-        .where(F.col("copy") == 0)
-        .select("row", "doc_id", "text", "h", "next_text", "next_row")
-    )
+    texts = _texts(docs)
+    pairs = materialise(successors(docs), "successors")
+    lent = texts.select(F.col("row").alias("next_row"), "text").join(pairs, "next_row")
+    fronts = lent.select("row", "next_row", F.substring("text", F.lit(1), F.col("n_next")).alias("front"))
+    return texts.join(fronts, "row").withColumn("h", F.xxhash64("text"))
 
 
 def likeness(a: str, b: str) -> Column:
@@ -129,13 +113,12 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     Edited: the last quarter of the code points gives way to as many from the start of the next document.
     """
-    paired = with_next(docs)
     n = F.length("text")
     keep = n - F.floor(n / 4)
     edited = (
-        paired.withColumn("n_chars", n.cast("long"))
+        with_edit(docs).withColumn("n_chars", n.cast("long"))
         .withColumn("kept", F.substring("text", F.lit(1), keep.cast("int")))
-        .withColumn("edited", F.concat("kept", F.substring("next_text", F.lit(1), (n - keep).cast("int"))))
+        .withColumn("edited", F.concat("kept", "front"))
     )
     plain = edited.select(
         "row",
@@ -181,6 +164,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         whole(F.coalesce("old", blank), "whole").alias("old"),
         whole(F.coalesce("new", blank), "edited_whole").alias("new"),
     )
+    own = materialise(own, "fingerprints")
     after = own.select(F.col("row").alias("next_row"), F.col("old").alias("after"))
     return own.join(after, "next_row").select(
         "doc_id",
