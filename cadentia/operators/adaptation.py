@@ -476,6 +476,21 @@ def re_anchor(
     return ordered_fold(slim, keys, ["epoch"], step, schema)
 
 
+def bounded_updates(
+    admitted: DataFrame, epochs: DataFrame, keys: Sequence[str], order: Sequence[str], settings: Settings
+) -> DataFrame:
+    """Admitted sessions whose epoch was saturated: what they asked for was cut back to the budget.
+
+    A session answers for the epoch in which it is new; sessions after the last closed epoch for none yet.
+    """
+    if settings.nightly:
+        known = nightly_epochs(nightly_numbers(admitted, keys, order, settings), settings)
+    else:
+        known = _ranked(admitted, keys, order).withColumn("epoch", F.ceil(F.col("admitted_no") / settings.every))
+    over = epochs.where(F.col("saturated") == 1).select(*keys, F.col("epoch").cast("long").alias("epoch"))
+    return known.select(*keys, *order, F.col("epoch").cast("long").alias("epoch")).join(over, [*keys, "epoch"])
+
+
 def profile_in_force(epochs: DataFrame, start: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Profiles per (key, epoch) and their distance from enrolment; epoch 0 is the enrolment profile."""
     origin = start.select(

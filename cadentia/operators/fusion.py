@@ -8,9 +8,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadentia.functions.scalars import q, risk_scale
+from cadentia.functions.scalars import day_slot, q, risk_scale
 from cadentia.operators.outcomes import classification_metrics
 from cadentia.operators.profiles import ranked
+from cadentia.plans.affine import affine_scan
+from cadentia.plans.ordered import running
 
 # The channels, the actions and the value for degraded data.
 CHANNELS = ("behaviour", "automation", "transaction", "context", "payee")
@@ -124,6 +126,36 @@ def standardise(df: DataFrame, scales: DataFrame) -> DataFrame:
     return joined.withColumns(z).drop(*[f"m_{c}" for c in CHANNELS], *[f"d_{c}" for c in CHANNELS])
 
 
+def standard_scores(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Add ``z_<name>`` for every ``s_<name>``: standardised over all rows, 0 where unknown or without spread."""
+    scales = df.agg(
+        *[F.avg(f"s_{n}").alias(f"_m_{n}") for n in names], *[F.stddev_samp(f"s_{n}").alias(f"_d_{n}") for n in names]
+    )
+    joined = df.join(F.broadcast(scales))  # one row
+    known = lambda n: F.when(F.col(f"_d_{n}") > 0, (F.col(f"s_{n}") - F.col(f"_m_{n}")) / F.col(f"_d_{n}"))
+    z = {f"z_{n}": F.coalesce(known(n), F.lit(0.0)) for n in names}
+    return joined.withColumns(z).drop(*[f"_{part}_{n}" for part in "md" for n in names])
+
+
+def cross_session_evidence(
+    sessions: DataFrame, user: str, order: Sequence[str], value: str, decay_days: float, name: str = "cross_session"
+) -> DataFrame:
+    """Add what earlier sessions of the user still weigh: the sum of their values, each shrunk by its age.
+
+    A value counts exp(-age / ``decay_days``). The running sum is a chain of (decay, value) pairs, which compose, so no
+    user is walked in order. ``order`` is the total order of a user's sessions and begins with their time; null values count 0.
+    """
+    numbered = running(
+        sessions, [user], order, day_slot(q(order[0]), 7), totals={"_no": F.lit(1).cast("long")}, previous={"_last": order[0]}
+    )
+    age = (F.unix_micros(q(order[0])) - F.unix_micros("_last")) / 8.64e10
+    keep = F.coalesce(F.exp(-age / decay_days), F.lit(1.0))
+    value_now = F.array(F.coalesce(q(value).cast("double"), F.lit(0.0)))
+    placed = affine_scan(numbered.withColumn("_keep", keep), [user], "_no", F.col("_keep"), value_now)
+    held = F.coalesce(F.get(F.col("before")["gain"], F.lit(0)), F.lit(0.0))
+    return placed.withColumn(name, F.col("_keep") * held).drop("_no", "_last", "_keep", "before")
+
+
 def log_odds(weights: Mapping[str, float], intercept: float) -> Column:
     return F.lit(float(intercept)) + _sum([F.lit(float(w)) * F.col(f"z_{c}") for c, w in weights.items()])
 
@@ -154,13 +186,6 @@ def risk_contributions(
     )
 
 
-def contribution_map(weights: Mapping[str, float]) -> Column:
-    """All contributions as map channel -> value, for the decision record."""
-    return F.create_map(
-        *[x for c in CHANNELS if c in weights for x in (F.lit(c), contribution(c, weights))]
-    )
-
-
 def risk_confidence(df: DataFrame, weights: Mapping[str, float]) -> DataFrame:
     """Add ``confidence``: weighted mean of channel confidences, null without weight."""
     total = float(sum(weights.values()))

@@ -88,9 +88,18 @@ def rejection_reason(tau_min: float = TAU_MIN):
     )
 
 
-def rejected_updates(sessions: DataFrame, user: str, tau_min: float = TAU_MIN) -> DataFrame:
-    """Refused profile updates per user and reason."""
-    reasons = sessions.withColumn("reason", rejection_reason(tau_min))
-    return reasons.where(F.col("reason").isNotNull()).groupBy(user, "reason").agg(
-        F.count("*").alias("rejected")
-    )
+# Why an admitted session moved its profile less than it asked for.
+SATURATED = "budget saturated"
+
+
+def rejected_updates(
+    sessions: DataFrame, user: str, tau_min: float = TAU_MIN, bounded: DataFrame | None = None
+) -> DataFrame:
+    """Refused profile updates per user and reason.
+
+    ``bounded`` may hold the sessions whose epoch the displacement budget cut back; they count too.
+    """
+    reasons = sessions.select(user, rejection_reason(tau_min).alias("reason")).where(F.col("reason").isNotNull())
+    if bounded is not None:
+        reasons = reasons.unionByName(bounded.select(user, F.lit(SATURATED).alias("reason")))
+    return reasons.groupBy(user, "reason").agg(F.count("*").alias("rejected"))

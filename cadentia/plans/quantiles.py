@@ -12,7 +12,7 @@ from cadentia.plans.joins import null_safe_join
 
 
 def exact_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probabilities: Mapping[str, float]
+    df: DataFrame, keys: Sequence[str], value: str, probabilities: Mapping[str, float], count: str | None = None
 ) -> DataFrame:
     """Interpolated quantiles, one column per entry of ``probabilities``.
 
@@ -20,15 +20,18 @@ def exact_quantiles(
     ranks; only rows of those slots are then counted by value. Both steps
     combine on the map side, so a hot key costs no more than a cold one. Null
     values do not count, a key with nothing else has null quantiles, NaN is larger
-    than every number, and null is a key.
+    than every number, and null is a key. ``count`` may name a column that says how often a row's value occurs.
     """
     for p in probabilities.values():
         if not 0.0 <= p <= 1.0:
             raise ValueError(f"probability {p} is outside [0, 1]")
     keys = list(keys)
-    rows = df.select(*keys, F.col(value).cast("double").alias("_x")).withColumn("_slot", magnitude_slot(F.col("_x")))
+    times = F.lit(1) if count is None else F.col(count)
+    rows = df.select(*keys, F.col(value).cast("double").alias("_x"), times.cast("long").alias("_times"))
+    rows = rows.withColumn("_slot", magnitude_slot(F.col("_x")))
     # Null values share a slot of their own that counts none.
-    histogram = rows.groupBy(*keys, "_slot").agg(F.count("_x").alias("_n"))
+    counts_of = F.sum(F.when(F.col("_x").isNull(), 0).otherwise(F.col("_times")))
+    histogram = rows.groupBy(*keys, "_slot").agg(counts_of.alias("_n"))
     by_slot = Window.partitionBy(*keys).orderBy("_slot")
     everything = Window.partitionBy(*keys)
     counted = histogram.withColumn(
@@ -50,7 +53,7 @@ def exact_quantiles(
     counts = (
         null_safe_join(rows, targets, [*keys, "_slot"])
         .groupBy(*keys, "_slot", "_x", "_start", "_total")
-        .agg(F.count("*").alias("_n"))
+        .agg(F.sum("_times").alias("_n"))
     )
     inside = Window.partitionBy(*keys, "_slot").orderBy("_x")
     ranked = counts.withColumn(
