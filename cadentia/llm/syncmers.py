@@ -58,7 +58,7 @@ def sketches(pieces: DataFrame, key: list[str], data: str = "data") -> DataFrame
 
 
 def successors(docs: DataFrame) -> DataFrame:
-    """``row, next_row, n_next``: each row's successor by doc_id, and how many of its code points an edit takes.
+    """``row, doc_id, next_row, n_next``: each row's successor by doc_id, and how many of its code points an edit takes.
 
     Only ids, lengths and hashes are sorted, in ranges; a range's last row is followed by the first
     row of the next range that has one. That table has one row per range.
@@ -72,9 +72,9 @@ def successors(docs: DataFrame) -> DataFrame:
     by_slot = W.orderBy("slot")
     after = F.coalesce(F.lead("head.row").over(by_slot), F.first("head.row").over(by_slot))
     along = W.partitionBy("slot").orderBy(*order)
-    follows = ranged.select("row", "n", "slot", F.lead("row").over(along).alias("next_row"))
+    follows = ranged.select("row", "doc_id", "n", "slot", F.lead("row").over(along).alias("next_row"))
     return follows.join(heads.select("slot", after.alias("after")), "slot").select(
-        "row", F.coalesce("next_row", "after").alias("next_row"), F.floor(F.col("n") / 4).cast("int").alias("n_next")
+        "row", "doc_id", F.coalesce("next_row", "after").alias("next_row"), F.floor(F.col("n") / 4).cast("int").alias("n_next")
     )
 
 
@@ -85,13 +85,13 @@ def _texts(docs: DataFrame) -> DataFrame:
 def with_edit(docs: DataFrame) -> DataFrame:
     """``row, doc_id, text, h, next_row, front``: each document beside the code points that its edit takes from the next.
 
-    Texts are shuffled once, by row; from there only fronts travel on.
+    Both joins read the same two columns by the same key, so that texts are shuffled once, by row; from
+    there only fronts travel on.
     """
-    texts = _texts(docs)
     pairs = materialise(successors(docs), "successors")
-    lent = texts.select(F.col("row").alias("next_row"), "text").join(pairs, "next_row")
-    fronts = lent.select("row", "next_row", F.substring("text", F.lit(1), F.col("n_next")).alias("front"))
-    return texts.join(fronts, "row").withColumn("h", F.xxhash64("text"))
+    lent = _texts(docs).select("row", "text").join(pairs.withColumnRenamed("row", "of"), F.col("row") == F.col("next_row"))
+    fronts = lent.select(F.col("of").alias("row"), "doc_id", "next_row", F.substring("text", F.lit(1), F.col("n_next")).alias("front"))
+    return _texts(docs).select("row", "text").join(fronts, "row").withColumn("h", F.xxhash64("text"))
 
 
 def likeness(a: str, b: str) -> Column:
