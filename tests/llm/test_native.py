@@ -2,12 +2,15 @@
 
 import hashlib
 import random
+from collections import defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from cadentia.llm.decontaminate import decontaminate
 from cadentia.llm.licenses import BASE, license_report, license_spans
-from cadentia.llm.syncmers import K, S, anchors, fingerprints
+from cadentia.llm.syncmers import BAND, K, S, anchors, fingerprints
+from cadentia.session import materialise
 
 from .helpers import documents, words
 
@@ -100,6 +103,64 @@ def test_fingerprints_follow_the_edit_rule(spark):
     assert fingerprints(documents(spark, [])).count() == 0
 
 
+def positional(a, b, same):
+    """Likeness of two lists of (place, hash): matches of the best two neighbouring bands of offsets."""
+    if not a and not b:
+        return float(same)
+    votes, places = defaultdict(int), [defaultdict(list), defaultdict(list)]
+    for side, found in zip(places, (a, b), strict=True):
+        for p, h in found:
+            side[h].append(p)
+    for h in places[0].keys() & places[1].keys():
+        votes[(min(places[0][h]) - min(places[1][h])) // BAND] += min(len(places[0][h]), len(places[1][h]))
+    best = max((votes[k] + votes.get(k + 1, 0) for k in [*votes, *[k - 1 for k in votes]]), default=0)
+    return 2 * best / (len(a) + len(b))
+
+
+def in_place(a, b, same):
+    """Likeness where only offsets of less than a band count."""
+    if not a and not b:
+        return float(same)
+    places = [defaultdict(list), defaultdict(list)]
+    for side, found in zip(places, (a, b), strict=True):
+        for p, h in found:
+            side[h].append(p)
+    hits = [min(len(places[0][h]), len(places[1][h])) for h in places[0].keys() & places[1].keys()
+            if abs(min(places[0][h]) - min(places[1][h])) < BAND]
+    return 2 * sum(hits) / (len(a) + len(b))
+
+
+def test_likeness_equals_brute_force(spark):
+    rnd = random.Random(3)
+    say = lambda n: " ".join(rnd.choice("lorem ipsum dolor sit amet consectetur adipiscing elit sed do é".split()) + str(rnd.randint(0, 50)) for _ in range(n))
+    passage, block = say(60), [say(50) for _ in range(30)]
+    whole = " ".join(block)
+    shuffled = " ".join(rnd.sample(block, 30))
+    moved = whole.replace(block[3], block[3] + " new", 1)
+    texts = [whole, shuffled, moved, say(200) + passage + say(100), say(50) + passage + say(250), "", None, "short", "short", "a" * 5000, "a" * 4000 + "b" * 900]
+    texts += [say(rnd.randint(1, 300)) for _ in range(8)]
+    rows = list(enumerate(texts))
+    stored = materialise(documents(spark, rows).repartition(3), "docs")
+    found = {r.doc_id: r for r in fingerprints(stored).collect()}
+    edited = []
+    for i, t in rows:
+        t, after = t or "", rows[(i + 1) % len(rows)][1] or ""
+        q = len(t) // 4
+        edited.append(t[: len(t) - q] + after[:q])
+    frame = spark.createDataFrame([(f"t{i}", t or "") for i, t in rows] + [(f"e{i}", t) for i, t in enumerate(edited)], "k string, data string")
+    marks = defaultdict(list)
+    for r in anchors(frame.select("k", F.col("data").cast("binary").alias("data")), ["k"]).collect():
+        marks[r.k].append((r.place, r.h))
+    for i, t in rows:
+        j = (i + 1) % len(rows)
+        assert found[i].near_next == pytest.approx(positional(marks[f"t{i}"], marks[f"t{j}"], (t or "") == (rows[j][1] or ""))), i
+        assert found[i].near_edited == pytest.approx(in_place(marks[f"t{i}"], marks[f"e{i}"], (t or "") == edited[i])), i
+    assert found[0].near_next < 0.3 and found[1].near_next < 0.3  # the same blocks in another order
+    assert found[3].near_next > 0.8 * 60 / 360  # a passage counts with its length
+    assert found[5].near_next == 1.0 and found[7].near_next == 1.0 and found[8].near_next == 0.0
+    assert all(r.near_edited > 0.6 for i, r in found.items() if len(texts[i] or "") > 400)
+
+
 def test_anchors_are_context_free(spark):
     rnd = random.Random(1)
     core = "".join(rnd.choice("abcdef ") for _ in range(400))
