@@ -247,6 +247,38 @@ def _(spark, folder):
     return tiers.groupBy("tier").agg(F.count("*").alias("n"), F.round(F.avg("risk_100"), 5).alias("risk_100"))
 
 
+# Fitted on orders with an even number and applied to the others; scores are tenths of a risk point.
+ISOTONIC = CHANNELS_SQL + """,
+ri AS (SELECT order_id, line_no, part_id, amount, label, round(risk, 1) AS x FROM fu),
+ho AS (SELECT x, count(*) AS w, sum(label) AS y FROM ri WHERE order_id % 2 = 0 GROUP BY 1),
+pt AS (SELECT x, w, y, row_number() OVER (ORDER BY x) AS i, sum(w) OVER (ORDER BY x) AS cw, sum(y) OVER (ORDER BY x) AS cy FROM ho),
+mm AS (SELECT b.x, min((b.cy - a.cy + a.y) / (b.cw - a.cw + a.w)::DOUBLE) OVER (PARTITION BY a.i ORDER BY b.i DESC) AS low FROM pt a JOIN pt b ON b.i >= a.i),
+iso AS (SELECT x, max(low) AS value FROM mm GROUP BY 1),
+lw AS (SELECT ri.*, iso.x AS x0, iso.value AS v0 FROM ri ASOF LEFT JOIN iso ON ri.x >= iso.x WHERE order_id % 2 = 1),
+cal AS (SELECT lw.order_id, lw.line_no, lw.part_id, lw.amount, CASE WHEN x0 IS NULL THEN iso.value WHEN iso.x IS NULL OR x0 = lw.x THEN v0
+    ELSE v0 + (lw.x - x0) / (iso.x - x0) * (iso.value - v0) END AS calibrated FROM lw ASOF LEFT JOIN iso ON lw.x <= iso.x)"""
+
+
+def isotonic(spark, folder):
+    rows = fused(spark, folder).select(*LINE, "label", F.round("risk", 1).alias("x"))
+    even = F.col("order_id") % 2 == 0
+    return U.calibrate(rows.where(even), rows.where(~even), "x", "label", "isotonic")
+
+
+@query("isotonic_calibration", "WITH " + ISOTONIC + " SELECT order_id, line_no, part_id, amount, round(calibrated, 6) AS calibrated FROM cal")
+def _(spark, folder):
+    return isotonic(spark, folder).select(*LINE, r("calibrated"))
+
+
+@query("calibrated_tiers", "WITH " + ISOTONIC + """
+SELECT CAST(1 + CAST(100 * calibrated >= 25 AS INTEGER) + CAST(100 * calibrated >= 50 AS INTEGER) + CAST(100 * calibrated >= 75 AS INTEGER) AS INTEGER) AS tier,
+  count(*) AS n, round(avg(100 * calibrated), 4) AS risk_100 FROM cal GROUP BY 1""")
+def _(spark, folder):
+    """Tiers of calibrated probabilities, as the design asks for; ``risk_tier`` takes the uncalibrated risk."""
+    tiers = U.risk_tier(isotonic(spark, folder))
+    return tiers.groupBy("tier").agg(F.count("*").alias("n"), F.round(F.avg("risk_100"), 4).alias("risk_100"))
+
+
 METRICS = """CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn, CAST(tn AS BIGINT) AS tn, round(tp / nullif(tp + fp, 0)::DOUBLE, 6) AS precision,
   round(tp / nullif(tp + fn, 0)::DOUBLE, 6) AS recall, round(2 * tp / nullif(2 * tp + fp + fn, 0)::DOUBLE, 6) AS f1, round(fp / nullif(fp + tn, 0)::DOUBLE, 6) AS fpr"""
 COUNTS = """count_if(flag AND label = 1) AS tp, count_if(flag AND label = 0) AS fp, count_if(NOT flag AND label = 1) AS fn, count_if(NOT flag AND label = 0) AS tn"""
@@ -330,6 +362,18 @@ def _(spark, folder):
     return timeline.withColumn("ts", F.unix_seconds("ts"))
 
 
+@query("one_user_timeline", "WITH " + CHANNELS_SQL + """
+SELECT "user", CAST(epoch(ts) AS BIGINT) AS ts, order_id, line_no, amount, action FROM de WHERE "user" = (SELECT min("user") FROM de)""")
+def _(spark, folder):
+    """The decisions of one user, read by key from decisions stored by user."""
+    rows = decided(spark, folder).select("user", "ts", "order_id", "line_no", "amount", "action")
+    path = lake.publish_features(rows, scratch_path(spark, "decisions"), "2000-01-01", ["user"])
+    stored = spark.read.parquet(path)
+    first = stored.agg(F.min("user")).first()[0]
+    timeline = D.user_timeline(stored.drop("snapshot", "computed_at"), "user", "order_id", one=first)
+    return timeline.withColumn("ts", F.unix_seconds("ts"))
+
+
 def decision_events(spark, folder):
     """Decision events: the action follows the code of the event, purchases may verify."""
     k = F.col("k")

@@ -544,7 +544,7 @@ def replay_policies(
         elif policy == "P3":
             played = robust_replay(sessions, keys, order, start, vector, settings).drop("epoch")
         else:
-            raise ValueError(f"unknown policy {policy!r}, expected one of {POLICIES}")
+            raise ValueError(f"{policy!r} names no update policy; there are {', '.join(POLICIES)}")
         named = played.withColumn("policy", F.lit(policy))
         out = named if out is None else out.unionByName(named)
     return out
@@ -696,7 +696,7 @@ def eer_by_intensity(
     elif policy == "P3":
         played = robust_replay(mixed, wide, order, starts, vector, settings)
     else:
-        raise ValueError(f"policy {policy!r} is not one of {POLICIES}")
+        raise ValueError(f"{policy!r} names no update policy; there are {', '.join(POLICIES)}")
     labels = mixed.select(*wide, *order, F.col("_attack").alias("label"))
     scores = played.join(labels, [*wide, *order]).select(
         F.col("intensity").alias("subject"), "label", "score"

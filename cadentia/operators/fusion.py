@@ -12,6 +12,7 @@ from cadentia.functions.scalars import day_slot, q, risk_scale
 from cadentia.operators.outcomes import classification_metrics
 from cadentia.operators.profiles import ranked
 from cadentia.plans.affine import affine_scan
+from cadentia.plans.isotonic import isotonic_blocks, isotonic_values
 from cadentia.plans.ordered import running
 
 # The channels, the actions and the value for degraded data.
@@ -257,46 +258,28 @@ def boosted_scores(
 
 
 def calibrate(
-    held_out: DataFrame, scored: DataFrame, score: str, label: str, method: str = "platt",
-    resolution: int = 4096,
+    held_out: DataFrame, scored: DataFrame, score: str, label: str, method: str = "platt"
 ) -> DataFrame:
     """Add ``calibrated``, a probability fitted on a held-out split.
 
-    The isotonic fit sees at most ``resolution`` + 1 rows, each the mean score, mean label
-    and weight of one of that many equal parts of the score's range: what reaches the
-    driver is bounded, and scores closer than one part are not told apart.
+    ``platt`` is a logistic curve, ``isotonic`` the exact monotone fit, see :mod:`cadentia.plans.isotonic`.
     """
+    if method == "isotonic":
+        return isotonic_values(scored, isotonic_blocks(held_out, score, label), score, "calibrated")
+    if method != "platt":
+        raise ValueError(f"calibration is 'platt' or 'isotonic', not {method!r}")
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
-    from pyspark.ml.regression import IsotonicRegression
 
     packer = VectorAssembler(inputCols=[score], outputCol="features")
 
     def packed(df):
         return packer.transform(df).withColumn("label", q(label).cast("double"))
 
-    keep = [q(c) for c in scored.columns]
-    if method == "platt":
-        model = LogisticRegression().fit(packed(held_out))
-        value = F.get(vector_to_array("probability"), F.lit(1))
-    elif method == "isotonic":
-        model = IsotonicRegression(weightCol="weight").fit(packed(_score_parts(held_out, score, label, resolution)))
-        value = F.col("prediction")
-    else:
-        raise ValueError(f"unknown calibration {method!r}, expected 'platt' or 'isotonic'")
-    return model.transform(packed(scored)).select(*keep, value.alias("calibrated"))
-
-
-def _score_parts(df: DataFrame, score: str, label: str, resolution: int) -> DataFrame:
-    """Rows of equal parts of the score's range as one weighted row each; null scores and labels do not count."""
-    known = df.where(q(score).isNotNull() & q(label).isNotNull())
-    ends = known.agg(F.min(score).alias("_lo"), F.max(score).alias("_hi"))
-    width = F.when(F.col("_hi") > F.col("_lo"), F.col("_hi") - F.col("_lo")).otherwise(1.0)
-    part = F.floor((q(score) - F.col("_lo")) / width * resolution)
-    return known.join(F.broadcast(ends)).groupBy(part.alias("_part")).agg(  # one row
-        F.avg(score).alias(score), F.avg(label).alias(label), F.count("*").cast("double").alias("weight")
-    )
+    model = LogisticRegression().fit(packed(held_out))
+    value = F.get(vector_to_array("probability"), F.lit(1))
+    return model.transform(packed(scored)).select(*[q(c) for c in scored.columns], value.alias("calibrated"))
 
 
 def risk_tier(calibrated: DataFrame, limits: Sequence[float] = TIER_LIMITS) -> DataFrame:

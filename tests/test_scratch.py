@@ -81,13 +81,3 @@ def test_two_groups_of_sessions_are_told_from_one(spark):
     got = {r.u: (r.sessions, r.minor_share, r.separation) for r in found.collect()}
     assert got["two"][:2] == (20, 0.5) and got["two"][2] > 20
     assert got["flat"] == (5, 0.0, None) and got["lone"] == (1, 0.0, None) and got[None][0] == 1
-
-
-def test_isotonic_fit_on_parts_is_monotone_and_calibrated(spark):
-    rows = spark.range(4000).select(
-        (F.col("id") / 4000).alias("score"), (F.pmod(F.xxhash64("id"), F.lit(4000)) < F.col("id")).cast("int").alias("label")
-    )
-    done = U.calibrate(rows, rows, "score", "label", "isotonic", resolution=50).orderBy("score").collect()
-    values = [r.calibrated for r in done]
-    assert values == sorted(values)
-    assert sum(values) / 4000 == pytest.approx(sum(r.label for r in done) / 4000, abs=0.02)
