@@ -203,6 +203,21 @@ def _(spark, folder):
     )
 
 
+@query("verify_spoilt_manifest", """
+SELECT view_name || '.parquet' AS file, CASE view_name WHEN 'customer' THEN 'unexpected' WHEN 'nation' THEN 'size mismatch'
+  WHEN 'region' THEN 'checksum mismatch' ELSE 'ok' END AS status FROM duckdb_views() WHERE NOT internal
+UNION ALL SELECT 'gone.parquet', 'missing'""")
+def _(spark, folder):
+    """The folder against a manifest that differs from it in four ways."""
+    path = folder.rstrip("/")
+    true = files_source.file_digests(spark, path, "*.parquet").where(F.col("file") != "customer.parquet")
+    cut = F.when(F.col("file") == "nation.parquet", F.col("bytes") - 1).otherwise(F.col("bytes"))
+    altered = F.when(F.col("file") == "region.parquet", F.reverse("sha256")).otherwise(F.col("sha256"))
+    gone = spark.range(1).select(F.lit("gone.parquet").alias("file"), F.lit(1).cast("long").alias("bytes"), F.lit("").alias("sha256"))
+    manifest = true.select("file", cut.alias("bytes"), altered.alias("sha256")).unionByName(gone)
+    return files_source.verify_files(spark, path, manifest, "*.parquet").select("file", "status")
+
+
 PROFILE_KEYS = "SELECT subject, 'f' || pos AS feature, "
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cadentia.functions.scalars import q
-from cadentia.plans.ordered import head_per_key, running
+from cadentia.plans.ordered import head_per_key, range_slots, running
 
 # Fixed values of the published protocol.
 ENROLMENT_REPETITIONS = 200
@@ -28,9 +28,15 @@ def subjects(df: DataFrame, subject: str = "subject") -> DataFrame:
 def rep_rank(
     df: DataFrame, subject: str, order: Sequence[str], slot: Column | None = None
 ) -> DataFrame:
-    """Number each subject's repetitions from 1 in canonical order."""
-    slot = first_order_slot(order) if slot is None else slot
-    return running(df, [subject], order, slot, totals={"rep_rank": F.lit(1).cast("long")})
+    """Number each subject's repetitions from 1 in canonical order.
+
+    Without a slot the rows are dealt into ranges of (subject, order), so that no task ranks a whole subject, whatever
+    the order consists of.
+    """
+    if slot is not None:
+        return running(df, [subject], order, slot, totals={"rep_rank": F.lit(1).cast("long")})
+    ranged = range_slots(df, [subject], order, "_range")
+    return running(ranged, [subject], order, F.col("_range"), totals={"rep_rank": F.lit(1).cast("long")}).drop("_range")
 
 
 def canonical_sort(df: DataFrame, subject: str, order: Sequence[str]) -> DataFrame:
@@ -48,7 +54,8 @@ def enrolment_split(
     """Add ``role``: enrolment for the first ``n_enrol`` repetitions, else genuine.
 
     Only the place of the last enrolment row is worked out per subject, from
-    the few rows that can be it; the rest of the data is compared, not ranked.
+    the few rows that can be it (every task passes on ``n_enrol`` rows of a subject at
+    most); the rest of the data is compared, not ranked.
     """
     slot = first_order_slot(order) if slot is None else slot
     place = F.struct(*[q(c).alias(f"k{i}") for i, c in enumerate(order)])

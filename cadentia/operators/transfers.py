@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from cadentia.functions.scalars import (
     DAY_SECONDS, coefficient_of_variation, day_slot, hour_of_day, magnitude_slot, q, safe_ratio,
 )
+from cadentia.plans.joins import null_safe_join
 from cadentia.plans.ordered import running, trailing
 from cadentia.plans.quantiles import exact_quantiles
 from cadentia.session import materialise
@@ -178,12 +179,15 @@ def empirical_rank(df: DataFrame, user: str, value: str) -> DataFrame:
 def rolling_volume(
     transfers: DataFrame, user: str = "sender", days: Sequence[int] = (7, 30)
 ) -> DataFrame:
-    """Add count and amount over trailing windows ending at each transfer."""
+    """Add count and amount over trailing windows ending at each transfer.
+
+    Transfers of one second see the same windows, so they are summed before anything is copied for a window.
+    """
     timed = transfers.withColumn("_sec", F.unix_seconds("ts"))
-    return trailing(
-        timed, [user], "_sec", {"count": F.lit(1).cast("long"), "volume": "amount"},
-        {f"{n}d": n * DAY_SECONDS for n in days}, DAY_SECONDS,
-    ).drop("_sec")
+    summed = timed.groupBy(user, "_sec").agg(F.count("*").alias("_n"), F.sum("amount").alias("_amount"))
+    lengths = {f"{n}d": n * DAY_SECONDS for n in days}
+    rolled = trailing(summed, [user], "_sec", {"count": "_n", "volume": "_amount"}, lengths, DAY_SECONDS)
+    return null_safe_join(timed, rolled.drop("_n", "_amount"), [user, "_sec"]).drop("_sec")
 
 
 def snapshot_lookup(

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadentia.plans.joins import null_safe_join
+from cadentia.session import materialise
 
 SLOT = "_slot"
 
@@ -85,6 +86,17 @@ def running(
     )
 
 
+def range_slots(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "range_slot") -> DataFrame:
+    """The rows stored in ranges of (keys, order), with the number of the range: a slot for any total order.
+
+    Spark samples the bounds over the whole composite order, so a key whose first order columns hardly differ is
+    split as well as any other. Stored, because a range's number must not change when a task is run again.
+    """
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = df.repartitionByRange(ranges, *[F.col(f"`{c}`") for c in (*keys, *order)])
+    return materialise(placed.withColumn(name, F.spark_partition_id()), "ranges")
+
+
 def trailing(
     df: DataFrame,
     keys: Sequence[str],

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from cadentia.operators import graph as G
 from cadentia.operators import sessions as SE
 from cadentia.operators import transfers as TR
-from cadentia.plans.ordered import head_per_key, running, trailing
+from cadentia.operators.splits import rep_rank
+from cadentia.plans.ordered import head_per_key, range_slots, running, trailing
 from cadentia.plans.pairs import grid_pairs
 from cadentia.plans.quantiles import exact_quantiles
 
@@ -164,3 +165,14 @@ def test_rolling_hash_crosses_stretches(spark, stretch):
     hashed = SE.rolling_interval_hash(events, ["u"], "pos", "gap", 4, stretch).toPandas()
     assert len(hashed) == 30 and hashed.rolling_hash.isna().sum() == 3
     assert hashed.rolling_hash.nunique() == 3
+
+
+def test_range_slots_split_one_hot_key_by_a_composite_order(spark):
+    rows = [("hot", 1, i % 997, i) for i in range(4000)] + [("cold", 2, 5, 1), (None, 1, 1, 1)]
+    frame = spark.createDataFrame(rows, "subject string, session long, rep long, id long")
+    ranged = range_slots(frame, ["subject"], ["session", "rep", "id"])
+    sizes = [r["count"] for r in ranged.where("subject = 'hot'").groupBy("range_slot").count().collect()]
+    assert len(sizes) >= 3 and max(sizes) < 2400
+    ranks = rep_rank(frame, "subject", ["session", "rep", "id"]).where("subject = 'hot'").collect()
+    order = sorted(ranks, key=lambda r: (r.session, r.rep, r.id))
+    assert [r.rep_rank for r in order] == list(range(1, 4001))
