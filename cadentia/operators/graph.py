@@ -2,19 +2,47 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cadentia.plans.ordered import range_slots
 from cadentia.session import cut_lineage, materialise
 
 
-def two_hop_fan_in(edges: DataFrame, src: str = "src", dst: str = "dst", light: int = 256) -> DataFrame:
+# Senders a chunk of bits holds, as so many whole numbers of 64 bits.
+WORDS = 4
+CHUNK = 64 * WORDS
+
+
+def dense_numbers(edge: DataFrame) -> DataFrame:
+    """``src, num``: senders numbered 0, 1, ... without gaps, those of one account next to each other.
+
+    A sender stands with its most popular payee, so the senders of a hub fill few chunks however far apart their
+    ids are. The order is cut into ranges; a range's numbers begin where those before it end.
+    """
+    degree = edge.groupBy("dst").agg(F.count("*").alias("senders"))
+    home = F.max(F.struct("senders", "dst")).alias("home")
+    nodes = edge.join(degree, "dst").groupBy("src").agg(home)
+    ranged = range_slots(nodes.select("src", "home"), ["home"], ["src"], "slot")
+    along = Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+    # One row per range.
+    begins = ranged.groupBy("slot").agg(F.count("*").alias("n")).select("slot", F.coalesce(F.sum("n").over(along), F.lit(0)).alias("begin"))
+    place = F.row_number().over(Window.partitionBy("slot").orderBy("home", "src"))
+    return ranged.select("src", "slot", place.alias("place")).join(begins, "slot").select(
+        "src", (F.col("begin") + F.col("place") - 1).alias("num")
+    )
+
+
+def _or_words() -> list:
+    return [F.bit_or(f"w{i}").alias(f"w{i}") for i in range(WORDS)]
+
+
+def two_hop_fan_in(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """Per account, other accounts that reach it in one or two transfers.
 
-    Nodes must be whole numbers. A middle account with up to ``light`` senders
-    passes them on one by one. A busier one passes on bitmaps of its senders, up
-    to 32768 to a bitmap, so a hub costs its bitmaps times its recipients rather
-    than senders times recipients. Both are merged by OR; the count is exact.
+    Nodes must be whole numbers. Sets of senders travel as chunks of 256 bits over dense numbers and are merged by
+    OR, so the count is exact: a hub with very many senders costs about one bit each per
+    recipient, an account with a few scattered ones a chunk each.
     """
     edge = materialise(
         edges.select(F.col(src).cast("long").alias("src"), F.col(dst).cast("long").alias("dst"))
@@ -22,23 +50,19 @@ def two_hop_fan_in(edges: DataFrame, src: str = "src", dst: str = "dst", light:
         .distinct(),
         "edges",
     )
-    degree = edge.groupBy("dst").agg(F.count("*").alias("senders"))
-    into = edge.join(degree, "dst").select(F.col("dst").alias("mid"), "src", "senders")
+    numbered = edge.join(materialise(dense_numbers(edge), "numbers"), "src")
+    bit = F.expr("shiftleft(1L, cast(num % 64 as int))")
+    word = F.floor(F.col("num") / 64) % WORDS
+    marked = [F.coalesce(F.bit_or(F.when(word == i, bit)), F.lit(0).cast("long")).alias(f"w{i}") for i in range(WORDS)]
+    into = materialise(numbered.groupBy("dst", F.floor(F.col("num") / CHUNK).alias("chunk")).agg(*marked), "senders")
     out = edge.select(F.col("src").alias("mid"), "dst")
-    few = into.where(F.col("senders") <= light).join(out, "mid").select("src", "dst")
-    bucket = F.bitmap_bucket_number("src").alias("bucket")
-    gathered = F.bitmap_construct_agg(F.bitmap_bit_position("src")).alias("bits")
-    single = edge.unionByName(few).groupBy("dst", bucket).agg(gathered)
-    hubs = into.where(F.col("senders") > light).groupBy("mid", bucket).agg(gathered)
-    through = hubs.join(out, "mid").groupBy("dst", "bucket").agg(
-        F.bitmap_or_agg("bits").alias("bits")
-    )
+    through = into.withColumnRenamed("dst", "mid").join(out, "mid").drop("mid")
     merged = (
-        single.unionByName(through)
-        .groupBy("dst", "bucket")
-        .agg(F.bitmap_count(F.bitmap_or_agg("bits")).alias("n"))
+        into.unionByName(through)
+        .groupBy("dst", "chunk")
+        .agg(*_or_words())
         .groupBy("dst")
-        .agg(F.sum("n").alias("n"))
+        .agg(F.sum(sum((F.bit_count(f"w{i}") for i in range(WORDS)), F.lit(0))).alias("n"))
     )
     # An account that gets back what it sent has reached itself; it is not its own sender.
     back = edge.select(F.col("dst").alias("src"), F.col("src").alias("dst"))

@@ -109,9 +109,10 @@ def random_edges(seed=2):
     return sorted(edges)
 
 
-@pytest.mark.parametrize("light", [0, 3, 1000])
-def test_two_hop_matches_brute_force(spark, light):
-    edges = random_edges()
+@pytest.mark.parametrize("sparse", [1, 10**13 + 7])
+def test_two_hop_matches_brute_force(spark, sparse):
+    edges = [(a * sparse, b * sparse) for a, b in random_edges()]
+    edges += [(10**15 + 10**9 * i, 100 * sparse) for i in range(600)]
     into = {}
     for a, b in edges:
         if a != b:
@@ -119,8 +120,22 @@ def test_two_hop_matches_brute_force(spark, light):
     want = {
         d: len((s | set().union(*(into.get(m, set()) for m in s))) - {d}) for d, s in into.items()
     }
-    found = G.two_hop_fan_in(spark.createDataFrame(edges, "src long, dst long"), light=light)
+    found = G.two_hop_fan_in(spark.createDataFrame(edges, "src long, dst long"))
     assert {r.account: r.two_hop_fan_in for r in found.collect()} == want
+    assert G.two_hop_fan_in(spark.createDataFrame([], "src long, dst long")).count() == 0
+
+
+def test_senders_of_a_hub_fill_few_chunks(spark):
+    """However far apart the ids of a hub's senders are, they cost about one bit each."""
+    rnd = np.random.default_rng(4)
+    senders = [int(x) for x in rnd.choice(10**15, 5000, replace=False)]
+    edges = [(s, 1) for s in senders[:4000]] + [(s, 100 + i % 300) for i, s in enumerate(senders[3500:])]
+    edge = spark.createDataFrame(edges, "src long, dst long").distinct()
+    numbers = G.dense_numbers(edge).collect()
+    assert sorted(r.num for r in numbers) == list(range(5000)) and {r.src for r in numbers} == set(senders)
+    of = {r.src: r.num for r in numbers}
+    chunks = {of[s] // G.CHUNK for s in senders[:4000]}
+    assert len(chunks) <= 4000 // G.CHUNK + 2
 
 
 def test_components_match_union_find(spark):
