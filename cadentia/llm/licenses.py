@@ -3,8 +3,11 @@
 Every rolling word pair of every text is joined to the places where it stands in
 the notice templates. A hit at word ``p`` of the text and word ``t`` of a template
 votes for the diagonal ``p - t``. A diagonal that holds all pairs of a template is a
-literal occurrence; neighbouring diagonals (a word inserted or lost) are merged
-and accepted where the merged span shows at least ``cover`` of the template.
+literal occurrence; neighbouring diagonals (words inserted or lost) are merged. A merged span is
+verified before it counts: its pairs must follow each other in the template as they do in the text, on at
+most ``BAND`` + 1 diagonals, and no template word may stand in two places. Where a span moves to another
+diagonal, the pair between the two parts is therefore lost. It is accepted if the best such path shows at
+least ``cover`` of the template.
 
 Scale: one pass over the texts, a broadcast join against the template pairs (a
 constant of this module, at most 64 words each), and a shuffle of hits only. A hot
@@ -18,7 +21,7 @@ deterministic (a table scan), since rows are told apart by their place in it.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -100,49 +103,90 @@ def diagonals(docs: DataFrame, base=BASE, notices=NOTICES) -> DataFrame:
     )
 
 
-def merged(votes: DataFrame, band: int = 2) -> DataFrame:
-    """Merge diagonals of a template that lie at most ``band`` apart into one span of words."""
+BAND = 2
+
+
+def longest_path(seen: list[Column], pairs: Column) -> Column:
+    """Most pairs on one way through a template along neighbouring diagonals.
+
+    ``seen`` are the bit sets of the diagonals. A step stays on its diagonal, or moves to another one and passes over a pair:
+    two pairs next to each other share a word, which has only one place.
+    """
+    width = len(seen)
+    zeros = F.array(*[F.lit(0)] * width)
+
+    def step(state: Column, place: Column) -> Column:
+        now = []
+        for k, bits in enumerate(seen):
+            moved = [F.get(state["earlier"], F.lit(j)) for j in range(width) if j != k]
+            now.append(F.getbit(bits, place).cast("int") + F.greatest(F.get(state["last"], F.lit(k)), *moved))
+        return F.struct(F.array(*now).alias("last"), state["last"].alias("earlier"))
+
+    begun = F.struct(zeros.alias("last"), zeros.alias("earlier"))
+    return F.aggregate(F.sequence(F.lit(0), pairs - 1), begun, step, lambda s: F.array_max(s["last"]))
+
+
+def merged(votes: DataFrame) -> DataFrame:
+    """Merge diagonals of a template that lie at most ``BAND`` apart into one span of words, and verify it.
+
+    ``coverage`` is the best share of the template on a path that begins at any of the span's diagonals,
+    ``start`` and ``end`` are the words of the diagonals it may use.
+    """
     along = W.partitionBy("row", "template").orderBy("diagonal")
-    starts = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(along) > band).cast("int"), F.lit(1))
+    starts = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(along) > BAND).cast("int"), F.lit(1))
     literal = F.bit_count("seen") == F.col("pairs")
+    ahead = {k: F.lead(F.struct("diagonal", "seen", "hi"), k).over(along) for k in range(1, BAND + 1)}
+    near = votes.withColumn("starts", starts).withColumns({f"ahead{k}": row for k, row in ahead.items()})
+
+    def on(k: int, what: str) -> Column:
+        """A value of the diagonal ``k`` further on, if it has hits."""
+        return F.coalesce(
+            *[F.when(F.col(f"ahead{j}.diagonal") == F.col("diagonal") + k, F.col(f"ahead{j}.{what}")) for j in range(1, k + 1)]
+        )
+
+    bits = [F.col("seen"), *[F.coalesce(on(k, "seen"), F.lit(0).cast("long")) for k in range(1, BAND + 1)]]
+    ends = F.greatest(F.col("diagonal") + F.col("hi"), *[F.col("diagonal") + k + on(k, "hi") for k in range(1, BAND + 1)])
+    path = F.struct(
+        (longest_path(bits, F.col("pairs")) / F.col("pairs")).alias("coverage"),
+        (-F.col("diagonal")).alias("before"),
+        (F.col("diagonal") + F.col("lo")).alias("start"),
+        (ends + 2).alias("end"),
+    )
     return (
-        votes.withColumn("starts", starts)
-        .withColumn("span", F.sum("starts").over(along.rowsBetween(W.unboundedPreceding, 0)))
+        near.withColumn("span", F.sum("starts").over(along.rowsBetween(W.unboundedPreceding, 0)))
+        .withColumn("path", path)
         .groupBy("row", "doc_id", "template", "span")
         .agg(
-            F.bit_or("seen").alias("seen"),
-            F.min(F.col("diagonal") + F.col("lo")).alias("start"),
-            F.max(F.col("diagonal") + F.col("hi") + 2).alias("end"),
-            F.max("pairs").alias("pairs"),
+            F.max("path").alias("path"),
             F.max("base").alias("base"),
             F.max("n_words").alias("n_words"),
             F.sum(literal.cast("long")).alias("literals"),
             F.min(F.when(literal, F.col("diagonal"))).alias("first"),
             F.max(F.when(literal, F.col("diagonal"))).alias("last"),
         )
-        .withColumn("coverage", F.bit_count("seen") / F.col("pairs"))
+        .select("*", "path.coverage", "path.start", "path.end")
     )
 
 
-def license_spans(docs: DataFrame, cover: float = 0.8, band: int = 2, base=BASE, notices=NOTICES) -> DataFrame:
+def license_spans(docs: DataFrame, cover: float = 0.8, base=BASE, notices=NOTICES) -> DataFrame:
     """``doc_id, label, start, end, coverage`` per accepted span, in words, end exclusive."""
     names = F.array(*[F.lit(label) for _, label in (*base, *notices)])
     return (
-        merged(diagonals(docs, base, notices), band)
+        merged(diagonals(docs, base, notices))
         .where((F.col("template") != SENTINEL) & (F.col("coverage") >= cover))
         .select("doc_id", F.get(names, F.col("template")).alias("label"), "start", "end", "coverage")
     )
 
 
-def license_report(docs: DataFrame, cover: float = 0.8, band: int = 2, base=BASE, notices=NOTICES) -> DataFrame:
-    """Per row of ``docs``: word count, literal base places, labels and the best coverage."""
+def license_report(docs: DataFrame, cover: float = 0.8, base=BASE, notices=NOTICES) -> DataFrame:
+    """Per row of ``docs``: word count, literal base places, labels and the best verified coverage."""
     names = F.array(*[F.lit(label) for _, label in (*base, *notices)])
     label = F.get(names, F.col("template"))
     real = F.col("template") != SENTINEL
     based = real & (F.col("base") == 1) & (F.col("literals") > 0)
     joined = lambda test: F.concat_ws(",", F.array_sort(F.collect_set(F.when(test, label))))
     return (
-        merged(diagonals(docs, base, notices), band)
+        merged(diagonals(docs, base, notices))
         .groupBy("row", "doc_id")
         .agg(
             F.max(F.when(~real, F.col("n_words"))).cast("long").alias("n_words"),
@@ -167,7 +211,7 @@ def _values() -> str:
 
 
 ORACLE = rf"""
-WITH texts AS (
+WITH RECURSIVE texts AS (
   SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''),
     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
@@ -182,13 +226,23 @@ marked AS (
     THEN 0 ELSE 1 END AS starts FROM votes),
 numbered AS (
   SELECT *, sum(starts) OVER (PARTITION BY r, template ORDER BY diagonal) AS span FROM marked),
+near AS (
+  SELECT a.r, a.template, a.diagonal, a.pairs, a.spots AS s0, coalesce(b.spots, []) AS s1, coalesce(c.spots, []) AS s2
+  FROM votes a LEFT JOIN votes b ON a.r = b.r AND a.template = b.template AND b.diagonal = a.diagonal + 1
+    LEFT JOIN votes c ON a.r = c.r AND a.template = c.template AND c.diagonal = a.diagonal + 2),
+path AS (
+  SELECT *, 0 AS t, 0 AS a0, 0 AS a1, 0 AS a2, 0 AS b0, 0 AS b1, 0 AS b2 FROM near
+  UNION ALL
+  SELECT r, template, diagonal, pairs, s0, s1, s2, t + 1, list_contains(s0, t)::INTEGER + greatest(a0, b1, b2),
+    list_contains(s1, t)::INTEGER + greatest(a1, b0, b2), list_contains(s2, t)::INTEGER + greatest(a2, b0, b1), a0, a1, a2
+  FROM path WHERE t < pairs),
+best AS (SELECT r, template, diagonal, greatest(a0, a1, a2) AS found FROM path WHERE t = pairs),
 spans AS (
-  SELECT r, template, span, any_value(label) AS label, any_value(base) AS base,
-    len(list_distinct(flatten(list(spots)))) / any_value(pairs) AS coverage,
+  SELECT r, template, span, any_value(label) AS label, any_value(base) AS base, max(found) / any_value(pairs) AS coverage,
     sum(CASE WHEN seen = pairs THEN 1 ELSE 0 END) AS literals,
     min(CASE WHEN seen = pairs THEN diagonal END) AS first,
     max(CASE WHEN seen = pairs THEN diagonal END) AS last
-  FROM numbered GROUP BY r, template, span),
+  FROM numbered JOIN best USING (r, template, diagonal) GROUP BY r, template, span),
 found AS (
   SELECT r, sum(CASE WHEN base = 1 THEN literals ELSE 0 END) AS n_base,
     min(CASE WHEN base = 1 THEN first END) AS first_word, max(CASE WHEN base = 1 THEN last END) AS last_word,

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cadentia.llm.decontaminate import decontaminate
-from cadentia.llm.licenses import BASE, license_report, license_spans
+from cadentia.llm.licenses import BASE, NOTICES, license_report, license_spans
 from cadentia.llm.syncmers import BAND, K, S, anchors, fingerprints
 from cadentia.session import materialise
 
@@ -44,6 +44,44 @@ def test_license_spans_survive_an_inserted_word(spark):
     assert license_report(documents(spark, [])).count() == 0
 
 
+def verified(text, cover=0.8):
+    """Labels of templates of which one path through three neighbouring diagonals shows enough, found by trying them all."""
+    w, found = words(text), set()
+    for phrase, label in (*BASE, *NOTICES):
+        t = phrase.split()
+        hits = {(p - i, i) for p in range(len(w) - 1) for i in range(len(t) - 1) if w[p : p + 2] == t[i : i + 2]}
+        for d in {d for d, _ in hits}:
+            best = {}
+            for i in range(len(t) - 1):
+                for k in (d, d + 1, d + 2):
+                    stay = best.get((i - 1, k), 0)
+                    move = max(best.get((i - 2, j), 0) for j in (d, d + 1, d + 2) if j != k)
+                    best[i, k] = ((k, i) in hits) + max(stay, move)
+            if max(best.values()) / (len(t) - 1) >= cover:
+                found.add(label)
+    return ",".join(sorted(found))
+
+
+def test_license_spans_are_verified(spark):
+    rnd = random.Random(15)
+    texts = [
+        "general public transport public license", "general public license", "public license general public",
+        "the Apache license, version 2.0 licensed under the", "licensed under the mit license", "licensed under mit license",
+        "permission is hereby granted, free of any charge, to any person obtaining a copy", "cc cc by by", None, "",
+    ]
+    vocabulary = " ".join(p for p, _ in NOTICES).split()
+    for _ in range(80):
+        w = rnd.choice(NOTICES)[0].split()
+        for _ in range(rnd.randint(0, 3)):
+            at = rnd.randrange(len(w))
+            w[at : at + rnd.randint(0, 1)] = rnd.choice([[], [rnd.choice(vocabulary)], ["new", "words"]])
+            w = w or ["x"]
+        texts.append(" ".join(rnd.choices(vocabulary, k=5) + w + rnd.choices(vocabulary, k=5)))
+    got = {r.doc_id: r.labels for r in license_report(documents(spark, list(enumerate(texts)))).collect()}
+    assert got == {i: verified(t) for i, t in enumerate(texts)}
+    assert got[0] == got[2] == got[3] == "" and got[1] == "gpl" and got[4] == "mit" and got[6] == "mit"
+
+
 def test_decontaminate_equals_brute_force(spark):
     rnd = random.Random(8)
     vocabulary = [f"w{i}" for i in range(12)] + ["É", "é"]
