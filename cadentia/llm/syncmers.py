@@ -50,8 +50,8 @@ def anchors(pieces: DataFrame, key: list[str], data: str = "data", k: int = K, s
         *key, "from", "b", F.explode(F.sequence(F.lit(1), F.octet_length("b") - k + 1)).alias("p")
     )
     inner = [F.xxhash64(F.substring("b", F.col("p") + i, F.lit(s))) for i in range(k - s + 1)]
-    least = F.least(*inner)
-    return spots.where((least == inner[0]) | (least == inner[-1])).select(
+    # Written so that every hash is taken once.
+    return spots.where(F.least(inner[0], inner[-1]) <= F.least(*inner[1:-1])).select(
         *key,
         (F.col("from") + F.col("p") - 1).alias("place"),
         F.xxhash64(F.substring("b", "p", F.lit(k))).alias("h"),
