@@ -12,7 +12,7 @@ from cadentia.operators import checks as C
 from cadentia.operators import evaluation as E
 from cadentia.operators import profiles as P
 from cadentia.operators import splits as S
-from cadentia.session import materialise, scratch_path
+from cadentia.session import scratch_path
 from cadentia.sources import files as files_source
 from cadentia.sources import observations as O
 
@@ -32,10 +32,10 @@ def fitted(spark, folder, scaling="mad"):
 
 
 def scores(spark, folder, scaling="mad"):
-    made = E.protocol_scores(
+    """The protocol's scores; they are counted where they are formed and stored by no query."""
+    return E.protocol_scores(
         obs(spark, folder), "subject", ORDER, scaling=scaling, n_enrol=N_ENROL, k=K_IMPOSTOR
     )
-    return materialise(made, "scores")
 
 
 def genuine_rows(spark, folder):

@@ -65,10 +65,11 @@ def error_curve(scores: DataFrame) -> DataFrame:
     """``subject, threshold, far, frr`` at every distinct score and at infinity.
 
     FAR(t) is the share of impostors below t, FRR(t) the share of genuine
-    scores at or above t. All thresholds are kept, collinear ones too.
+    scores at or above t. All thresholds are kept, collinear ones too. What is stored
+    on the way are counts per distinct score, as many rows as the curve has.
     """
     cumulated = running(
-        _counts(scores, ["subject", "score"]),
+        materialise(_counts(scores, ["subject", "score"]), "counts"),
         ["subject"],
         ["score"],
         magnitude_slot(F.col("score")),

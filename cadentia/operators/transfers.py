@@ -79,17 +79,23 @@ def near_threshold_share(transfers: DataFrame, threshold: float, band: float = 0
     )
 
 
+def _sender_counts(as_of: str, windows: Sequence[int] = (7, 30)) -> list[Column]:
+    since = F.unix_seconds(_as_of(as_of))
+    return [
+        F.count_if(F.unix_seconds("last_seen") > since - days * DAY_SECONDS).alias(f"distinct_senders_{days}d")
+        for days in windows
+    ]
+
+
 def distinct_senders(edges: DataFrame, as_of: str, windows: Sequence[int] = (7, 30)) -> DataFrame:
     """Per payee, senders seen in the last days, from edges up to ``as_of``."""
-    since = F.unix_seconds(_as_of(as_of))
-    return edges.groupBy("payee").agg(
-        *[
-            F.count_if(F.unix_seconds("last_seen") > since - days * DAY_SECONDS).alias(
-                f"distinct_senders_{days}d"
-            )
-            for days in windows
-        ]
-    )
+    return edges.groupBy("payee").agg(*_sender_counts(as_of, windows))
+
+
+def _quick(first: Column, added: Column, hours: int = 72) -> Column:
+    """1.0 where money went to a payee within so many hours of its being added."""
+    wait = F.unix_seconds(first) - F.unix_seconds(added)
+    return F.when(wait <= hours * 3600, 1.0).otherwise(0.0)
 
 
 def new_sender_fraction(edges: DataFrame, hours: int = 72, added: DataFrame | None = None) -> DataFrame:
@@ -103,8 +109,7 @@ def new_sender_fraction(edges: DataFrame, hours: int = 72, added: DataFrame | No
         dated = edges.join(begun, "sender")
     else:
         dated = edges.join(added, ["sender", "payee"], "left")
-    wait = F.unix_seconds("first_seen") - F.unix_seconds("added_at")
-    quick = F.when(wait <= hours * 3600, 1.0).otherwise(0.0)
+    quick = _quick(F.col("first_seen"), F.col("added_at"), hours)
     return dated.groupBy("payee").agg(F.avg(quick).alias("new_sender_fraction"))
 
 
@@ -268,13 +273,27 @@ def payee_risk(
     # Everything about incoming money follows from the edges: one pass over the log.
     edges = materialise(payee_edge_features(transfers, as_of), "edges")
     past_out = outflows.where(F.col("ts") <= _as_of(as_of))
-    begun = edges.select("payee", F.col("first_seen").alias("ts"))
-    table = (
-        distinct_senders(edges, as_of)
-        .join(new_sender_fraction(edges), "payee")
-        .join(flagged_overlap(edges, flagged), "payee")
-        .join(fan_ratio(edges, past_out).drop("fan_in", "fan_out"), "payee")
-        .join(pass_through_delay(begun, past_out).drop("first_in", "first_out"), "payee")
+    # What a payee's parts need to know of a sender: when it began, and whether it sends to a flagged account.
+    marked = edges.join(flagged.select("payee").distinct().withColumn("_flag", F.lit(1.0)), "payee", "left")
+    senders = marked.groupBy("sender").agg(F.min("first_seen").alias("_begun"), F.max("_flag").alias("_tainted"))
+    incoming = edges.join(senders, "sender").groupBy("payee").agg(
+        *_sender_counts(as_of),
+        F.avg(_quick(F.col("first_seen"), F.col("_begun"))).alias("new_sender_fraction"),
+        F.avg(F.coalesce("_tainted", F.lit(0.0))).alias("flagged_overlap"),
+        F.count("*").alias("_fan_in"),
+        F.min("first_seen").alias("_first_in"),
+    )
+    later = F.when(F.col("ts") >= F.col("_first_in"), F.col("ts"))
+    outgoing = (
+        past_out.join(incoming.select("payee", "_first_in"), "payee")
+        .groupBy("payee", "recipient").agg(F.min(later).alias("_out"))
+        .groupBy("payee").agg(F.count("*").alias("_fan_out"), F.min("_out").alias("_first_out"))
+    )
+    delay = (F.unix_seconds("_first_out") - F.unix_seconds("_first_in")) / F.lit(DAY_SECONDS)
+    table = incoming.join(outgoing, "payee", "left").select(
+        *[c for c in incoming.columns if not c.startswith("_")],
+        safe_ratio(F.col("_fan_in"), F.coalesce("_fan_out", F.lit(0))).alias("fan_ratio"),
+        delay.alias("pass_through_days"),
     )
     parts = {
         "distinct_senders_30d": F.col("distinct_senders_30d") / scales["distinct_senders_30d"],
