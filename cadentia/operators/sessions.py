@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cadentia.functions.scalars import DAY_SECONDS, day_slot, days_between, q, safe_ratio, sha256_text
 from cadentia.plans.joins import null_safe_join
-from cadentia.plans.ordered import running
+from cadentia.plans.ordered import running, running_gaps
 from cadentia.plans.quantiles import exact_quantiles
 from cadentia.session import materialise
 
@@ -40,18 +40,19 @@ def sessionise(
 ) -> DataFrame:
     """Add ``gap`` and ``session_no``; a gap above ``max_gap`` seconds opens a session.
 
-    Both steps run inside (user, day), so a user with very many events is spread over their days; each
-    step reads the events once more for what it carries across days.
+    Both steps run inside (user, day) and share one table of what is carried across days, so a user with
+    very many events is spread over their days. ``order`` begins with ``ts``; an event without a time opens a session.
     """
-    gapped = event_gaps(events, user, ts, order, slot_days)
-    opens = F.when(F.col("gap").isNull() | (F.col("gap") > max_gap), 1).otherwise(0)
-    return running(
-        gapped,
-        [user],
-        order,
-        day_slot(F.col(ts), slot_days),
-        totals={"session_no": opens.cast("long")},
-    )
+
+    def opens(now: Column, before: Column) -> Column:
+        gap = seconds_between(now, before)
+        return F.when(gap.isNull() | (gap > max_gap), 1).otherwise(0)
+
+    if order[0] != ts:
+        raise ValueError(f"events are ordered by {order[0]}, their time is {ts}")
+    numbered = running_gaps(events, [user], order, day_slot(F.col(ts), slot_days), opens, "_previous", "session_no")
+    gap = seconds_between(F.col(ts), F.col("_previous"))
+    return numbered.withColumn("gap", gap).select(*[q(c) for c in events.columns], "gap", "session_no")
 
 
 def valid_timing(

@@ -8,7 +8,7 @@ with one row per slot.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -86,6 +86,43 @@ def running(
     )
 
 
+def running_gaps(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], slot: Column, opens: Callable[[Column, Column], Column],
+    previous: str, total: str,
+) -> DataFrame:
+    """Add the value of ``order[0]`` before each row, and a running count of rows that open something.
+
+    ``opens(value, before)`` says whether a row opens, given the value before it (null for the first); it is 0 or 1 and
+    must be 1 where either is null. Both steps share one carry table with a row per slot: only the first row of a slot looks
+    back across the border, so a slot is known by its first and last value and by what opens inside. ``order`` must be a total
+    order inside a key and ``slot`` must never fall along it. Rows with a null value open and are no row's predecessor.
+    """
+    at, part = f"`{order[0]}`", [*keys, SLOT]
+    inside = Window.partitionBy(*part).orderBy(*[F.col(f"`{c}`") for c in order])
+    local = df.withColumn(SLOT, slot).withColumn(
+        "_before", F.last(at, True).over(inside.rowsBetween(Window.unboundedPreceding, -1))
+    )
+    looks_back = F.col(at).isNotNull() & F.col("_before").isNull()
+    opened = F.when(looks_back, 0).otherwise(opens(F.col(at), F.col("_before"))).cast("long")
+    local = local.withColumn("_opened", opened).withColumn(
+        "_run", F.sum("_opened").over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    )
+    slots = local.groupBy(*part).agg(F.min(at).alias("_head"), F.max(at).alias("_tail"), F.sum("_opened").alias("_inner"))
+    earlier = Window.partitionBy(*keys).orderBy(SLOT).rowsBetween(Window.unboundedPreceding, -1)
+    known = slots.withColumn("_last", F.last("_tail", True).over(earlier)).withColumn(
+        "_first", F.when(F.col("_head").isNotNull(), opens(F.col("_head"), F.col("_last"))).otherwise(0).cast("long")
+    )
+    carried = known.select(
+        *part, "_last", "_first", F.coalesce(F.sum(F.col("_inner") + F.col("_first")).over(earlier), F.lit(0)).alias("_base")
+    )
+    before = F.when(F.col(at).isNotNull(), F.coalesce("_before", "_last")).otherwise(F.col("_before"))
+    return null_safe_join(local, carried, part).select(
+        *[F.col(f"`{c}`") for c in df.columns],
+        before.alias(previous),
+        (F.col("_base") + F.col("_first") + F.col("_run")).alias(total),
+    )
+
+
 def range_slots(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "range_slot") -> DataFrame:
     """The rows stored in ranges of (keys, order), with the number of the range: a slot for any total order.
 

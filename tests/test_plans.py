@@ -191,3 +191,23 @@ def test_range_slots_split_one_hot_key_by_a_composite_order(spark):
     ranks = rep_rank(frame, "subject", ["session", "rep", "id"]).where("subject = 'hot'").collect()
     order = sorted(ranks, key=lambda r: (r.session, r.rep, r.id))
     assert [r.rep_rank for r in order] == list(range(1, 4001))
+
+
+def test_sessions_from_one_carry_table(spark):
+    rnd = np.random.default_rng(6)
+    rows = [(k, int(t), i) for i, (k, t) in enumerate(zip(rnd.choice(["hot", "hot", "a", None], 900), rnd.integers(0, 40 * 86_400, 900), strict=True))]
+    rows += [("hot", None, 2000), ("b", None, 2001), ("b", 5, 2002), (None, None, 2003), ("c", 90_000, 2004), ("c", 90_000, 2005)]
+    frame = spark.createDataFrame(rows, "u string, s long, id long").withColumn("ts", F.timestamp_seconds("s"))
+    found = SE.sessionise(frame, "u", "ts", ["ts", "id"], 6000.0)
+    got = {r.id: (r.gap, r.session_no) for r in found.collect()}
+    want = {}
+    for key in ("hot", "a", "b", "c", None):
+        last, number = None, 0
+        for _, s, i in sorted((r for r in rows if r[0] == key), key=lambda r: (r[1] is not None, r[1] or 0, r[2])):
+            gap = None if s is None or last is None else float(s - last)
+            number += gap is None or gap > 6000
+            want[i] = (gap, number)
+            last = last if s is None else s
+    assert got == want
+    plan = SE.sessionise(frame, "u", "ts", ["ts", "id"], 6000.0)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan ") <= 2 and plan.count("Exchange hashpartitioning") <= 5
