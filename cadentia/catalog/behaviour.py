@@ -10,7 +10,6 @@ from cadentia.functions.scalars import is_finite, risk_scale
 from cadentia.operators import sessions as S
 from cadentia.operators import trust as T
 from cadentia.plans.ordered import running
-from cadentia.functions.scalars import day_slot
 from cadentia.plans.quantiles import exact_quantiles
 from cadentia.session import materialise
 from cadentia.sources import lake
@@ -199,12 +198,12 @@ def trust_events(spark, folder):
             "txn_stopped": ((F.col("event_type") == "purchase") & (F.col("k") >= 95)).cast("int"),
         }
     )
-    clean = (F.col("event_type") != "error").cast("long")
-    seen = running(facts, ["user_id", "device"], ORDER, day_slot(F.col("ts")), totals={"clean_upto": clean})
-    counted = seen.withColumn("prior_clean", F.col("clean_upto") - clean).drop("clean_upto")
-    aged = S.prior_sessions(counted, "user_id", "device", ORDER)
+    # Stored between the two ordered steps, as each of them reads its input twice.
+    aged = materialise(
+        S.prior_sessions(facts.drop("props"), "user_id", "device", ORDER, clean=F.col("event_type") != "error"), "aged"
+    )
     change = (F.col("event_type") == "signup") & (F.col("k") < 5)
-    return S.recent_change(aged, "user_id", "ts", change, ORDER).drop("medium_from", "props")
+    return S.recent_change(aged, "user_id", "ts", change, ORDER).drop("medium_from")
 
 
 TRUST = EVENTS + """,

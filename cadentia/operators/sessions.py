@@ -150,14 +150,19 @@ def device_history(sessions: DataFrame, user: str, device: str, ts: str = "ts")
 
 
 def prior_sessions(
-    sessions: DataFrame, user: str, device: str, order: Sequence[str], slot_days: float = 7.0
+    sessions: DataFrame, user: str, device: str, order: Sequence[str], slot_days: float = 7.0, clean: Column | None = None
 ) -> DataFrame:
-    """Add ``prior_sessions``: how many this device had before."""
-    upto = running(
-        sessions, [user, device], order, day_slot(q(order[0]), slot_days),
-        totals={"_upto": F.lit(1).cast("long")},
-    )
-    return upto.withColumn("prior_sessions", F.col("_upto") - 1).drop("_upto")
+    """Add ``prior_sessions``: how many this device had before; with ``clean`` also ``prior_clean``, how many of them it holds for."""
+    totals = {"_upto": F.lit(1).cast("long")}
+    marked = sessions
+    if clean is not None:
+        marked = sessions.withColumn("_clean", F.coalesce(clean, F.lit(False)).cast("long"))
+        totals["_clean_upto"] = F.col("_clean")
+    upto = running(marked, [user, device], order, day_slot(q(order[0]), slot_days), totals=totals)
+    counted = upto.withColumn("prior_sessions", F.col("_upto") - 1)
+    if clean is not None:
+        counted = counted.withColumn("prior_clean", F.col("_clean_upto") - F.col("_clean"))
+    return counted.drop("_upto", "_clean", "_clean_upto")
 
 
 def recent_change(
