@@ -169,10 +169,15 @@ def fitting_score(subject: str | Sequence[str], vector: str, centre: Column, dis
 
 
 def checked_score(subject: str | Sequence[str], vector: str, centre: Column, dispersion: Column) -> Column:
-    """The score of any vector; one with a missing feature or of another length fails the job, naming the key."""
-    fits = fitting_score(subject, vector, centre, dispersion)
-    whole = filled(subject, vector)
-    return F.when(whole.isNotNull(), fits)
+    """The score of any vector; one with a missing feature or of another length fails the job, naming the key.
+
+    A null or NaN among the features makes the score null or NaN, so the score is tested and not every feature.
+    """
+    broken = _named(as_keys(subject), f"{vector} with a missing feature")
+    tested = lambda x: F.when(x.isNull() | F.isnan(x), broken).otherwise(x)
+    fits = F.when(q(vector).isNotNull(), fitting_score(subject, vector, centre, dispersion))
+    # In an array of one, so that the score is worked out once.
+    return F.get(F.transform(F.array(fits), tested), F.lit(0))
 
 
 def with_profile(
