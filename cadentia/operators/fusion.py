@@ -113,17 +113,15 @@ def channel_scales(training: DataFrame) -> DataFrame:
 
 
 def standardise(df: DataFrame, scales: DataFrame) -> DataFrame:
-    """Add ``z_<channel>``: standardised and shrunk by confidence; unknown is 0.
+    """Add ``z_<channel>``: standardised and shrunk by confidence; unknown or without spread is 0.
 
     ``scales`` is the single row of :func:`channel_scales`, hence the broadcast.
     """
     joined = df.join(F.broadcast(scales))
-    z = {
-        f"z_{c}": F.coalesce(
-            F.col(f"c_{c}") * (F.col(f"s_{c}") - F.col(f"m_{c}")) / F.col(f"d_{c}"), F.lit(0.0)
-        )
-        for c in CHANNELS
-    }
+    known = lambda c: F.when(
+        F.col(f"d_{c}") > 0, F.col(f"c_{c}") * (F.col(f"s_{c}") - F.col(f"m_{c}")) / F.col(f"d_{c}")
+    )
+    z = {f"z_{c}": F.coalesce(known(c), F.lit(0.0)) for c in CHANNELS}
     return joined.withColumns(z).drop(*[f"m_{c}" for c in CHANNELS], *[f"d_{c}" for c in CHANNELS])
 
 

@@ -174,3 +174,12 @@ def test_routing_a_batch_twice_changes_nothing(spark, tmp_path):
     pruned = lake.scan_lake(spark, str(tmp_path), "2024-01-02", "2024-01-02")
     assert pruned.count() == 1
     assert "PartitionFilters: [isnotnull(date" in pruned._jdf.queryExecution().toString()
+
+
+def test_a_channel_without_spread_says_nothing(spark):
+    rows = spark.createDataFrame([(0.5, 1.0), (0.5, 3.0)], "flat double, wide double")
+    channels = {f"{part}_{c}": F.col("wide") if c == "payee" else F.col("flat") for c in U.CHANNELS for part in "sc"}
+    scored = rows.withColumns(channels)
+    got = U.standardise(scored, U.channel_scales(scored)).collect()
+    assert {r[f"z_{c}"] for r in got for c in U.CHANNELS if c != "payee"} == {0.0}
+    assert sorted(r.z_payee for r in got) == pytest.approx([-1 / 2**0.5, 3 / 2**0.5])
