@@ -183,3 +183,27 @@ def test_a_channel_without_spread_says_nothing(spark):
     got = U.standardise(scored, U.channel_scales(scored)).collect()
     assert {r[f"z_{c}"] for r in got for c in U.CHANNELS if c != "payee"} == {0.0}
     assert sorted(r.z_payee for r in got) == pytest.approx([-1 / 2**0.5, 3 / 2**0.5])
+
+
+def test_groups_solved_together_equal_groups_solved_alone():
+    rng = np.random.default_rng(3)
+    sizes = rng.integers(1, 40, 300)
+    points = rng.integers(0, 4, (sizes.sum(), 3)).astype(float) * rng.choice([1.0, 0.37], (sizes.sum(), 1))
+    weights = rng.choice([0.5, 0.6, 1.0], sizes.sum())
+    centres, spreads = A.medians_of(points, weights, sizes, A.TOLERANCE, A.MAX_ITERATIONS)
+    ends = np.cumsum(sizes)
+    for i, (a, b) in enumerate(zip(ends - sizes, ends)):
+        alone = A.weiszfeld(points[a:b], weights[a:b], A.TOLERANCE, A.MAX_ITERATIONS)
+        assert centres[i] == pytest.approx(alone, abs=1e-9)
+        off = np.abs(points[a:b] - centres[i])
+        assert spreads[i].tolist() == [A.weighted_lower_median(off[:, j], weights[a:b]) for j in range(3)]
+
+
+def test_medians_of_keys_with_vectors_of_other_lengths(spark):
+    rows = [(None, [1.0, 5.0]), (None, [1.0, 5.0]), (None, [9.0, 5.0]), ("a", [2.0])]
+    frame = spark.createDataFrame([(k, x, 1.0) for k, x in rows], "k string, x array<double>, weight double")
+    got = {r.k: (r.centre, r.spread, r.members) for r in A.geometric_median(frame.coalesce(1), ["k"], "x").collect()}
+    assert got == {None: (pytest.approx([1.0, 5.0], abs=1e-5), pytest.approx([0.0, 0.0], abs=1e-5), 3), "a": ([2.0], [0.0], 1)}
+    mixed = spark.createDataFrame([("a", [1.0], 1.0), ("a", [1.0, 2.0], 1.0)], frame.schema)
+    with pytest.raises(Exception, match="different lengths"):
+        A.geometric_median(mixed, ["k"], "x").collect()
