@@ -6,7 +6,7 @@ from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -141,6 +141,7 @@ class TakenInOrder(StatefulProcessor):
             self.waiting.clear()
             if rest:
                 self.waiting.appendList(rest)
+        self.rest = rest
         out = self.taken(key, ready, mark)
         moments = [m for m in (milliseconds(rest[0][0]) + 1 if rest else None, self.due()) if m is not None]
         if moments:
@@ -163,57 +164,54 @@ def plain(value):
     return value.tolist() if isinstance(value, (np.ndarray, np.generic)) else value
 
 
+# Sessions share this many states: calls to the state store cost more than rows do.
+BUCKETS = 4096
+
+
 class Checkpoints(TakenInOrder):
-    """Running sums of one session, and its user's profile."""
+    """Running sums of the open sessions of one bucket; a session lies in one bucket whole."""
 
-    row_schema = "at double, id long, step string, value double"
-    columns = ("at", "event_id", "step", "value")
+    row_schema = "at double, id long, session string, step string, value double"
+    # Names that begin with an underscore do not reach the state functions.
+    columns = ("at", "event_id", "session_key", "step", "value")
 
-    def __init__(self, steps: Mapping[str, str], limits: tuple[float, float, float]) -> None:
-        self.steps, self.limits = dict(steps), limits
+    def __init__(self, steps: Mapping[str, str]) -> None:
+        self.steps = dict(steps)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
-        self.sums = handle.getValueState("sums", "n long, total double, corrections long, since double, last double")
-        self.profile = handle.getValueState("profile", "centre array<double>, dispersion array<double>")
-
-    def known(self, part: pd.DataFrame) -> bool:
-        middle, scale = part["centre"].iloc[0], part["dispersion"].iloc[0]
-        if middle is not None and not self.profile.exists():
-            self.profile.update((plain(middle), plain(scale)))
-        return True
+        self.sums = handle.getListState("sums", "session string, n long, total double, corrections long, since double, last double")
 
     def taken(self, key: tuple, rows: list[tuple], mark: int) -> pd.DataFrame | None:
-        if not rows:
-            if self.sums.exists() and not self.waiting.exists() and mark > milliseconds(self.sums.get()[4]) + SESSION_TTL_MS:
-                self.sums.clear()
-                self.profile.clear()
-            return None
-        n, total, corrections, since, last = self.sums.get() if self.sums.exists() else (0, 0.0, 0, rows[0][0], None)
-        middle, scale = self.profile.get() if self.profile.exists() else (None, None)
+        sums = {session: state for session, *state in self.sums.get()}
+        # Sessions that have ended and wait for nothing are forgotten.
+        busy = {row[2] for row in (*rows, *self.rest)}
+        over = [s for s, (*_, last) in sums.items() if s not in busy and mark > milliseconds(last) + SESSION_TTL_MS]
+        for session in over:
+            del sums[session]
         out = []
-        for at, event, step, value in rows:
-            n, total, corrections, last = n + 1, total + value, corrections + int(step == "correction"), at
+        for at, event, session, step, value in rows:
+            n, total, corrections, since, _ = sums.get(session, (0, 0.0, 0, at, None))
+            n, total, corrections = n + 1, total + value, corrections + int(step == "correction")
+            sums[session] = (n, total, corrections, since, at)
             name = self.steps.get(step)
-            if name is None:
-                continue
-            score, action = None, "step_up"
-            if middle is not None:
-                seen = np.array([total / n, corrections / n, (at - since) / 3600])
-                score = float(np.abs((seen - np.asarray(middle)) / np.asarray(scale)).sum())
-                action = action_at(name, score, *self.limits)
-            out.append((*key, event, name, n, score, action))
-        self.sums.update((n, total, corrections, since, last))
-        names = ["_key", "event_id", "checkpoint", "events", "score", "action"]
-        return pd.DataFrame(out, columns=names).astype({"score": "float64"}) if out else None
+            if name is not None:
+                out.append((session, event, name, n, total / n, corrections / n, (at - since) / 3600))
+        if sums:
+            self.sums.put([(session, *state) for session, state in sums.items()])
+        elif over:
+            self.sums.clear()
+        self.ends = min((milliseconds(last) + SESSION_TTL_MS + 1 for *_, last in sums.values()), default=None)
+        names = ["_key", "event_id", "checkpoint", "events", "mean", "share", "hours"]
+        return pd.DataFrame(out, columns=names) if out else None
 
     def due(self) -> int | None:
-        return milliseconds(self.sums.get()[4]) + SESSION_TTL_MS + 1 if self.sums.exists() else None
+        return self.ends
 
 
 def stream_checkpoints(
     stream: DataFrame, profiles: DataFrame, user: str, session: Sequence[str], steps: Mapping[str, str],
-    step_up: float, restrict: float, block: float, ts: str = "ts", late: str = "1 hour",
+    step_up: float, restrict: float, block: float, ts: str = "ts", late: str = "1 hour", buckets: int = BUCKETS,
 ) -> DataFrame:
     """Score each session at its checkpoints with all evidence so far, against the user's own profile.
 
@@ -223,17 +221,25 @@ def stream_checkpoints(
     the last checkpoint may the action be restrict or block. A user without a profile
     has no score and is stepped up.
 
-    Rows without a time, or later than ``late``, are dropped. A session's state is its profile, five numbers and
-    the rows of the last ``late`` span; an event-time timer clears it a day after its last event. (State
-    with a time to live of its own expires by the wall clock, which a replay would not follow.)
+    Rows without a time, or later than ``late``, are dropped. Sessions are dealt to ``buckets`` states by a hash of
+    their key. A session's state is five numbers and the rows of the last ``late`` span; an event-time timer
+    clears it a day after its last event. (State with a time to live of its own expires by the wall clock,
+    which a replay would not follow.) Features meet the profiles behind the state, which holds none.
     """
     use_rocksdb(stream.sparkSession)
-    known = stream.join(profiles.select(user, "centre", "dispersion"), user, "left")
-    schema = "_key string, event_id long, checkpoint string, events long, score double, action string"
-    found = _keyed(known, session, ts).withWatermark(ts, late).groupBy("_key").transformWithStateInPandas(
-        Checkpoints(steps, (step_up, restrict, block)), schema, "Append", "EventTime"
+    keys = list(dict.fromkeys([*session, user]))
+    named = _keyed(stream, keys, ts).withColumnRenamed("_key", "session_key")
+    dealt = named.withColumn("_bucket", F.pmod(F.xxhash64("session_key"), F.lit(buckets)))
+    schema = "_key string, event_id long, checkpoint string, events long, mean double, share double, hours double"
+    found = dealt.withWatermark(ts, late).groupBy("_bucket").transformWithStateInPandas(
+        Checkpoints(steps), schema, "Append", "EventTime"
+    )
+    met = _unkeyed(found, [stream.schema[k] for k in keys]).join(profiles.select(user, "centre", "dispersion"), user, "left")
+    score = P.score_of(F.array("mean", "share", "hours"), F.col("centre"), F.col("dispersion"))
+    return met.withColumn("score", score).select(
+        *session, "event_id", "checkpoint", "events", "score",
+        action_at(F.col("checkpoint"), F.col("score"), step_up, restrict, block).alias("action"),
     )
-    return _unkeyed(found, [stream.schema[k] for k in session])
 
 
 def milliseconds(at: float) -> int:
@@ -241,12 +247,15 @@ def milliseconds(at: float) -> int:
     return round(at * 1e6) // 1000
 
 
-def action_at(checkpoint: str, score: float, step_up: float, restrict: float, block: float) -> str:
-    if checkpoint == FINAL_CHECKPOINT and score >= block:
-        return "block"
-    if checkpoint == FINAL_CHECKPOINT and score >= restrict:
-        return "restrict"
-    return "step_up" if score >= step_up else "allow"
+def action_at(checkpoint: Column, score: Column, step_up: float, restrict: float, block: float) -> Column:
+    last = checkpoint == FINAL_CHECKPOINT
+    return (
+        F.when(score.isNull(), "step_up")
+        .when(last & (score >= block), "block")
+        .when(last & (score >= restrict), "restrict")
+        .when(score >= step_up, "step_up")
+        .otherwise("allow")
+    )
 
 
 class Adapting(TakenInOrder):

@@ -2,6 +2,7 @@
 
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -48,6 +49,72 @@ def test_same_rows_for_one_and_for_many_triggers(spark, tmp_path):
     assert together[9] == ("confirm", 2, None, "step_up")
 
 
+class Counted:
+    """State of one bucket that counts the calls made to it."""
+
+    def __init__(self):
+        self.rows, self.calls = {}, 0
+
+    def getListState(self, name, schema):
+        return State(self, name)
+
+    getValueState = getListState
+
+    def registerTimer(self, at):
+        self.calls += 1
+
+    deleteTimer = registerTimer
+
+
+class State:
+    def __init__(self, handle, name):
+        self.handle, self.name = handle, name
+
+    def get(self):
+        self.handle.calls += 1
+        return self.handle.rows.get(self.name, [])
+
+    def put(self, rows):
+        self.handle.calls += 1
+        self.handle.rows[self.name] = rows
+
+    update = put
+
+    def appendList(self, rows):
+        self.put([*self.handle.rows.get(self.name, []), *rows])
+
+    def exists(self):
+        return bool(self.get())
+
+    def clear(self):
+        self.put([])
+
+
+class Mark:
+    def __init__(self, at):
+        self.at = at
+
+    def getCurrentWatermarkInMs(self):
+        return round(self.at * 1000)
+
+
+def test_sessions_of_a_bucket_share_the_calls_to_the_state():
+    calls = []
+    for sessions in (3, 300):
+        handle, each = Counted(), L.Checkpoints(STEPS)
+        each.init(handle)
+        rows = [(DAY + i, 2 * i, f"s{i}", "open", 1.0) for i in range(sessions)]
+        rows += [(DAY + 400 + i, 2 * i + 1, f"s{i}", "send", 3.0) for i in range(sessions)]
+        list(each.handleInputRows((0,), iter([pd.DataFrame(rows, columns=each.columns)]), None))
+        (out,) = each.handleExpiredTimer((0,), Mark(DAY + 1000), None)
+        assert out["mean"].tolist() == [1.0] * sessions + [2.0] * sessions and set(out["hours"]) == {0.0, 400 / 3600}
+        calls.append(handle.calls)
+        assert len(handle.rows["sums"]) == sessions
+        list(each.handleExpiredTimer((0,), Mark(DAY + 100_000), None))
+        assert handle.rows["sums"] == [] and each.due() is None
+    assert calls[0] == calls[1] < 20
+
+
 ADAPT = "user string, event_id long, at double, tau double, x array<double>"
 
 
