@@ -10,7 +10,7 @@ from cadentia.session import cut_lineage, materialise
 
 
 # Senders a chunk of bits holds, as so many whole numbers of 64 bits.
-WORDS = 4
+WORDS = 16
 CHUNK = 64 * WORDS
 
 
@@ -18,11 +18,12 @@ def dense_numbers(edge: DataFrame) -> DataFrame:
     """``src, num``: senders numbered 0, 1, ... without gaps, those of one account next to each other.
 
     A sender stands with its most popular payee, so the senders of a hub fill few chunks however far apart their
-    ids are. The order is cut into ranges; a range's numbers begin where those before it end.
+    ids are. Payees follow one another by id, not by size: parts of the graph that have nothing to do with each other
+    would else share chunks. The order is cut into ranges; a range's numbers begin where those before it end.
     """
     degree = edge.groupBy("dst").agg(F.count("*").alias("senders"))
     home = F.max(F.struct("senders", "dst")).alias("home")
-    nodes = edge.join(degree, "dst").groupBy("src").agg(home)
+    nodes = edge.join(degree, "dst").groupBy("src").agg(home).select("src", F.col("home")["dst"].alias("home"))
     ranged = range_slots(nodes.select("src", "home"), ["home"], ["src"], "slot")
     along = Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     # One row per range.
@@ -40,7 +41,7 @@ def _or_words() -> list:
 def two_hop_fan_in(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """Per account, other accounts that reach it in one or two transfers.
 
-    Nodes must be whole numbers. Sets of senders travel as chunks of 256 bits over dense numbers and are merged by
+    Nodes must be whole numbers. Sets of senders travel as chunks of 1024 bits over dense numbers and are merged by
     OR, so the count is exact: a hub with very many senders costs about one bit each per
     recipient, an account with a few scattered ones a chunk each.
     """

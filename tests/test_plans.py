@@ -211,3 +211,13 @@ def test_sessions_from_one_carry_table(spark):
     assert got == want
     plan = SE.sessionise(frame, "u", "ts", ["ts", "id"], 6000.0)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Scan ") <= 2 and plan.count("Exchange hashpartitioning") <= 5
+
+
+def test_parts_of_the_graph_are_numbered_one_after_the_other(spark):
+    # Copies of one graph with shifted ids: hubs of 400 and 40 senders, sizes alike in all copies.
+    one = [(s, 900 + int(s >= 400)) for s in range(440)]
+    edges = [(1000 * copy + s, 1000 * copy + d) for copy in range(12) for s, d in one]
+    numbers = {r.src: r.num for r in G.dense_numbers(spark.createDataFrame(edges, "src long, dst long")).collect()}
+    for copy in range(12):
+        mine = sorted(numbers[1000 * copy + s] for s, _ in one)
+        assert mine == list(range(mine[0], mine[0] + 440))
