@@ -1,93 +1,83 @@
-"""Nightly feature snapshots by increments: what a day adds is merged into the state of the day before.
+"""Nightly feature snapshots by increments: a night adds what its day brought, reading puts the increments together.
 
-The state of a day holds, for all transfers up to that day, one row per (sender, payee) edge, per
+The state of a day holds, for all transfers up to that day, one row per (sender, payee) edge, and counts per
 (sender, amount) and per (sender, hour). All of it is mergeable: counts and sums add up, and the gaps
-between the transfers of an edge are kept as moments that two stretches of time combine by, given
-the gap that lies between them. A night reads one state and one day, never the whole log.
+between the transfers of an edge are kept as moments that stretches of time combine by, given
+the gaps that lie between them. A night reads and writes one day only; every few nights it writes the whole state, so
+that a reader meets a bounded number of increments.
 
-States are versions in folders of their own. A night starts from the newest version before its day and
-writes its own version anew, so running it again changes nothing, and an older day can be
+States are versions in folders of their own. A version is the whole state or what came since the one it names as its
+predecessor, the newest before its day. Running a night again changes nothing, and an older day can be
 run again by running the days after it too.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cadentia.functions.scalars import DAY_SECONDS, day_slot, q, safe_ratio
 from cadentia.plans.joins import null_safe_join
-from cadentia.plans.ordered import running
+from cadentia.plans.ordered import SLOT
 from cadentia.plans.quantiles import exact_quantiles
 
 EDGE, AMOUNT, HOUR = ["sender", "payee"], ["sender", "amount"], ["sender", "hour"]
 TABLES = {"edges": EDGE, "amounts": AMOUNT, "hours": HOUR}
 # The gaps of a stretch: how many, their mean, and the sum of their squared distances from it.
 GAPS = "struct<n:bigint,mean:double,m2:double>"
+# A version that would be the end of a longer chain is written whole.
+CHAIN = 8
 
 
 def _gaps(n: Column, mean: Column, m2: Column) -> Column:
     return F.struct(n.alias("n"), mean.alias("mean"), m2.alias("m2")).cast(GAPS)
 
 
-def together(a: Column, b: Column) -> Column:
-    """Moments of two sets of gaps as one; an empty set has mean 0."""
-    n = a["n"] + b["n"]
-    apart = b["mean"] - a["mean"]
-    share = F.coalesce(safe_ratio(b["n"].cast("double"), n), F.lit(0.0))
-    return _gaps(n, a["mean"] + apart * share, a["m2"] + b["m2"] + apart * apart * a["n"] * share)
+def together(stretches: DataFrame) -> DataFrame:
+    """One row per edge from rows of stretches of time that do not overlap.
 
-
-def partial_states(transfers: DataFrame, order: Sequence[str]) -> dict[str, DataFrame]:
-    """The three tables of one stretch of time. ``order`` is the total order of transfers and begins with ``ts``."""
-    before = running(transfers, EDGE, order, day_slot(F.col("ts"), 30), previous={"_before": "ts"})
-    gap = (F.unix_seconds("ts") - F.unix_seconds("_before")).cast("double")
-    n = F.count("_gap")
-    spread = F.coalesce(F.var_pop("_gap") * n, F.lit(0.0))
-    edges = before.withColumn("_gap", gap).groupBy(*EDGE).agg(
-        F.count("*").alias("txn_count"), F.sum("amount").alias("cum_amount"), F.min("ts").alias("first_seen"),
-        F.max("ts").alias("last_seen"), _gaps(n, F.coalesce(F.avg("_gap"), F.lit(0.0)), spread).alias("gaps"),
-    )
-    timed = transfers.withColumn("hour", F.hour("ts"))
-    return {
-        "edges": edges,
-        "amounts": transfers.groupBy(*AMOUNT).agg(F.count("*").alias("n")),
-        "hours": timed.groupBy(*HOUR).agg(F.count("*").alias("n")),
-    }
-
-
-def merged_edges(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Edges of two stretches, ``new`` being the later one."""
-    values = [c for c in new.columns if c not in EDGE]
-    later = new.select(*EDGE, F.lit(1).alias("_new"), *[F.col(c).alias(f"_{c}") for c in values])
-    earlier = old.withColumn("_old", F.lit(1))
-    met = null_safe_join(earlier, later, EDGE, "left").select(*earlier.columns, *[c for c in later.columns if c not in EDGE])
-    between = (F.unix_seconds("_first_seen") - F.unix_seconds("last_seen")).cast("double")
-    # A transfer without a time is in no gap.
-    bridge = _gaps(F.when(between.isNull(), 0).otherwise(1), F.coalesce(between, F.lit(0.0)), F.lit(0.0))
-    grown = F.col("_new").isNotNull()
-    both = met.select(
-        *EDGE,
-        (F.col("txn_count") + F.coalesce("_txn_count", F.lit(0))).alias("txn_count"),
-        F.when(grown, F.coalesce(F.col("cum_amount") + F.col("_cum_amount"), "cum_amount", "_cum_amount"))
-        .otherwise(F.col("cum_amount")).alias("cum_amount"),
-        F.coalesce("first_seen", "_first_seen").alias("first_seen"),
-        F.coalesce("_last_seen", "last_seen").alias("last_seen"),
-        F.when(grown, together(together(F.col("gaps"), bridge), F.col("_gaps"))).otherwise(F.col("gaps")).alias("gaps"),
+    The gaps of an edge are those inside its stretches and those between them; their mean is known before the squared
+    distances from it are summed. A stretch without a time is in no gap.
+    """
+    edge = Window.partitionBy(*EDGE)
+    earlier = edge.orderBy("first_seen").rowsBetween(Window.unboundedPreceding, -1)
+    gaps = F.col("gaps")
+    between = (F.unix_seconds("first_seen") - F.unix_seconds(F.max("last_seen").over(earlier))).cast("double")
+    bridged = stretches.withColumn("_between", between)
+    n = gaps["n"] + F.when(F.col("_between").isNull(), 0).otherwise(1)
+    total = gaps["n"] * gaps["mean"] + F.coalesce("_between", F.lit(0.0))
+    known = bridged.withColumn("_mean", F.coalesce(safe_ratio(F.sum(total).over(edge), F.sum(n).over(edge)), F.lit(0.0)))
+    apart, off = gaps["mean"] - F.col("_mean"), F.coalesce(F.col("_between") - F.col("_mean"), F.lit(0.0))
+    return known.groupBy(*EDGE).agg(
+        F.sum("txn_count").alias("txn_count"), F.sum("cum_amount").alias("cum_amount"), F.min("first_seen").alias("first_seen"),
+        F.max("last_seen").alias("last_seen"),
+        _gaps(F.sum(n), F.max("_mean"), F.sum(gaps["m2"] + gaps["n"] * apart * apart + off * off)).alias("gaps"),
     )
-    fresh = null_safe_join(new, old.select(*EDGE), EDGE, "left_anti")
-    return both.unionByName(fresh.select(*both.columns))
 
 
-def merged_counts(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return old.unionByName(new).groupBy(*keys).agg(F.sum("n").alias("n"))
+def _edges(transfers: DataFrame, ts: str) -> DataFrame:
+    """Edges by stretches of 30 days. Transfers of one moment are a gap of 0 apart in any order."""
+    inside = Window.partitionBy(*EDGE, SLOT).orderBy(ts)
+    slotted = transfers.select(*EDGE, ts, "amount", day_slot(F.col(ts), 30).alias(SLOT))
+    gap = (F.unix_seconds(ts) - F.unix_seconds(F.lag(ts).over(inside))).cast("double")
+    n = F.count("_gap")
+    spread = F.coalesce(F.var_pop("_gap") * n, F.lit(0.0))
+    return together(slotted.withColumn("_gap", gap).groupBy(*EDGE, SLOT).agg(
+        F.count("*").alias("txn_count"), F.sum("amount").alias("cum_amount"), F.min(ts).alias("first_seen"),
+        F.max(ts).alias("last_seen"), _gaps(n, F.coalesce(F.avg("_gap"), F.lit(0.0)), spread).alias("gaps"),
+    ))
 
 
-def merged_states(old: Mapping[str, DataFrame], new: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
-    out = {name: merged_counts(old[name], new[name], keys) for name, keys in TABLES.items() if name != "edges"}
-    return {"edges": merged_edges(old["edges"], new["edges"]), **out}
+def partial_states(transfers: DataFrame, order: Sequence[str], tables: Sequence[str] = tuple(TABLES)) -> dict[str, DataFrame]:
+    """The tables of one stretch of time. ``order`` begins with the time."""
+    timed = transfers.withColumn("hour", F.hour(order[0]))
+    return {
+        name: _edges(transfers, order[0]) if name == "edges" else timed.groupBy(*TABLES[name]).agg(F.count("*").alias("n"))
+        for name in tables
+    }
 
 
 def versions(spark: SparkSession, root: str) -> list[str]:
@@ -97,34 +87,55 @@ def versions(spark: SparkSession, root: str) -> list[str]:
     return sorted(s.getPath().getParent().getName().removeprefix("version=") for s in found)
 
 
-def read_state(spark: SparkSession, root: str, day: str) -> dict[str, DataFrame]:
-    return {name: spark.read.parquet(f"{root}/version={day}/{name}") for name in TABLES}
+def chain(spark: SparkSession, root: str, day: str) -> list[str]:
+    """The versions that the state of ``day`` is made of, the whole one first."""
+    done, found = set(versions(spark, root)), []
+    while day is not None:
+        if day not in done:
+            raise ValueError(f"{root}: version {day} is not finished; run that day again")
+        found.insert(0, day)
+        day = spark.read.schema("follows string").parquet(f"{root}/version={day}/done").first()[0]
+    return found
+
 
+def read_state(spark: SparkSession, root: str, day: str, tables: Sequence[str] = tuple(TABLES)) -> dict[str, DataFrame]:
+    """The state of a day: one row per edge, and the counts of every increment, which add up."""
+    parts, state = chain(spark, root, day), {}
+    for name in tables:
+        union = reduce(DataFrame.unionByName, [spark.read.parquet(f"{root}/version={v}/{name}") for v in parts])
+        state[name] = together(union) if name == "edges" and len(parts) > 1 else union
+    return state
 
-def advance(transfers: DataFrame, root: str, day: str, order: Sequence[str]) -> dict[str, DataFrame]:
-    """Write the state of ``day`` from the newest one before it and the transfers since; returns it.
+
+def advance(
+    transfers: DataFrame, root: str, day: str, order: Sequence[str], tables: Sequence[str] = tuple(TABLES)
+) -> dict[str, DataFrame]:
+    """Write what the transfers since the newest version before ``day`` add to it; returns the state of ``day``.
 
     A version counts as there once its last file, a mark, is written; a night that broke off is simply run again.
     """
     spark = transfers.sparkSession
     earlier = [v for v in versions(spark, root) if v < day]
     end = F.lit(day).cast("date")
-    date = F.to_date("ts")
+    date = F.to_date(order[0])
     rows = transfers.where(date <= end)
     if earlier:
         rows = rows.where(date > F.lit(earlier[-1]).cast("date"))
     else:
         # Transfers without a time belong to the first state.
-        rows = transfers.where((date <= end) | F.col("ts").isNull())
+        rows = transfers.where((date <= end) | F.col(order[0]).isNull())
     mark = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/version={day}/done")
     mark.getFileSystem(spark._jsc.hadoopConfiguration()).delete(mark, True)
-    state = partial_states(rows, order)
-    if earlier:
-        state = merged_states(read_state(spark, root, earlier[-1]), state)
+    state, follows = partial_states(rows, order, tables), earlier[-1] if earlier else None
+    if earlier and len(chain(spark, root, follows)) >= CHAIN:
+        old, follows = read_state(spark, root, follows, tables), None
+        for name in tables:
+            both = old[name].unionByName(state[name])
+            state[name] = together(both) if name == "edges" else both.groupBy(*TABLES[name]).agg(F.sum("n").alias("n"))
     for name, table in state.items():
         table.write.mode("overwrite").parquet(f"{root}/version={day}/{name}")
-    spark.range(1).write.mode("overwrite").parquet(f"{root}/version={day}/done")
-    return read_state(spark, root, day)
+    spark.range(1).select(F.lit(follows).cast("string").alias("follows")).write.mode("overwrite").parquet(f"{root}/version={day}/done")
+    return read_state(spark, root, day, tables)
 
 
 def edge_features(state: Mapping[str, DataFrame]) -> DataFrame:

@@ -96,3 +96,23 @@ def test_refusals_count_trust_and_budget(spark, nightly):
     low = spark.createDataFrame([("u", 0.1, 1.0, 1.0, 1.0), ("u", 0.0, 0.0, 1.0, 1.0)], "k string, tau double, c_stability double, c_device double, c_txn double")
     counted = {r.reason: r.rejected for r in trust.rejected_updates(low, "k", bounded=bounded).collect()}
     assert counted == {"low trust": 1, "recent change": 1, trust.SATURATED: 8 if nightly else 5}
+
+
+def test_a_night_writes_its_day_only_and_chains_are_bounded(spark, tmp_path):
+    rows, root = log(spark, transfers(random.Random(10))), str(tmp_path / "s")
+    days = [f"2023-11-{d}" for d in range(14, 28)]
+    for day in days:
+        N.advance(rows, root, day, ORDER)
+    chains = [N.chain(spark, root, day) for day in days]
+    assert max(map(len, chains)) == N.CHAIN and all(c[-1] == day for c, day in zip(chains, days))
+    # An increment counts the transfers of its day; a whole version all until then.
+    of_day = {str(r.d): r.n for r in rows.groupBy(F.to_date("ts").alias("d")).agg(F.count("*").alias("n")).collect()}
+    for day, parts in zip(days[1:], chains[1:]):
+        written = spark.read.parquet(f"{root}/version={day}/edges").agg(F.sum("txn_count")).first()[0] or 0
+        wanted = of_day.get(day, 0) if len(parts) > 1 else sum(n for d, n in of_day.items() if d <= day or d == "None")
+        assert written == wanted
+    # A version that is run later for a day in between is not part of a state that does not follow it.
+    N.advance(rows, str(tmp_path / "gap"), days[0], ORDER)
+    late = shown(N.advance(rows, str(tmp_path / "gap"), days[9], ORDER))
+    N.advance(rows, str(tmp_path / "gap"), days[4], ORDER)
+    assert shown(N.read_state(spark, str(tmp_path / "gap"), days[9])) == late
