@@ -14,8 +14,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from cadentia.functions.scalars import DAY_SECONDS
 from cadentia.operators import profiles as P
 from cadentia.operators.adaptation import (
-    FULL_TRUST, MAX_ITERATIONS, RE_ANCHOR_DAYS, TOLERANCE, Settings, weighted_lower_median,
-    weiszfeld, within_budget,
+    FULL_TRUST, MAX_ITERATIONS, RE_ANCHOR_DAYS, TOLERANCE, Settings, medians_of, within_budget,
 )
 from cadentia.sources import lake
 
@@ -109,9 +108,9 @@ class TakenInOrder(StatefulProcessor):
         self.waiting = handle.getListState("waiting", self.row_schema)
         self.wake = handle.getValueState("wake", "at long")
 
-    def known(self, part: pd.DataFrame) -> bool:
-        """Take what a batch of rows says about its key; false if the key is none of ours."""
-        return True
+    def known(self, part: pd.DataFrame) -> pd.DataFrame:
+        """The rows of a batch that count here."""
+        return part
 
     def taken(self, key: tuple, rows: list[tuple], mark: int) -> pd.DataFrame | None:
         """Use rows that are older than the watermark, in order."""
@@ -123,9 +122,8 @@ class TakenInOrder(StatefulProcessor):
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         new = []
-        for part in rows:
-            if self.known(part):
-                new += [tuple(plain(v) for v in row) for row in part[list(self.columns)].itertuples(index=False, name=None)]
+        for part in map(self.known, rows):
+            new += [tuple(plain(v) for v in row) for row in part[list(self.columns)].itertuples(index=False, name=None)]
         if new:
             self.waiting.appendList(new)
             self.set_timer(min(milliseconds(row[0]) for row in new) + 1)
@@ -164,8 +162,10 @@ def plain(value):
     return value.tolist() if isinstance(value, (np.ndarray, np.generic)) else value
 
 
-# Sessions share this many states: calls to the state store cost more than rows do.
+# Sessions and keys share this many states: calls to the state store cost more than rows do.
 BUCKETS = 4096
+# Epochs whose candidates are solved together.
+SOLVED = 4096
 
 
 class Checkpoints(TakenInOrder):
@@ -259,112 +259,135 @@ def action_at(checkpoint: Column, score: Column, step_up: float, restrict: float
 
 
 class Adapting(TakenInOrder):
-    """One key's buffer, anchor and open epoch; the enrolment profile is its initial state."""
+    """Buffers, anchors and open epochs of the keys of one bucket; their enrolment profiles are its initial state.
 
-    row_schema = "at double, id long, tau double, x array<double>"
-    columns = ("at", "event_id", "tau", "x")
+    What an epoch's candidate is depends on its buffer alone, so the epochs that a moment closes are solved together and
+    only then bounded one after the other.
+    """
+
+    row_schema = "at double, id long, owner string, tau double, x array<double>"
+    columns = ("at", "event_id", "owner", "tau", "x")
 
     def __init__(self, settings: Settings, life: int) -> None:
         self.settings, self.life = settings, life
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
-        self.anchor = handle.getValueState("anchor", "centre array<double>, dispersion array<double>, calm_since long")
-        self.open = handle.getValueState("open", "epoch long, fresh int, vouched int, day long, last double")
-        self.buffer = handle.getListState("buffer", "tau double, x array<double>")
+        self.anchors = handle.getListState("anchors", "owner string, centre array<double>, dispersion array<double>, calm_since long")
+        self.open = handle.getListState("open", "owner string, epoch long, fresh int, vouched int, day long, last double")
+        self.buffers = handle.getListState("buffers", "owner string, tau double, x array<double>")
 
     def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues) -> None:
-        row = initialState.iloc[0]
-        self.anchor.update((plain(row["centre"]), plain(row["dispersion"]), None))
+        begun = initialState[["owner", "centre", "dispersion"]].itertuples(index=False, name=None)
+        self.anchors.appendList([(*(plain(v) for v in row), None) for row in begun])
 
-    def known(self, part: pd.DataFrame) -> bool:
-        return self.anchor.exists()
+    def known(self, part: pd.DataFrame) -> pd.DataFrame:
+        return part[part["owner"].isin({owner for owner, *_ in self.anchors.get()})]
 
     def taken(self, key: tuple, rows: list[tuple], mark: int) -> pd.DataFrame | None:
-        nothing = (0, 0, 0, None, None)
-        epoch, fresh, vouched, day, last = self.open.get() if self.open.exists() else nothing
-        buffer, out = list(self.buffer.get()), []
-        settings = self.settings
-
-        def close(at: int) -> None:
-            nonlocal epoch, fresh, vouched
-            epoch += 1
-            out.append((*key, epoch, *self.recomputed(buffer, at, bool(vouched))))
-            fresh, vouched = 0, 0
-
-        for at, _, tau, x in rows:
+        settings, closed = self.settings, []
+        opened = {owner: state for owner, *state in self.open.get()}
+        buffers: dict[str, list[tuple]] = {}
+        for owner, tau, x in self.buffers.get():
+            buffers.setdefault(owner, []).append((tau, x))
+
+        def close(owner: str, state: list, at: int) -> None:
+            state[0] += 1
+            closed.append((owner, state[0], at, bool(state[2]), list(buffers[owner])))
+            state[1] = state[2] = 0
+
+        for at, _, owner, tau, x in rows:
+            state, buffer = opened.setdefault(owner, [0, 0, 0, None, None]), buffers.setdefault(owner, [])
             today = int(at // DAY_SECONDS)
-            if settings.nightly and fresh and today > day:
-                close((day + 1) * DAY_SECONDS)
+            if settings.nightly and state[1] and today > state[3]:
+                close(owner, state, (state[3] + 1) * DAY_SECONDS)
             buffer.append((tau, x))
             del buffer[: -settings.buffer]
-            fresh, vouched, day, last = fresh + 1, max(vouched, int(tau >= FULL_TRUST)), today, at
-            if fresh == settings.every:
-                close(int(at))  # whole seconds, as in the batch form
-        if settings.nightly and fresh and mark > (day + 1) * DAY_SECONDS * 1000:
-            close((day + 1) * DAY_SECONDS)
-        if not rows and not self.waiting.exists() and last is not None and mark > milliseconds(last) + self.life:
-            buffer = []
-        if buffer:
-            self.buffer.put(buffer)
-        else:
-            self.buffer.clear()
-        if last is not None:
-            self.open.update((epoch, fresh, vouched, day, last))
+            state[1:] = state[1] + 1, max(state[2], int(tau >= FULL_TRUST)), today, at
+            if state[1] == settings.every:
+                close(owner, state, int(at))  # whole seconds, as in the batch form
+        busy, silent, moments = {row[2] for row in (*rows, *self.rest)}, False, []
+        for owner, state in opened.items():
+            _, fresh, _, day, last = state
+            if settings.nightly and fresh and mark > (day + 1) * DAY_SECONDS * 1000:
+                close(owner, state, (day + 1) * DAY_SECONDS)
+            if owner in buffers and owner not in busy and mark > milliseconds(last) + self.life:
+                del buffers[owner]
+                silent = True
+            if settings.nightly and state[1]:
+                moments.append((day + 1) * DAY_SECONDS * 1000 + 1)
+            elif owner in buffers:
+                moments.append(milliseconds(last) + self.life + 1)
+        self.ends = min(moments, default=None)
+        out = self.recomputed(closed) if closed else None
+        if rows or closed:
+            self.open.put([(owner, *state) for owner, state in opened.items()])
+        if buffers and (rows or silent):
+            self.buffers.put([(owner, *row) for owner, buffer in buffers.items() for row in buffer])
+        elif silent:
+            self.buffers.clear()
+        return out
+
+    def recomputed(self, closed: list[tuple]) -> pd.DataFrame:
+        """The profiles that epochs leave: candidates from their buffers, bounded by the budget around the anchors."""
+        anchors, settings, out = {owner: state for owner, *state in self.anchors.get()}, self.settings, []
+        for begin in range(0, len(closed), SOLVED):
+            some = closed[begin : begin + SOLVED]
+            clouds = [np.asarray([x for _, x in buffer], dtype=float) for *_, buffer in some]
+            widths = np.asarray([cloud.shape[1] for cloud in clouds])
+            found: list = [None] * len(some)
+            for width in np.unique(widths):
+                same = np.flatnonzero(widths == width)
+                mass = np.asarray([tau for i in same for tau, _ in some[i][-1]], dtype=float)
+                sizes = np.asarray([len(clouds[i]) for i in same])
+                middles, wides = medians_of(np.concatenate([clouds[i] for i in same]), mass, sizes, TOLERANCE, MAX_ITERATIONS)
+                for i, middle, wide in zip(same, middles, wides, strict=True):
+                    found[i] = middle, wide
+            for (owner, epoch, at, vouched, _), (middle, wide) in zip(some, found, strict=True):
+                centre, spread, calm_since = anchors[owner]
+                new, width, distance, _, over = within_budget(
+                    middle, wide, np.asarray(centre), np.asarray(spread), settings.budget, settings.floor
+                )
+                if over or calm_since is None:
+                    calm_since = at
+                due = vouched or at - calm_since >= RE_ANCHOR_DAYS * DAY_SECONDS
+                new, width = new.tolist(), width.tolist()
+                anchors[owner] = (new, width, at) if due else (centre, spread, calm_since)
+                out.append((owner, epoch, new, width, min(distance, settings.budget), int(over), int(due)))
+        self.anchors.put([(owner, *state) for owner, state in anchors.items()])
         names = ["_key", "epoch", "centre", "dispersion", "displacement", "saturated", "re_anchored"]
-        return pd.DataFrame(out, columns=names) if out else None
-
-    def recomputed(self, buffer: list[tuple], at: int, vouched: bool) -> tuple:
-        """The profile an epoch leaves: candidate from the buffer, bounded by the budget around the anchor."""
-        centre, spread, calm_since = self.anchor.get()
-        cloud, mass = np.asarray([x for _, x in buffer], dtype=float), np.asarray([tau for tau, _ in buffer])
-        middle = weiszfeld(cloud, mass, TOLERANCE, MAX_ITERATIONS)
-        off = np.abs(cloud - middle)
-        wide = np.asarray([weighted_lower_median(off[:, j], mass) for j in range(off.shape[1])])
-        new, width, distance, _, over = within_budget(
-            middle, wide, np.asarray(centre), np.asarray(spread), self.settings.budget, self.settings.floor
-        )
-        if over or calm_since is None:
-            calm_since = at
-        due = vouched or at - calm_since >= RE_ANCHOR_DAYS * DAY_SECONDS
-        if due:
-            self.anchor.update((new.tolist(), width.tolist(), at))
-        else:
-            self.anchor.update((centre, spread, calm_since))
-        return new.tolist(), width.tolist(), min(distance, self.settings.budget), int(over), int(due)
+        return pd.DataFrame(out, columns=names)
 
     def due(self) -> int | None:
-        if not self.open.exists():
-            return None
-        _, fresh, _, day, last = self.open.get()
-        if self.settings.nightly and fresh:
-            return (day + 1) * DAY_SECONDS * 1000 + 1
-        return milliseconds(last) + self.life + 1 if self.buffer.exists() else None
+        return self.ends
 
 
 def stream_adapt(
     verified: DataFrame, start: DataFrame, keys: Sequence[str], settings: Settings, ts: str = "ts", late: str = "1 hour",
+    buckets: int = BUCKETS,
 ) -> DataFrame:
     """Robust adaptation as a stream: one row per recomputed profile.
 
     ``verified`` holds ``event_id``, ``ts``, ``at`` (the same in epoch seconds), ``x`` and ``tau``;
     ``start`` the published enrolment profiles, which become the initial state of their keys; other keys
     leave no state. Sessions without enough trust never reach the state. An epoch closes at every
-    ``every``-th session and, where the settings say so, by a timer at midnight. The state of a key is one
-    buffer, one anchor and the rows of the last ``late`` span; a key that is silent for the life
-    of a buffer keeps its anchor only.
+    ``every``-th session and, where the settings say so, by a timer at midnight. Keys are dealt to ``buckets``
+    states by a hash. A key takes one buffer, one anchor and the rows of the last ``late`` span there; a key that is
+    silent for the life of a buffer keeps its anchor and the number of its epochs only.
     """
     use_rocksdb(verified.sparkSession)
     # Filtered first, so that the watermark follows the sessions that count.
-    trusted = _keyed(verified.where(F.col("tau") >= settings.tau_min), keys, ts).withWatermark(ts, late)
+    trusted = _keyed(verified.where(F.col("tau") >= settings.tau_min), keys, ts).withColumnRenamed("_key", "owner")
+    bucket = F.pmod(F.xxhash64("owner"), F.lit(buckets))
     schema = (
         "_key string, epoch long, centre array<double>, dispersion array<double>, displacement double, saturated int, re_anchored int"
     )
     life = lake.RETENTION_DAYS["buffer"] * DAY_SECONDS * 1000
     begun = start.select(
-        F.to_json(F.struct(*[F.col(k) for k in keys]), {"ignoreNullFields": "false"}).alias("_key"), "centre", "dispersion"
-    ).groupBy("_key")
-    found = trusted.groupBy("_key").transformWithStateInPandas(Adapting(settings, life), schema, "Append", "EventTime", begun)
+        F.to_json(F.struct(*[F.col(k) for k in keys]), {"ignoreNullFields": "false"}).alias("owner"), "centre", "dispersion"
+    ).withColumn("_bucket", bucket).groupBy("_bucket")
+    dealt = trusted.withColumn("_bucket", bucket).withWatermark(ts, late).groupBy("_bucket")
+    found = dealt.transformWithStateInPandas(Adapting(settings, life), schema, "Append", "EventTime", begun)
     return _unkeyed(found, [verified.schema[k] for k in keys])
 
 

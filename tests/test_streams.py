@@ -155,3 +155,24 @@ def test_adaptation_agrees_with_the_batch_for_one_and_seven_triggers(spark, tmp_
     seven = adapted(spark, str(tmp_path / "seven"), rows, start, settings, 7, 1)
     assert batch == one == seven
     assert len(batch) > (15 if nightly else 8) and {u for u, _ in batch} == {"u", "w"}
+
+
+def test_keys_of_a_bucket_share_the_calls_to_the_state():
+    calls = []
+    for users in (3, 300):
+        handle, each = Counted(), L.Adapting(A.Settings(every=2, buffer=3, budget=5.0), 10**9)
+        each.init(handle)
+        begun = pd.DataFrame({"owner": [f"u{i}" for i in range(users)], "centre": [[0.0]] * users, "dispersion": [[1.0]] * users})
+        each.handleInitialState((0,), begun, None)
+        rows = [(DAY + j, j, f"u{i}", 1.0, [float(i)]) for i in range(users) for j in range(4)]
+        rows.append((DAY, 9, "nobody", 1.0, [1.0]))
+        list(each.handleInputRows((0,), iter([pd.DataFrame(rows, columns=each.columns)]), None))
+        (out,) = each.handleExpiredTimer((0,), Mark(DAY + 1000), None)
+        assert sorted(zip(out["_key"], out["epoch"])) == sorted((f"u{i}", e) for i in range(users) for e in (1, 2))
+        first = out[out["epoch"] == 1].set_index("_key")["centre"]
+        assert [first[f"u{i}"] for i in range(3)] == [[0.0], [1.0], [2.0]]
+        calls.append(handle.calls)
+        assert len(handle.rows["buffers"]) == 3 * users
+        list(each.handleExpiredTimer((0,), Mark(DAY + 2_000_000), None))
+        assert handle.rows["buffers"] == [] and len(handle.rows["anchors"]) == users and each.due() is None
+    assert calls[0] == calls[1] < 20
