@@ -71,6 +71,13 @@ def test_trailing_matches_brute_force(rows, frame, step):
         trailing(rows, ["key"], "at", values, {"a": 301}, step)
 
 
+def test_trailing_holds_its_input_once(rows):
+    summed = rows.groupBy("key", "at").agg(F.sum("v").alias("v"))
+    plan = trailing(summed, ["key"], "at", {"s": "v"}, {"a": 300, "b": 900}, 100)._jdf.queryExecution().optimizedPlan().toString()
+    # Rows and copies come from one pass; the other one is for the sums of whole slices.
+    assert "Union" not in plan and plan.count("Aggregate [key") <= 3
+
+
 def test_head_per_key(rows, frame):
     got = head_per_key(rows, ["key"], ["at", "id"], 7, slot()).toPandas()
     want = frame.sort_values(["key", "at", "id"]).groupby("key").head(7)
