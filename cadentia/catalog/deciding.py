@@ -104,17 +104,22 @@ us AS (SELECT "user", max(amount) AS largest FROM ch WHERE kind = 'O' GROUP BY 1
 
 
 def context(spark, folder):
-    rows = channels(spark, folder).select(*LINE, "user", "device", "payee", "s_behaviour", "kind")
-    open_rows = rows.where("kind = 'O'")
-    profiles = open_rows.groupBy("user", "device").agg(
-        F.avg("s_behaviour").alias("centre"), F.count("*").alias("n")
-    ).where("n >= 2").drop("n")
-    devices = rows.groupBy("user", "device").agg(F.count("*").alias("session_count"))
-    edges = open_rows.groupBy("user", "payee").agg(F.count("*").alias("txn_count"))
-    payees = rows.groupBy("payee", "user").agg(F.count("*").alias("n")).groupBy("payee").agg(
+    # Read by every table below: stored, so that lines meet their orders once.
+    rows = materialise(channels(spark, folder).select(*LINE, "user", "device", "payee", "s_behaviour", "kind"), "sessions")
+    opened = F.col("kind") == "O"
+    # One pass for what is known by device; stored, as three tables come from it.
+    by_device = materialise(rows.groupBy("user", "device").agg(
+        F.avg(F.when(opened, F.col("s_behaviour"))).alias("centre"), F.count(F.when(opened, 1)).alias("n"),
+        F.count("*").alias("session_count"), F.max(F.when(opened, F.col("amount"))).alias("largest"),
+    ), "devices")
+    profiles = by_device.where("n >= 2").select("user", "device", "centre")
+    devices = by_device.select("user", "device", "session_count")
+    users = by_device.where("n > 0").groupBy("user").agg(F.max("largest").alias("largest"))
+    edges = rows.where(opened).groupBy("user", "payee").agg(F.count("*").alias("txn_count"))
+    # Stored, so that its size is known when the sessions meet it.
+    payees = materialise(rows.groupBy("payee", "user").agg(F.count("*").alias("n")).groupBy("payee").agg(
         F.count("*").alias("senders")
-    )
-    users = open_rows.groupBy("user").agg(F.max("amount").alias("largest"))
+    ), "payees")
     return U.session_context(rows, profiles, devices, edges, payees, users)
 
 

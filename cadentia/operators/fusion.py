@@ -13,6 +13,7 @@ from cadentia.operators.outcomes import classification_metrics
 from cadentia.operators.profiles import ranked
 from cadentia.plans.affine import affine_scan
 from cadentia.plans.isotonic import isotonic_blocks, isotonic_values
+from cadentia.plans.joins import null_safe_join
 from cadentia.plans.ordered import running
 
 # The channels, the actions and the value for degraded data.
@@ -41,16 +42,15 @@ def session_context(
     Adds ``has_profile``, ``has_device``, ``has_edge``, ``has_payee`` and
     ``has_user``. Each side has one row per key, so no session multiplies.
     """
-    out = sessions
-    for name, side, keys in (
-        ("profile", profiles, [user, device]),
-        ("device", devices, [user, device]),
-        ("edge", edges, [user, payee]),
-        ("payee", payees, [payee]),
-        ("user", users, [user]),
-    ):
-        marked = side.withColumn(f"has_{name}", F.lit(1))
-        out = out.join(marked, keys, "left")
+    def marked(name: str, side: DataFrame) -> DataFrame:
+        return side.withColumn(f"has_{name}", F.lit(1))
+
+    # The user's state meets the user's devices, which are few, and reaches the sessions together with theirs.
+    known = sessions.select(user, device).distinct()
+    for name, side, keys in (("profile", profiles, [user, device]), ("device", devices, [user, device]), ("user", users, [user])):
+        known = known.join(marked(name, side), keys, "left")
+    out = null_safe_join(sessions, known, [user, device], "left")
+    out = out.join(marked("edge", edges), [user, payee], "left").join(marked("payee", payees), [payee], "left")
     return out.na.fill(0, [f"has_{n}" for n in ("profile", "device", "edge", "payee", "user")])
 
 

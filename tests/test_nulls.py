@@ -5,6 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from cadentia.operators import fusion as U
 from cadentia.operators import adaptation as A
 from cadentia.operators.outcomes import friction_rate
 from cadentia.plans.ordered import running, trailing
@@ -60,3 +61,25 @@ def test_profile_in_force_keeps_to_the_budget(spark):
     with pytest.raises(ValueError, match="P9"):
         sessions = spark.createDataFrame([("u", 1, [0.0, 0.0], 1.0)], "k string, t long, x array<double>, tau double")
         A.eer_by_intensity(sessions, ["k"], ["t"], start, "x", F.lit(0), [1.0], policy="P9")
+
+
+def test_session_context_keeps_sessions_and_moves_them_for_devices_edges_and_payees_only(spark):
+    rows = [(1, "u", "d", "p"), (2, "u", None, "p"), (3, "u", "other", None), (4, None, "d", "p"), (5, "w", "d", "q"), (6, "u", "d", "p")]
+    sessions = spark.createDataFrame(rows, "pad long, user string, device string, payee string")
+    profiles = spark.createDataFrame([("u", "d", 1.0)], "user string, device string, centre double")
+    devices = spark.createDataFrame([("u", "d", 2), ("w", "d", 1)], "user string, device string, seen int")
+    edges = spark.createDataFrame([("u", "p", 7)], "user string, payee string, txn int")
+    payees = spark.createDataFrame([("p", 3)], "payee string, senders int")
+    users = spark.createDataFrame([("u", 9.0)], "user string, largest double")
+    out = U.session_context(sessions, profiles, devices, edges, payees, users)
+    names = ["pad", "centre", "seen", "txn", "senders", "largest", "has_profile", "has_device", "has_edge", "has_payee", "has_user"]
+    assert sorted(map(tuple, out.select(*names).collect())) == [
+        (1, 1.0, 2, 7, 3, 9.0, 1, 1, 1, 1, 1), (2, None, None, 7, 3, 9.0, 0, 0, 1, 1, 1), (3, None, None, None, None, 9.0, 0, 0, 0, 0, 1),
+        (4, None, None, None, 3, None, 0, 0, 0, 1, 0), (5, None, 1, None, None, None, 0, 1, 0, 0, 0), (6, 1.0, 2, 7, 3, 9.0, 1, 1, 1, 1, 1),
+    ]
+
+    def joins(node):
+        below = sum(joins(node.children().apply(i)) for i in range(node.children().size()))
+        return below + (node.nodeName() == "Join" and "pad#" in node.output().toString())
+
+    assert joins(out._jdf.queryExecution().optimizedPlan()) == 3
