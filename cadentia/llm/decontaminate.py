@@ -92,7 +92,8 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, **settings) -> D
     """The rows of ``docs`` that are not contaminated."""
     rows = docs.withColumn("judged_row", F.monotonically_increasing_id())
     bad = judged(docs, benchmark, **settings).where("contaminated").select(F.col("row").alias("judged_row"))
-    return rows.join(bad, "judged_row", "left_anti").drop("judged_row")
+    # Stored, so that its size is known when the texts meet it: they are shuffled only if the numbers are many.
+    return rows.join(materialise(bad, "contaminated"), "judged_row", "left_anti").drop("judged_row")
 
 
 def judged(

@@ -7,7 +7,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from cadentia.llm.decontaminate import decontaminate
+from cadentia.llm.decontaminate import decontaminate, without_contaminated
 from cadentia.llm.licenses import BASE, NOTICES, license_report, license_spans
 from cadentia.llm.syncmers import BAND, K, S, anchors, fingerprints
 from cadentia.session import materialise
@@ -217,3 +217,13 @@ def test_an_item_without_id_hits_words_but_is_not_listed(spark):
     assert [(r.n_words, r.n_hit, r.n_items, r.contaminated) for r in rows] == [(17, 15, 1, True), (3, 2, 1, True), (1, 0, 0, False)]
     none = hashlib.sha256(b"").hexdigest()
     assert [r.items_sha256 == hashlib.sha256(b"3").hexdigest() for r in rows] == [True, True, False] and rows[2].items_sha256 == none
+
+
+def test_few_contaminated_rows_do_not_shuffle_the_texts(spark):
+    rnd = random.Random(8)
+    passage = " ".join(rnd.choice("alpha beta gamma delta".split()) for _ in range(20))
+    rows = [(i, f"{passage} w{i}" if i % 10 == 0 else f"only words of its own w{i}") for i in range(200)]
+    bench = spark.createDataFrame([(1, passage)], "item_id long, text string")
+    kept = without_contaminated(materialise(documents(spark, rows), "docs"), bench)
+    assert sorted(r.doc_id for r in kept.collect()) == [i for i in range(200) if i % 10]
+    assert "Exchange hashpartitioning" not in kept._jdf.queryExecution().executedPlan().toString()
