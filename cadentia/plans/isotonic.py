@@ -56,27 +56,29 @@ def isotonic_blocks(df: DataFrame, score: str, label: str) -> DataFrame:
 def isotonic_values(scored: DataFrame, blocks: DataFrame, score: str, name: str) -> DataFrame:
     """Add the value of each score: that of its block, between two blocks the straight line, outside the nearest.
 
-    A null or NaN score, and any score if there is no block, has no value. Scores meet their block by carrying the
-    last block along slots of the score, so neither side is broadcast.
+    A null or NaN score, and any score if there is no block, has no value. Blocks learn their successor first, so
+    scores meet both neighbours by carrying one block along slots of the score, and neither side is broadcast.
     """
     columns = [q(c) for c in scored.columns]
     x = q(score).cast("double")
+    # Downwards over the blocks alone, each one's predecessor is the block above it.
+    turned = blocks.select("lo", "hi", "value", F.struct("lo", "value").alias("_own"), (-F.col("lo")).alias("_down"), F.lit(0).alias("_all"))
+    known = running(turned, ["_all"], ["_down"], magnitude_slot(F.col("_down")), previous={"_next": "_own"})
+    marks = known.select(F.col("lo").alias("_x"), F.lit(0).alias("_kind"), F.struct("hi", "value", "_next").alias("_mark"), F.lit(0).alias("_all"))
     rows = scored.select(
         F.when(~F.isnan(x), x).alias("_x"), F.lit(1).alias("_kind"), F.struct(*columns).alias("_row"), F.lit(0).alias("_all")
     )
-    marks = blocks.select(F.col("lo").alias("_x"), F.lit(0).alias("_kind"), F.struct("hi", "value").alias("_mark"), F.lit(0).alias("_all"))
     line = rows.unionByName(marks, allowMissingColumns=True)
-    # Upwards for the block at or below a score, downwards for the one above it.
     below = running(line, ["_all"], ["_x", "_kind"], magnitude_slot(F.col("_x")), previous={"_below": "_mark"})
-    ahead = F.when(F.col("_kind") == 0, F.struct((-F.col("_down")).alias("lo"), F.col("_mark.value").alias("value")))
-    turned = below.withColumn("_down", -F.col("_x")).withColumn("_turn", -F.col("_kind")).withColumn("_ahead", ahead)
-    both = running(turned, ["_all"], ["_down", "_turn"], magnitude_slot(F.col("_down")), previous={"_above": "_ahead"})
-    lower, upper = F.col("_below"), F.col("_above")
+    least = blocks.agg(F.min_by("value", "lo").alias("_least"))  # one row
+    lower = F.col("_below")
+    upper = lower["_next"]
     share = (F.col("_x") - lower["hi"]) / (upper["lo"] - lower["hi"])
     value = (
         F.when(F.col("_x").isNull(), F.lit(None).cast("double"))
-        .when(lower.isNull(), upper["value"])
+        .when(lower.isNull(), F.col("_least"))
         .when(upper.isNull() | (F.col("_x") <= lower["hi"]), lower["value"])
         .otherwise(lower["value"] + share * (upper["value"] - lower["value"]))
     )
-    return both.where(F.col("_kind") == 1).select(*[F.col("_row")[c].alias(c) for c in scored.columns], value.alias(name))
+    met = below.where(F.col("_kind") == 1).join(F.broadcast(least))
+    return met.select(*[F.col("_row")[c].alias(c) for c in scored.columns], value.alias(name))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cadentia.operators import fusion as U
 from cadentia.operators import outcomes as D
-from cadentia.plans.isotonic import isotonic_blocks
+from cadentia.plans.isotonic import isotonic_blocks, isotonic_values
 
 
 def pooled(points):
@@ -88,3 +88,18 @@ def test_calibrated_tiers_and_one_user(spark):
     log = spark.createDataFrame([("u", 2, 1, "allow"), ("u", 1, 2, "block"), ("w", 0, 3, "allow"), (None, 5, 4, "allow")], "u string, ts long, id long, action string")
     assert [r.id for r in D.user_timeline(log, "u", "id", one="u").collect()] == [2, 1]
     assert [r.id for r in D.user_timeline(log, "u", "id").collect()] == [4, 2, 1, 3]
+
+
+def test_scores_meet_both_neighbours_in_two_reads(spark):
+    rows = spark.createDataFrame([(i, float(x)) for i, x in enumerate([-5, 0, 1, 2, 3, 4, 9])], "id long, score_x double")
+    blocks = spark.createDataFrame([(0.0, 1.0, 0.25, 2.0), (3.0, 3.0, 0.5, 1.0), (4.0, 5.0, 1.0, 3.0)], "lo double, hi double, value double, weight double")
+    seen = spark.sparkContext.accumulator(0)
+
+    def passed(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    found = isotonic_values(rows.mapInPandas(passed, rows.schema), blocks, "score_x", "y").collect()
+    assert {r.score_x: r.y for r in found} == {-5: 0.25, 0: 0.25, 1: 0.25, 2: 0.375, 3: 0.5, 4: 1.0, 9: 1.0}
+    assert seen.value <= 2 * 7
