@@ -82,13 +82,17 @@ def components(edges: DataFrame, a: str = "src", b: str = "dst", max_rounds: int
     log(n) rounds. Only minima per node are grouped, never neighbour lists. Every
     round is checkpointed, so a lost executor does not replay earlier rounds.
     """
-    links = edges.select(F.col(a).alias("u"), F.col(b).alias("v"))
-    nodes = links.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    star = cut_lineage(
-        links.where(F.col("u") != F.col("v"))
-        .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        .distinct()
+    u, v = F.col(a), F.col(b)
+    # Stored, so that what lies upstream runs once for the nodes and the rounds. A null end stands alone, on either side.
+    ends = F.when(u.isNull() | v.isNull(), F.struct(u.alias("u"), v.alias("v")))
+    links = materialise(
+        edges.select(F.coalesce(ends, F.struct(F.greatest(u, v).alias("u"), F.least(u, v).alias("v"))).alias("e"))
+        .select("e.u", "e.v")
+        .distinct(),
+        "links",
     )
+    nodes = links.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    star = links.where(F.col("u") != F.col("v"))
     seen = _fingerprint(star)
     for _ in range(max_rounds):
         star = cut_lineage(_small_star(_large_star(star)))
@@ -130,6 +134,6 @@ def _small_star(star: DataFrame) -> DataFrame:
 
 def component_size(edges: DataFrame, a: str = "src", b: str = "dst") -> DataFrame:
     """Per account, the number of accounts in its component."""
-    found = components(edges, a, b)
+    found = materialise(components(edges, a, b), "components")
     sizes = found.groupBy("component").agg(F.count("*").alias("component_size"))
     return found.join(sizes, "component")

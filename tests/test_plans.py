@@ -164,6 +164,20 @@ def test_components_match_union_find(spark):
     assert all(r.component_size == sizes[r.component] for r in found)
 
 
+def test_components_read_what_lies_upstream_once(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 3), (7, 8), (9, 9), (None, 4), (4, None)], "src long, dst long")
+    seen = spark.sparkContext.accumulator(0)
+
+    def passed(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    found = G.component_size(edges.mapInPandas(passed, "src long, dst long")).collect()
+    assert {r.node: r.component_size for r in found if r.node} == {1: 3, 2: 3, 3: 3, 7: 2, 8: 2, 9: 1, 4: 1}
+    assert seen.value == 6
+
+
 def test_snapshot_lookup_takes_newest_not_after(spark):
     ts = "timestamp '2024-01-%02d'"
     visits = spark.sql(f"SELECT 1 AS p, {ts % 5} AS ts, 'a' AS s UNION ALL SELECT 1, {ts % 10}, 'b' UNION ALL SELECT 2, {ts % 10}, 'c'")
