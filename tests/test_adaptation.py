@@ -141,3 +141,24 @@ def test_evaluation_refuses_broken_vectors_and_null_scores(spark, bad):
     scores = spark.createDataFrame([("a", 0, 1.0), ("a", 1, None)], "subject string, label int, score double")
     with pytest.raises(Exception, match="null for subject a"):
         E.equal_error_rate(scores).collect()
+
+
+def optimised(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_vectors_take_the_predecessor_from_the_pass_that_finds_changes(spark, monkeypatch):
+    from cadentia.catalog import adapting
+
+    monkeypatch.setattr(adapting, "materialise", lambda df, name: df)
+    rows = adapting.vectors(spark, "/root/testdata/sf0.001")
+    assert optimised(rows).count("Join Inner") == 1
+
+
+def test_nightly_members_read_their_numbers_from_one_stored_table(spark):
+    settings = A.Settings(every=2, buffer=3, nightly=True)
+    rows = spark.createDataFrame([("u", f"2024-01-0{d} 0{h}:00:00", 1.0, [float(h)]) for d in (1, 2) for h in range(3)], "k string, ts string, tau double, x array<double>")
+    members = A.epoch_members(rows.withColumn("ts", F.col("ts").cast("timestamp")), ["k"], ["ts"], "x", settings)
+    assert "Window" not in optimised(members)
+    found = {(r.epoch, r.admitted_no) for r in members.collect()}
+    assert found == {(1, 1), (1, 2), (2, 1), (2, 2), (2, 3), (3, 3), (3, 4), (3, 5), (4, 4), (4, 5), (4, 6)}
