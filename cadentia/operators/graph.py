@@ -6,20 +6,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadentia.plans.ordered import range_slots
+from cadentia.plans.reach import reach_counts
 from cadentia.session import cut_lineage, materialise
 
 
-# Senders a chunk of bits holds, as so many whole numbers of 64 bits.
-WORDS = 16
-CHUNK = 64 * WORDS
+# Senders in a row that count as standing together.
+CHUNK = 1024
 
 
 def dense_numbers(edge: DataFrame) -> DataFrame:
     """``src, num``: senders numbered 0, 1, ... without gaps, those of one account next to each other.
 
-    A sender stands with its most popular payee, so the senders of a hub fill few chunks however far apart their
-    ids are. Payees follow one another by id, not by size: parts of the graph that have nothing to do with each other
-    would else share chunks. The order is cut into ranges; a range's numbers begin where those before it end.
+    A sender stands with its most popular payee, so the senders of a hub fill few chunks, and few blocks, however far
+    apart their ids are. Payees follow one another by id, not by size: parts of the graph that have nothing to do with
+    each other would else share them. The order is cut into ranges; a range's numbers begin where those before it end.
     """
     degree = edge.groupBy("dst").agg(F.count("*").alias("senders"))
     home = F.max(F.struct("senders", "dst")).alias("home")
@@ -34,16 +34,11 @@ def dense_numbers(edge: DataFrame) -> DataFrame:
     )
 
 
-def _or_words() -> list:
-    return [F.bit_or(f"w{i}").alias(f"w{i}") for i in range(WORDS)]
-
-
 def two_hop_fan_in(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """Per account, other accounts that reach it in one or two transfers.
 
-    Nodes must be whole numbers. Sets of senders travel as chunks of 1024 bits over dense numbers and are merged by
-    OR, so the count is exact: a hub with very many senders costs about one bit each per
-    recipient, an account with a few scattered ones a chunk each.
+    Nodes must be whole numbers. The paths are formed and counted where blocks of the edges meet, see
+    :mod:`cadentia.plans.reach`; neither paths nor sets of senders are stored or shuffled, and the count is exact.
     """
     edge = materialise(
         edges.select(F.col(src).cast("long").alias("src"), F.col(dst).cast("long").alias("dst"))
@@ -51,28 +46,8 @@ def two_hop_fan_in(edges: DataFrame, src: str = "src", dst: str = "dst") -> Data
         .distinct(),
         "edges",
     )
-    numbered = edge.join(materialise(dense_numbers(edge), "numbers"), "src")
-    bit = F.expr("shiftleft(1L, cast(num % 64 as int))")
-    word = F.floor(F.col("num") / 64) % WORDS
-    marked = [F.coalesce(F.bit_or(F.when(word == i, bit)), F.lit(0).cast("long")).alias(f"w{i}") for i in range(WORDS)]
-    into = materialise(numbered.groupBy("dst", F.floor(F.col("num") / CHUNK).alias("chunk")).agg(*marked), "senders")
-    out = edge.select(F.col("src").alias("mid"), "dst")
-    through = into.withColumnRenamed("dst", "mid").join(out, "mid").drop("mid")
-    merged = (
-        into.unionByName(through)
-        .groupBy("dst", "chunk")
-        .agg(*_or_words())
-        .groupBy("dst")
-        .agg(F.sum(sum((F.bit_count(f"w{i}") for i in range(WORDS)), F.lit(0))).alias("n"))
-    )
-    # An account that gets back what it sent has reached itself; it is not its own sender.
-    back = edge.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    itself = edge.join(back, ["src", "dst"], "left_semi").select("dst").distinct()
-    own = itself.withColumn("own", F.lit(1))
-    return merged.join(own, "dst", "left").select(
-        F.col("dst").alias("account"),
-        (F.col("n") - F.coalesce("own", F.lit(0))).alias("two_hop_fan_in"),
-    )
+    counted = reach_counts(edge, materialise(dense_numbers(edge), "numbers"))
+    return counted.select("account", F.col("n").alias("two_hop_fan_in"))
 
 
 def components(edges: DataFrame, a: str = "src", b: str = "dst", max_rounds: int = 100) -> DataFrame:

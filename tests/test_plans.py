@@ -2,6 +2,7 @@
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,6 +10,7 @@ from cadentia.operators import graph as G
 from cadentia.operators import sessions as SE
 from cadentia.operators import transfers as TR
 from cadentia.operators.splits import rep_rank
+from cadentia.plans import reach as R
 from cadentia.plans.ordered import head_per_key, range_slots, running, trailing
 from cadentia.plans.pairs import grid_pairs
 from cadentia.plans.quantiles import exact_quantiles
@@ -132,6 +134,47 @@ def test_two_hop_matches_brute_force(spark, sparse):
     assert G.two_hop_fan_in(spark.createDataFrame([], "src long, dst long")).count() == 0
 
 
+def test_two_hop_shuffles_counts_and_no_paths(spark):
+    edges = spark.createDataFrame(random_edges(), "src long, dst long")
+    plan = G.two_hop_fan_in(edges)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "HashJoin" not in plan and "MergeJoin" not in plan
+
+
+@pytest.mark.parametrize(
+    "links, pairs, marks", [(40, 10**6, 10**6), (700, 30, 800), (90, 2000, 300), (10**6, 500, 2000), (7, 5, 7)]
+)
+def test_blocks_that_meet_count_each_path_end_once(monkeypatch, links, pairs, marks):
+    """Blocks that cut their first and last keys, targets with more pairs than a batch, marked and sorted batches."""
+    monkeypatch.setattr(R, "PAIRS", pairs)
+    monkeypatch.setattr(R, "MARKS", marks)
+    edges = np.array([(a, b) for a, b in random_edges(5) if a != b] + [(100, a) for a in range(0, 60, 7)])
+    edges = np.unique(edges, axis=0)
+    place = np.random.default_rng(1).permutation(1000)[edges[:, 0]]
+
+    def runs(order, key, node):
+        columns = [np.arange(len(edges)) // 300, edges[order, key], edges[order, node]]
+        parts = [[pa.array(c[i : i + 37]) for c in columns] for i in range(0, len(edges), 37)]
+        return R._runs((pa.record_batch(p, ["slot", "key", "node"]) for p in parts), links)
+
+    targets = [R._target_block(*run) for run in runs(np.lexsort((edges[:, 0], edges[:, 1])), 1, 0)]
+    sources = [R._source_block(*run) for run in runs(np.lexsort((edges[:, 1], place)), 0, 1)]
+    counts, listed, held = {}, set(), np.zeros(marks, np.int32)
+    for t in targets:
+        for s in sources:
+            for account, source, n in R._meet(*t, *s, held):
+                if source is None:
+                    for a, m in zip(account.tolist(), n.tolist()):
+                        counts[a] = counts.get(a, 0) + m
+                else:
+                    listed |= set(zip(account.tolist(), source.tolist()))
+    for a, _ in listed:
+        counts[a] = counts.get(a, 0) + 1
+    into = {}
+    for a, b in edges.tolist():
+        into.setdefault(b, set()).add(a)
+    assert counts == {d: len((s | set().union(*(into.get(m, set()) for m in s))) - {d}) for d, s in into.items()}
+
+
 def test_senders_of_a_hub_fill_few_chunks(spark):
     """However far apart the ids of a hub's senders are, they cost about one bit each."""
     rnd = np.random.default_rng(4)
