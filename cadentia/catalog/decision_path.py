@@ -29,7 +29,7 @@ NEEDED = ["has_profile", "has_user"]
 
 
 def log(spark, folder):
-    """Transfers with their device and a vector of two measures, stored once."""
+    """Transfers with their device and a second measure, stored once."""
     orders = table(spark, folder, "orders").select(
         F.col("o_orderkey").alias("order_id"), F.col("o_custkey").alias("sender"),
         F.col("o_orderdate").cast("timestamp").alias("ts"), F.col("o_orderpriority").alias("device"),
@@ -37,12 +37,17 @@ def log(spark, folder):
     lines = table(spark, folder, "lineitem").select(
         F.col("l_orderkey").alias("order_id"), F.col("l_suppkey").alias("payee"), F.col("l_linenumber").alias("line_no"),
         F.col("l_partkey").alias("part_id"), F.col("l_extendedprice").alias("amount"),
-        F.array(F.col("l_extendedprice"), F.col("l_quantity").cast("double")).alias("x"),
+        F.col("l_quantity").cast("double").alias("quantity"),
         (F.col("l_returnflag") == "R").cast("int").alias("label"),
     )
     return materialise(lines.join(orders, "order_id"), "transfer-sessions")
 
 
+def measures():
+    """The vector of two measures, formed where it is read."""
+    return F.array("amount", "quantity").alias("x")
+
+
 def published(df, name, keys):
     """Publish a snapshot and read it back, as a later job would."""
     spark = df.sparkSession
@@ -53,7 +58,8 @@ def published(df, name, keys):
 def state(spark, folder, rows):
     """Snapshots of profiles, devices, edges, payees and users by all rows up to the day."""
     past = rows.where(F.col("ts") <= F.lit(AS_OF).cast("timestamp"))
-    profiles = P.fit_profiles(past, ["sender", "device"], "x").select("sender", "device", "centre", "dispersion")
+    vectors = past.select("sender", "device", measures())
+    profiles = P.fit_profiles(vectors, ["sender", "device"], "x").select("sender", "device", "centre", "dispersion")
     devices = S.device_history(past, "sender", "device").select("sender", "device", "session_count")
     edges = T.interval_regularity(past, TRANSFER_ORDER)
     risk = T.payee_risk(past, outflows(spark, folder), flagged(spark, folder), AS_OF).select("payee", "risk_score")
@@ -70,13 +76,16 @@ def state(spark, folder, rows):
 def scored(spark, folder):
     """Transfers after the day with raw scores and confidences of all channels, stored once."""
     rows = log(spark, folder)
-    seen = S.prior_sessions(rows, "sender", "device", TRANSFER_ORDER)
-    changed = S.recent_change(seen, "sender", "ts", F.col("prior_sessions") == 0, TRANSFER_ORDER)
+    # Every ordered pass reads its input twice, so each is stored. Past rows are passed along for their order only.
+    later = F.col("ts") > F.lit(AS_OF).cast("timestamp")
+    light = rows.withColumns({c: F.when(later, F.col(c)) for c in ("payee", "quantity", "label")})
+    seen = materialise(S.prior_sessions(light, "sender", "device", TRANSFER_ORDER), "seen")
+    changed = S.recent_change(seen, "sender", "ts", F.col("prior_sessions") == 0, TRANSFER_ORDER).drop("last_change")
     again = running(
-        changed, ["sender", "part_id", "amount"], TRANSFER_ORDER, day_slot(F.col("ts")),
+        materialise(changed, "changed"), ["sender", "part_id", "amount"], TRANSFER_ORDER, day_slot(F.col("ts")),
         totals={"times": F.lit(1).cast("long")},
     )
-    now = again.where(F.col("ts") > F.lit(AS_OF).cast("timestamp"))
+    now = materialise(again.where(later).withColumn("x", measures()), "now")
     met = U.session_context(now, *state(spark, folder, rows), user="sender")
     facts = met.withColumns(
         {

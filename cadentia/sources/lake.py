@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cadentia.session import shuffles_dropped
+
 # Days each kind of record is kept.
 RETENTION_DAYS = {"session": 1, "decision": 30, "buffer": 180}
 # Event that feeds adaptation, actions that raise an alert.
@@ -106,12 +108,13 @@ def publish_features(df: DataFrame, path: str, computed_at: str, keys: Sequence[
     stamped = df.withColumn("computed_at", F.lit(computed_at).cast("timestamp")).withColumn(
         "snapshot", F.lit(computed_at)
     )
-    (
-        stamped.repartition(*keys)
-        .sortWithinPartitions(*keys)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("snapshot")
-        .parquet(path)
-    )
+    with shuffles_dropped(df.sparkSession):
+        (
+            stamped.repartition(*keys)
+            .sortWithinPartitions(*keys)
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy("snapshot")
+            .parquet(path)
+        )
     return path

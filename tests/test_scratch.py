@@ -2,6 +2,7 @@
 
 import datetime as dt
 import pathlib
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from cadentia.operators import fusion as U
 from cadentia.operators import profiles as P
 from cadentia.operators import sessions as S
 from cadentia.plans.quantiles import exact_quantiles
-from cadentia.session import materialise, scratch_path, scratch_scope
+from cadentia.session import DROP_SHUFFLES, materialise, scratch_path, scratch_scope
 from cadentia.sources import lake
 
 
@@ -81,3 +82,22 @@ def test_two_groups_of_sessions_are_told_from_one(spark):
     got = {r.u: (r.sessions, r.minor_share, r.separation) for r in found.collect()}
     assert got["two"][:2] == (20, 0.5) and got["two"][2] > 20
     assert got["flat"] == (5, 0.0, None) and got["lone"] == (1, 0.0, None) and got[None][0] == 1
+
+
+def shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+    return {line for line in files.split("\n") if "/shuffle_" in line}
+
+
+def test_shuffles_of_a_stored_frame_are_dropped(spark, tmp_path):
+    before = shuffle_files(spark)
+    rows = spark.range(20_000).groupBy((F.col("id") % 97).alias("k")).agg(F.sum("id").alias("x"))
+    tables = [materialise(rows, "sums"), spark.read.parquet(lake.publish_features(rows, str(tmp_path / "p"), "2000-01-01", ["k"]))]
+    until = time.time() + 20
+    while shuffle_files(spark) - before and time.time() < until:
+        time.sleep(0.2)
+    assert not shuffle_files(spark) - before
+    assert [t.count() for t in tables] == [97, 97]
+    assert spark.conf.get(DROP_SHUFFLES, "false") == "false"
+    # A frame that was stored can be read again all the same.
+    assert rows.count() == len(rows.collect()) == 97
