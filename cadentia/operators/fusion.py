@@ -12,6 +12,7 @@ from cadentia.functions.scalars import day_slot, q, risk_scale
 from cadentia.operators.outcomes import classification_metrics
 from cadentia.operators.profiles import ranked
 from cadentia.plans.affine import affine_scan
+from cadentia.plans.boosted import fit_boosted
 from cadentia.plans.isotonic import isotonic_blocks, isotonic_values
 from cadentia.plans.joins import null_safe_join
 from cadentia.plans.ordered import running
@@ -245,14 +246,13 @@ def fit_fusion(training: DataFrame, label: str, reg: float = 0.0) -> tuple[dict[
 def boosted_scores(
     training: DataFrame, scored: DataFrame, label: str, seed: int = 7, rounds: int = 20
 ) -> DataFrame:
-    """Gradient-boosted comparison row: adds ``boosted``, the probability of an attack."""
-    from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.functions import vector_to_array
+    """Gradient-boosted comparison row: adds ``boosted``, the probability of an attack.
 
-    model = GBTClassifier(maxIter=rounds, maxDepth=3, seed=seed).fit(_assembled(training, label))
-    probability = F.get(vector_to_array("probability"), F.lit(1)).alias("boosted")
-    keep = [q(c) for c in scored.columns]
-    return model.transform(_assembled(scored, label)).select(*keep, probability)
+    Trees of depth 3 as in Spark's ``GBTClassifier``, trained on cells of bins with counts, see :mod:`cadentia.plans.boosted`.
+    """
+    names = [f"z_{c}" for c in CHANNELS]
+    fitted = fit_boosted(training, names, label, "boosted", rounds, 3, seed)
+    return fitted(scored.withColumn(label, q(label).cast("double")))
 
 
 def calibrate(

@@ -4,12 +4,14 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from cadentia.operators import fusion as U
 from cadentia.operators import outcomes as D
 from cadentia.plans.isotonic import isotonic_blocks, isotonic_values
+from cadentia.session import materialise
 
 
 def pooled(points):
@@ -103,3 +105,50 @@ def test_scores_meet_both_neighbours_in_two_reads(spark):
     found = isotonic_values(rows.mapInPandas(passed, rows.schema), blocks, "score_x", "y").collect()
     assert {r.score_x: r.y for r in found} == {-5: 0.25, 0: 0.25, 1: 0.25, 2: 0.375, 3: 0.5, 4: 1.0, 9: 1.0}
     assert seen.value <= 2 * 7
+
+
+@pytest.mark.parametrize("rows, seed", [(600, 7), (26_000, 3)])
+def test_boosted_scores_are_those_of_sparks_trees(spark, rows, seed):
+    """With all rows as split candidates and with a sample of them; a sample may give a bin more than asked for."""
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.functions import vector_to_array
+
+    rnd = np.random.default_rng(seed)
+    cells = {f"z_{c}": rnd.normal(size=rows).round(2 + i) * (rnd.random(rows) < 0.7 + 0.05 * i) for i, c in enumerate(U.CHANNELS)}
+    lift = cells["z_behaviour"] * cells["z_payee"] + cells["z_context"]
+    table = pd.DataFrame({"id": np.arange(rows), "label": (lift + rnd.normal(size=rows) > 0.8).astype(int), **cells})
+    stored = materialise(spark.createDataFrame(table), "boosting")
+    training, scored = stored.where("id % 3 > 0"), stored.where("id % 3 = 0")
+    model = GBTClassifier(maxIter=6, maxDepth=3, seed=seed).fit(U._assembled(training, "label"))
+    wanted = model.transform(U._assembled(scored, "label")).select("id", F.get(vector_to_array("probability"), F.lit(1)).alias("p"))
+    want = dict(wanted.collect())
+    found = U.boosted_scores(training, scored, "label", seed=seed, rounds=6)
+    assert found.columns == [*scored.columns, "boosted"] and dict(found.dtypes)["label"] == "double"
+    got = {r.id: r.boosted for r in found.collect()}
+    assert got.keys() == want.keys() and len(set(want.values())) > 20
+    assert max(abs(got[i] - want[i]) for i in want) < 1e-9
+
+
+def test_boosted_trees_hold_cells_and_no_rows(spark, monkeypatch):
+    """Rows of the same bins and label are one cell: what is read in every pass does not grow with the rows."""
+    from cadentia.plans import boosted as B
+
+    rnd = np.random.default_rng(1)
+    table = pd.DataFrame({"label": rnd.integers(0, 2, 400), **{f"z_{c}": rnd.integers(0, 2, 400) / 1.0 for c in U.CHANNELS}})
+    seen = []
+    packed = B.packed_cells
+    monkeypatch.setattr(B, "packed_cells", lambda cells, n: seen.append(cells.agg(F.count("*"), F.sum("n")).first()) or packed(cells, n))
+    frame = spark.createDataFrame(table)
+    U.boosted_scores(frame, frame, "label", rounds=1)
+    assert seen[0][0] <= 64 and seen[0][1] == 400
+    for wrong, text in ((frame.withColumn("label", F.lit(2)), "labels"), (frame.withColumn("z_payee", F.lit(float("nan"))), "NaN")):
+        with pytest.raises(Exception, match=text):
+            U.boosted_scores(wrong, frame, "label", rounds=1)
+
+
+def test_more_sampled_rows_than_expected_give_one_more_cut():
+    from cadentia.plans import boosted as B
+
+    values = np.arange(1.0, 10_301.0)
+    assert len(B._cuts(values, 10_300)) == B.BINS - 1
+    assert len(B._cuts(values, 10_000)) == B.BINS
