@@ -76,10 +76,11 @@ def state(spark, folder, rows):
 def scored(spark, folder):
     """Transfers after the day with raw scores and confidences of all channels, stored once."""
     rows = log(spark, folder)
-    # Every ordered pass reads its input twice, so each is stored. Past rows are passed along for their order only.
+    # An ordered pass reads its input twice, so the later ones are stored. Past rows are passed along for their order only.
+    # The first is not: rows that come twice tie, and a stored table would number them the other way round.
     later = F.col("ts") > F.lit(AS_OF).cast("timestamp")
     light = rows.withColumns({c: F.when(later, F.col(c)) for c in ("payee", "quantity", "label")})
-    seen = materialise(S.prior_sessions(light, "sender", "device", TRANSFER_ORDER), "seen")
+    seen = S.prior_sessions(light, "sender", "device", TRANSFER_ORDER)
     changed = S.recent_change(seen, "sender", "ts", F.col("prior_sessions") == 0, TRANSFER_ORDER).drop("last_change")
     again = running(
         materialise(changed, "changed"), ["sender", "part_id", "amount"], TRANSFER_ORDER, day_slot(F.col("ts")),
